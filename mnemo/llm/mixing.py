@@ -53,11 +53,11 @@ def topic(text: Column, n_tokens: Column) -> Column:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """docs with the columns _source, _lang, _topic and _tokens beside its own."""
+    """docs with the columns __source, __lang, __topic and __tokens beside its own."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     tokens = F.regexp_count(text, F.lit(TOKEN)).cast("long")
-    out = docs.withColumns({"_source": F.coalesce(F.col("source").cast("string"), F.lit("")), "_lang": F.coalesce(F.col("lang").cast("string"), F.lit("")), "_tokens": tokens})
-    return out.withColumn("_topic", topic(text, F.col("_tokens")))
+    out = docs.withColumns({"__source": F.coalesce(F.col("source").cast("string"), F.lit("")), "__lang": F.coalesce(F.col("lang").cast("string"), F.lit("")), "__tokens": tokens})
+    return out.withColumn("__topic", topic(text, F.col("__tokens")))
 
 
 def _target(cells: DataFrame, dimension: str, given: dict[str, float] | float) -> DataFrame:
@@ -65,24 +65,24 @@ def _target(cells: DataFrame, dimension: str, given: dict[str, float] | float) -
     if isinstance(given, dict):
         values = cells.sparkSession.createDataFrame([(k, float(v)) for k, v in given.items()], "value string, weight double")
     else:
-        sums = cells.groupBy(F.col(f"_{dimension}").alias("value")).agg(F.sum("tokens").alias("tokens"))
+        sums = cells.groupBy(F.col(f"__{dimension}").alias("value")).agg(F.sum("tokens").alias("tokens"))
         values = sums.select("value", F.when(F.col("tokens") > 0, F.pow("tokens", F.lit(float(given)))).otherwise(0.0).alias("weight"))
     total = values.agg(F.sum("weight").alias("total"))
-    return values.join(F.broadcast(total)).select(F.col("value").alias(f"_{dimension}"), (F.col("weight") / F.col("total")).alias(f"target_{dimension}"))
+    return values.join(F.broadcast(total)).select(F.col("value").alias(f"__{dimension}"), (F.col("weight") / F.col("total")).alias(f"target_{dimension}"))
 
 
 def raked_cells(rows: DataFrame, targets: dict[str, dict[str, float] | float] = EXPONENTS, rounds: int = ROUNDS, keep: float = KEEP) -> DataFrame:
-    """_source, _lang, _topic, tokens, fitted (share), weight and probability of every cell of described rows."""
-    keys = [f"_{d}" for d in DIMENSIONS]
-    cells = cut(rows.groupBy(*keys).agg(F.sum("_tokens").alias("tokens")))
+    """__source, __lang, __topic, tokens, fitted (share), weight and probability of every cell of described rows."""
+    keys = [f"__{d}" for d in DIMENSIONS]
+    cells = cut(rows.groupBy(*keys).agg(F.sum("__tokens").alias("tokens")))
     for d in DIMENSIONS:
         # one row for a value of the dimension
-        cells = cells.join(_target(cells, d, targets[d]), f"_{d}", "left").fillna(0.0, [f"target_{d}"])
+        cells = cells.join(_target(cells, d, targets[d]), f"__{d}", "left").fillna(0.0, [f"target_{d}"])
     everything = Window.partitionBy(F.lit(0))
     cells = cut(cells.select(*keys, "tokens", *(f"target_{d}" for d in DIMENSIONS), (F.col("tokens") / F.sum("tokens").over(everything)).alias("fitted")).fillna(0.0, ["fitted"]))
     for r in range(rounds):
         for d in DIMENSIONS:
-            mass = F.sum("fitted").over(Window.partitionBy(f"_{d}"))
+            mass = F.sum("fitted").over(Window.partitionBy(f"__{d}"))
             cells = cells.withColumn("fitted", F.when(mass > 0, F.col("fitted") * F.col(f"target_{d}") / mass).otherwise(0.0))
         if r % 4 == 3:
             cells = cut(cells)
@@ -105,19 +105,24 @@ def draw(doc_id: Column, seed: int = SEED) -> Column:
 
 
 def mixed(docs: DataFrame, targets: dict[str, dict[str, float] | float] = EXPONENTS, keep: float = KEEP, seed: int = SEED) -> DataFrame:
-    """docs with _source, _lang, _topic, _tokens, weight, probability and kept beside its own columns."""
+    """docs with __source, __lang, __topic, __tokens, __weight, __probability and __kept beside its own columns."""
     rows = described(docs)
-    keys = [f"_{d}" for d in DIMENSIONS]
-    cells = raked_cells(rows, targets, keep=keep).select(*keys, "weight", "probability")
+    keys = [f"__{d}" for d in DIMENSIONS]
+    cells = raked_cells(rows, targets, keep=keep).select(*keys, F.col("weight").alias("__weight"), F.col("probability").alias("__probability"))
     if cells.limit(MAX_BROADCAST_CELLS + 1).count() <= MAX_BROADCAST_CELLS:
         cells = F.broadcast(cells)
-    return rows.join(cells, keys).withColumn("kept", draw(F.col("doc_id"), seed) < F.col("probability"))
+    return rows.join(cells, keys).withColumn("__kept", draw(F.col("doc_id"), seed) < F.col("__probability"))
+
+
+def sample_mix(docs: DataFrame, targets: dict[str, dict[str, float] | float] = EXPONENTS, keep: float = KEEP, seed: int = SEED) -> DataFrame:
+    """The rows of docs that the mix keeps, with all their columns."""
+    return mixed(docs, targets, keep, seed).filter("__kept").select(*docs.columns)
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, weight, probability and kept of every document."""
     return mixed(docs.select("doc_id", "text", "source", "lang")).select(
-        "doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "kept"
+        "doc_id", F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"), F.round("__weight", 6).alias("weight"), F.round("__probability", 6).alias("probability"), F.col("__kept").alias("kept")
     )
 
 

@@ -167,6 +167,13 @@ def score_quality(docs: DataFrame, model: RuleModel) -> DataFrame:
     return out.withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
 
 
+def keep_good(docs: DataFrame, model: RuleModel) -> DataFrame:
+    """The rows of docs that the model accepts, with all their columns."""
+    stats = statistics(F.col("text"))
+    out = docs.withColumn("__stats", F.struct(*(c.cast("double").alias(n) for n, c in stats.items())))
+    return out.filter(model.score({n: F.col(f"__stats.{n}") for n in stats}) >= THRESHOLD).select(*docs.columns)
+
+
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     scored = score_quality(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fit_quality(docs, labels))

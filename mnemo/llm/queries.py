@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, licenses, lm_score, mixing, quality, simhash, tokens, warc
+from . import decontaminate, html_text, licenses, lm_score, media, mixing, quality, simhash, tokens, warc
 from .common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -44,6 +44,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.decode_media(media.encode_texts(table(spark, sf_dir, "documents")), tensors=False)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_html_text": op5_html_text,
     "op6_lm_score": op6_lm_score,
     "op7_warc": op7_warc,
+    "op8_progressive_jpeg": op8_progressive_jpeg,
     "op9_mixing": op9_mixing,
     "op10_token_output": op10_token_output,
 }

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -132,42 +132,51 @@ def _distinct(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _wide_rows(docs: DataFrame) -> DataFrame:
-    """key (a hash of the word sequence), segments and the sorted set of five-word shingles of each row's text."""
+    """doc_id, text_hash, key (a hash of the word sequence), wide (segments) and the five-word shingle set of each row.
+
+    A shingle is kept as 32 bits: among the few thousand of two texts, that many do not meet by chance.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, end, data, offsets in common.text_passes(batch.column(1)):
+            for row, end, data, offsets in common.text_passes(batch.column(2)):
                 words, first = common.word_hashes(data, offsets)
                 unique, unique_first = _distinct(words, first)
                 n = np.maximum(np.diff(unique_first), 1)[:, None]
                 packed = [np.packbits(_bit_sums(h, unique_first) * 2 > n, axis=1).view(">u4") for h in (unique, common.mix(unique ^ np.uint64(SEED)))]
                 wide = np.concatenate(packed, axis=1).astype(np.int64)
-                shingles, shingle_first = common.shingle_hashes(words, first, SIMILAR_WORDS)
                 # the key is over the sequence, so that equal keys are equal texts up to case and punctuation
-                sequence, _ = common.shingle_hashes(words, first, 1)
                 with np.errstate(over="ignore"):
                     place = np.arange(len(words), dtype=np.uint64) - np.repeat(first[:-1], np.diff(first)).astype(np.uint64)
-                    mixed = common.mix(sequence + common.mix(place))
-                    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed)])
+                    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(common.mix(words + common.mix(place)))])
                     key = common.mix(total[first[1:]] - total[first[:-1]] + np.diff(first).astype(np.uint64))
-                sets, set_first = _distinct(shingles, shingle_first)
+                sets, set_first = _distinct(*_short(common.shingle_hashes(words, first, SIMILAR_WORDS)))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(row, end - row),
+                        batch.column(1).slice(row, end - row),
                         pa.array(key.view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(np.arange(end - row + 1) * WIDE_WORDS, pa.int32()), pa.array(wide.reshape(-1))),
-                        pa.ListArray.from_arrays(pa.array(set_first, pa.int32()), pa.array(sets.view(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(set_first, pa.int32()), pa.array(sets.astype(np.uint32).view(np.int32))),
                     ],
-                    ["doc_id", "key", "wide", "shingles"],
+                    ["doc_id", "text_hash", "key", "wide", "shingles"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, key long, wide array<long>, shingles array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("text_hash"), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, key long, wide array<long>, shingles array<int>")
+
+
+def text_hash(text: Column) -> Column:
+    """A hash by which a row is found again: of its exact text, null being empty."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def _short(hashes: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return hashes[0] >> np.uint64(32), hashes[1]
 
 
 def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs u, v whose shingle sets have a Jaccard similarity of at least SIMILARITY."""
-    a = texts.select(F.col("key").alias("u"), F.col("shingles").alias("a"))
-    b = texts.select(F.col("key").alias("v"), F.col("shingles").alias("b"))
+    """The pairs u, v within WIDE_RADIUS whose shingle sets have a Jaccard similarity of at least SIMILARITY."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,13 +187,17 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 keep.append(both >= SIMILARITY * (len(x) + len(y) - both) - 1e-9)
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b")
-    sizes = F.least(F.size("a"), F.size("b")) >= F.lit(SIMILARITY) * F.greatest(F.size("a"), F.size("b"))
-    return joined.filter(sizes).mapInArrow(run, "u long, v long")
+    sides = [texts.select(F.col("key").alias(k), F.struct("wide", "shingles").alias(f"of_{k}")) for k in ("u", "v")]
+    a, b = (F.col(f"of_{k}") for k in ("u", "v"))
+    joined = pairs.join(sides[0], "u").join(sides[1], "v")
+    distance = F.aggregate(F.zip_with(a["wide"], b["wide"], lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    sizes = F.least(F.size(a["shingles"]), F.size(b["shingles"])) >= F.lit(SIMILARITY) * F.greatest(F.size(a["shingles"]), F.size(b["shingles"]))
+    near = joined.filter((distance <= WIDE_RADIUS) & sizes)
+    return near.select("u", "v", a["shingles"].alias("a"), b["shingles"].alias("b")).mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, key and root: documents of one root are near copies, directly or over others.
+    """doc_id, text_hash, key and root: documents of one root are near copies, directly or over others.
 
     A change of one word in 45 leaves a five-word similarity of 0.8. The distinct words of such texts agree to 95 % and
     more, so their fingerprints differ in 4 to 9 % of the bits, and one of four segments is within two bits in all but
@@ -195,15 +208,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     others; a group's members are joined by the links that hold.
     """
     rows = common.stored(_wide_rows(docs), "near")
-    texts = rows.groupBy("key").agg(F.first("wide").alias("wide"))
     values = F.posexplode("wide").alias("segment", "value")
     ball = F.concat(F.array("value"), F.transform(F.sequence(F.lit(0), F.lit(31)), lambda bit: F.col("value").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit))))
-    codes = texts.select("key", "wide", values).select("key", "wide", "segment", F.explode(F.transform(ball, lambda c: c * WIDE_WORDS + F.col("segment"))).alias("code"))
-    order = Window.partitionBy("code").orderBy(F.xxhash64("key", "segment"), "key")
-    others = [F.when((F.lit(k) == 1) | (F.row_number().over(order) <= CLIQUE), F.lag(F.struct("key", "wide"), k).over(order)) for k in range(1, CLIQUE)]
-    met = codes.select("key", "wide", F.explode(F.filter(F.array(*others), lambda x: x.isNotNull())).alias("met")).select("key", "wide", F.col("met.key").alias("other"), F.col("met.wide").alias("other_wide"))
-    distance = F.aggregate(F.zip_with("wide", "other_wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
-    pairs = met.filter(distance <= WIDE_RADIUS).select(F.greatest("key", "other").alias("u"), F.least("key", "other").alias("v")).distinct()
-    links = _similar(pairs, rows.groupBy("key").agg(F.first("shingles").alias("shingles")))
-    roots = components(links)
-    return rows.select("doc_id", "key").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))
+    codes = rows.groupBy("key").agg(F.first("wide").alias("wide")).select("key", values).select("key", F.explode(F.transform(ball, lambda c: c * WIDE_WORDS + F.col("segment"))).alias("code"))
+    order = Window.partitionBy("code").orderBy(F.xxhash64("key", F.col("code") % WIDE_WORDS), "key")
+    others = [F.when((F.lit(k) == 1) | (F.row_number().over(order) <= CLIQUE), F.lag("key", k).over(order)) for k in range(1, CLIQUE)]
+    met = codes.select("key", F.array(*others).alias("others")).select("key", F.explode(F.filter("others", lambda x: x.isNotNull())).alias("other"))
+    pairs = met.select(F.greatest("key", "other").alias("u"), F.least("key", "other").alias("v")).distinct()
+    texts = rows.groupBy("key").agg(F.min_by(F.struct("wide", "shingles"), "text_hash").alias("of")).select("key", "of.wide", "of.shingles")
+    roots = components(_similar(pairs, texts))
+    return rows.select("doc_id", "text_hash", "key").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("doc_id", "text_hash", "key", F.coalesce("root", "key").alias("root"))
+
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row of each group of near copies, with all its columns: that of the smallest doc_id (null comes last)."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
+    kept = near_duplicates(docs).groupBy("root").agg(first).select(F.col("first.doc_id").alias("__kept_id"), F.col("first.text_hash").alias("__kept_hash")).distinct()
+    names = docs.columns
+    marked = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__hash": text_hash(F.col("text")), "__row": F.xxhash64(*names)})
+    found = marked.join(kept, F.col("__id").eqNullSafe(F.col("__kept_id")) & (F.col("__hash") == F.col("__kept_hash")), "left_semi")
+    # rows equal in doc_id and text are copies too
+    return found.withColumn("__place", F.row_number().over(Window.partitionBy("__id", "__hash").orderBy("__row"))).filter("__place = 1").select(*names)
