@@ -1,8 +1,8 @@
 """License scans: ordered signature rules over the words of each text, in DataFrame expressions alone.
 
 A rule has a keyword, a regular expression over the text's words (lower case, one blank between words), a label, a
-priority and a confidence. Rules are tried only if their keyword stands in the text, and a text is taken apart only if
-any keyword does. Where detections overlap, one that lies within the interval of a better one (higher priority, then
+priority and a confidence. Rules are tried only if their keyword (a word or several in a row) stands in the text, and a
+text is taken apart only if any keyword does. Where detections overlap, one that lies within the interval of a better one (higher priority, then
 longer, then earlier rule) is suppressed. There are a few hundred rules; most are made from families and versions.
 
 Everything is one projection: no shuffle, no state beyond a row.
@@ -26,6 +26,13 @@ WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: The keywords, each the beginning of words in a row.
+KEYWORDS = (
+    "licen", "spdx", "cc by", "cc0", "cc zero", "creative commons", "creativecommons", "gpl", "lgpl", "agpl", "apache", "mpl", "epl", "eupl", "cddl", "cpl", "osl", "afl", "cecill", "lppl", "ofl", "zpl", "odbl", "bsd",
+    "mit 0", "mit no", "unlicense", "wtfpl", "public domain", "free and unencumbered", "permission is hereby", "permission to use", "all rights reserved", "proprietary", "redistribution is", "redistribution strictly", "redistribution prohibited",
+)
+
+
 @dataclass(frozen=True)
 class Rule:
     name: str
@@ -46,6 +53,7 @@ def rules() -> tuple[Rule, ...]:
     made: list[Rule] = []
 
     def rule(label: str, keyword: str, regex: str, priority: int, confidence: float) -> None:
+        assert keyword in KEYWORDS, keyword
         made.append(Rule(f"{label}#{len(made)}", label, keyword, f"(?<= ){regex}(?= )", priority, confidence))
 
     # Creative Commons: six licences, five versions, long and short names, ported or not, deed addresses
@@ -54,13 +62,13 @@ def rules() -> tuple[Rule, ...]:
         codes, names = kind.replace("-", " "), " ".join(parts[k] for k in kind.split("-"))
         for version in ("1 0", "2 0", "2 5", "3 0", "4 0"):
             label = f"cc-{kind}-{version.replace(' ', '.')}"
-            rule(label, "cc", f"cc {codes} {version}", 80, 0.95)
-            rule(label, "commons", f"creative commons {names} {version}(?: international| unported| generic)?(?: public)?(?: license| licence)?", 85, 1.0)
+            rule(label, "cc by", f"cc {codes} {version}", 80, 0.95)
+            rule(label, "creative commons", f"creative commons {names} {version}(?: international| unported| generic)?(?: public)?(?: license| licence)?", 85, 1.0)
             rule(label, "creativecommons", f"creativecommons org licenses {codes} {version}(?: legalcode)?", 90, 1.0)
-        rule(f"cc-{kind}", "cc", f"cc {codes}", 60, 0.8)
-        rule(f"cc-{kind}", "commons", f"creative commons {names}", 60, 0.8)
-    for words in ("cc0", "cc zero", "cc0 1 0", "creative commons zero", "cc0 1 0 universal", "creativecommons org publicdomain zero 1 0"):
-        rule("cc0-1.0", words.split()[0], words, 80 + len(words.split()), 0.95)
+        rule(f"cc-{kind}", "cc by", f"cc {codes}", 60, 0.8)
+        rule(f"cc-{kind}", "creative commons", f"creative commons {names}", 60, 0.8)
+    for keyword, words in (("cc0", "cc0"), ("cc zero", "cc zero"), ("cc0", "cc0 1 0"), ("creative commons", "creative commons zero"), ("cc0", "cc0 1 0 universal"), ("creativecommons", "creativecommons org publicdomain zero 1 0")):
+        rule("cc0-1.0", keyword, words, 80 + len(words.split()), 0.95)
 
     # the GNU licences: name or initials, versions, "or later" and "only", SPDX forms
     gnu = {"gpl": ("general public license", ("1", "2", "3")), "lgpl": ("(?:lesser|library) general public license", ("2", "2 1", "3")), "agpl": ("affero general public license", ("1", "3"))}
@@ -70,43 +78,45 @@ def rules() -> tuple[Rule, ...]:
             for tail, ending in (("or-later", "(?: of the license)? or (?:at your option )?any later(?: version)?"), ("or-later", " or later"), ("only", " only"), ("", "")):
                 full = f"{label}-{dotted}" + (f"-{tail}" if tail else "")
                 weight = 5 if tail else 0
-                rule(full, "license", f"(?:gnu )?{name}(?: as published by the free software foundation)?(?: either)? version {short}{ending}", 85 + weight, 1.0)
+                rule(full, "licen", f"(?:gnu )?{name}(?: as published by the free software foundation)?(?: either)? version {short}{ending}", 85 + weight, 1.0)
                 rule(full, label, f"(?:gnu )?{label} (?:version )?v?{short}{ending}", 80 + weight, 0.95)
-            rule(f"{label}-{dotted}", "license", f"(?:gnu )?{name} v{short}", 80, 0.95)
+            rule(f"{label}-{dotted}", "licen", f"(?:gnu )?{name} v{short}", 80, 0.95)
             rule(f"{label}-{dotted}", label, f"{label}{version.replace(' ', '(?: )?')}", 70, 0.85)
             for tail in ("", " only", " or later"):
                 rule(f"{label}-{dotted}{tail.replace(' ', '-')}", "spdx", _spdx(f"{label} {short}{tail}"), 95, 1.0)
-        rule(label, "license", f"(?:gnu )?{name}", 60, 0.9)
+        rule(label, "licen", f"(?:gnu )?{name}", 60, 0.9)
         rule(label, label, f"(?:gnu )?{label}(?: license)?", 50, 0.7)
 
     # licences with versions
     families = (
-        ("apache", "apache", "apache(?: software)?", ("1 0", "1 1", "2 0")),
-        ("mpl", "mozilla", "mozilla public", ("1 0", "1 1", "2 0")),
-        ("epl", "eclipse", "eclipse public", ("1 0", "2 0")),
-        ("eupl", "union", "european union public", ("1 0", "1 1", "1 2")),
-        ("cddl", "distribution", "common development and distribution", ("1 0", "1 1")),
-        ("cpl", "common", "common public", ("1 0",)),
-        ("artistic", "artistic", "artistic", ("1 0", "2 0")),
-        ("osl", "open", "open software", ("1 0", "2 0", "2 1", "3 0")),
-        ("afl", "academic", "academic free", ("1 1", "1 2", "2 0", "2 1", "3 0")),
-        ("boost", "boost", "boost software", ("1 0",)),
-        ("cecill", "cecill", "cecill(?: free software)?", ("1 0", "1 1", "2 0", "2 1")),
-        ("lppl", "latex", "latex project public", ("1 0", "1 1", "1 2", "1 3")),
-        ("ofl", "font", "(?:sil )?open font", ("1 0", "1 1")),
-        ("zpl", "zope", "zope public", ("1 1", "2 0", "2 1")),
-        ("php", "php", "php", ("3 0", "3 01")),
-        ("python", "python", "python software foundation", ("2 0",)),
-        ("odbl", "database", "open (?:data commons open )?database", ("1 0",)),
+        ("apache", "apache(?: software)?", ("1 0", "1 1", "2 0")),
+        ("mpl", "mozilla public", ("1 0", "1 1", "2 0")),
+        ("epl", "eclipse public", ("1 0", "2 0")),
+        ("eupl", "european union public", ("1 0", "1 1", "1 2")),
+        ("cddl", "common development and distribution", ("1 0", "1 1")),
+        ("cpl", "common public", ("1 0",)),
+        ("artistic", "artistic", ("1 0", "2 0")),
+        ("osl", "open software", ("1 0", "2 0", "2 1", "3 0")),
+        ("afl", "academic free", ("1 1", "1 2", "2 0", "2 1", "3 0")),
+        ("boost", "boost software", ("1 0",)),
+        ("cecill", "cecill(?: free software)?", ("1 0", "1 1", "2 0", "2 1")),
+        ("lppl", "latex project public", ("1 0", "1 1", "1 2", "1 3")),
+        ("ofl", "(?:sil )?open font", ("1 0", "1 1")),
+        ("zpl", "zope public", ("1 1", "2 0", "2 1")),
+        ("php", "php", ("3 0", "3 01")),
+        ("python", "python software foundation", ("2 0",)),
+        ("odbl", "open (?:data commons open )?database", ("1 0",)),
     )
-    for label, keyword, name, versions in families:
+    for label, name, versions in families:
         for version in versions:
             short = version.removesuffix(" 0") + ("(?: 0)?" if version.endswith(" 0") else "")
             dotted = f"{label}-{version.replace(' ', '.')}"
-            rule(dotted, keyword, f"{name} licen[sc]e(?: the)? (?:version |v)?{short}", 85, 1.0)
-            rule(dotted, label, f"{label} (?:license )?(?:version |v)?{short}", 70, 0.85)
+            rule(dotted, "licen", f"{name} licen[sc]e(?: the)? (?:version |v)?{short}", 85, 1.0)
+            # a name that is a word of its own needs "license" beside it
+            if label in KEYWORDS:
+                rule(dotted, label, f"{label} (?:license )?(?:version |v)?{short}", 70, 0.85)
             rule(dotted, "spdx", _spdx(f"{label} {short}"), 95, 1.0)
-        rule(label, keyword, f"{name} licen[sc]e", 60, 0.9)
+        rule(label, "licen", f"{name} licen[sc]e", 60, 0.9)
     rule("apache-2.0", "apache", "apache org licenses license 2 0", 85, 1.0)
 
     # BSD by its number of clauses
@@ -115,50 +125,48 @@ def rules() -> tuple[Rule, ...]:
         rule(f"bsd-{n}-clause", "bsd", f"(?:{n}|{word}) clause bsd(?: licen[sc]e)?", 80, 0.95)
         rule(f"bsd-{n}-clause", "spdx", _spdx(f"bsd {n} clause"), 95, 1.0)
     rule("bsd-2-clause", "bsd", "simplified bsd licen[sc]e", 75, 0.9)
-    rule("bsd-2-clause", "bsd", "freebsd licen[sc]e", 75, 0.9)
+    rule("bsd-2-clause", "licen", "freebsd licen[sc]e", 75, 0.9)
     rule("bsd-3-clause", "bsd", "(?:new|modified|revised) bsd licen[sc]e", 75, 0.9)
     rule("bsd-4-clause", "bsd", "(?:original|old) bsd licen[sc]e", 75, 0.9)
     rule("bsd", "bsd", "bsd(?: style)? licen[sc]e", 60, 0.8)
 
     # MIT and short permissive licences
-    rule("mit", "mit", "(?:released |licensed )?under the (?:terms of the )?mit licen[sc]e", 85, 1.0)
-    rule("mit", "mit", "(?:the )?mit(?: x11)? licen[sc]e", 60, 0.95)
+    rule("mit", "licen", "(?:released |licensed )?under the (?:terms of the )?mit licen[sc]e", 85, 1.0)
+    rule("mit", "licen", "(?:the )?mit(?: x11)? licen[sc]e", 60, 0.95)
     rule("mit", "spdx", _spdx("mit"), 95, 1.0)
-    rule("mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy", 90, 1.0)
-    rule("mit-0", "mit", "mit (?:0|no attribution)(?: licen[sc]e)?", 80, 0.95)
-    rule("isc", "isc", "isc licen[sc]e", 80, 0.95)
-    rule("isc", "permission", "permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee", 90, 1.0)
-    rule("zlib", "zlib", "zlib(?: libpng)? licen[sc]e", 80, 0.95)
-    rule("libpng", "libpng", "libpng licen[sc]e", 75, 0.9)
-    rule("wtfpl", "want", "do what the \\w+ you want to public licen[sc]e", 85, 1.0)
+    rule("mit", "permission is hereby", "permission is hereby granted free of charge to any person obtaining a copy", 90, 1.0)
+    rule("mit-0", "mit 0", "mit 0(?: licen[sc]e)?", 80, 0.95)
+    rule("mit-0", "mit no", "mit no attribution(?: licen[sc]e)?", 80, 0.95)
+    rule("isc", "licen", "isc licen[sc]e", 80, 0.95)
+    rule("isc", "permission to use", "permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee", 90, 1.0)
+    rule("zlib", "licen", "zlib(?: libpng)? licen[sc]e", 80, 0.95)
+    rule("libpng", "licen", "libpng licen[sc]e", 75, 0.9)
+    rule("wtfpl", "licen", "do what the \\w+ you want to public licen[sc]e", 85, 1.0)
     rule("wtfpl", "wtfpl", "wtfpl(?: version 2)?", 70, 0.85)
     rule("unlicense", "unlicense", "(?:the )?unlicense", 80, 0.9)
-    rule("unlicense", "domain", "free and unencumbered software released into the public domain", 90, 1.0)
-    rule("public-domain", "domain", "(?:released |dedicated |placed )?(?:into|to|in) the public domain", 60, 0.8)
-    rule("public-domain", "domain", "public domain(?: dedication)?", 50, 0.6)
-    rule("beerware", "beer", "beer ?ware licen[sc]e", 80, 0.95)
-    rule("postgresql", "postgresql", "postgresql licen[sc]e", 80, 0.95)
-    rule("openssl", "openssl", "openssl licen[sc]e", 80, 0.95)
-    rule("ncsa", "ncsa", "(?:university of illinois )?ncsa open source licen[sc]e", 80, 0.95)
-    rule("vim", "vim", "vim licen[sc]e", 75, 0.9)
-    rule("curl", "curl", "curl licen[sc]e", 75, 0.9)
-    rule("fair", "fair", "fair licen[sc]e", 70, 0.8)
-    rule("proprietary", "rights", "all rights reserved", 50, 0.6)
+    rule("unlicense", "free and unencumbered", "free and unencumbered software released into the public domain", 90, 1.0)
+    rule("public-domain", "public domain", "(?:released |dedicated |placed )?(?:into|to|in) the public domain", 60, 0.8)
+    rule("public-domain", "public domain", "public domain(?: dedication)?", 50, 0.6)
+    rule("beerware", "licen", "beer ?ware licen[sc]e", 80, 0.95)
+    rule("postgresql", "licen", "postgresql licen[sc]e", 80, 0.95)
+    rule("openssl", "licen", "openssl licen[sc]e", 80, 0.95)
+    rule("ncsa", "licen", "(?:university of illinois )?ncsa open source licen[sc]e", 80, 0.95)
+    rule("vim", "licen", "vim licen[sc]e", 75, 0.9)
+    rule("curl", "licen", "curl licen[sc]e", 75, 0.9)
+    rule("fair", "licen", "fair licen[sc]e", 70, 0.8)
+    rule("proprietary", "all rights reserved", "all rights reserved", 50, 0.6)
     rule("proprietary", "proprietary", "proprietary (?:and confidential|licen[sc]e|software)", 60, 0.7)
-    rule("proprietary", "redistribution", "redistribution (?:is )?(?:strictly )?prohibited", 60, 0.7)
+    for keyword in ("redistribution is", "redistribution strictly", "redistribution prohibited"):
+        rule("proprietary", keyword, f"{keyword}(?: strictly)?(?: prohibited)?(?<=prohibited)", 60, 0.7)
     for words in ("licensed under", "released under", "distributed under", "available under", "made available under", "published under"):
-        rule("licence-statement", "under", f"{words} (?:the|a|an)?(?: ?\\w+){{0,3}} ?licen[sc]e", 40, 0.5)
+        rule("licence-statement", "licen", f"{words} (?:the|a|an)?(?: ?\\w+){{0,3}} ?licen[sc]e", 40, 0.5)
     return tuple(made)
 
 
 def _gate() -> str:
-    """A regex that any text with a detection matches: keywords that hold another keyword are left out."""
-    words = sorted({r.keyword for r in rules()} | {"license"}, key=len)
-    kept: list[str] = []
-    for w in words:
-        if not any(k in w for k in kept):
-            kept.append(w)
-    return "(?i)" + "|".join(kept)
+    """A regex over the raw text that any text with a detection matches: a keyword's words in a row, or a base phrase."""
+    inside, between = r"(?<![0-9A-Za-z\x{80}-\x{10FFFF}])", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    return f"(?i){inside}(?:{'|'.join(between.join(k.split()) for k in KEYWORDS)})"
 
 
 def _rule_array() -> Column:
@@ -201,7 +209,7 @@ def _detections(norm: Column) -> Column:
         spans = F.aggregate(pairs, start, step, lambda state: state["spans"])
         return F.transform(spans, lambda s: F.struct(rule["priority"].alias("priority"), (s["end"] - s["begin"]).alias("size"), (-rule["order"]).alias("order"), s["begin"].alias("begin"), s["end"].alias("end"), rule["label"].alias("label"), rule["confidence"].alias("confidence")))
 
-    return F.flatten(F.transform(F.filter(_rule_array(), lambda r: F.contains(norm, r["keyword"])), one))
+    return F.flatten(F.transform(F.filter(_rule_array(), lambda r: F.contains(norm, F.concat(F.lit(" "), r["keyword"]))), one))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
@@ -218,8 +226,9 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     )
     words = F.col("_words")
     labelled = [_labelled(_starts(words, phrase), label) for phrase, label in BASE.items()]
-    norm = F.when(F.size(words) > 0, F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))).otherwise(F.lit(""))
-    found = base.select("doc_id", "n_words", F.when(F.size(words) > 0, F.concat(*labelled)).alias("_base"), F.when(F.size(words) > 0, _detections(norm)).alias("_all"))
+    # a column of its own: within the rules' lambdas it would be joined again for each rule
+    base = base.withColumn("_norm", F.when(F.size(words) > 0, F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))))
+    found = base.select("doc_id", "n_words", F.when(F.size(words) > 0, F.concat(*labelled)).alias("_base"), F.when(F.size(words) > 0, _detections(F.col("_norm"))).alias("_all"))
     better = lambda a, b: F.struct(a["priority"], a["size"], a["order"]) > F.struct(b["priority"], b["size"], b["order"])
     inside = lambda a, b: (a["begin"] <= b["begin"]) & (a["end"] >= b["end"])
     everything = F.coalesce(F.col("_all"), F.array().cast("array<struct<priority:int,size:int,order:int,begin:int,end:int,label:string,confidence:double>>"))
