@@ -9,6 +9,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # fixed values: patterns and words of the reply formats
 DIRECTION = r"(?i)\bDirection\b[\s\*_:]*([+-]?\d+(?:\.\d+)?)"
@@ -102,7 +103,11 @@ def strict_numbers(text: str | None) -> tuple[bool, str | None, dict[str, float]
     return True, None, {k: float(x) for k, x in value.items()}
 
 
-@F.pandas_udf("ok boolean, code string, components map<string,double>")
+# a type object, since a type string can only be read within a session
+_COMPONENTS = T.StructType([T.StructField("ok", T.BooleanType()), T.StructField("code", T.StringType()), T.StructField("components", T.MapType(T.StringType(), T.DoubleType()))])
+
+
+@F.pandas_udf(_COMPONENTS)
 def parse_components(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([strict_numbers(t) for t in text], columns=["ok", "code", "components"])
 
