@@ -1,8 +1,8 @@
 """License scans: ordered signature rules over the words of each text, in DataFrame expressions alone.
 
 A rule has a keyword, a regular expression over the text's words (lower case, one blank between words), a label, a
-priority and a confidence. Rules are tried only if their keyword (a word or several in a row) stands in the text, and a
-text is taken apart only if any keyword does. Where detections overlap, one that lies within the interval of a better one (higher priority, then
+priority and a confidence. A text is taken apart only if a keyword (the words of one in a row) stands in it; a rule is
+tried only if its own keyword does, and then the longest literal of its regular expression. Where detections overlap, one that lies within the interval of a better one (higher priority, then
 longer, then earlier rule) is suppressed. There are a few hundred rules; most are made from families and versions.
 
 Everything is one projection: no shuffle, no state beyond a row.
@@ -13,6 +13,7 @@ rows and clashing column names make no difference, since only doc_id and text ar
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from functools import cache
 
@@ -31,6 +32,7 @@ KEYWORDS = (
     "licen", "spdx", "cc by", "cc0", "cc zero", "creative commons", "creativecommons", "gpl", "lgpl", "agpl", "apache", "mpl", "epl", "eupl", "cddl", "cpl", "osl", "afl", "cecill", "lppl", "ofl", "zpl", "odbl", "bsd",
     "mit 0", "mit no", "unlicense", "wtfpl", "public domain", "free and unencumbered", "permission is hereby", "permission to use", "all rights reserved", "proprietary", "redistribution is", "redistribution strictly", "redistribution prohibited",
 )
+ACRONYMS = frozenset("cc0 gpl lgpl agpl mpl epl eupl cddl cpl osl afl cecill lppl ofl zpl odbl bsd wtfpl".split())
 
 
 @dataclass(frozen=True)
@@ -38,11 +40,38 @@ class Rule:
     name: str
     label: str
     keyword: str
+    needle: str
     regex: str
     priority: int
     confidence: float
 
 
+def needle(regex: str) -> str:
+    """The longest literal that every match of a rule's regex holds: what is in no group, class or optional part."""
+    found, part, at = [], "", 0
+    while at < len(regex):
+        c = regex[at]
+        if c in "([":
+            depth, close = 1, {"(": ")", "[": "]"}[c]
+            while depth:
+                at += 1
+                depth += (regex[at] == c) - (regex[at] == close)
+            c = ""
+        elif c == "\\":
+            at, c = at + 1, ""
+        optional = at + 1 < len(regex) and regex[at + 1] in "?*{"
+        if c and c.isalnum() or c == " ":
+            part += "" if optional else c
+            c = "" if optional else c
+        else:
+            c = ""
+        if not c:
+            found.append(part)
+            part = ""
+        at += 1
+    return max([*found, part], key=len).strip()
+
+
 def _spdx(words: str) -> str:
     return f"spdx license identifier {words}"
 
@@ -54,7 +83,7 @@ def rules() -> tuple[Rule, ...]:
 
     def rule(label: str, keyword: str, regex: str, priority: int, confidence: float) -> None:
         assert keyword in KEYWORDS, keyword
-        made.append(Rule(f"{label}#{len(made)}", label, keyword, f"(?<= ){regex}(?= )", priority, confidence))
+        made.append(Rule(f"{label}#{len(made)}", label, keyword, needle(regex), f" {regex}(?= )", priority, confidence))
 
     # Creative Commons: six licences, five versions, long and short names, ported or not, deed addresses
     parts = {"by": "attribution", "sa": "share ?alike", "nc": "non ?commercial", "nd": "no ?deriv(?:ative|ative work|s|ative works)?"}
@@ -165,12 +194,17 @@ def rules() -> tuple[Rule, ...]:
 
 def _gate() -> str:
     """A regex over the raw text that any text with a detection matches: a keyword's words in a row, or a base phrase."""
+    # an acronym ends there or goes on with a digit; other keywords may begin a longer word
     inside, between = r"(?<![0-9A-Za-z\x{80}-\x{10FFFF}])", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    return f"(?i){inside}(?:{'|'.join(between.join(k.split()) for k in KEYWORDS)})"
+    return f"(?i){inside}(?:{'|'.join(between.join(k.split()) + (r"(?![A-Za-z\x{80}-\x{10FFFF}])" if k in ACRONYMS else "") for k in KEYWORDS)})"
 
 
-def _rule_array() -> Column:
-    return F.array(*[F.struct(F.lit(i).alias("order"), F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(r.regex).alias("regex"), F.lit(r.priority).alias("priority"), F.lit(r.confidence).alias("confidence")) for i, r in enumerate(rules())])
+def _rule_map() -> Column:
+    """The rules by keyword, as one literal."""
+    by: dict[str, list[dict]] = {k: [] for k in KEYWORDS}
+    for i, r in enumerate(rules()):
+        by[r.keyword].append({"order": i, "label": r.label, "needle": r.needle, "regex": r.regex, "priority": r.priority, "confidence": r.confidence})
+    return F.from_json(F.lit(json.dumps(by)), "map<string,array<struct<order:int,label:string,needle:string,regex:string,priority:int,confidence:double>>>")
 
 
 def _starts(words: Column, phrase: str) -> Column:
@@ -192,8 +226,8 @@ def _labelled(places: Column, label: str) -> Column:
     return F.transform(places, lambda i: F.struct(i.alias("at"), F.lit(label).alias("label")))
 
 
-def _detections(norm: Column) -> Column:
-    """Every match of every rule whose keyword stands in the text: label, priority, begin and end, in characters."""
+def _detections(norm: Column, keywords: Column) -> Column:
+    """Every match of every rule whose keyword is among the text's: label, priority, begin and end, in characters."""
 
     def one(rule: Column) -> Column:
         found = F.regexp_extract_all(norm, rule["regex"], F.lit(0))
@@ -203,13 +237,15 @@ def _detections(norm: Column) -> Column:
         def step(state: Column, pair: Column) -> Column:
             begin = state["at"] + F.length(pair["gap"])
             end = begin + F.length(pair["hit"])
-            return F.struct(end.alias("at"), F.concat(state["spans"], F.array(F.struct(begin.alias("begin"), end.alias("end")))).alias("spans"))
+            # the blank before the words is part of the match
+            return F.struct(end.alias("at"), F.concat(state["spans"], F.array(F.struct((begin + 1).alias("begin"), end.alias("end")))).alias("spans"))
 
         pairs = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda gap, hit: F.struct(F.coalesce(gap, F.lit("")).alias("gap"), hit.alias("hit")))
         spans = F.aggregate(pairs, start, step, lambda state: state["spans"])
         return F.transform(spans, lambda s: F.struct(rule["priority"].alias("priority"), (s["end"] - s["begin"]).alias("size"), (-rule["order"]).alias("order"), s["begin"].alias("begin"), s["end"].alias("end"), rule["label"].alias("label"), rule["confidence"].alias("confidence")))
 
-    return F.flatten(F.transform(F.filter(_rule_array(), lambda r: F.contains(norm, F.concat(F.lit(" "), r["keyword"]))), one))
+    tried = F.flatten(F.transform(keywords, lambda k: F.element_at(_rule_map(), k)))
+    return F.flatten(F.transform(F.filter(tried, lambda r: F.contains(norm, r["needle"])), one))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
@@ -228,7 +264,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     labelled = [_labelled(_starts(words, phrase), label) for phrase, label in BASE.items()]
     # a column of its own: within the rules' lambdas it would be joined again for each rule
     base = base.withColumn("_norm", F.when(F.size(words) > 0, F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))))
-    found = base.select("doc_id", "n_words", F.when(F.size(words) > 0, F.concat(*labelled)).alias("_base"), F.when(F.size(words) > 0, _detections(F.col("_norm"))).alias("_all"))
+    base = base.withColumn("_keywords", F.filter(F.array(*[F.lit(k) for k in KEYWORDS]), lambda k: F.contains(F.col("_norm"), F.concat(F.lit(" "), k))))
+    found = base.select("doc_id", "n_words", F.when(F.size(words) > 0, F.concat(*labelled)).alias("_base"), F.when(F.size(words) > 0, _detections(F.col("_norm"), F.col("_keywords"))).alias("_all"))
     better = lambda a, b: F.struct(a["priority"], a["size"], a["order"]) > F.struct(b["priority"], b["size"], b["order"])
     inside = lambda a, b: (a["begin"] <= b["begin"]) & (a["end"] >= b["end"])
     everything = F.coalesce(F.col("_all"), F.array().cast("array<struct<priority:int,size:int,order:int,begin:int,end:int,label:string,confidence:double>>"))
