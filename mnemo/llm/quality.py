@@ -62,7 +62,15 @@ class RuleModel:
     rules: tuple[Rule, ...]
 
     def score(self, stats: dict[str, Column]) -> Column:
-        """The probability of a good label as a column expression over statistics."""
+        """The probability of a good label as a column expression over statistics.
+
+        The statistics are bound to a lambda's variable. As plain columns the optimizer would put each statistic's
+        expression into every rule that names it, and a filter would evaluate it as often.
+        """
+        given = F.array(F.struct(*(c.cast("double").alias(n) for n, c in stats.items())))
+        return F.get(F.transform(given, self._score), F.lit(0))
+
+    def _score(self, stats: Column) -> Column:
         total = F.lit(self.intercept)
         for rule in self.rules:
             holds = F.lit(True)
@@ -161,17 +169,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE
 
 def score_quality(docs: DataFrame, model: RuleModel) -> DataFrame:
     """docs with the columns score and predicted beside its own."""
-    names = {n: F.col(f"_stats.{n}") for n in statistics(F.col("text"))}
-    out = docs.withColumn("_stats", F.struct(*(c.cast("double").alias(n) for n, c in statistics(F.col("text")).items())))
-    out = out.withColumn("score", model.score(names)).drop("_stats")
+    out = docs.withColumn("score", model.score(statistics(F.col("text"))))
     return out.withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
 
 
 def keep_good(docs: DataFrame, model: RuleModel) -> DataFrame:
     """The rows of docs that the model accepts, with all their columns."""
-    stats = statistics(F.col("text"))
-    out = docs.withColumn("__stats", F.struct(*(c.cast("double").alias(n) for n, c in stats.items())))
-    return out.filter(model.score({n: F.col(f"__stats.{n}") for n in stats}) >= THRESHOLD).select(*docs.columns)
+    return docs.filter(model.score(statistics(F.col("text"))) >= THRESHOLD)
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
