@@ -38,7 +38,7 @@ BLOCK_IDS = 1 << 17
 LANES = 512
 CHECKPOINT_STEPS = 128
 #: Words whose ids a Python worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 MAGIC = 0x314E4152
 
 
@@ -63,8 +63,8 @@ def word_encoder(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray
     def ids_of(pieces: list[str]) -> list[bytes]:
         new = [p for p in pieces if p not in known]
         got = {}
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
+        for at in range(0, len(new), 5_000):
+            part = new[at : at + 5_000]
             for p, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 got[p] = np.array(e.ids, "<u4").tobytes()
         out = [known.get(p) or got.get(p, b"") for p in pieces]
@@ -116,7 +116,7 @@ def token_ids(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
         encode = word_encoder(tokenizer)
         for batch in batches:
             column = batch.column(1).fill_null("")
-            for row, end, _, _ in common.text_passes(column, 8 << 20):
+            for row, end, _, _ in common.text_passes(column, 2 << 20):
                 ids, first = encode(column.slice(row, end - row))
                 n = end - row
                 at = first[1:] + np.arange(n)
