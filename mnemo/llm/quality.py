@@ -27,25 +27,39 @@ TREES, DEPTH, MIN_LEAF, CUTS = 24, 3, 20, 48
 PENALTY, STEPS = 0.0006, 800
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of a text by name, each a column expression."""
+NAMES = ("log_size", "word_size", "distinct_words", "distinct_lines", "line_words", "symbols", "pipes", "upper", "digits", "exclaims", "stops")
+
+
+def statistics(text: Column) -> Column:
+    """An array of one struct, the statistics of a text.
+
+    Words and lines, and then the statistics, are bound to lambda variables. As plain columns the optimizer would put
+    each expression wherever it is named (also into a filter), and evaluate it as often.
+    """
     t = F.coalesce(text.cast("string"), F.lit(""))
-    size, words, lines = F.length(t), F.split(F.trim(t), r"\s+"), F.split(t, "\n")
+    parts = F.array(F.struct(t.alias("text"), F.split(F.trim(t), r"\s+").alias("words"), F.split(t, "\n").alias("lines")))
+    return F.transform(parts, _statistics)
+
+
+def _statistics(parts: Column) -> Column:
+    t, words, lines = parts["text"], parts["words"], parts["lines"]
+    size = F.length(t)
     count = lambda kept: F.length(F.regexp_replace(t, f"[^{kept}]+", ""))
     share = lambda part, whole: F.when(size > 0, part / F.greatest(whole, F.lit(1))).otherwise(0.0)
-    return {
-        "log_size": F.log1p(size.cast("double")),
-        "word_size": share(size, F.size(words)),
-        "distinct_words": share(F.size(F.array_distinct(words)), F.size(words)),
-        "distinct_lines": share(F.size(F.array_distinct(lines)), F.size(lines)),
-        "line_words": share(F.size(words), F.size(lines)),
-        "symbols": share(count(r"#$%&*<>=+~^{}\[\]\\|@_"), size),
-        "pipes": share(size - F.length(F.replace(t, F.lit("|"), F.lit(""))), F.size(words)),
-        "upper": share(count("A-Z"), size),
-        "digits": share(count("0-9"), size),
-        "exclaims": share(count("!?"), F.size(words)),
-        "stops": share(count(".,;"), F.size(words)),
-    }
+    values = (
+        F.log1p(size.cast("double")),
+        share(size, F.size(words)),
+        share(F.size(F.array_distinct(words)), F.size(words)),
+        share(F.size(F.array_distinct(lines)), F.size(lines)),
+        share(F.size(words), F.size(lines)),
+        share(count(r"#$%&*<>=+~^{}\[\]\\|@_"), size),
+        share(size - F.length(F.replace(t, F.lit("|"), F.lit(""))), F.size(words)),
+        share(count("A-Z"), size),
+        share(count("0-9"), size),
+        share(count("!?"), F.size(words)),
+        share(count(".,;"), F.size(words)),
+    )
+    return F.struct(*(v.cast("double").alias(n) for n, v in zip(NAMES, values, strict=True)))
 
 
 @dataclass(frozen=True)
@@ -61,14 +75,9 @@ class RuleModel:
     intercept: float
     rules: tuple[Rule, ...]
 
-    def score(self, stats: dict[str, Column]) -> Column:
-        """The probability of a good label as a column expression over statistics.
-
-        The statistics are bound to a lambda's variable. As plain columns the optimizer would put each statistic's
-        expression into every rule that names it, and a filter would evaluate it as often.
-        """
-        given = F.array(F.struct(*(c.cast("double").alias(n) for n, c in stats.items())))
-        return F.get(F.transform(given, self._score), F.lit(0))
+    def score(self, text: Column) -> Column:
+        """The probability of a good label as a column expression over a text."""
+        return F.get(F.transform(statistics(text), self._score), F.lit(0))
 
     def _score(self, stats: Column) -> Column:
         total = F.lit(self.intercept)
@@ -137,15 +146,18 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str]) -> RuleModel:
         logit = np.clip(logit + 0.3 * leaf, -8, 8)
         found += paths
     found = sorted(set(found))
-    rules = np.stack([_holds(x, t) for t in found], 1).astype(float)
+    rules = np.stack([_holds(x, t) for t in found], 1)
     middle, scale = rules.mean(0), np.maximum(rules.std(0), 1e-3)
-    z = (rules - middle) / scale
-    w, b, w_old, step = np.zeros(z.shape[1]), float(np.log(share / (1 - share))), np.zeros(z.shape[1]), 4.0 / max(np.linalg.eigvalsh(z.T @ z / len(z))[-1], 1.0)
+    # rows that the same rules hold for count as one with their number
+    packed = np.packbits(rules, axis=1)
+    _, at, which, count = np.unique(packed, axis=0, return_index=True, return_inverse=True, return_counts=True)
+    z, good, n = (rules[at] - middle) / scale, np.bincount(which.reshape(-1), y, len(at)), len(y)
+    w, b, w_old, step = np.zeros(z.shape[1]), float(np.log(share / (1 - share))), np.zeros(z.shape[1]), 4.0 / max(np.linalg.eigvalsh((z.T * count) @ z / n)[-1], 1.0)
     for k in range(STEPS):
         v = w + (k / (k + 3)) * (w - w_old)
-        error = 1 / (1 + np.exp(-(b + z @ v))) - y
-        w_old, b = w, b - error.mean() * 2.0
-        w = v - step * (z.T @ error) / len(y)
+        error = count / (1 + np.exp(-(b + z @ v))) - good
+        w_old, b = w, b - error.sum() / n * 2.0
+        w = v - step * (z.T @ error) / n
         w = np.sign(w) * np.maximum(np.abs(w) - step * PENALTY, 0.0)
     weights = w / scale
     kept = np.flatnonzero(np.abs(weights) > 1e-6)
@@ -161,21 +173,20 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality")).filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0.0, 1.0) & ~held_out(F.col("doc_id")))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).join(F.broadcast(sample), "doc_id")  # max_sample rows
-    stats = statistics(F.col("text"))
-    got = rows.select("doc_id", "quality", *(c.cast("double").alias(n) for n, c in stats.items())).toPandas()
+    got = rows.select("doc_id", "quality", F.get(statistics(F.col("text")), F.lit(0)).alias("s")).select("doc_id", "quality", "s.*").toPandas()
     got = got.sort_values(list(got.columns), kind="stable")
-    return fit_rules(got[list(stats)].to_numpy(float), got["quality"].to_numpy(float), list(stats))
+    return fit_rules(got[list(NAMES)].to_numpy(float), got["quality"].to_numpy(float), list(NAMES))
 
 
 def score_quality(docs: DataFrame, model: RuleModel) -> DataFrame:
     """docs with the columns score and predicted beside its own."""
-    out = docs.withColumn("score", model.score(statistics(F.col("text"))))
+    out = docs.withColumn("score", model.score(F.col("text")))
     return out.withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
 
 
 def keep_good(docs: DataFrame, model: RuleModel) -> DataFrame:
     """The rows of docs that the model accepts, with all their columns."""
-    return docs.filter(model.score(statistics(F.col("text"))) >= THRESHOLD)
+    return docs.filter(model.score(F.col("text")) >= THRESHOLD)
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
