@@ -35,7 +35,7 @@ WORD_BITS = 18
 PAIR_BITS = 20
 STRENGTH = 16.0
 #: Entries of a slice of a count table.
-SLICE = 1 << 15
+SLICE = 1 << 12
 SIZE = (1 << WORD_BITS) + (1 << PAIR_BITS) + (1 << WORD_BITS)
 
 
@@ -123,5 +123,6 @@ def score_documents(docs: DataFrame, model: Broadcast) -> DataFrame:
 def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     """Score every document of docs against the target corpus, the documents whose doc_id is in target."""
     wanted = target.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("is_target")).dropDuplicates(["doc_id"])
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
+    # both sides grow with the corpus, so neither is broadcast at any size
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("merge"), "doc_id", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
     return score_documents(docs, load_model(count_model(marked)))
