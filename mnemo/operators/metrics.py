@@ -119,7 +119,7 @@ def holm(tests: DataFrame, p: str, key: str, by: Sequence[str] = ()) -> DataFram
 
 def effective_weights(answers: DataFrame, answer: str, older: str, newer: str, alpha: float, by: Sequence[str] = ()) -> DataFrame:
     """Weighted shares of answers with weights (older / newer) ** alpha, effective sample size, largest share of a weight."""
-    w = F.pow(F.col(older) / F.col(newer), F.lit(alpha))
+    w = F.pow(F.try_divide(F.col(older), F.col(newer)), F.lit(alpha))
     parts = answers.groupBy(*by, answer).agg(F.sum(w).alias("_w"), F.sum(w * w).alias("_w2"), F.max(w).alias("_top"))
     whole = Window.partitionBy(*by)
     total = F.sum("_w").over(whole)

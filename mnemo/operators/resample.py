@@ -45,12 +45,12 @@ def permutation_test(rows: DataFrame, key: Sequence[str], unit: str, value: str,
     """One-sided test that the mean of group 1 exceeds that of group 0, by permuting whole units.
 
     Values are summed by unit first. A permutation orders a key's units by hash and gives the first m of them, m being
-    the number of units in group 1, to group 1.
+    the number of units in group 1, to group 1. A key with one group only has no difference.
     """
     keys = list(key)
     units = rows.groupBy(*keys, unit).agg(F.sum(value).alias("s"), F.count(value).alias("c"), F.max(group).alias("g"))
     observed = units.groupBy(*keys).agg(F.sum(F.when(F.col("g") == 1, F.col("s"))).alias("s1"), F.sum(F.when(F.col("g") == 1, F.col("c"))).alias("c1"), F.sum("s").alias("s"), F.sum("c").alias("c"), F.sum("g").alias("m"))
-    difference = lambda s1, c1: s1 / c1 - (F.col("s") - s1) / (F.col("c") - c1)
+    difference = lambda s1, c1: F.try_divide(s1, c1) - F.try_divide(F.col("s") - s1, F.col("c") - c1)
     observed = observed.withColumn("difference", difference(F.col("s1"), F.col("c1")))
     expanded = units.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_perms - 1))))
     order = Window.partitionBy(*keys, "rep").orderBy(hash_uniform(F.col("rep"), F.col(unit)), unit)

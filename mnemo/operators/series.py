@@ -65,7 +65,7 @@ def trailing_windows(rows: DataFrame, key: Sequence[str], session: str, value: s
     """Windows of the last `length` observations; one that skips a session is left out."""
     order = Window.partitionBy(*key).orderBy(session)
     frame = order.rowsBetween(-(length - 1), 0)
-    out = rows.withColumns({"n": F.count(value).over(frame), "first_session": F.min(session).over(frame), "_ratio": F.log(F.col(value) / F.lag(value).over(order))})
+    out = rows.withColumns({"n": F.count(value).over(frame), "first_session": F.min(session).over(frame), "_ratio": F.log(F.try_divide(F.col(value), F.lag(value).over(order)))})
     inner = order.rowsBetween(-(length - 2), 0)
     out = out.withColumns({"volatility": F.stddev_samp("_ratio").over(inner), "first_value": F.first(value).over(frame)})
     whole = (F.col("n") == length) & (F.col(session) - F.col("first_session") == length - 1)

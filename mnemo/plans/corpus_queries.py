@@ -108,9 +108,9 @@ def permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PERMUTATION = f"""WITH {SCORED}, o AS (SELECT lang, sum(p) FILTER (label = 1) AS s1, count(*) FILTER (label = 1) AS c1, sum(p) AS s, count(*) AS c FROM scored GROUP BY 1),
 k AS (SELECT lang, rep, p, row_number() OVER (PARTITION BY lang, rep ORDER BY ('0x' || substr(md5(rep || '-' || doc_id), 1, 8))::BIGINT, doc_id) AS rn FROM scored, range(40) t(rep)),
-m AS (SELECT k.lang, rep, sum(p) AS p1, any_value(o.c1) AS q1, any_value(o.s) AS s, any_value(o.c) AS c, any_value(o.s1 / o.c1 - (o.s - o.s1) / (o.c - o.c1)) AS difference FROM k JOIN o ON k.lang = o.lang AND rn <= c1 GROUP BY ALL)
-SELECT lang, round(any_value(difference), 6) + 0.0 AS difference, count(*) FILTER (p1 / q1 - (s - p1) / (c - q1) >= difference - 1e-12) AS hits, count(*) AS n_perms,
-  round((count(*) FILTER (p1 / q1 - (s - p1) / (c - q1) >= difference - 1e-12) + 1) / (count(*) + 1)::DOUBLE, 6) AS p_value FROM m GROUP BY lang"""
+m AS (SELECT k.lang, rep, sum(p) AS p1, any_value(o.c1) AS q1, any_value(o.s) AS s, any_value(o.c) AS c, any_value(o.s1 / o.c1 - (o.s - o.s1) / nullif(o.c - o.c1, 0)) AS difference FROM k JOIN o ON k.lang = o.lang AND rn <= c1 GROUP BY ALL)
+SELECT lang, round(any_value(difference), 6) + 0.0 AS difference, count(*) FILTER (p1 / q1 - (s - p1) / nullif(c - q1, 0) >= difference - 1e-12) AS hits, count(*) AS n_perms,
+  round((count(*) FILTER (p1 / q1 - (s - p1) / nullif(c - q1, 0) >= difference - 1e-12) + 1) / (count(*) + 1)::DOUBLE, 6) AS p_value FROM m GROUP BY lang"""
 
 
 def numpy_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
