@@ -102,8 +102,9 @@ SIMILARITY = 0.8
 SIMILAR_WORDS = 5
 #: Bits of the wide fingerprint that may differ. Texts at the least similarity differ in 9 on average, seldom in 17.
 WIDE_RADIUS = 24
-#: So many first members of a code are compared pair by pair; the rest are chained.
+#: So many first members of a code are compared pair by pair, and so many neighbours with the same lowest shingle.
 CLIQUE = 5
+ORDER_FACTORS = tuple(np.uint64(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F))
 
 
 def _bit_sums(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -132,7 +133,8 @@ def _distinct(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _wide_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, key (a hash of the word sequence), wide (segments) and the five-word shingle set of each row.
+    """doc_id, text_hash, key (a hash of the word sequence), wide (segments), lowest (of the shingles, by a mixing for
+    each segment) and the five-word shingle set of each row.
 
     A shingle is kept as 32 bits: among the few thousand of two texts, that many do not meet by chance.
     """
@@ -151,19 +153,24 @@ def _wide_rows(docs: DataFrame) -> DataFrame:
                     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(common.mix(words + common.mix(place)))])
                     key = common.mix(total[first[1:]] - total[first[:-1]] + np.diff(first).astype(np.uint64))
                 sets, set_first = _distinct(*_short(common.shingle_hashes(words, first, SIMILAR_WORDS)))
+                lowest = np.zeros((end - row, WIDE_WORDS), np.int64)
+                there = np.diff(set_first) > 0
+                for k, factor in enumerate(ORDER_FACTORS):
+                    lowest[there, k] = np.minimum.reduceat((sets * factor) & np.uint64(0xFFFFFFFF), set_first[:-1][there]) if there.any() else 0
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(row, end - row),
                         batch.column(1).slice(row, end - row),
                         pa.array(key.view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(np.arange(end - row + 1) * WIDE_WORDS, pa.int32()), pa.array(wide.reshape(-1))),
+                        pa.ListArray.from_arrays(pa.array(np.arange(end - row + 1) * WIDE_WORDS, pa.int32()), pa.array(lowest.reshape(-1))),
                         pa.ListArray.from_arrays(pa.array(set_first, pa.int32()), pa.array(sets.astype(np.uint32).view(np.int32))),
                     ],
-                    ["doc_id", "text_hash", "key", "wide", "shingles"],
+                    ["doc_id", "text_hash", "key", "wide", "lowest", "shingles"],
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("text_hash"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, key long, wide array<long>, shingles array<int>")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, key long, wide array<long>, lowest array<long>, shingles array<int>")
 
 
 def text_hash(text: Column) -> Column:
@@ -202,17 +209,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     A change of one word in 45 leaves a five-word similarity of 0.8. The distinct words of such texts agree to 95 % and
     more, so their fingerprints differ in 4 to 9 % of the bits, and one of four segments is within two bits in all but
     about 2 of 100 pairs at the very bound, and of far fewer above it. Texts of the same words (case and punctuation
-    aside) are one key and are never compared. The first members of a code are compared pair by pair, further ones are
-    chained, so a large group of near copies costs links in proportion to its members, not to its pairs. Each text
-    stands in 132 codes, with four orders of neighbours, so a chain that a dissimilar neighbour breaks is mended by
-    others; a group's members are joined by the links that hold.
+    aside) are one key and are never compared. Within a code, texts stand in the order of their lowest shingle, which near
+    copies mostly share, and are compared with the next; with a few more at the code's beginning and where the lowest
+    shingle is the same. So a large code costs links in proportion to its members, not to its pairs, and dissimilar texts
+    in it do not come between near copies. Each text stands in 132 codes with an order of its own for each segment; a
+    group's members are joined by the links that hold.
     """
     rows = common.stored(_wide_rows(docs), "near")
     values = F.posexplode("wide").alias("segment", "value")
     ball = F.concat(F.array("value"), F.transform(F.sequence(F.lit(0), F.lit(31)), lambda bit: F.col("value").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit))))
-    codes = rows.groupBy("key").agg(F.first("wide").alias("wide")).select("key", values).select("key", F.explode(F.transform(ball, lambda c: c * WIDE_WORDS + F.col("segment"))).alias("code"))
-    order = Window.partitionBy("code").orderBy(F.xxhash64("key", F.col("code") % WIDE_WORDS), "key")
-    others = [F.when((F.lit(k) == 1) | (F.row_number().over(order) <= CLIQUE), F.lag("key", k).over(order)) for k in range(1, CLIQUE)]
+    firsts = rows.groupBy("key").agg(F.first("wide").alias("wide"), F.first("lowest").alias("lowest"))
+    codes = firsts.select("key", "lowest", values).select("key", F.get("lowest", F.col("segment")).alias("low"), F.explode(F.transform(ball, lambda c: c * WIDE_WORDS + F.col("segment"))).alias("code"))
+    order = Window.partitionBy("code").orderBy("low", "key")
+    near = lambda k: (F.row_number().over(order) <= CLIQUE) | (F.lag("low", k).over(order) == F.col("low"))
+    others = [F.lag("key", 1).over(order), *(F.when(near(k), F.lag("key", k).over(order)) for k in range(2, CLIQUE))]
     met = codes.select("key", F.array(*others).alias("others")).select("key", F.explode(F.filter("others", lambda x: x.isNotNull())).alias("other"))
     pairs = met.select(F.greatest("key", "other").alias("u"), F.least("key", "other").alias("v")).distinct()
     texts = rows.groupBy("key").agg(F.min_by(F.struct("wide", "shingles"), "text_hash").alias("of")).select("key", "of.wide", "of.shingles")

@@ -2,8 +2,8 @@
 
 Headers are shuffled by payload digest to find each payload's original; the archives are then written once, with the
 payload in the original's response record and fresh revisit headers for the rest. Spark's text writer writes them: a
-row is one record, and the line separator is the blank line that ends a WARC record, so every file is a plain WARC file.
-Readers follow the Content-Length of each record; revisit records get their payload's length by a join with the
+row is one record, and the line separator is the blank line that ends a WARC record, so every file is a WARC file under
+gzip. Readers follow the Content-Length of each record; revisit records get their payload's length by a join with the
 response that they refer to.
 
 Defined cases: a null payload is empty; a null url or page_id stands as a missing header. Rows that share the smallest
@@ -13,6 +13,7 @@ beside known ones is a revisit. Every row gives one record; an empty table gives
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -77,12 +78,15 @@ def _record(date: str) -> F.Column:
 
 def write_archives(resolved: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z", file_records: int = FILE_RECORDS) -> None:
     """Write the records of resolve_revisits as WARC files into folder."""
-    resolved.select(_record(date).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", file_records).text(folder)
+    resolved.select(_record(date).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", file_records).option("compression", "gzip").text(folder)
 
 
 def parse_records(data: memoryview) -> Iterator[tuple[dict[bytes, bytes], memoryview]]:
     """Header fields and block of each record of a WARC file."""
     raw, at, end = bytes(data), 0, END.encode()
+    if raw[:2] == b"\x1f\x8b":
+        raw = gzip.decompress(raw)
+        data = memoryview(raw)
     while at < len(raw):
         stop = raw.index(end, at)
         lines = raw[at:stop].split(b"\r\n")
