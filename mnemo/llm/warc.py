@@ -126,6 +126,8 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
                         size = len(body)
                     url = fields.get(b"WARC-Target-URI")
                     rows.append((_id(fields.get(b"WARC-Record-ID")), url and url.decode(), kind, digest, size, _id(fields.get(b"WARC-Refers-To")), bytes(body) if payloads else None))
+                if not rows:
+                    continue
                 schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("payload", pa.binary())])
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
