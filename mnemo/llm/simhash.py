@@ -132,12 +132,16 @@ def _distinct(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nda
     return h[new], np.concatenate([[0], np.cumsum(np.bincount(row[new], minlength=len(first) - 1))])
 
 
-def _wide_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, key (a hash of the word sequence), wide (segments), lowest (of the shingles, by a mixing for
-    each segment) and the five-word shingle set of each row.
+def _sequence_keys(words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A hash of each text's word sequence: equal keys are equal texts up to case and punctuation."""
+    with np.errstate(over="ignore"):
+        place = np.arange(len(words), dtype=np.uint64) - np.repeat(first[:-1], np.diff(first)).astype(np.uint64)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(common.mix(words + common.mix(place)))])
+        return common.mix(total[first[1:]] - total[first[:-1]] + np.diff(first).astype(np.uint64))
 
-    A shingle is kept as 32 bits: among the few thousand of two texts, that many do not meet by chance.
-    """
+
+def _wide_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, key, wide (segments) and lowest (of the shingles, by a mixing for each segment) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,30 +151,33 @@ def _wide_rows(docs: DataFrame) -> DataFrame:
                 n = np.maximum(np.diff(unique_first), 1)[:, None]
                 packed = [np.packbits(_bit_sums(h, unique_first) * 2 > n, axis=1).view(">u4") for h in (unique, common.mix(unique ^ np.uint64(SEED)))]
                 wide = np.concatenate(packed, axis=1).astype(np.int64)
-                # the key is over the sequence, so that equal keys are equal texts up to case and punctuation
-                with np.errstate(over="ignore"):
-                    place = np.arange(len(words), dtype=np.uint64) - np.repeat(first[:-1], np.diff(first)).astype(np.uint64)
-                    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(common.mix(words + common.mix(place)))])
-                    key = common.mix(total[first[1:]] - total[first[:-1]] + np.diff(first).astype(np.uint64))
-                sets, set_first = _distinct(*_short(common.shingle_hashes(words, first, SIMILAR_WORDS)))
+                shingles, begin = _short(common.shingle_hashes(words, first, SIMILAR_WORDS))
                 lowest = np.zeros((end - row, WIDE_WORDS), np.int64)
-                there = np.diff(set_first) > 0
+                there = np.diff(begin) > 0
                 for k, factor in enumerate(ORDER_FACTORS):
-                    lowest[there, k] = np.minimum.reduceat((sets * factor) & np.uint64(0xFFFFFFFF), set_first[:-1][there]) if there.any() else 0
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(row, end - row),
-                        batch.column(1).slice(row, end - row),
-                        pa.array(key.view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(np.arange(end - row + 1) * WIDE_WORDS, pa.int32()), pa.array(wide.reshape(-1))),
-                        pa.ListArray.from_arrays(pa.array(np.arange(end - row + 1) * WIDE_WORDS, pa.int32()), pa.array(lowest.reshape(-1))),
-                        pa.ListArray.from_arrays(pa.array(set_first, pa.int32()), pa.array(sets.astype(np.uint32).view(np.int32))),
-                    ],
-                    ["doc_id", "text_hash", "key", "wide", "lowest", "shingles"],
-                )
+                    lowest[there, k] = np.minimum.reduceat((shingles * factor) & np.uint64(0xFFFFFFFF), begin[:-1][there]) if there.any() else 0
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(end - row + 1) * WIDE_WORDS, pa.int32()), pa.array(x.reshape(-1))) for x in (wide, lowest)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), batch.column(1).slice(row, end - row), pa.array(_sequence_keys(words, first).view(np.int64)), *lists], ["doc_id", "text_hash", "key", "wide", "lowest"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("text_hash"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, key long, wide array<long>, lowest array<long>, shingles array<int>")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, key long, wide array<long>, lowest array<long>")
+
+
+def _shingle_rows(docs: DataFrame) -> DataFrame:
+    """key and the five-word shingle set of each row.
+
+    A shingle is kept as 32 bits: among the few thousand of two texts, that many do not meet by chance.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in common.text_passes(batch.column(0)):
+                words, first = common.word_hashes(data, offsets)
+                sets, set_first = _distinct(*_short(common.shingle_hashes(words, first, SIMILAR_WORDS)))
+                lists = pa.ListArray.from_arrays(pa.array(set_first, pa.int32()), pa.array(sets.astype(np.uint32).view(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(_sequence_keys(words, first).view(np.int64)), lists], ["key", "shingles"])
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "key long, shingles array<int>")
 
 
 def text_hash(text: Column) -> Column:
@@ -182,8 +189,18 @@ def _short(hashes: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarra
     return hashes[0] >> np.uint64(32), hashes[1]
 
 
-def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs u, v within WIDE_RADIUS whose shingle sets have a Jaccard similarity of at least SIMILARITY."""
+def _near(pairs: DataFrame, wide: DataFrame) -> DataFrame:
+    """The pairs u, v whose wide fingerprints differ in at most WIDE_RADIUS bits."""
+    joined = pairs.join(wide.toDF("u", "of_u"), "u").join(wide.toDF("v", "of_v"), "v")
+    distance = F.aggregate(F.zip_with("of_u", "of_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    return joined.filter(distance <= WIDE_RADIUS).select("u", "v")
+
+
+def _similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs u, v whose shingle sets have a Jaccard similarity of at least SIMILARITY.
+
+    Sets are made again from the texts, and only those of keys in a pair are stored: all others end after one shuffle.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,13 +211,12 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 keep.append(both >= SIMILARITY * (len(x) + len(y) - both) - 1e-9)
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    sides = [texts.select(F.col("key").alias(k), F.struct("wide", "shingles").alias(f"of_{k}")) for k in ("u", "v")]
-    a, b = (F.col(f"of_{k}") for k in ("u", "v"))
-    joined = pairs.join(sides[0], "u").join(sides[1], "v")
-    distance = F.aggregate(F.zip_with(a["wide"], b["wide"], lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
-    sizes = F.least(F.size(a["shingles"]), F.size(b["shingles"])) >= F.lit(SIMILARITY) * F.greatest(F.size(a["shingles"]), F.size(b["shingles"]))
-    near = joined.filter((distance <= WIDE_RADIUS) & sizes)
-    return near.select("u", "v", a["shingles"].alias("a"), b["shingles"].alias("b")).mapInArrow(run, "u long, v long")
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
+    # copies are reduced to one set in each task before the shuffle; the join has the same keys and adds none
+    sets = common.stored(_shingle_rows(docs).groupBy("key").agg(F.first("shingles").alias("shingles")).join(wanted, "key", "left_semi"), "shingles")
+    joined = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
+    sizes = F.least(F.size("a"), F.size("b")) >= F.lit(SIMILARITY) * F.greatest(F.size("a"), F.size("b"))
+    return joined.filter(sizes).select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -221,21 +237,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     firsts = rows.groupBy("key").agg(F.first("wide").alias("wide"), F.first("lowest").alias("lowest"))
     codes = firsts.select("key", "lowest", values).select("key", F.get("lowest", F.col("segment")).alias("low"), F.explode(F.transform(ball, lambda c: c * WIDE_WORDS + F.col("segment"))).alias("code"))
     order = Window.partitionBy("code").orderBy("low", "key")
-    near = lambda k: (F.row_number().over(order) <= CLIQUE) | (F.lag("low", k).over(order) == F.col("low"))
-    others = [F.lag("key", 1).over(order), *(F.when(near(k), F.lag("key", k).over(order)) for k in range(2, CLIQUE))]
+    beside = lambda k: (F.row_number().over(order) <= CLIQUE) | (F.lag("low", k).over(order) == F.col("low"))
+    others = [F.lag("key", 1).over(order), *(F.when(beside(k), F.lag("key", k).over(order)) for k in range(2, CLIQUE))]
     met = codes.select("key", F.array(*others).alias("others")).select("key", F.explode(F.filter("others", lambda x: x.isNotNull())).alias("other"))
     pairs = met.select(F.greatest("key", "other").alias("u"), F.least("key", "other").alias("v")).distinct()
-    texts = rows.groupBy("key").agg(F.min_by(F.struct("wide", "shingles"), "text_hash").alias("of")).select("key", "of.wide", "of.shingles")
-    roots = components(_similar(pairs, texts))
+    near = common.cut(_near(pairs, firsts.select("key", "wide")))
+    roots = components(_similar(near, docs))
     return rows.select("doc_id", "text_hash", "key").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("doc_id", "text_hash", "key", F.coalesce("root", "key").alias("root"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One row of each group of near copies, with all its columns: that of the smallest doc_id (null comes last)."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
-    kept = near_duplicates(docs).groupBy("root").agg(first).select(F.col("first.doc_id").alias("__kept_id"), F.col("first.text_hash").alias("__kept_hash")).distinct()
-    names = docs.columns
-    marked = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__hash": text_hash(F.col("text")), "__row": F.xxhash64(*names)})
-    found = marked.join(kept, F.col("__id").eqNullSafe(F.col("__kept_id")) & (F.col("__hash") == F.col("__kept_hash")), "left_semi")
-    # rows equal in doc_id and text are copies too
-    return found.withColumn("__place", F.row_number().over(Window.partitionBy("__id", "__hash").orderBy("__row"))).filter("__place = 1").select(*names)
+    kept = near_duplicates(docs).groupBy("root").agg(first).select("first.*")
+    names, keys = docs.columns, ["__no_id", "__id", "__hash"]
+    kept = kept.select(F.col("no_id").alias("__no_id"), F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    # the row in one struct, so that no column of docs clashes with these
+    marked = docs.select(F.struct(*names).alias("__doc"), F.col("doc_id").cast("long").isNull().alias("__no_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__id"), text_hash(F.col("text")).alias("__hash"), F.xxhash64(*names).alias("__row"))
+    # rows equal in doc_id and text are copies too; join and window have the same keys, so that texts are shuffled once
+    found = marked.join(kept, keys, "left_semi")
+    return found.withColumn("__place", F.row_number().over(Window.partitionBy(*keys).orderBy("__row"))).filter("__place = 1").select("__doc.*")
