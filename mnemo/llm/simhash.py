@@ -211,7 +211,7 @@ def _similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 keep.append(both >= SIMILARITY * (len(x) + len(y) - both) - 1e-9)
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
+    wanted = pairs.select(F.col("u").alias("key")).distinct().union(pairs.select(F.col("v").alias("key")).distinct()).distinct()
     # copies are reduced to one set in each task before the shuffle; the join has the same keys and adds none
     sets = common.stored(_shingle_rows(docs).groupBy("key").agg(F.first("shingles").alias("shingles")).join(wanted, "key", "left_semi"), "shingles")
     joined = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
