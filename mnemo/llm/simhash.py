@@ -8,10 +8,10 @@ up in one table for all segments, and what meets there is verified by the comple
   its own value and under every value one bit away in one of its segments, the other segments held: 65 rows. No code
   can have more than 65 fingerprints, however many copies a text has, so there are no hot buckets and no pairs to
   enumerate: the members of a code form a chain, verified link by link.
-* `near_duplicates`: components under a shingle similarity (the pipeline's stage). Fingerprints of 128 bits over the
-  documents' distinct words make four 32-bit segments; texts meet whose values of one segment are within 2 bits. The
-  complete distance then rules out most of what meets, and exact Jaccard similarity of the five-word shingle sets
-  decides.
+* `near_duplicates`: components under a shingle similarity (the pipeline's stage). Fingerprints are minwise values of
+  the five-word shingle sets, of which two texts share a part that is their Jaccard similarity on average, whatever the
+  kind of edit; texts meet that agree in one segment of these values. One bit of each value makes a sketch whose distance
+  rules out most of what meets, and exact Jaccard similarity decides.
 
 Defined cases: a null text is empty. All texts without words have fingerprint zero and are linked like any other. Null
 document ids are kept; they never name a component. Repeated rows are copies of one another. An empty table gives no
@@ -97,29 +97,33 @@ def link_components(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
 
 # ---- near duplicates by shingle similarity
 
-WIDE_WORDS = 4  # 32-bit segments of a wide fingerprint
 SIMILARITY = 0.8
 SIMILAR_WORDS = 5
-#: Bits of the wide fingerprint that may differ. Texts at the least similarity differ in 9 on average, seldom in 17.
-WIDE_RADIUS = 24
+#: Segments of a fingerprint and minwise values in each: at a similarity of 0.8 no segment agrees in (1 - 0.8 ** 5) ** 25,
+#: that is 5 of 100,000 pairs.
+SEGMENTS = 25
+SEGMENT_VALUES = 5
+#: Bits of the sketch that may differ. Of the 125, texts at the least similarity differ in 12.5 on average, by a deviation of 3.4.
+SKETCH_RADIUS = 36
 #: So many first members of a code are compared pair by pair, and so many neighbours with the same lowest shingle.
 CLIQUE = 5
 ORDER_FACTORS = tuple(np.uint64(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F))
+#: Odd, so that each is a permutation of the shingles' hashes.
+MIN_FACTORS = common.mix(np.arange(1, SEGMENTS * SEGMENT_VALUES + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def _bit_sums(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Over each text's hashes, how often each of the 64 bits is set."""
-    sums = np.zeros((len(first) - 1, 64), np.int64)
-    for at in range(0, len(first) - 1, 256):
-        end = min(at + 256, len(first) - 1)
-        part = hashes[first[at] : first[end]]
-        if not len(part):
-            continue
-        bits = np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        begin = first[at:end] - first[at]
-        there = np.diff(first[at : end + 1]) > 0
-        sums[np.flatnonzero(there) + at] = np.add.reduceat(bits, begin[there], axis=0, dtype=np.int64)
-    return sums
+def _minwise(shingles: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text the segments of its fingerprint, each as one hash, and its sketch as two longs."""
+    there = np.diff(begin) > 0
+    segments = np.zeros((len(there), SEGMENTS), np.uint64)
+    bits = np.zeros((len(there), 128), bool)
+    with np.errstate(over="ignore"):
+        for k, factor in enumerate(MIN_FACTORS):
+            s = k // SEGMENT_VALUES
+            least = common.mix(np.minimum.reduceat(shingles * factor, begin[:-1][there])) if there.any() else np.zeros(0, np.uint64)
+            bits[there, k] = least >> np.uint64(63)
+            segments[there, s] = common.mix(segments[there, s] * np.uint64(0x9E3779B97F4A7C15) + least + np.uint64(s))
+    return segments.view(np.int64), np.packbits(bits, axis=1).view(">u8").astype(np.uint64).view(np.int64)
 
 
 def _distinct(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,26 +145,24 @@ def _sequence_keys(words: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _wide_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, key, wide (segments) and lowest (of the shingles, by a mixing for each segment) of each row."""
+    """doc_id, text_hash, key, segments, sketch and lowest (of the shingles, by several mixings) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, end, data, offsets in common.text_passes(batch.column(2)):
                 words, first = common.word_hashes(data, offsets)
-                unique, unique_first = _distinct(words, first)
-                n = np.maximum(np.diff(unique_first), 1)[:, None]
-                packed = [np.packbits(_bit_sums(h, unique_first) * 2 > n, axis=1).view(">u4") for h in (unique, common.mix(unique ^ np.uint64(SEED)))]
-                wide = np.concatenate(packed, axis=1).astype(np.int64)
-                shingles, begin = _short(common.shingle_hashes(words, first, SIMILAR_WORDS))
-                lowest = np.zeros((end - row, WIDE_WORDS), np.int64)
+                shingles, begin = common.shingle_hashes(words, first, SIMILAR_WORDS)
+                segments, sketch = _minwise(shingles, begin)
+                shingles, begin = _short((shingles, begin))
+                lowest = np.zeros((end - row, len(ORDER_FACTORS)), np.int64)
                 there = np.diff(begin) > 0
                 for k, factor in enumerate(ORDER_FACTORS):
                     lowest[there, k] = np.minimum.reduceat((shingles * factor) & np.uint64(0xFFFFFFFF), begin[:-1][there]) if there.any() else 0
-                lists = [pa.ListArray.from_arrays(pa.array(np.arange(end - row + 1) * WIDE_WORDS, pa.int32()), pa.array(x.reshape(-1))) for x in (wide, lowest)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), batch.column(1).slice(row, end - row), pa.array(_sequence_keys(words, first).view(np.int64)), *lists], ["doc_id", "text_hash", "key", "wide", "lowest"])
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(end - row + 1) * x.shape[1], pa.int32()), pa.array(x.reshape(-1))) for x in (segments, sketch, lowest)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), batch.column(1).slice(row, end - row), pa.array(_sequence_keys(words, first).view(np.int64)), *lists], ["doc_id", "text_hash", "key", "segments", "sketch", "lowest"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("text_hash"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, key long, wide array<long>, lowest array<long>")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, key long, segments array<long>, sketch array<long>, lowest array<long>")
 
 
 def _shingle_rows(docs: DataFrame) -> DataFrame:
@@ -189,11 +191,16 @@ def _short(hashes: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarra
     return hashes[0] >> np.uint64(32), hashes[1]
 
 
-def _near(pairs: DataFrame, wide: DataFrame) -> DataFrame:
-    """The pairs u, v whose wide fingerprints differ in at most WIDE_RADIUS bits."""
-    joined = pairs.join(wide.toDF("u", "of_u"), "u").join(wide.toDF("v", "of_v"), "v")
-    distance = F.aggregate(F.zip_with("of_u", "of_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
-    return joined.filter(distance <= WIDE_RADIUS).select("u", "v")
+def _alike(x: Column, y: Column) -> Column:
+    """Whether two sketches differ in at most SKETCH_RADIUS bits."""
+    bits = [F.bit_count(F.get(x, k).bitwiseXOR(F.get(y, k))) for k in (0, 1)]
+    return bits[0] + bits[1] <= SKETCH_RADIUS
+
+
+def _codes(firsts: DataFrame, *more: str) -> DataFrame:
+    """key, sketch, low, code and more: a row for each segment of each key's fingerprint."""
+    exploded = firsts.select("key", "sketch", "lowest", *more, F.posexplode("segments").alias("segment", "code"))
+    return exploded.select("key", "sketch", F.get("lowest", F.col("segment") % len(ORDER_FACTORS)).alias("low"), "code", *more)
 
 
 def _similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -222,26 +229,22 @@ def _similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, key and root: documents of one root are near copies, directly or over others.
 
-    A change of one word in 45 leaves a five-word similarity of 0.8. The distinct words of such texts agree to 95 % and
-    more, so their fingerprints differ in 4 to 9 % of the bits, and one of four segments is within two bits in all but
-    about 2 of 100 pairs at the very bound, and of far fewer above it. Texts of the same words (case and punctuation
-    aside) are one key and are never compared. Within a code, texts stand in the order of their lowest shingle, which near
-    copies mostly share, and are compared with the next; with a few more at the code's beginning and where the lowest
-    shingle is the same. So a large code costs links in proportion to its members, not to its pairs, and dissimilar texts
-    in it do not come between near copies. Each text stands in 132 codes with an order of its own for each segment; a
-    group's members are joined by the links that hold.
+    A minwise value of two texts agrees with a probability that is their similarity, so whether the edits are scattered,
+    or a copy is cut or extended, makes no difference: of pairs at the very bound 5 in 100,000 meet in no segment, and far
+    fewer above it. Texts of the same words (case and punctuation aside) are one key and are never compared. Within a
+    code, texts stand in the order of their lowest shingle, which near copies mostly share, and are compared with the
+    next; with a few more at the code's beginning and where the lowest shingle is the same. So a large code costs links in
+    proportion to its members, not to its pairs; a group's members are joined by the links that hold.
     """
     rows = common.stored(_wide_rows(docs), "near")
-    values = F.posexplode("wide").alias("segment", "value")
-    ball = F.concat(F.array("value"), F.transform(F.sequence(F.lit(0), F.lit(31)), lambda bit: F.col("value").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit))))
-    firsts = rows.groupBy("key").agg(F.first("wide").alias("wide"), F.first("lowest").alias("lowest"))
-    codes = firsts.select("key", "lowest", values).select("key", F.get("lowest", F.col("segment")).alias("low"), F.explode(F.transform(ball, lambda c: c * WIDE_WORDS + F.col("segment"))).alias("code"))
+    firsts = rows.groupBy("key").agg(F.first("segments").alias("segments"), F.first("sketch").alias("sketch"), F.first("lowest").alias("lowest"))
     order = Window.partitionBy("code").orderBy("low", "key")
     beside = lambda k: (F.row_number().over(order) <= CLIQUE) | (F.lag("low", k).over(order) == F.col("low"))
-    others = [F.lag("key", 1).over(order), *(F.when(beside(k), F.lag("key", k).over(order)) for k in range(2, CLIQUE))]
-    met = codes.select("key", F.array(*others).alias("others")).select("key", F.explode(F.filter("others", lambda x: x.isNotNull())).alias("other"))
-    pairs = met.select(F.greatest("key", "other").alias("u"), F.least("key", "other").alias("v")).distinct()
-    near = common.cut(_near(pairs, firsts.select("key", "wide")))
+    other = lambda k: F.lag(F.struct("key", "sketch"), k).over(order)
+    others = [other(1), *(F.when(beside(k), other(k)) for k in range(2, CLIQUE))]
+    met = _codes(firsts).select("key", F.filter(F.array(*others), lambda x: x.isNotNull()).alias("others"), "sketch")
+    met = met.select("key", F.explode(F.transform(F.filter("others", lambda x: _alike(x["sketch"], F.col("sketch"))), lambda x: x["key"])).alias("other"))
+    near = common.cut(met.select(F.greatest("key", "other").alias("u"), F.least("key", "other").alias("v")).distinct())
     roots = components(_similar(near, docs))
     return rows.select("doc_id", "text_hash", "key").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("doc_id", "text_hash", "key", F.coalesce("root", "key").alias("root"))
 

@@ -127,6 +127,32 @@ def test_near_duplicate_stage_keeps_one_of_each_group(spark):
     assert simhash.drop_near_duplicates(df.limit(0)).count() == 0
 
 
+def edited(words, kind, rng):
+    """A copy at a similarity a little over 0.8."""
+    n = len(words)
+    if kind == "cut":
+        return words[: n - n * 15 // 100]
+    if kind == "extended":
+        return words + [f"more{rng.getrandbits(60)}" for _ in range(n * 18 // 100)]
+    if kind == "block":
+        return words[: n // 2] + [f"new{rng.getrandbits(60)}" for _ in range(n // 13)] + words[n // 2 + n // 13 :]
+    copy = list(words)
+    for k in range(n // 56):
+        copy[k * 56 + rng.randrange(56)] = "edited"
+    return copy
+
+
+def test_near_copies_of_every_kind_of_edit_meet(spark):
+    rng = random.Random(5)
+    texts = []
+    for k in range(160):
+        base = [f"w{int(rng.paretovariate(0.6))}" for _ in range(rng.randrange(200, 900))]
+        texts += [" ".join(base), " ".join(edited(base, ("cut", "extended", "block", "scattered")[k % 4], rng))]
+    assert all(jaccard(texts[i], texts[i + 1]) >= 0.8 for i in range(0, 320, 2))
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 320, 2))
+
+
 def test_large_group_of_near_copies_is_one(spark):
     base = prose(150).split()
     rows = []
