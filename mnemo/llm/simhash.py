@@ -203,6 +203,17 @@ def _codes(firsts: DataFrame, *more: str) -> DataFrame:
     return exploded.select("key", "sketch", F.get("lowest", F.col("segment") % len(ORDER_FACTORS)).alias("low"), "code", *more)
 
 
+def _apart(firsts: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs u, v that share a code and have like sketches, but are in different groups of roots."""
+    named = firsts.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    codes = _codes(named, "root").drop("low")
+    mixed = codes.groupBy("code").agg(F.min("root").alias("lowest"), F.max("root").alias("highest")).filter("lowest < highest")
+    left = codes.join(mixed.select("code"), "code", "left_semi")
+    x, y = left.alias("x"), left.alias("y")
+    met = x.join(y, (F.col("x.code") == F.col("y.code")) & (F.col("x.root") < F.col("y.root")) & _alike(F.col("x.sketch"), F.col("y.sketch")))
+    return met.select(F.greatest("x.key", "y.key").alias("u"), F.least("x.key", "y.key").alias("v")).distinct()
+
+
 def _similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs u, v whose shingle sets have a Jaccard similarity of at least SIMILARITY.
 
@@ -232,9 +243,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     A minwise value of two texts agrees with a probability that is their similarity, so whether the edits are scattered,
     or a copy is cut or extended, makes no difference: of pairs at the very bound 5 in 100,000 meet in no segment, and far
     fewer above it. Texts of the same words (case and punctuation aside) are one key and are never compared. Within a
-    code, texts stand in the order of their lowest shingle, which near copies mostly share, and are compared with the
-    next; with a few more at the code's beginning and where the lowest shingle is the same. So a large code costs links in
-    proportion to its members, not to its pairs; a group's members are joined by the links that hold.
+    code, texts stand in the order of their lowest shingle, which near copies mostly share, and are first compared with the
+    next; with a few more at the code's beginning and where the lowest shingle is the same. That joins most groups by links
+    in proportion to their members. All pairs of a code that are then still in different groups are compared too, without
+    a cap, so that no two texts of one code stay apart that are near copies.
     """
     rows = common.stored(_wide_rows(docs), "near")
     firsts = rows.groupBy("key").agg(F.first("segments").alias("segments"), F.first("sketch").alias("sketch"), F.first("lowest").alias("lowest"))
@@ -245,7 +257,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     met = _codes(firsts).select("key", F.filter(F.array(*others), lambda x: x.isNotNull()).alias("others"), "sketch")
     met = met.select("key", F.explode(F.transform(F.filter("others", lambda x: _alike(x["sketch"], F.col("sketch"))), lambda x: x["key"])).alias("other"))
     near = common.cut(met.select(F.greatest("key", "other").alias("u"), F.least("key", "other").alias("v")).distinct())
-    roots = components(_similar(near, docs))
+    links = common.cut(_similar(near, docs))
+    rest = common.cut(_apart(firsts, components(links)).join(near, ["u", "v"], "left_anti"))
+    if not rest.isEmpty():
+        links = links.union(_similar(rest, docs))
+    roots = components(links)
     return rows.select("doc_id", "text_hash", "key").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("doc_id", "text_hash", "key", F.coalesce("root", "key").alias("root"))
 
 

@@ -153,6 +153,20 @@ def test_near_copies_of_every_kind_of_edit_meet(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 320, 2))
 
 
+def test_near_copies_in_crowded_codes_are_found(spark):
+    """Texts of one template, not near copies of one another, fill the codes; each has one near copy among them."""
+    rng = random.Random(8)
+    new = lambda n: [f"w{rng.getrandbits(40)}" for _ in range(n)]
+    shared = new(254)
+    texts = []
+    for _ in range(120):
+        own = new(8)
+        texts += [" ".join(shared + own + new(26)) for _ in range(2)]
+    assert jaccard(texts[0], texts[1]) >= 0.8 and all(jaccard(texts[i], texts[j]) < 0.8 for i in (0, 1) for j in range(2, 240))
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 240, 2))
+
+
 def test_large_group_of_near_copies_is_one(spark):
     base = prose(150).split()
     rows = []
