@@ -6,6 +6,11 @@ its fitted mass over its own; a document is kept with a probability in proportio
 one factor for all cells so that the expected tokens are the given share of all. The draw is a hash of the doc_id, so a
 document's fate depends neither on partitions nor on order.
 
+The report's probabilities are capped at 1, so with a large share to keep its draw misses the targets: the cells kept
+whole cannot grow. The sample has no cap: a cell of which more is wanted than there is has its documents repeated, each
+as often as its expected number of copies says (the whole part always, the rest by the draw). So the sampled tokens meet
+the targets in expectation, at the given share of all tokens.
+
 Targets: a marginal is given as weights by value, or as an exponent by which the corpus's own shares are tempered
 (1 leaves them, 0 makes all values equal). Values of the corpus without a given weight get none and are never kept.
 
@@ -72,7 +77,7 @@ def _target(cells: DataFrame, dimension: str, given: dict[str, float] | float) -
 
 
 def raked_cells(rows: DataFrame, targets: dict[str, dict[str, float] | float] = EXPONENTS, rounds: int = ROUNDS, keep: float = KEEP) -> DataFrame:
-    """__source, __lang, __topic, tokens, fitted (share), weight and probability of every cell of described rows."""
+    """__source, __lang, __topic, tokens, fitted (share), weight, probability and copies (expected, without a cap) of every cell of described rows."""
     keys = [f"__{d}" for d in DIMENSIONS]
     cells = cut(rows.groupBy(*keys).agg(F.sum("__tokens").alias("tokens")))
     for d in DIMENSIONS:
@@ -95,7 +100,9 @@ def raked_cells(rows: DataFrame, targets: dict[str, dict[str, float] | float] =
     factor = cells.select("weight", F.row_number().over(order).alias("k"), ((F.lit(keep) * total - whole) / F.when(rest > 0, rest)).alias("factor"))
     factor = factor.filter(F.col("factor") * F.col("weight") <= 1).agg(F.min_by("factor", "k").alias("factor"))
     probability = F.when(F.col("weight").isNull() | F.col("factor").isNull(), 1.0).otherwise(F.least(F.lit(1.0), F.col("factor") * F.col("weight")))
-    return cut(cells.join(F.broadcast(factor)).select(*keys, "tokens", "fitted", "weight", probability.alias("probability")))
+    wanted = F.sum(F.col("tokens") * F.col("weight")).over(everything)
+    copies = F.when(F.col("weight").isNull() | F.coalesce(wanted <= 0, F.lit(True)), 1.0).otherwise(F.lit(keep) * total / F.when(wanted > 0, wanted) * F.col("weight"))
+    return cut(cells.join(F.broadcast(factor)).select(*keys, "tokens", "fitted", "weight", probability.alias("probability"), copies.alias("copies")))
 
 
 def draw(doc_id: Column, seed: int = SEED) -> Column:
@@ -105,18 +112,21 @@ def draw(doc_id: Column, seed: int = SEED) -> Column:
 
 
 def mixed(docs: DataFrame, targets: dict[str, dict[str, float] | float] = EXPONENTS, keep: float = KEEP, seed: int = SEED) -> DataFrame:
-    """docs with __source, __lang, __topic, __tokens, __weight, __probability and __kept beside its own columns."""
+    """docs with __source, __lang, __topic, __tokens, __weight, __probability, __kept and __copies beside its own columns."""
     rows = described(docs)
     keys = [f"__{d}" for d in DIMENSIONS]
-    cells = raked_cells(rows, targets, keep=keep).select(*keys, F.col("weight").alias("__weight"), F.col("probability").alias("__probability"))
+    cells = raked_cells(rows, targets, keep=keep).select(*keys, F.col("weight").alias("__weight"), F.col("probability").alias("__probability"), F.col("copies").alias("__expected"))
     if cells.limit(MAX_BROADCAST_CELLS + 1).count() <= MAX_BROADCAST_CELLS:
         cells = F.broadcast(cells)
-    return rows.join(cells, keys).withColumn("__kept", draw(F.col("doc_id"), seed) < F.col("__probability"))
+    drawn = draw(F.col("doc_id"), seed)
+    whole = F.floor("__expected").cast("int")
+    return rows.join(cells, keys).withColumns({"__kept": drawn < F.col("__probability"), "__copies": whole + (drawn < F.col("__expected") - whole).cast("int")}).drop("__expected")
 
 
 def sample_mix(docs: DataFrame, targets: dict[str, dict[str, float] | float] = EXPONENTS, keep: float = KEEP, seed: int = SEED) -> DataFrame:
-    """The rows of docs that the mix keeps, with all their columns."""
-    return mixed(docs, targets, keep, seed).filter("__kept").select(*docs.columns)
+    """The rows of docs in the mix, with all their columns; a row stands there as often as its cell's share needs."""
+    repeated = mixed(docs, targets, keep, seed).filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return repeated.select(*docs.columns)
 
 
 def mix_report(docs: DataFrame) -> DataFrame:

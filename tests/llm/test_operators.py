@@ -440,6 +440,18 @@ def test_raking_meets_the_marginals(spark):
     assert mixing.sample_mix(docs.limit(0)).count() == 0
 
 
+def test_sampled_tokens_meet_the_marginals(spark):
+    rng = random.Random(19)
+    docs = spark.createDataFrame([(i, prose(rng.randrange(20, 45), rng), "en" if rng.random() < 0.9 else "fr", "a" if rng.random() < 0.85 else "b") for i in range(6000)], "doc_id long, text string, lang string, source string")
+    targets = {"source": {"a": 1.0, "b": 1.0}, "lang": {"en": 3.0, "fr": 1.0}, "topic": 1.0}
+    n = lambda df: df.groupBy("source", "lang").agg(F.sum(F.size(F.split("text", " "))).alias("n")).collect()
+    sampled, total = n(mixing.sample_mix(docs, targets)), sum(r["n"] for r in n(docs))
+    got = sum(r["n"] for r in sampled)
+    assert got == pytest.approx(mixing.KEEP * total, rel=0.03)
+    assert sum(r["n"] for r in sampled if r["source"] == "b") / got == pytest.approx(0.5, abs=0.02)
+    assert sum(r["n"] for r in sampled if r["lang"] == "fr") / got == pytest.approx(0.25, abs=0.02)
+
+
 def test_mixing_handles_nulls(docs):
     report = mixing.mix_report(docs).collect()
     assert len(report) == docs.count() and all(r["kept"] is not None for r in report)
