@@ -4,11 +4,12 @@ Two bigram models, of a target and of a background corpus, share one vocabulary,
 document's score is its mean loss per token under the target model less that under the background model, in nats: the
 lower, the nearer to the target.
 
-The shared vocabulary is open: a word is one of 2 ** WORD_BITS classes by its hash, a bigram one of 2 ** PAIR_BITS. So
-the models have a fixed size, which bounds what is broadcast, while the counts are taken over every token of both
-corpora: each task counts its part, and the parts are added up by slices of the tables.
+Words, bigrams and contexts are counted one by one, by 64-bit hashes, over every token of both corpora. The counts grow
+with the corpus, so they are never gathered or broadcast: documents are dealt into blocks of about BLOCK documents, a
+block sends a row for each different word, bigram and context in it, the rows of each are added up, and the sums go back
+to the blocks that asked. So the most frequent word has one row a block and makes no hot task.
 
-    P(w) = (c(w) + 1) / (N + 2 ** WORD_BITS)
+    P(w) = (c(w) + 1) / (N + V), V the larger of the different words and 2 ** WORD_BITS
     P(w | v) = (c(v, w) + STRENGTH * P(w)) / (c(v, .) + STRENGTH)
 
 A token is a run of ASCII digits and letters (case folded) and of characters beyond ASCII; each text begins after an
@@ -21,108 +22,103 @@ have a distribution (the uniform one). Repeated rows count as often as they stan
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 WORD_BITS = 18
-PAIR_BITS = 20
 STRENGTH = 16.0
-#: Entries of a slice of a count table.
-SLICE = 1 << 12
-SIZE = (1 << WORD_BITS) + (1 << PAIR_BITS) + (1 << WORD_BITS)
+#: Documents of a block.
+BLOCK = 2000
+WORD, PAIR, CONTEXT = range(3)
 
 
 def _classes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each token its class, its context's class and its bigram's class; of each text its first token."""
+    """Of each token its hash, its context's hash and its bigram's hash; of each text its first token."""
     words, first = common.word_hashes(data, offsets)
     before = np.empty_like(words)
     before[1:] = words[:-1]
     before[first[:-1][np.diff(first) > 0]] = 0
     with np.errstate(over="ignore"):
         pair = common.mix(before * np.uint64(0x9E3779B97F4A7C15) + words)
-    shift, pair_shift = np.uint64(64 - WORD_BITS), np.uint64(64 - PAIR_BITS)
-    return (words >> shift).astype(np.int64), (before >> shift).astype(np.int64), (pair >> pair_shift).astype(np.int64), first
+    return words.view(np.int64), before.view(np.int64), pair.view(np.int64), first
+
 
+def block_counts(docs: DataFrame, target: DataFrame) -> DataFrame:
+    """block, kind, key, target and background: how often each block has each word, bigram and context.
 
-def count_model(docs: DataFrame) -> DataFrame:
-    """slice, target and background: the summed counts, as arrays, of docs (text, is_target).
+    docs: block, doc_id and text; target: block and doc_id.
+    """
 
-    Behind one another stand the counts of words, of bigrams and of contexts.
+    def run(docs: pa.Table, target: pa.Table) -> pa.Table:
+        wanted = set(target.column("doc_id").to_pylist()) - {None}
+        flags = np.array([x in wanted for x in docs.column("doc_id").to_pylist()], bool)
+        found: list[list[np.ndarray]] = [[], [], []]
+        marks = []
+        for row, end, data, offsets in common.text_passes(docs.column("text")):
+            word, before, pair, first = _classes(data, offsets)
+            for kind, keys in ((WORD, word), (PAIR, pair), (CONTEXT, before)):
+                found[kind].append(keys)
+            marks.append(np.repeat(flags[row:end], np.diff(first)))
+        parts = []
+        for kind in (WORD, PAIR, CONTEXT) if marks else ():
+            keys, place = np.unique(np.concatenate(found[kind]), return_inverse=True)
+            both = np.bincount(place[np.concatenate(marks)], minlength=len(keys)), np.bincount(place, minlength=len(keys))
+            block = np.full(len(keys), docs.column("block")[0].as_py(), np.int64)
+            parts.append(pa.table([pa.array(x) for x in (block, np.full(len(keys), kind, np.int8), keys, *(n.astype(np.int64) for n in both))], names=schema.names))
+        return pa.concat_tables(parts) if parts else schema.empty_table()
+
+    schema = pa.schema([("block", pa.int64()), ("kind", pa.int8()), ("key", pa.int64()), ("target", pa.int64()), ("background", pa.int64())])
+    return docs.groupBy("block").cogroup(target.groupBy("block")).applyInArrow(run, "block long, kind byte, key long, target long, background long")
+
+
+def score_blocks(docs: DataFrame, sums: DataFrame, sizes: tuple[int, int], vocabulary: int) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss and score of every document.
+
+    docs: block, doc_id and text; sums: block_counts with the sums over all blocks; sizes: tokens of both corpora.
     """
-    n_words, n_pairs = 1 << WORD_BITS, 1 << PAIR_BITS
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, SIZE), np.uint32)
-        for batch in batches:
-            flags = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for row, end, data, offsets in common.text_passes(batch.column(0)):
-                word, before, pair, first = _classes(data, offsets)
-                marked = np.repeat(flags[row:end], np.diff(first))
-                for k, part in ((0, marked), (1, None)):
-                    at = [x if part is None else x[part] for x in (word, n_words + pair, n_words + n_pairs + before)]
-                    for x in at:
-                        counts[k] += np.bincount(x, minlength=SIZE).astype(np.uint32)
-        for s in range(0, SIZE, SLICE):
-            part = counts[:, s : s + SLICE]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([s // SLICE]), pa.array([part[0].tobytes()], pa.binary()), pa.array([part[1].tobytes()], pa.binary())], ["slice", "target", "background"])
-
-    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, SLICE), np.int64)
-        for batch in batches:
-            for k in (0, 1):
-                for data in batch.column(1 + k):
-                    total[k] += np.frombuffer(data.as_buffer(), np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([total[0].tobytes()], pa.binary()), pa.array([total[1].tobytes()], pa.binary())], ["slice", "target", "background"])
-
-    schema = "slice long, target binary, background binary"
-    return docs.select(F.col("text").cast("string"), F.col("is_target").cast("boolean")).mapInArrow(run, schema).groupBy("slice").applyInArrow(add, schema)
-
-
-def load_model(counts: DataFrame) -> Broadcast:
-    """Both models' counts as one broadcast of 2 * SIZE numbers of 4 bytes: a size that the corpus does not change."""
-    model = np.zeros((2, SIZE), np.float32)
-    for row in counts.collect():  # SIZE / SLICE rows
-        at = row["slice"] * SLICE
-        model[0, at : at + SLICE] = np.frombuffer(row["target"], np.int64)
-        model[1, at : at + SLICE] = np.frombuffer(row["background"], np.int64)
-    return counts.sparkSession.sparkContext.broadcast(model)
-
-
-def token_losses(model: np.ndarray, word: np.ndarray, before: np.ndarray, pair: np.ndarray) -> np.ndarray:
-    """The loss of each token under one model."""
-    n_words, n_pairs = 1 << WORD_BITS, 1 << PAIR_BITS
-    single = (model[word].astype(np.float64) + 1.0) / (model[:n_words].sum(dtype=np.float64) + n_words)
-    joint = model[n_words + pair].astype(np.float64) + STRENGTH * single
-    return -np.log(joint / (model[n_words + n_pairs + before].astype(np.float64) + STRENGTH))
-
-
-def score_documents(docs: DataFrame, model: Broadcast) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss and score of every document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = model.value
-        for batch in batches:
-            for row, end, data, offsets in common.text_passes(batch.column(1)):
-                word, before, pair, first = _classes(data, offsets)
-                n = np.diff(first)
-                text = np.repeat(np.arange(end - row), n)
-                loss = [np.bincount(text, token_losses(m, word, before, pair), end - row) / np.maximum(n, 1) for m in both]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array(n), pa.array(loss[0]), pa.array(loss[1]), pa.array(loss[0] - loss[1])], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+
+    def run(docs: pa.Table, sums: pa.Table) -> pa.Table:
+        kinds = sums.column("kind").to_numpy()
+        tables = []
+        for kind in (WORD, PAIR, CONTEXT):
+            at = np.flatnonzero(kinds == kind)
+            keys = sums.column("key").to_numpy()[at]
+            order = np.argsort(keys)
+            tables.append((keys[order], [sums.column(c).to_numpy()[at[order]].astype(np.float64) for c in ("target", "background")]))
+        rows = []
+        for row, end, data, offsets in common.text_passes(docs.column("text")):
+            word, before, pair, first = _classes(data, offsets)
+            n = np.diff(first)
+            text = np.repeat(np.arange(end - row), n)
+            places = [np.searchsorted(keys, x) for (keys, _), x in zip(tables, (word, pair, before), strict=True)]
+            loss = []
+            for m in (0, 1):
+                one, two, context = (counts[m][at] for (_, counts), at in zip(tables, places, strict=True))
+                single = (one + 1.0) / (sizes[m] + vocabulary)
+                losses = -np.log((two + STRENGTH * single) / (context + STRENGTH))
+                loss.append(np.bincount(text, losses, end - row) / np.maximum(n, 1))
+            rows.append(pa.table([docs.column("doc_id").slice(row, end - row), pa.array(n.astype(np.int64)), pa.array(loss[0]), pa.array(loss[1]), pa.array(loss[0] - loss[1])], names=schema.names))
+        return pa.concat_tables(rows) if rows else schema.empty_table()
+
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("score", pa.float64())])
+    return docs.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     """Score every document of docs against the target corpus, the documents whose doc_id is in target."""
-    wanted = target.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("is_target")).dropDuplicates(["doc_id"])
-    # both sides grow with the corpus, so neither is broadcast at any size
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("merge"), "doc_id", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
-    return score_documents(docs, load_model(count_model(marked)))
+    n_blocks = max(1, -(-docs.count() // BLOCK))
+    block = lambda key: F.pmod(F.xxhash64(key), F.lit(n_blocks))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.select(block(F.coalesce("doc_id", F.xxhash64("text"))).alias("block"), "doc_id", "text")
+    wanted = target.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
+    counts = common.stored(block_counts(rows, wanted.select(block(F.col("doc_id")).alias("block"), "doc_id")), "counts")
+    words = counts.filter(F.col("kind") == WORD)
+    sizes = words.agg(F.coalesce(F.sum("target"), F.lit(0)), F.coalesce(F.sum("background"), F.lit(0))).first()
+    vocabulary = max(1 << WORD_BITS, words.select("key").distinct().count())
+    whole = Window.partitionBy("kind", "key")
+    sums = counts.select("block", "kind", "key", *(F.sum(c).over(whole).alias(c) for c in ("target", "background")))
+    return score_blocks(rows, sums, (sizes[0], sizes[1]), vocabulary)

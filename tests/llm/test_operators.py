@@ -308,6 +308,25 @@ def test_html(html, want):
     assert html_text.main_text(html or "") == want
 
 
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<html><head><title>t</title><meta charset=utf-8><body><article><p>one</article></body></html>",
+        "<html><head><meta charset=utf-8><article><p>one</article>",
+        "<head><title>t</title></head><body><article><button>press<p>one</article></body>",
+        "<body><article><select><option>x<option>y<p>one</article></body>",
+        "<body><article><svg><path d=x><p>one</article></body>",
+    ],
+)
+def test_html_with_end_tags_left_out(html):
+    assert html_text.main_text(html) == "one"
+
+
+def test_html_closed_elements_keep_their_blocks_silent():
+    page = "<article><button><div>press</div></button><object><p>fallback</p></object><svg><foreignObject><p>label</p></foreignObject></svg><p>one</article>"
+    assert html_text.main_text(page) == "one"
+
+
 def test_html_without_article_by_density():
     good = "This is the kind of text that people write when they have something to say about the world, and it goes on for a while so that it is long enough to be sure of. " * 2
     page = f"<div>{'<a href=x>link</a> ' * 20}</div><p>{good}</p><p>And a short line.</p><p>{good}</p><div>Home</div>"
@@ -345,6 +364,21 @@ def test_cross_entropy_difference_against_loops(docs, spark):
         assert got[doc_id, len(grams)] == pytest.approx((*losses, losses[0] - losses[1]), abs=1e-6)
 
 
+def test_words_and_bigrams_are_counted_one_by_one(spark):
+    """Of words with one hash class and bigrams with one, each has its own count."""
+    words = [f"word{i}" for i in range(4000)]
+    hashes = np.concatenate([common.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0] for w in words])
+    classes = {}
+    for w, h in zip(words, (hashes >> np.uint64(64 - lm_score.WORD_BITS)).tolist(), strict=True):
+        classes.setdefault(h, []).append(w)
+    a, b = next(x for x in classes.values() if len(x) > 1)[:2]
+    rows = [(i, a) for i in range(50)] + [(99, b)]
+    got = {r["doc_id"]: r["background_loss"] for r in lm_score.cross_entropy_difference(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(99,)], "doc_id long")).collect()}
+    single = lambda n: (n + 1) / (51 + 2**lm_score.WORD_BITS)
+    assert got[0] == pytest.approx(-np.log((50 + lm_score.STRENGTH * single(50)) / (51 + lm_score.STRENGTH)), abs=1e-9)
+    assert got[99] == pytest.approx(-np.log((1 + lm_score.STRENGTH * single(1)) / (51 + lm_score.STRENGTH)), abs=1e-9)
+
+
 def test_word_hashes():
     texts = ["Ab cd-AB", "", "é é", "cd", "ab"]
     data = "".join(texts).encode()
