@@ -13,6 +13,7 @@ the elements around them. Repeated rows give equal results; null page_id and url
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -40,6 +41,14 @@ STOP_WORDS = frozenset(
     "al como con cuando del el ella entre era ese esta este fue hay las lo los más me muy para pero por porque se si sin sobre su sus también una y ya".split()
 )
 
+#: Silent elements that can hold blocks if they are closed, and end at the next block if their end tag is left out. The
+#: parser reads script, style, title, iframe and textarea as text up to their end tags, so blocks in those are none.
+CLOSABLE_TAGS = frozenset("button select object svg math video audio canvas noscript template".split())
+#: Of these, another start closes the one before; and the blocks that do not end them.
+FLAT_TAGS = frozenset("button select".split())
+HELD_TAGS = frozenset("option br hr".split())
+_closable = re.compile("<(?:" + "|".join(sorted(CLOSABLE_TAGS)) + ")\\b", re.IGNORECASE)
+
 #: Characters of a short and of a long block; the share of stop words of near-good and of good blocks; the share of characters in links.
 SHORT, LONG, STOP_LOW, STOP_HIGH, MAX_LINKS = 70, 200, 0.2, 0.3, 0.2
 GOOD, BAD, NEAR, BRIEF = "good", "bad", "near", "short"
@@ -48,6 +57,34 @@ _word = re.compile(r"[^\W\d_]+")
 _space = re.compile(r"\s+")
 
 
+class _Ends(HTMLParser):
+    """Finds the closable elements without an end tag, as (element, its number among its like)."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.started: Counter[str] = Counter()
+        self.waiting: dict[str, list[int]] = {t: [] for t in CLOSABLE_TAGS}
+        self.unclosed: set[tuple[str, int]] = set()
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag in CLOSABLE_TAGS:
+            if tag in FLAT_TAGS and self.waiting[tag]:
+                self.unclosed.add((tag, self.waiting[tag].pop()))
+            self.waiting[tag].append(self.started[tag])
+            self.started[tag] += 1
+
+    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        pass
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in CLOSABLE_TAGS and self.waiting[tag]:
+            self.waiting[tag].pop()
+
+    def close(self) -> None:
+        super().close()
+        self.unclosed |= {(t, n) for t, rest in self.waiting.items() for n in rest}
+
+
 class _Blocks(HTMLParser):
     """Collects (text, characters in links, furniture?, in content?, title?) of each block."""
 
@@ -58,6 +95,17 @@ class _Blocks(HTMLParser):
         self.depth = {"silent": 0, "furniture": 0, "content": 0, "link": 0, "title": 0}
         self.parts: list[str] = []
         self.linked = 0
+        self.started: Counter[str] = Counter()
+        self.unclosed: set[tuple[str, int]] = set()
+        self.hiding: list[str] = []  # open elements that the next block closes
+
+    def feed(self, data: str) -> None:
+        if _closable.search(data):
+            ends = _Ends()
+            ends.feed(data)
+            ends.close()
+            self.unclosed = ends.unclosed
+        super().feed(data)
 
     def end_block(self) -> None:
         text = _space.sub(" ", "".join(self.parts)).strip()
@@ -77,6 +125,7 @@ class _Blocks(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK_TAGS:
             self.end_block()
+            self._close_unclosed(tag)
         if tag in VOID_TAGS:
             return
         if tag in ("p", "li", "tr", "td", "th", "dd", "dt", "option") and self.open and self.open[-1][0] == tag:
@@ -90,9 +139,19 @@ class _Blocks(HTMLParser):
         # a header of an article holds its title
         if tag == "header" and self.depth["content"]:
             furniture = False
+        if tag == "head" or (tag in CLOSABLE_TAGS and (tag, self.started[tag]) in self.unclosed):
+            self.hiding.append(tag)
+        self.started[tag] += 1
         self.open.append((tag, furniture))
         self._count(tag, furniture, 1)
 
+    def _close_unclosed(self, tag: str) -> None:
+        """An open head ends where a block begins, and so does an element whose end tag is left out."""
+        while self.hiding and tag not in HELD_TAGS:
+            name = self.hiding.pop()
+            if any(t == name for t, _ in self.open):
+                self.handle_endtag(name)
+
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK_TAGS:
             self.end_block()
