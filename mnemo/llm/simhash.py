@@ -108,6 +108,8 @@ SKETCH_RADIUS = 36
 #: So many first members of a code are compared pair by pair, and so many neighbours with the same lowest shingle.
 CLIQUE = 5
 ORDER_FACTORS = tuple(np.uint64(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F))
+#: Bytes of text of a pass over all factors, which holds the shingles in the processor's cache.
+MIN_PASS_BYTES = 1 << 19
 #: Odd, so that each is a permutation of the shingles' hashes.
 MIN_FACTORS = common.mix(np.arange(1, SEGMENTS * SEGMENT_VALUES + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -149,7 +151,7 @@ def _wide_rows(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, end, data, offsets in common.text_passes(batch.column(2)):
+            for row, end, data, offsets in common.text_passes(batch.column(2), MIN_PASS_BYTES):
                 words, first = common.word_hashes(data, offsets)
                 shingles, begin = common.shingle_hashes(words, first, SIMILAR_WORDS)
                 segments, sketch = _minwise(shingles, begin)
