@@ -14,13 +14,17 @@ A block's data: magic, counts, CRC-32 of the body and of the ids; document ids a
 checkpoints (step, word offset, lane states); 32-bit words.
 
 Defined cases: a null text is empty, and an empty text is the end id alone. Rows of equal doc_id (or null, which comes
-first) stand in the order of their ids. Every row is kept. An empty table makes an archive without blocks.
+first) stand in the order of their ids. Every row is kept. An empty table makes an archive without blocks. Only doc_id
+and text are read, so further columns cannot clash. A text of any length is one document of one block.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +39,8 @@ SCALE_BITS = 20
 LOW = np.uint64(1 << 31)
 #: Ids of a block before it ends (a longer document makes a longer block), lanes of a block, steps between checkpoints.
 BLOCK_IDS = 1 << 17
-LANES = 512
-CHECKPOINT_STEPS = 128
+LANES = 1024
+CHECKPOINT_STEPS = 64
 #: Words whose ids a Python worker remembers.
 REMEMBERED = 250_000
 MAGIC = 0x314E4152
@@ -46,31 +50,103 @@ MAGIC = 0x314E4152
 
 _encoders: dict[str, Callable] = {}
 
+#: What a tokenizer's file says if its pieces can be encoded one by one: nothing is merged over white space, and text is
+#: normalized character by character. Texts of other tokenizers are encoded whole.
+SPLIT_NORMALIZERS = ("NFC", "Replace", "Lowercase")
+SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+#: The one letter whose lower case is more than a letter: a mark follows, which joins what comes after.
+WIDE_LOWER = "\u0130"
+
+
+def _splits(spec: dict) -> bool:
+    """Whether the tokenizer that `spec` describes lets white-space separated pieces be encoded one by one."""
+    steps = (spec.get("normalizer") or {}).get("normalizers", [])
+    first = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
+    spaces = [s for s in steps if s["type"] == "Replace"]
+    return (
+        tuple(s["type"] for s in steps) == SPLIT_NORMALIZERS
+        and all(s["pattern"] == {"Regex": "\\s+"} and s["content"] == " " for s in spaces)
+        and first.get("type") == "Split"
+        and first.get("pattern") == {"Regex": SPLIT_PATTERN}
+        and first.get("invert") is True
+        and spec["model"].get("end_of_word_suffix") == "</w>"
+        and all(t["content"].startswith("<|") and not t["lstrip"] and not t["rstrip"] for t in spec.get("added_tokens", []))
+    )
+
+
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), "<u4", int(sizes.sum())), sizes
+
+
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+class _Pieces:
+    """The ids of pieces, remembered by a number for each piece."""
+
+    def __init__(self, tokenizer, ends: np.ndarray) -> None:
+        self.tokenizer, self.ends = tokenizer, ends
+        self.numbers: dict[str, int] = {}
+        self.ids, self.sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64)
+
+    def encode(self, pieces: list[str], words: bool) -> tuple[np.ndarray, np.ndarray]:
+        """All ids and each piece's number of them. Words (letters alone) are one pre-token each, so they are encoded many at a time."""
+        if words and pieces:
+            groups = [" ".join(pieces[at : at + 200]) for at in range(0, len(pieces), 200)]
+            flat, _ = _flat([e.ids for e in self.tokenizer.encode_batch_fast(groups, add_special_tokens=False)])
+            stops = np.flatnonzero(self.ends[flat]) + 1
+            if len(stops) == len(pieces) and stops[-1] == len(flat):
+                return flat, np.diff(stops, prepend=0)
+        parts = [_flat([e.ids for e in self.tokenizer.encode_batch_fast(pieces[at : at + 5_000], add_special_tokens=False)]) for at in range(0, len(pieces), 5_000)]
+        return (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, ("<u4", np.int64)[k]) for k in (0, 1))
+
+    def look_up(self, pieces: pa.Array, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids that are needed, and for each piece where its own begin and how many they are."""
+        names = _strings(pieces)
+        at = np.fromiter(map(self.numbers.get, names, repeat(-1)), np.int64, len(names))
+        ids, sizes = [self.ids], [self.sizes]
+        held = len(self.sizes)
+        new_names: list[str] = []
+        for kind in (True, False):
+            new = np.flatnonzero((at < 0) & (words == kind))
+            part = [names[k] for k in new]
+            got, size = self.encode(part, kind)
+            at[new] = held + len(new_names) + np.arange(len(new))
+            new_names += part
+            ids.append(got)
+            sizes.append(size)
+        ids, sizes = np.concatenate(ids), np.concatenate(sizes)
+        if held < REMEMBERED:
+            self.numbers.update(zip(new_names, range(held, held + len(new_names)), strict=True))
+            self.ids, self.sizes = ids, sizes
+        first = np.cumsum(sizes) - sizes
+        return ids, first[at], sizes[at]
+
 
 def word_encoder(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
     """A function from a string column to all ids (uint32) and each text's first id, for the tokenizer file at `path`.
 
-    The tokenizer never merges over white space, so each white-space separated piece is encoded once and remembered.
-    A piece of ASCII lower case and letters with trailing ASCII punctuation is two pre-tokens: the letters, the rest.
+    A tokenizer that never merges over white space has each white-space separated piece encoded once and remembered. There,
+    a piece of letters with trailing ASCII punctuation is two pre-tokens: the letters, the rest. Any other tokenizer
+    encodes texts whole.
     """
     from tokenizers import Tokenizer
 
     if path in _encoders:
         return _encoders[path]
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     tokenizer = Tokenizer.from_file(path)
-    known: dict[str, bytes] = {}
-
-    def ids_of(pieces: list[str]) -> list[bytes]:
-        new = [p for p in pieces if p not in known]
-        got = {}
-        for at in range(0, len(new), 5_000):
-            part = new[at : at + 5_000]
-            for p, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                got[p] = np.array(e.ids, "<u4").tobytes()
-        out = [known.get(p) or got.get(p, b"") for p in pieces]
-        if len(known) < REMEMBERED:
-            known.update(got)
-        return out
+    spec = json.loads(tokenizer.to_str())
+    ends = np.zeros(tokenizer.get_vocab_size(), bool)
+    ends[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+    known = _Pieces(tokenizer, ends)
+
+    def encode_whole(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids, sizes = known.encode(_strings(texts), False)
+        return ids, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
     def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         # \s of the tokenizer holds these four and more; a piece with another white space in it is encoded whole
@@ -79,19 +155,25 @@ def word_encoder(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray
             split = split.combine_chunks()
         offsets = split.offsets.to_numpy().astype(np.int64)
         words = split.flatten().dictionary_encode()
+        n = len(words.dictionary)
         # a special token's string counts in its own case only
         lower = pc.if_else(pc.match_substring(words.dictionary, "<|"), words.dictionary, pc.ascii_lower(words.dictionary))
-        core = pc.replace_substring_regex(lower, r"^(\pL+)[!-&(-/:-@\[-`{-~]+$", r"\1")
-        has_tail = pc.not_equal(core, lower)
-        tail = pc.if_else(has_tail, pc.replace_substring_regex(lower, r"^\pL+", ""), "")
-        cores, tails = core.dictionary_encode(), tail.dictionary_encode()
-        ids = ids_of([*cores.dictionary.to_pylist(), *tails.dictionary.to_pylist()])
-        lengths = np.array([len(x) // 4 for x in ids], np.int64)
-        flat, begin = np.frombuffer(b"".join(ids), "<u4"), np.concatenate([[0], np.cumsum(lengths)])
+        core = pc.ascii_rtrim(lower, PUNCTUATION)
+        letters = pc.and_(pc.utf8_is_alpha(core), pc.invert(pc.match_substring(core, WIDE_LOWER)))
+        core = pc.if_else(letters, core, lower)
+        cut = np.flatnonzero(pc.not_equal(core, lower).to_numpy(zero_copy_only=False))
+        tails = np.full(n, "", object)
+        tails[cut] = [x[k:] for x, k in zip(_strings(lower.take(cut)), pc.utf8_length(core.take(cut)).to_numpy(), strict=True)]
+        tail = pa.array(tails, pa.string())
+        both = pa.concat_arrays([core, tail]).dictionary_encode()
+        alone = np.zeros(len(both.dictionary), bool)
+        place = both.indices.to_numpy()
+        alone[place[:n][letters.to_numpy(zero_copy_only=False)]] = True
+        flat, begin, lengths = known.look_up(both.dictionary, alone)
         code = words.indices.to_numpy()
         pair = np.empty((len(code), 2), np.int64)
-        pair[:, 0] = cores.indices.to_numpy()[code] if len(code) else 0
-        pair[:, 1] = (tails.indices.to_numpy()[code] + len(cores.dictionary)) if len(code) else 0
+        if len(code):
+            pair[:, 0], pair[:, 1] = place[:n][code], place[n:][code]
         pair = pair.reshape(-1)
         size = lengths[pair]
         ends = np.cumsum(size)
@@ -100,8 +182,8 @@ def word_encoder(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray
         word_end = np.concatenate([[0], ends[1::2]]).astype(np.int64)
         return out, word_end[offsets - offsets[0]]
 
-    _encoders[path] = encode
-    return encode
+    _encoders[path] = encode if _splits(spec) else encode_whole
+    return _encoders[path]
 
 
 def _odd_space(texts: pa.Array) -> bool:
@@ -116,7 +198,7 @@ def token_ids(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
         encode = word_encoder(tokenizer)
         for batch in batches:
             column = batch.column(1).fill_null("")
-            for row, end, _, _ in common.text_passes(column, 2 << 20):
+            for row, end, _, _ in common.text_passes(column):
                 ids, first = encode(column.slice(row, end - row))
                 n = end - row
                 at = first[1:] + np.arange(n)
@@ -148,11 +230,11 @@ def count_ids(tokens: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for data, width in zip(batch.column(0), batch.column(1).to_numpy(), strict=True):
-                ids = _widen(data.as_buffer(), width)
-                if len(ids) and ids.max() >= len(counts):
-                    counts = np.concatenate([counts, np.zeros(int(ids.max()) + 1 - len(counts), np.int64)])
-                got = np.bincount(ids)
+            widths = batch.column(1).to_numpy()
+            for width in np.unique(widths):
+                got = np.bincount(_widen(b"".join(batch.column(0).filter(pa.array(widths == width)).to_numpy(zero_copy_only=False)), width))
+                if len(got) > len(counts):
+                    counts = np.concatenate([counts, np.zeros(len(got) - len(counts), np.int64)])
                 counts[: len(got)] += got
         there = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(counts[there])], ["id", "n"])
@@ -333,12 +415,13 @@ def write_archive(tokens: DataFrame, folder: str) -> None:
     )
 
 
-def read_archive(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 and ids (little-endian 32-bit integers) of every document of an archive."""
+def read_archive(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and (with_ids) ids as little-endian 32-bit integers, of every document of an archive."""
     stored = spark.read.parquet(f"{folder}/table").toPandas()  # the vocabulary's table
     freq = np.zeros(int(stored["id"].max()) + 1 if len(stored) else 1, np.int64)
     freq[stored["id"].to_numpy(np.int64)] = stored["freq"].to_numpy(np.int64)
     shared = spark.sparkContext.broadcast(freq)
+    names = ["ids"] if with_ids else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq = shared.value.astype(np.uint64)
@@ -356,23 +439,23 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
                         pa.array(start + ends - lengths, pa.int64()),
                         pa.array(lengths, pa.int64()),
                         pa.array([zlib.crc32(x) for x in raw], pa.int64()),
-                        pa.array(raw, pa.binary()),
+                        *([pa.array(raw, pa.binary())] if with_ids else []),
                     ],
-                    ["shard", "doc_id", "at", "n_tokens", "ids_crc32", "ids"],
+                    ["shard", "doc_id", "at", "n_tokens", "ids_crc32", *names],
                 )
 
     blocks = spark.read.parquet(f"{folder}/blocks")
-    docs = blocks.select("shard", "start", "data").mapInArrow(run, "shard long, doc_id long, at long, n_tokens long, ids_crc32 long, ids binary")
+    docs = blocks.select("shard", "start", "data").mapInArrow(run, "shard long, doc_id long, at long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else ""))
     # one row for a shard, and so for a task of the writer
     totals = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = totals.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return docs.join(F.broadcast(before), "shard").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "ids")
+    return docs.join(F.broadcast(before), "shard").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *names)
 
 
-def token_archive(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str | None = None) -> DataFrame:
+def token_archive(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str | None = None, with_ids: bool = True) -> DataFrame:
     """Encode every text of docs (doc_id, text), write the archive and read its documents back."""
     spark = docs.sparkSession
     folder = folder or common.new_folder(spark, "tokens")
     tokens = common.stored(token_ids(docs, tokenizer, end_id), "ids")
     write_archive(tokens, folder)
-    return read_archive(spark, folder)
+    return read_archive(spark, folder, with_ids)

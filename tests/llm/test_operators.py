@@ -549,3 +549,29 @@ def test_pipeline_stages_chain(spark, docs, tmp_path):
         seen.append(d.count())
     assert seen == sorted(seen, reverse=True) and seen[-1] == seen[-2] > 0
     assert seen[1] < seen[0] and seen[2] < seen[1]
+
+
+def test_token_ids_of_odd_letters():
+    """Letters of many scripts, marks, spaces and special tokens in any order give the library's own ids."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    rng = random.Random(5)
+    pool = [*"abXY'.,!?-(\" \t\n\x0b\x1c\x85<|>12", "\u0130", "\u0131", "\u0130!", "\u00df", "\u03a3", "e\u0301", "\u0307", "\u1112\u1161", "\u00aa", "\ufb01", "\u00a0", "<|endoftext|>", "'LL", "\u0345"]
+    pool += [chr(rng.randrange(0xA0, 0x3000)) for _ in range(200)] + [chr(rng.randrange(0x10000, 0x1F000)) for _ in range(50)]
+    texts = ["\u0130!", "A\u0130?", ""] + ["".join(rng.choice(pool) for _ in range(rng.randrange(20))) for _ in range(4000)]
+    ids, first = tokens.word_encoder(queries.TOKENIZER)(pa.array(texts))
+    want = [e.ids for e in Tokenizer.from_file(queries.TOKENIZER).encode_batch(texts, add_special_tokens=False)]
+    assert [ids[a:b].tolist() for a, b in zip(first, first[1:], strict=False)] == want
+
+
+def test_other_tokenizers_encode_texts_whole():
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["Two  words\n", "", "don't Stop", prose(50)]
+    ids, first = tokens.word_encoder(path)(pa.array(texts))
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert [ids[a:b].tolist() for a, b in zip(first, first[1:], strict=False)] == want
