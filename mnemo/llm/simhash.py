@@ -103,11 +103,14 @@ SIMILAR_WORDS = 5
 #: that is 5 of 100,000 pairs.
 SEGMENTS = 25
 SEGMENT_VALUES = 5
-#: Bits of the sketch that may differ. Of the 125, texts at the least similarity differ in 12.5 on average, by a deviation of 3.4.
-SKETCH_RADIUS = 36
-#: So many first members of a code are compared pair by pair, and so many neighbours with the same lowest shingle.
-CLIQUE = 5
-ORDER_FACTORS = tuple(np.uint64(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F))
+#: Bits of the sketch that may differ. Of the 125, texts at the least similarity differ in 12.5 on average, by a deviation
+#: of 3.4; of a million such pairs two differ in more.
+SKETCH_RADIUS = 30
+#: Texts of a code that are compared as pairs; larger codes are compared block by block.
+SMALL_CODE = 6
+#: Texts and shingles of a block on average (a longer text makes its block longer).
+BLOCK_TEXTS = 256
+BLOCK_SHINGLES = 1 << 21
 #: Bytes of text of a pass over all factors, which holds the shingles in the processor's cache.
 MIN_PASS_BYTES = 1 << 19
 #: Odd, so that each is a permutation of the shingles' hashes.
@@ -147,24 +150,19 @@ def _sequence_keys(words: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _wide_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, key, segments, sketch and lowest (of the shingles, by several mixings) of each row."""
+    """doc_id, text_hash, key, size (number of shingles), segments and sketch of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, end, data, offsets in common.text_passes(batch.column(2), MIN_PASS_BYTES):
                 words, first = common.word_hashes(data, offsets)
                 shingles, begin = common.shingle_hashes(words, first, SIMILAR_WORDS)
-                segments, sketch = _minwise(shingles, begin)
-                shingles, begin = _short((shingles, begin))
-                lowest = np.zeros((end - row, len(ORDER_FACTORS)), np.int64)
-                there = np.diff(begin) > 0
-                for k, factor in enumerate(ORDER_FACTORS):
-                    lowest[there, k] = np.minimum.reduceat((shingles * factor) & np.uint64(0xFFFFFFFF), begin[:-1][there]) if there.any() else 0
-                lists = [pa.ListArray.from_arrays(pa.array(np.arange(end - row + 1) * x.shape[1], pa.int32()), pa.array(x.reshape(-1))) for x in (segments, sketch, lowest)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), batch.column(1).slice(row, end - row), pa.array(_sequence_keys(words, first).view(np.int64)), *lists], ["doc_id", "text_hash", "key", "segments", "sketch", "lowest"])
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(end - row + 1) * x.shape[1], pa.int32()), pa.array(x.reshape(-1))) for x in _minwise(shingles, begin)]
+                keys = pa.array(_sequence_keys(words, first).view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), batch.column(1).slice(row, end - row), keys, pa.array(np.diff(begin)), *lists], ["doc_id", "text_hash", "key", "size", "segments", "sketch"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("text_hash"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, key long, segments array<long>, sketch array<long>, lowest array<long>")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, key long, size long, segments array<long>, sketch array<long>")
 
 
 def _shingle_rows(docs: DataFrame) -> DataFrame:
@@ -193,34 +191,35 @@ def _short(hashes: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarra
     return hashes[0] >> np.uint64(32), hashes[1]
 
 
-def _alike(x: Column, y: Column) -> Column:
-    """Whether two sketches differ in at most SKETCH_RADIUS bits."""
+def _distance(x: Column, y: Column) -> Column:
+    """In how many bits two sketches differ."""
     bits = [F.bit_count(F.get(x, k).bitwiseXOR(F.get(y, k))) for k in (0, 1)]
-    return bits[0] + bits[1] <= SKETCH_RADIUS
+    return bits[0] + bits[1]
 
 
-def _codes(firsts: DataFrame, *more: str) -> DataFrame:
-    """key, sketch, low, code and more: a row for each segment of each key's fingerprint."""
-    exploded = firsts.select("key", "sketch", "lowest", *more, F.posexplode("segments").alias("segment", "code"))
-    return exploded.select("key", "sketch", F.get("lowest", F.col("segment") % len(ORDER_FACTORS)).alias("low"), "code", *more)
+def _ordered(x: str, y: str) -> list[Column]:
+    return [F.greatest(x, y).alias("u"), F.least(x, y).alias("v")]
 
 
-def _apart(firsts: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs u, v that share a code and have like sketches, but are in different groups of roots."""
-    named = firsts.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    codes = _codes(named, "root").drop("low")
-    mixed = codes.groupBy("code").agg(F.min("root").alias("lowest"), F.max("root").alias("highest")).filter("lowest < highest")
-    left = codes.join(mixed.select("code"), "code", "left_semi")
-    x, y = left.alias("x"), left.alias("y")
-    met = x.join(y, (F.col("x.code") == F.col("y.code")) & (F.col("x.root") < F.col("y.root")) & _alike(F.col("x.sketch"), F.col("y.sketch")))
-    return met.select(F.greatest("x.key", "y.key").alias("u"), F.least("x.key", "y.key").alias("v")).distinct()
+def _shared_codes(firsts: DataFrame) -> DataFrame:
+    """key, size, segments, sketch, segment and code of each code that several keys share, with one of these: leader and its sketch."""
+    codes = firsts.filter("size > 0").select("key", "size", "segments", "sketch", F.posexplode("segments").alias("segment", "code"))
+    small = codes.select("code", "key", "sketch")
+    # which key leads is a draw of its own for each code; counts and minima are made in each task first
+    leader = small.groupBy("code").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("key", "code").alias("draw"), "key", "sketch")).alias("first"))
+    leader = leader.filter("n > 1").select("code", F.col("first.key").alias("leader"), F.col("first.sketch").alias("leader_sketch"))
+    return codes.join(leader, "code")
 
 
-def _similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs u, v whose shingle sets have a Jaccard similarity of at least SIMILARITY.
+def _best(shared: DataFrame) -> DataFrame:
+    """A pair u, v for each key: of the leaders of its codes the one whose sketch is nearest."""
+    met = shared.select("key", "leader", _distance(F.col("sketch"), F.col("leader_sketch")).alias("bits")).filter(f"key <> leader AND bits <= {SKETCH_RADIUS}")
+    nearest = met.groupBy("key").agg(F.min(F.struct("bits", "leader")).alias("best"))
+    return nearest.select(*_ordered("key", "best.leader")).distinct()
 
-    Sets are made again from the texts, and only those of keys in a pair are stored: all others end after one shuffle.
-    """
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs u, v whose shingle sets have a Jaccard similarity of at least SIMILARITY."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,38 +230,121 @@ def _similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 keep.append(both >= SIMILARITY * (len(x) + len(y) - both) - 1e-9)
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    wanted = pairs.select(F.col("u").alias("key")).distinct().union(pairs.select(F.col("v").alias("key")).distinct()).distinct()
-    # copies are reduced to one set in each task before the shuffle; the join has the same keys and adds none
-    sets = common.stored(_shingle_rows(docs).groupBy("key").agg(F.first("shingles").alias("shingles")).join(wanted, "key", "left_semi"), "shingles")
     joined = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
     sizes = F.least(F.size("a"), F.size("b")) >= F.lit(SIMILARITY) * F.greatest(F.size("a"), F.size("b"))
     return joined.filter(sizes).select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
+def _mixed(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of shared whose code has several groups of roots, with root, main (the code's largest group), n, n_rest, words and words_rest."""
+    named = shared.drop("leader", "leader_sketch").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    groups = named.groupBy("code", "root").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    largest = F.max(F.struct("n", "root", "words"))
+    sums = groups.groupBy("code").agg(F.count("*").alias("groups"), F.sum("n").alias("n"), F.sum("words").alias("words"), largest.alias("main")).filter("groups > 1")
+    return named.join(sums.select("code", "n", "words", (F.col("n") - F.col("main.n")).alias("n_rest"), (F.col("words") - F.col("main.words")).alias("words_rest"), F.col("main.root").alias("main")), "code")
+
+
+def _small_pairs(mixed: DataFrame) -> DataFrame:
+    """The pairs u, v of different groups with like sketches in codes of at most SMALL_CODE keys."""
+    rows = mixed.filter(F.col("n") <= SMALL_CODE).select("code", "key", "root", "sketch")
+    x, y = rows.alias("x"), rows.alias("y")
+    met = x.join(y, (F.col("x.code") == F.col("y.code")) & (F.col("x.root") < F.col("y.root")) & (_distance(F.col("x.sketch"), F.col("y.sketch")) <= SKETCH_RADIUS))
+    return met.select(*_ordered("x.key", "y.key")).distinct()
+
+
+def _blocks(mixed: DataFrame) -> DataFrame:
+    """The rows of larger codes dealt into blocks: code, i, j, side, key, root and what else mixed has.
+
+    Side 0 is what is not in the code's main group, side 1 is all. Every block of side 0 meets every block of side 1, so
+    that a code takes rows in proportion to its keys where most are in one group already.
+    """
+    large = mixed.filter(F.col("n") > SMALL_CODE)
+    pieces = lambda n, words: F.greatest(F.ceil(F.col(n) / BLOCK_TEXTS), F.ceil(F.col(words) / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    large = large.withColumns({"of_rest": pieces("n_rest", "words_rest"), "of_all": pieces("n", "words")})
+    at = lambda salt, of: F.pmod(F.xxhash64("key", F.lit(salt)), F.col(of)).cast("int")
+    rest = large.filter("root <> main").select("*", F.lit(0).alias("side"), at(0, "of_rest").alias("i"), F.explode(F.sequence(F.lit(0), F.col("of_all") - 1)).alias("j"))
+    whole = large.select("*", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("of_rest") - 1)).alias("i"), at(1, "of_all").alias("j"))
+    return rest.unionByName(whole).select("code", "i", "j", "side", "key", "root", "segment", "segments", "sketch")
+
+
+def _meeting(blocks: DataFrame) -> DataFrame:
+    """The rows of blocks that have a partner there: of another group, with a like sketch, and no earlier code in common."""
+    names = ["code", "i", "j", "side", "key", "root"]
+
+    def run(block: pa.Table) -> pa.Table:
+        side, root = block.column("side").to_numpy(), block.column("root").to_numpy()
+        sketch = block.column("sketch").combine_chunks().values.to_numpy().reshape(-1, 2).view(np.uint64)
+        segments = block.column("segments").combine_chunks().values.to_numpy().reshape(-1, SEGMENTS)
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        meets = np.zeros(len(side), bool)
+        for part in (x[k : k + BLOCK_TEXTS] for k in range(0, len(x), BLOCK_TEXTS)):
+            pairs = (root[part][:, None] != root[y]) & (np.bitwise_count(sketch[part][:, None] ^ sketch[y]).sum(2) <= SKETCH_RADIUS)
+            for s in range(block.column("segment")[0].as_py()):
+                pairs &= segments[part, s][:, None] != segments[y, s]
+            meets[part] |= pairs.any(1)
+            meets[y] |= pairs.any(0)
+        return block.select(names).filter(pa.array(meets))
+
+    return blocks.groupBy("code", "i", "j").applyInArrow(run, "code long, i int, j int, side int, key long, root long")
+
+
+def _block_links(meeting: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links u, v by exact similarity within blocks, as many as join what they join and no more."""
+
+    def run(block: pa.Table) -> pa.Table:
+        side, root, keys = (block.column(c).to_numpy() for c in ("side", "root", "key"))
+        lists = block.column("shingles").combine_chunks()
+        first = lists.offsets.to_numpy().astype(np.int64)
+        names, tokens = np.unique(lists.values.to_numpy()[first[0] : first[-1]], return_inverse=True)
+        first = first - first[0]
+        sizes = np.diff(first)
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        of_y = np.concatenate([tokens[first[k] : first[k + 1]] for k in y])
+        begin = np.concatenate([[0], np.cumsum(sizes[y])])
+        there = np.zeros(len(names) + 1, np.int32)
+        group = {r: r for r in root.tolist()}
+
+        def find(r: int) -> int:
+            while group[r] != r:
+                group[r] = r = group[group[r]]
+            return r
+
+        links = []
+        for k in x:
+            there[:] = 0
+            there[tokens[first[k] : first[k + 1]]] = 1
+            both = np.concatenate([[0], np.cumsum(there[of_y])])
+            both = both[begin[1:]] - both[begin[:-1]]
+            for at in y[(both >= SIMILARITY * (sizes[k] + sizes[y] - both) - 1e-9) & (root[y] != root[k])]:
+                a, b = find(int(root[k])), find(int(root[at]))
+                if a != b:
+                    group[max(a, b)] = min(a, b)
+                    links.append((max(keys[k], keys[at]), min(keys[k], keys[at])))
+        return pa.table({"u": pa.array([a for a, _ in links], pa.int64()), "v": pa.array([b for _, b in links], pa.int64())})
+
+    return meeting.join(sets, "key").groupBy("code", "i", "j").applyInArrow(run, "u long, v long")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, key and root: documents of one root are near copies, directly or over others.
 
     A minwise value of two texts agrees with a probability that is their similarity, so whether the edits are scattered,
     or a copy is cut or extended, makes no difference: of pairs at the very bound 5 in 100,000 meet in no segment, and far
-    fewer above it. Texts of the same words (case and punctuation aside) are one key and are never compared. Within a
-    code, texts stand in the order of their lowest shingle, which near copies mostly share, and are first compared with the
-    next; with a few more at the code's beginning and where the lowest shingle is the same. That joins most groups by links
-    in proportion to their members. All pairs of a code that are then still in different groups are compared too, without
-    a cap, so that no two texts of one code stay apart that are near copies.
+    fewer above it. Texts of the same words (case and punctuation aside) are one key and are never compared.
+
+    Each code has a leader. A text is first compared with the leader nearest to it, which joins most groups by a link for
+    each text. Codes whose texts are then in different groups still are compared whole, without a cap: all that is not in
+    the code's main group with all of the code. Shingle sets are made once, and stored for keys that share a code.
     """
     rows = common.stored(_wide_rows(docs), "near")
-    firsts = rows.groupBy("key").agg(F.first("segments").alias("segments"), F.first("sketch").alias("sketch"), F.first("lowest").alias("lowest"))
-    order = Window.partitionBy("code").orderBy("low", "key")
-    beside = lambda k: (F.row_number().over(order) <= CLIQUE) | (F.lag("low", k).over(order) == F.col("low"))
-    other = lambda k: F.lag(F.struct("key", "sketch"), k).over(order)
-    others = [other(1), *(F.when(beside(k), other(k)) for k in range(2, CLIQUE))]
-    met = _codes(firsts).select("key", F.filter(F.array(*others), lambda x: x.isNotNull()).alias("others"), "sketch")
-    met = met.select("key", F.explode(F.transform(F.filter("others", lambda x: _alike(x["sketch"], F.col("sketch"))), lambda x: x["key"])).alias("other"))
-    near = common.cut(met.select(F.greatest("key", "other").alias("u"), F.least("key", "other").alias("v")).distinct())
-    links = common.cut(_similar(near, docs))
-    rest = common.cut(_apart(firsts, components(links)).join(near, ["u", "v"], "left_anti"))
-    if not rest.isEmpty():
-        links = links.union(_similar(rest, docs))
+    firsts = rows.groupBy("key").agg(*(F.first(c).alias(c) for c in ("size", "segments", "sketch")))
+    shared = common.stored(_shared_codes(firsts), "codes")
+    # copies are reduced to one set in each task before the shuffle; the join has the same keys and adds none
+    sets = _shingle_rows(docs).groupBy("key").agg(F.first("shingles").alias("shingles"))
+    sets = common.stored(sets.join(shared.select("key").distinct(), "key", "left_semi"), "shingles")
+    links = common.cut(_similar(_best(shared), sets))
+    mixed = common.cut(_mixed(shared, components(links)))
+    links = links.union(_similar(_small_pairs(mixed), sets)).union(_block_links(common.cut(_meeting(_blocks(mixed))), sets))
     roots = components(links)
     return rows.select("doc_id", "text_hash", "key").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("doc_id", "text_hash", "key", F.coalesce("root", "key").alias("root"))
 
