@@ -1,13 +1,16 @@
 """HTML extraction by two-pass block rules.
 
-A page is cut into blocks at block-level tags. The first pass classifies each block by length, link density and
-stop-word density into good, bad, near-good or short; blocks in the page's furniture (menus, headers, footers,
-sidebars, notices, adverts, forms, reader comments) are bad whatever they say. In the second pass near-good and short
-blocks inherit the label of the nearest decided neighbours. Within an <article> or <main> element the tags decide: its
-blocks are good unless furniture. Titles count with what follows them.
-
-Defined cases: null html is empty; a page without main text has the empty text. Unclosed and stray tags are closed by
-the elements around them. Repeated rows give equal results; null page_id and url stand as they are.
+A page is cut into blocks at block-level tags. The first pass labels each block good, bad, near-good or short by stop-word
+density, length and link density, with its place in the page as further evidence. The furniture of a page (menus, headers,
+footers, sidebars, notices, adverts, forms, reader comments) is bad. In an <article> or <main> element nothing but a
+list of links is bad: what its words alone would reject is near-good there. Where a page has such an element, what is outside
+is near-good at best. In the second pass near-good and short blocks inherit the label of the nearest decided blocks of their
+part of the page, and where there is none, that part decides. Titles count with what follows them.
+
+Defined cases: null html is empty; a page without main text has the empty text; an empty table gives no rows. Unclosed and
+stray tags are closed by the elements around them, and whatever follows "<![" up to the next ">" is a comment. Pages of any
+length and nesting are taken whole, in time that grows with their length. Repeated rows give equal results; null
+page_id and url stand as they are. Only page_id, url and html are read, so further columns cannot clash.
 """
 
 from __future__ import annotations
@@ -49,15 +52,26 @@ FLAT_TAGS = frozenset("button select".split())
 HELD_TAGS = frozenset("option br hr".split())
 _closable = re.compile("<(?:" + "|".join(sorted(CLOSABLE_TAGS)) + ")\\b", re.IGNORECASE)
 
-#: Characters of a short and of a long block; the share of stop words of near-good and of good blocks; the share of characters in links.
-SHORT, LONG, STOP_LOW, STOP_HIGH, MAX_LINKS = 70, 200, 0.2, 0.3, 0.2
+#: Characters of a short and of a long block; the share of stop words of near-good and of good blocks; the share of
+#: characters in links beyond which a block is bad, and that of a list of links within content.
+SHORT, LONG, STOP_LOW, STOP_HIGH, MAX_LINKS, LISTED = 70, 200, 0.2, 0.3, 0.2, 0.8
 GOOD, BAD, NEAR, BRIEF = "good", "bad", "near", "short"
 
 _word = re.compile(r"[^\W\d_]+")
 _space = re.compile(r"\s+")
 
 
-class _Ends(HTMLParser):
+class _Parser(HTMLParser):
+    """A parser to which "<![" begins a comment, as HTML has it, and not an error."""
+
+    def parse_html_declaration(self, i: int) -> int:
+        if self.rawdata.startswith("<![", i):
+            end = self.rawdata.find(">", i)
+            return len(self.rawdata) if end < 0 else end + 1
+        return super().parse_html_declaration(i)
+
+
+class _Ends(_Parser):
     """Finds the closable elements without an end tag, as (element, its number among its like)."""
 
     def __init__(self) -> None:
@@ -85,13 +99,14 @@ class _Ends(HTMLParser):
         self.unclosed |= {(t, n) for t, rest in self.waiting.items() for n in rest}
 
 
-class _Blocks(HTMLParser):
+class _Blocks(_Parser):
     """Collects (text, characters in links, furniture?, in content?, title?) of each block."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.blocks: list[tuple[str, int, bool, bool, bool]] = []
         self.open: list[tuple[str, bool]] = []  # element, furniture
+        self.opened: Counter[str] = Counter()  # of these, how many of each name
         self.depth = {"silent": 0, "furniture": 0, "content": 0, "link": 0, "title": 0}
         self.parts: list[str] = []
         self.linked = 0
@@ -143,13 +158,14 @@ class _Blocks(HTMLParser):
             self.hiding.append(tag)
         self.started[tag] += 1
         self.open.append((tag, furniture))
+        self.opened[tag] += 1
         self._count(tag, furniture, 1)
 
     def _close_unclosed(self, tag: str) -> None:
         """An open head ends where a block begins, and so does an element whose end tag is left out."""
         while self.hiding and tag not in HELD_TAGS:
             name = self.hiding.pop()
-            if any(t == name for t, _ in self.open):
+            if self.opened[name]:
                 self.handle_endtag(name)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -159,12 +175,12 @@ class _Blocks(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK_TAGS:
             self.end_block()
-        if any(t == tag for t, _ in self.open):
-            while self.open:
-                name, furniture = self.open.pop()
-                self._count(name, furniture, -1)
-                if name == tag:
-                    break
+        while self.opened[tag]:
+            name, furniture = self.open.pop()
+            self.opened[name] -= 1
+            self._count(name, furniture, -1)
+            if name == tag:
+                break
 
     def handle_data(self, data: str) -> None:
         if self.depth["silent"]:
@@ -174,56 +190,71 @@ class _Blocks(HTMLParser):
             self.linked += len(data.strip())
 
 
-def classify(text: str, linked: int) -> str:
-    """The first pass, without a look at the block's place."""
-    if linked > MAX_LINKS * len(text) or "©" in text:
+def classify(text: str, linked: int, furniture: bool = False, inside: bool | None = None) -> str:
+    """The first pass. inside: whether the block is in the page's content element; None if the page has none."""
+    if furniture or linked > MAX_LINKS * len(text) and not inside or "©" in text and len(text) < LONG and not inside:
         return BAD
-    if len(text) < SHORT:
-        return BRIEF
     words = _word.findall(text.lower())
     stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-    if stops >= STOP_HIGH:
-        return GOOD if len(text) > LONG else NEAR
-    return NEAR if stops >= STOP_LOW else BAD
+    if inside and linked > LISTED * len(text) and stops < STOP_HIGH:
+        return BAD
+    if len(text) < SHORT:
+        return BRIEF
+    if stops >= STOP_HIGH and len(text) > LONG and inside is not False:
+        return GOOD
+    return NEAR if stops >= STOP_LOW or inside else BAD
+
 
+def _decided(labels: list[str], parts: list[bool]) -> list[str | None]:
+    """Of each block the nearest decided label before it in its part of the page."""
+    last: dict[bool, str] = {}
+    found = []
+    for label, part in zip(labels, parts, strict=True):
+        found.append(last.get(part))
+        if label in (GOOD, BAD):
+            last[part] = label
+    return found
 
-def settle(labels: list[str]) -> list[bool]:
-    """The second pass: which blocks are good, when near-good and short ones follow the nearest decided ones.
 
-    A short block needs good neighbours on both sides; a near-good one needs one. The page's ends count as bad.
+def settle(labels: list[str], inside: list[bool]) -> list[bool]:
+    """The second pass: which blocks are good, when near-good and short ones follow the nearest decided ones of their part.
+
+    Within content an undecided block is bad only between bad ones. Elsewhere a short block needs good neighbours on both
+    sides and a near-good one needs one, and the page's ends count as bad.
     """
-    n = len(labels)
-    before, after = [BAD] * n, [BAD] * n
-    last = BAD
-    for i, label in enumerate(labels):
-        before[i] = last
-        last = label if label in (GOOD, BAD) else last
-    last = BAD
-    for i in range(n - 1, -1, -1):
-        after[i] = last
-        last = labels[i] if labels[i] in (GOOD, BAD) else last
-    return [label == GOOD or (label == NEAR and GOOD in (b, a)) or (label == BRIEF and b == a == GOOD) for label, b, a in zip(labels, before, after, strict=True)]
+    before = _decided(labels, inside)
+    after = _decided(labels[::-1], inside[::-1])[::-1]
 
+    def good(label: str, content: bool, b: str | None, a: str | None) -> bool:
+        if label in (GOOD, BAD):
+            return label == GOOD
+        if content:
+            return not b == a == BAD
+        return b == a == GOOD or (label == NEAR and GOOD in (b, a))
 
-def main_text(html: str) -> str:
-    """The main text of a page: its good blocks, joined by an empty line."""
+    return [good(*x) for x in zip(labels, inside, before, after, strict=True)]
+
+
+def labelled(html: str) -> list[tuple[str, str, bool, bool]]:
+    """Text, first label, whether within content, and whether good in the end, of each block of a page."""
     parser = _Blocks()
     parser.feed(html)
     parser.close()
     parser.end_block()
-    content = any(c and not f for _, _, f, c, _ in parser.blocks)
-    labels = []
-    for text, linked, furniture, inside, _title in parser.blocks:
-        if furniture or (content and not inside):
-            labels.append(BAD)
-        elif inside:
-            labels.append(GOOD)
-        else:
-            labels.append(classify(text, linked))
+    blocks = parser.blocks
+    content = any(c and not f for _, _, f, c, _ in blocks)
+    labels = [classify(text, linked, furniture, inside if content else None) for text, linked, furniture, inside, _ in blocks]
     for i in range(len(labels) - 2, -1, -1):
-        if parser.blocks[i][4] and labels[i] == BRIEF and labels[i + 1] in (GOOD, NEAR):
+        if blocks[i][4] and labels[i] == BRIEF and labels[i + 1] in (GOOD, NEAR):
             labels[i] = labels[i + 1]
-    return "\n\n".join(b[0] for b, good in zip(parser.blocks, settle(labels), strict=True) if good)
+    # furniture within an article is no neighbour of its text
+    inside = [content and c and not f for _, _, f, c, _ in blocks]
+    return [(b[0], *rest) for b, *rest in zip(blocks, labels, inside, settle(labels, inside), strict=True)]
+
+
+def main_text(html: str) -> str:
+    """The main text of a page: its good blocks, joined by an empty line."""
+    return "\n\n".join(text for text, _, _, good in labelled(html) if good)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

@@ -403,6 +403,68 @@ def test_html_without_article_by_density():
     assert html_text.main_text(page) == "\n\n".join([good.strip(), "And a short line.", good.strip()])
 
 
+def test_html_odd_markup():
+    assert html_text.main_text("<article><p>a</p><![foo[bar]]><p>b</p><![if gte mso 9]><p>c</p><![endif]></article>") == "a\n\nb\n\nc"
+    assert html_text.main_text("<article><p>a</p><![CDATA[x") == "a"
+    rng = random.Random(12)
+    parts = ["<!", "<![", "<!-", "<!--", "-->", "]]>", "<?", "</", "<", ">", "<p", "<p>", "</p>", "<div class=", '"ad"', "<article>", "</article>", "<script>", "</script>", "&#0;", "&#xd800;", "&amp", "&#9999999999;", "<svg>", "<textarea>", "<title>", "\x00", "x", " é ", "<a href=x>", "</a>", "<br/>", "<template>", "<!DOCTYPE", "<![if x]>"]
+    for _ in range(3000):
+        html_text.main_text("".join(rng.choice(parts) for _ in range(rng.randrange(30))))
+
+
+def test_html_time_grows_with_length():
+    import time
+
+    def took(n):
+        begin = time.process_time()
+        html_text.main_text("<div>" * n + "</span>" * n + "<p>x" * n + "<b>" * n)
+        return time.process_time() - begin
+
+    took(100)
+    assert took(16_000) < 12 * max(took(4_000), 0.02)
+
+
+def test_html_second_pass_against_a_search():
+    """Each undecided block against a search outwards from it."""
+    rng = random.Random(13)
+    kinds = [html_text.GOOD, html_text.BAD, html_text.NEAR, html_text.BRIEF]
+    for _ in range(500):
+        n = rng.randrange(12)
+        labels, inside = [rng.choice(kinds) for _ in range(n)], [rng.random() < 0.5 for _ in range(n)]
+
+        def look(i, step, labels=labels, inside=inside, n=n):
+            k = i + step
+            while 0 <= k < n:
+                if inside[k] == inside[i] and labels[k] in kinds[:2]:
+                    return labels[k]
+                k += step
+            return None
+
+        for i, got in enumerate(html_text.settle(labels, inside)):
+            around = [look(i, -1), look(i, 1)]
+            if labels[i] in kinds[:2]:
+                want = labels[i] == "good"
+            elif inside[i]:
+                want = around != ["bad", "bad"]
+            else:
+                want = around.count("good") >= (1 if labels[i] == "near" else 2)
+            assert got == want
+
+
+def test_html_rules_decide_blocks_of_pages(spark):
+    """On the driver's pages blocks are decided by words and links too, and undecided ones by their neighbours."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
+    seen = [x for r in pages for x in html_text.labelled(r["html"] or "")]
+    assert sum(label == "good" for _, label, _, _ in seen) > 40 and sum(label in ("near", "short") and good for _, label, _, good in seen) > 40
+    # the pages are made of an article and furniture: a plain cut at the tags gives the article's blocks
+    for r in pages:
+        article = re.sub(r"(?s)<(script|style|aside|form|nav|footer)\b.*?</\1>|<div class=.*?</div>|<!--.*?-->", "", re.search(r"(?s)<article>(.*)</article>", r["html"]).group(1))
+        import html
+
+        blocks = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", "", b))).strip() for b in re.split(r"</?(?:p|h1|br|div|ul|ol|li|table|tr|td|blockquote|pre|h2|h3)\b[^>]*>", article)]
+        assert html_text.main_text(r["html"]) == "\n\n".join(b for b in blocks if b)
+
+
 def test_html_frame(spark):
     rows = html_text.extract_text(spark.createDataFrame([(1, "u", "<article>é&#233;</article>", 5), (None, None, None, 5)], "page_id long, url string, html string, text int")).collect()
     assert sorted((r["page_id"] or 0, r["url"] or "", r["text"], r["n_chars"]) for r in rows) == [(0, "", "", 0), (1, "u", "éé", 2)]
