@@ -5,15 +5,18 @@ resolution: byte k of a block is the block's k-th coefficient in zigzag order. J
 accumulated coefficients give the payload back, whatever the pixels round to. A file has, for each component, a first DC
 scan, two spectral bands of AC coefficients, and the successive-approximation scans that refine the last bit.
 
-Decoding accumulates the scans into coefficient arrays, inverse-transforms them in numpy, upsamples the chroma, and
-gives RGB pixels. Restart intervals are independent, so all intervals of all files of a batch are decoded in lockstep,
-one symbol of each at a time.
-
-Coefficients are two or more in size (see `_to_coefficient`), so each is known after the first scans and a refinement
-scan has no new ones; a stream where it has some is refused.
+Decoding accumulates the scans into coefficient arrays, dequantises and inverse-transforms them in numpy, upsamples the
+chroma, and gives RGB pixels. Restart intervals are independent, so all intervals of all files of a batch are decoded in
+lockstep, one symbol of each at a time. Refinement scans in which every coefficient is known already, as in the files
+written here (`_to_coefficient` gives none below two in size), are one bit a coefficient. All other scans of progressive
+JPEG are decoded one symbol after another: components interleaved, any levels of approximation, new coefficients, runs of
+ended bands. So files of other writers are decoded too, of one or three components and any sampling; they have no
+payload and its columns are null. A file that is no 8-bit Huffman-coded progressive JPEG is refused.
 
 Defined cases: a null text is empty, and an empty text is one block of zeros. Payloads are whole, never cut; a batch is
-worked off in passes of bounded size, and a longer payload makes a pass of its own. Equal texts give equal files.
+worked off in passes of bounded size, and a longer payload makes a pass of its own. Equal texts give equal files. Repeated
+rows and null doc_ids are rows like others; an empty table gives no rows. Only doc_id and text (or media) are read, so
+further columns cannot clash.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -218,38 +222,105 @@ def _lookup(table: bytes) -> tuple[np.ndarray, np.ndarray]:
     return symbols, lengths
 
 
-def _segments(data: bytes, markers: np.ndarray, base: int) -> tuple[dict, list[tuple[int, bytes, int, int]]]:
-    """A file's tables and sizes, and its scans: component, (Ss, Se, AhAl) and table, first and end byte of the data."""
-    info: dict = {"tables": {}, "components": []}
-    scans, at = [], 2
-    if data[:2] != b"\xff\xd8":
-        raise ValueError("no JPEG file")
-    while data[at + 1] != 0xD9:
-        kind, size = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
-        body = data[at + 4 : at + 2 + size]
-        at += 2 + size
-        if kind == 0xC4:
-            while body:
-                n = 17 + sum(body[1:17])
-                info["tables"][body[0]] = body[1:n]
-                body = body[n:]
-        elif kind == 0xC2:
-            info["size"] = struct.unpack(">HH", body[1:5])
-            info["components"] = [(body[6 + 3 * k], body[7 + 3 * k]) for k in range(body[5])]
-        elif kind == 0xDD:
-            info["interval"] = int.from_bytes(body, "big")
-        elif kind == 0xFE:
-            info["note"] = body.decode()
-        elif kind == 0xDA:
-            k = int(np.searchsorted(markers, base + at))
-            while 0xD0 <= data[markers[k] - base + 1] <= 0xD7:
-                k += 1
-            end = int(markers[k]) - base
-            scans.append((body[1] - 1, body[3:6] + body[2:3], at, end))
-            at = end
-        elif 0xC0 <= kind <= 0xCF and kind != 0xCC:
-            raise ValueError("no progressive JPEG file")
-    return info, scans
+@dataclass
+class Plane:
+    """A component's blocks: rows and columns with the padding of whole MCUs, without it, first block, sampling, quantizer."""
+
+    first: int
+    rows: int
+    columns: int
+    used_rows: int
+    used_columns: int
+    vertical: int
+    horizontal: int
+    quantizer: int
+
+    @property
+    def blocks(self) -> int:
+        return self.rows * self.columns
+
+
+@dataclass
+class Scan:
+    components: list[int]
+    low: int
+    high: int
+    before: int
+    after: int
+    tables: list[bytes]
+    interval: int
+    begin: int
+    end: int
+
+
+class File:
+    """The headers of a progressive JPEG file: planes, quantizers, scans and the payload's note."""
+
+    def __init__(self, data: bytes, markers: np.ndarray, base: int, first: int) -> None:
+        if data[:2] != b"\xff\xd8":
+            raise ValueError("no JPEG file")
+        self.planes: list[Plane] = []
+        self.scans: list[Scan] = []
+        self.quantizers: dict[int, np.ndarray] = {}
+        self.note: list[str] = []
+        self.height = self.width = self.blocks = 0
+        names: list[int] = []
+        tables: dict[int, bytes] = {}
+        interval, at = 0, 2
+        while data[at + 1] != 0xD9:
+            kind, size = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
+            body = data[at + 4 : at + 2 + size]
+            at += 2 + size
+            if kind == 0xC4:
+                while body:
+                    n = 17 + sum(body[1:17])
+                    tables[body[0]] = body[1:n]
+                    body = body[n:]
+            elif kind == 0xDB:
+                while body:
+                    wide = body[0] >> 4
+                    n = 1 + 64 * (1 + wide)
+                    self.quantizers[body[0] & 15] = np.frombuffer(body[1:n], ">u2" if wide else "u1").astype(np.float32)
+                    body = body[n:]
+            elif kind == 0xC2:
+                names = self._frame(body, first)
+            elif kind == 0xDD:
+                interval = int.from_bytes(body, "big")
+            elif kind == 0xFE and body.startswith(b"payload "):
+                self.note = body.decode().split()
+            elif kind == 0xDA:
+                k = int(np.searchsorted(markers, base + at))
+                while 0xD0 <= data[markers[k] - base + 1] <= 0xD7:
+                    k += 1
+                n = body[0]
+                low, high, levels = body[1 + 2 * n : 4 + 2 * n]
+                of = [body[2 + 2 * c] for c in range(n)]
+                used = [tables.get(0x10 | (t & 15) if low else t >> 4, b"") for t in of]
+                self.scans.append(Scan([names.index(body[1 + 2 * c]) for c in range(n)], low, high, levels >> 4, levels & 15, used, interval, base + at, int(markers[k])))
+                at = int(markers[k]) - base
+            elif 0xC0 <= kind <= 0xCF and kind != 0xCC:
+                raise ValueError("no progressive JPEG file")
+
+    def _frame(self, body: bytes, first: int) -> list[int]:
+        self.height, self.width = struct.unpack(">HH", body[1:5])
+        parts = [(body[6 + 3 * k], body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(body[5])]
+        if body[0] != 8 or len(parts) not in (1, 3) or not self.height:
+            raise ValueError("no 8-bit image of one or three components")
+        h, v = max(p[1] for p in parts), max(p[2] for p in parts)
+        down, across = -(-self.height // (8 * v)), -(-self.width // (8 * h))
+        for _, ph, pv, quantizer in parts:
+            used = -(-(-(-self.height * pv // v)) // 8), -(-(-(-self.width * ph // h)) // 8)
+            self.planes.append(Plane(first + self.blocks, down * pv, across * ph, *used, pv, ph, quantizer))
+            self.blocks += self.planes[-1].blocks
+        self.mcus = down * across
+        self.across = across
+        return [p[0] for p in parts]
+
+    @property
+    def plain(self) -> bool:
+        """Whether the image is one as this module writes it: whole MCUs, chroma at half resolution, no quantization."""
+        shape = [(p.vertical, p.horizontal) for p in self.planes]
+        return shape == [(2, 2), (1, 1), (1, 1)] and self.height % 16 == self.width % 16 == 0 and all((self.quantizers[p.quantizer] == 1).all() for p in self.planes)
 
 
 class _Bits:
@@ -309,84 +380,220 @@ def _first_scan(reader: _Bits, table: tuple[np.ndarray, np.ndarray], lo: int, hi
         k += 1
 
 
-def decode(files: list[bytes]) -> tuple[list[bytes], list[int], list[tuple[int, int]], np.ndarray, np.ndarray]:
-    """Payloads, text sizes and (columns, rows) of MCUs of files; all coefficients, and each file's first block."""
+class _Symbols:
+    """A bit reader over one restart interval, for scans that are decoded one symbol after another."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data, self.at, self.n = data + b"\xff" * 8, 0, len(data) * 8
+
+    def bits(self, n: int) -> int:
+        at = self.at
+        self.at += n
+        return (int.from_bytes(self.data[at >> 3 : (at >> 3) + 5], "big") >> (40 - (at & 7) - n)) & ((1 << n) - 1)
+
+    def symbol(self, table: tuple[np.ndarray, np.ndarray]) -> int:
+        at = self.at
+        top = (int.from_bytes(self.data[at >> 3 : (at >> 3) + 3], "big") >> (8 - (at & 7))) & 0xFFFF
+        if at >= self.n or not table[1][top]:
+            raise ValueError("a damaged scan")
+        self.at += int(table[1][top])
+        return int(table[0][top])
+
+    def number(self, size: int) -> int:
+        value = self.bits(size) if size else 0
+        return value if not size or value >> (size - 1) else value - (1 << size) + 1
+
+
+def _one_by_one(file: File, scan: Scan, intervals: list[bytes], out: np.ndarray) -> None:
+    """Decode any scan of a file, block after block."""
+    tables = [_lookup(t) if t else None for t in scan.tables]
+    planes = [file.planes[c] for c in scan.components]
+    if len(planes) == 1:
+        p = planes[0]
+        units = [[(0, p.first + y * p.columns + x)] for y in range(p.used_rows) for x in range(p.used_columns)]
+    else:
+        units = [
+            [(k, p.first + (y * p.vertical + i) * p.columns + x * p.horizontal + j) for k, p in enumerate(planes) for i in range(p.vertical) for j in range(p.horizontal)]
+            for y, x in (divmod(m, file.across) for m in range(file.mcus))
+        ]
+    step = scan.interval or len(units)
+    for begin, data in zip(range(0, len(units), step), intervals, strict=True):
+        reader, ended = _Symbols(data), 0
+        last = [0] * len(planes)
+        for unit in units[begin : begin + step]:
+            for k, block in unit:
+                if scan.low == 0:
+                    if scan.before:
+                        out[block, 0] |= reader.bits(1) << scan.after
+                    else:
+                        last[k] += reader.number(reader.symbol(tables[k]))
+                        out[block, 0] = last[k] * (1 << scan.after)
+                else:
+                    row = out[block].tolist()
+                    ended = (_refined if scan.before else _banded)(reader, tables[k], row, scan, ended)
+                    out[block] = row
+
+
+def _banded(reader: _Symbols, table: tuple[np.ndarray, np.ndarray], row: list[int], scan: Scan, ended: int) -> int:
+    """A block of a first AC scan; the blocks that remain ended."""
+    if ended:
+        return ended - 1
+    k = scan.low
+    while k <= scan.high:
+        run, size = divmod(reader.symbol(table), 16)
+        if size == 0 and run < 15:
+            return (1 << run) + reader.bits(run) - 1
+        k += run
+        if size:
+            row[k] = reader.number(size) * (1 << scan.after)
+        k += 1
+    return 0
+
+
+def _refined(reader: _Symbols, table: tuple[np.ndarray, np.ndarray], row: list[int], scan: Scan, ended: int) -> int:
+    """A block of a refinement AC scan: a bit for each known coefficient passed, new ones of the least size between."""
+    unit, k = 1 << scan.after, scan.low
+
+    def correct(k: int) -> None:
+        if reader.bits(1):
+            row[k] += unit if row[k] > 0 else -unit
+
+    while not ended and k <= scan.high:
+        run, size = divmod(reader.symbol(table), 16)
+        if size == 0 and run < 15:
+            ended = (1 << run) + reader.bits(run)
+            break
+        new = (unit if reader.bits(1) else -unit) if size else 0
+        while k <= scan.high:
+            if row[k]:
+                correct(k)
+            elif run:
+                run -= 1
+            else:
+                row[k] = new
+                k += 1
+                break
+            k += 1
+    if not ended:
+        return 0
+    for k in range(k, scan.high + 1):
+        if row[k]:
+            correct(k)
+    return ended - 1
+
+
+def decode(files: list[bytes]) -> tuple[list[File], np.ndarray]:
+    """The files' headers, and all their coefficients: a row for each block in the order of files, planes and rasters."""
     data = np.frombuffer(b"".join(files), np.uint8)
     follows = np.concatenate([data[1:], [0]])
     markers = np.flatnonzero((data == 255) & (follows != 0))
     bases = np.cumsum([0, *map(len, files)])
-    parsed = [_segments(f, markers, int(b)) for f, b in zip(files, bases, strict=False)]
-    grids = [(info["size"][1] // 16, info["size"][0] // 16) for info, _ in parsed]
-    mcus = np.array([c * r for c, r in grids], np.int64)
-    file_first = np.concatenate([[0], np.cumsum(mcus * 6)])
+    parsed: list[File] = []
+    n_blocks = 0
+    for f, base in zip(files, bases, strict=False):
+        parsed.append(File(f, markers, int(base), n_blocks))
+        n_blocks += parsed[-1].blocks
     kept = ~((data == 0) & (np.concatenate([[0], data[:-1]]) == 255))
     new_place = np.concatenate([[0], np.cumsum(kept)])
     clean = data[kept]
-    out = np.zeros((int(file_first[-1]), BLOCK), np.int64)
-    offsets = (0, 4, 5)
+    out = np.zeros((n_blocks, BLOCK), np.int64)
     restarts = markers[(follows[markers] >= 0xD0) & (follows[markers] <= 0xD7)]
-    # scans of one kind of all files are decoded together, kinds in the order in which they stand
-    kinds: dict[tuple, list[tuple[int, int, int, int]]] = {}
-    for i, (info, scans) in enumerate(parsed):
-        for component, header, lo, hi in scans:
-            ac = header[0] > 0
-            table = info["tables"].get((0x10 if ac else 0) | (header[3] & 15 if ac else header[3] >> 4), b"")
-            kinds.setdefault((header[:3], table, info["interval"]), []).append((i, component, int(bases[i]) + lo, int(bases[i]) + hi))
-    for (header, table, interval), scans in kinds.items():
-        runs = np.array([mcus[i] * (4 if c == 0 else 1) for i, c, _, _ in scans])
-        firsts = np.array([file_first[i] + mcus[i] * offsets[c] for i, c, _, _ in scans])
-        n = -(-runs // interval)
-        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        count = np.minimum(interval, np.repeat(runs, n) - place * interval)
-        begin = np.repeat(firsts, n) + place * interval
-        lo = np.array([s[2] for s in scans])
-        byte = np.repeat(lo, n)
-        inner = np.repeat(np.searchsorted(restarts, lo), n) + place - 1
-        byte[place > 0] = restarts[inner[place > 0]] + 2
-        order = np.argsort(-count, kind="stable")
-        begin, count = begin[order], count[order]
-        reader = _Bits(clean, new_place[byte[order]])
-        lo_k, hi_k, approximation = header
-        if approximation >> 4 == 0:
-            _first_scan(reader, _lookup(table), lo_k, hi_k, begin, count, out)
-            blocks = np.repeat(begin, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            if lo_k == 0:
-                sums = np.cumsum(out[blocks, 0])
-                ends = np.cumsum(count)
-                before = np.concatenate([[0], sums])[ends - count]
-                out[blocks, 0] = sums - np.repeat(before, count)
-            out[blocks, lo_k : hi_k + 1] <<= approximation & 15
-        else:
-            _refine(reader, _lookup(table) if lo_k else None, lo_k, hi_k, begin, count, out, clean, approximation & 15)
-    payloads, sizes = [], []
-    everything = _to_byte(out)
-    for i, (info, _) in enumerate(parsed):
-        _, n, _, size = info["note"].split()
-        payloads.append(everything[file_first[i] : file_first[i + 1]].tobytes()[: int(n)])
-        sizes.append(int(size))
-    return payloads, sizes, grids, out, file_first
-
-
-def _refine(reader: _Bits, table: tuple[np.ndarray, np.ndarray] | None, lo: int, hi: int, begin: np.ndarray, count: np.ndarray, out: np.ndarray, data: np.ndarray, low_bit: int) -> None:
-    """A refinement scan in which every coefficient of the band is known already: a bit for each, in order."""
+    # scans of one kind of all files are decoded together; a component's scans follow one another
+    rounds: dict[tuple, list[tuple[File, Scan]]] = {}
+    for f in parsed:
+        seen = [0] * len(f.planes)
+        for scan in f.scans:
+            at = max(seen[c] for c in scan.components)
+            for c in scan.components:
+                seen[c] = at + 1
+            p = f.planes[scan.components[0]]
+            together = len(scan.components) == 1 and p.used_rows == p.rows and p.used_columns == p.columns
+            rounds.setdefault((at, together, scan.low, scan.high, scan.before, scan.after, scan.tables[0] if together else b""), []).append((f, scan))
+    for (_, together, low, high, before, after, table), scans in sorted(rounds.items(), key=lambda x: x[0][0]):
+        if not together or not _together(scans, table, low, high, before, after, clean, new_place, restarts, out):
+            for f, scan in scans:
+                inner = restarts[(restarts >= scan.begin) & (restarts < scan.end)]
+                bounds = zip([scan.begin, *(inner + 2)], [*inner, scan.end], strict=True)
+                _one_by_one(f, scan, [clean[new_place[a] : new_place[b]].tobytes() for a, b in bounds], out)
+    return parsed, out
+
+
+def _together(scans: list[tuple[File, Scan]], table: bytes, low: int, high: int, before: int, after: int, clean: np.ndarray, new_place: np.ndarray, restarts: np.ndarray, out: np.ndarray) -> bool:
+    """Decode scans of one kind in lockstep; False (and nothing done) if they are refinements with new coefficients."""
+    planes = [f.planes[s.components[0]] for f, s in scans]
+    runs = np.array([p.blocks for p in planes])
+    interval = np.array([s.interval or p.blocks for (_, s), p in zip(scans, planes, strict=True)])
+    n = -(-runs // interval)
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    count = np.minimum(np.repeat(interval, n), np.repeat(runs, n) - place * np.repeat(interval, n))
+    begin = np.repeat([p.first for p in planes], n) + place * np.repeat(interval, n)
+    lo = np.array([s.begin for _, s in scans])
+    byte = np.repeat(lo, n)
+    inner = np.repeat(np.searchsorted(restarts, lo), n) + place - 1
+    byte[place > 0] = restarts[inner[place > 0]] + 2
+    order = np.argsort(-count, kind="stable")
+    begin, count = begin[order], count[order]
+    reader = _Bits(clean, new_place[byte[order]])
+    if before:
+        return _refine(reader, _lookup(table) if low else None, low, high, begin, count, out, clean, after)
+    _first_scan(reader, _lookup(table), low, high, begin, count, out)
+    blocks = np.repeat(begin, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    if low == 0:
+        sums = np.cumsum(out[blocks, 0])
+        ends = np.cumsum(count)
+        out[blocks, 0] = sums - np.repeat(np.concatenate([[0], sums])[ends - count], count)
+    out[blocks, low : high + 1] <<= after
+    return True
+
+
+def payloads(files: list[File], coefficients: np.ndarray) -> list[tuple[bytes, int] | None]:
+    """The payload and its text's size of each file that this module wrote, None of others."""
+    bytes_of = _to_byte(coefficients)
+    return [(bytes_of[f.planes[0].first :][: f.blocks].tobytes()[: int(f.note[1])], int(f.note[3])) if f.note else None for f in files]
+
+
+def _refine(reader: _Bits, table: tuple[np.ndarray, np.ndarray] | None, lo: int, hi: int, begin: np.ndarray, count: np.ndarray, out: np.ndarray, data: np.ndarray, low_bit: int) -> bool:
+    """A refinement scan in which every coefficient of the band is known already: a bit for each, in order. Else False."""
     everywhere = slice(0, len(begin))
     if table is not None:
         window = reader.peek(everywhere)
         symbol, used = table[0][window >> 16], table[1][window >> 16]
         run = symbol >> 4
+        if (symbol & 15).any() or (run > 14).any():
+            return False
         blocks = (1 << run) + ((window >> (32 - used - run)) & ((1 << run) - 1))
-        if (symbol & 15).any() or (blocks != count).any():
-            raise ValueError("a refinement scan with new coefficients")
+        if (blocks != count).any():
+            return False
         reader.at += used + run
     width = hi - lo + 1
-    n = count * width
-    bit = np.repeat(reader.at, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    bits = ((data[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1).astype(np.int64).reshape(-1, width)
     blocks = np.repeat(begin, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     known = out[blocks, lo : hi + 1]
     if lo and not known.all():
-        raise ValueError("a refinement scan with unknown coefficients")
+        return False
+    n = count * width
+    bit = np.repeat(reader.at, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    bits = ((data[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1).astype(np.int64).reshape(-1, width)
     out[blocks, lo : hi + 1] = known | (bits << low_bit) if lo == 0 else known + np.where(known < 0, -bits, bits) * (1 << low_bit)
+    return True
+
+
+def rgb(file: File, coefficients: np.ndarray) -> np.ndarray:
+    """The RGB tensor (height, width, 3) of any file."""
+    channels = []
+    v, h = max(p.vertical for p in file.planes), max(p.horizontal for p in file.planes)
+    for p in file.planes:
+        natural = np.zeros((p.blocks, BLOCK), np.float32)
+        natural[:, ZIGZAG] = coefficients[p.first : p.first + p.blocks] * file.quantizers[p.quantizer]
+        pixels = np.matmul(np.matmul(IDCT, natural.reshape(-1, 8, 8)), IDCT.T)
+        plane = pixels.reshape(p.rows, p.columns, 8, 8).transpose(0, 2, 1, 3).reshape(p.rows * 8, p.columns * 8)
+        channels.append(plane[np.arange(file.height) * p.vertical // v][:, np.arange(file.width) * p.horizontal // h])
+    bright = channels[0] + np.float32(128)
+    blue, red = channels[1:] if len(channels) == 3 else (np.float32(0), np.float32(0))
+    return np.clip(np.rint(np.stack([x + np.zeros_like(bright) for x in _colours(bright, blue, red)], -1)), 0, 255).astype(np.uint8)
+
+
+def _colours(bright: np.ndarray, blue: np.ndarray, red: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return bright + np.float32(1.402) * red, bright - np.float32(0.344136) * blue - np.float32(0.714136) * red, bright + np.float32(1.772) * blue
 
 
 def rgb_blocks(coefficients: np.ndarray, grids: list[tuple[int, int]], first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -410,7 +617,7 @@ def rgb_blocks(coefficients: np.ndarray, grids: list[tuple[int, int]], first: np
     i, j = (y[:, None] * 4 + half)[:, :, None], (x[:, None] * 4 + half)[:, None, :]
     blue, red = pixels[chroma_at[:, None, None], i, j], pixels[(chroma_at + mcus)[:, None, None], i, j]
     bright = pixels[np.concatenate(luma)] + np.float32(128)
-    for k, channel in enumerate((bright + np.float32(1.402) * red, bright - np.float32(0.344136) * blue - np.float32(0.714136) * red, bright + np.float32(1.772) * blue)):
+    for k, channel in enumerate(_colours(bright, blue, red)):
         out[..., k] = np.clip(np.rint(channel), 0, 255)
     return out, step
 
@@ -457,31 +664,48 @@ TENSOR_SCHEMA = FEATURE_SCHEMA + ", height int, width int, rgb binary"
 def decode_media(media: DataFrame, tensors: bool = True) -> DataFrame:
     """Digests of payload and file, a feature and (with tensors) the RGB tensor of each file of doc_id, media.
 
-    The feature is the image's size and the mean of each channel. rgb holds height * width * 3 bytes in row order.
+    The feature is the image's size and the mean of each channel. rgb holds height * width * 3 bytes in row order. A null
+    file gives nulls.
     """
 
+    kinds = dict(f.split() for f in (TENSOR_SCHEMA if tensors else FEATURE_SCHEMA).split(", "))
+    schema = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}[k]) for n, k in kinds.items()])
+
+    def images(files: list[File], coefficients: np.ndarray) -> Iterator[tuple[np.ndarray, tuple[int, int]]]:
+        """Each file's pixels (blocks of a plain one) and size."""
+        plain = [f for f in files if f.plain]
+        if plain:
+            rows = coefficients if len(plain) == len(files) else np.concatenate([coefficients[f.planes[0].first :][: f.blocks] for f in plain])
+            first = np.cumsum([0, *(f.blocks for f in plain)])
+            blocks, step = rgb_blocks(rows, [(f.width // 16, f.height // 16) for f in plain], first)
+        k = 0
+        for f in files:
+            if f.plain:
+                yield blocks[step[k] : step[k + 1]], (f.height, f.width)
+                k += 1
+            else:
+                yield rgb(f, coefficients), (f.height, f.width)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(1)
-            for lo, hi in _passes(pc.binary_length(column).to_pylist()):
-                files = column.slice(lo, hi - lo).to_pylist()
-                payloads, sizes, grids, coefficients, first = decode(files)
-                pixels, step = rgb_blocks(coefficients, grids, first)
-                sums = np.add.reduceat(pixels.sum((1, 2), dtype=np.int64), step[:-1], axis=0)
-                means = sums / (np.diff(step)[:, None] * 64)
-                rows = [
-                    pa.array(sizes, pa.int64()),
-                    pa.array([len(p) for p in payloads], pa.int64()),
-                    pa.array([hashlib.sha256(p).hexdigest() for p in payloads]),
-                    pa.array([zlib.crc32(p[-64:]) for p in payloads], pa.int64()),
-                    pa.array([len(f) for f in files], pa.int64()),
-                    pa.array([hashlib.sha256(f).hexdigest() for f in files]),
-                    pa.array([f"{c * 16}x{r * 16} {m[0]:.3f} {m[1]:.3f} {m[2]:.3f}" for (c, r), m in zip(grids, means, strict=True)]),
-                ]
-                if tensors:
-                    images = [image(pixels[a:b], c, r).tobytes() for a, b, (c, r) in zip(step, step[1:], grids, strict=False)]
-                    rows += [pa.array([r * 16 for _, r in grids], pa.int32()), pa.array([c * 16 for c, _ in grids], pa.int32()), pa.array(images, pa.binary())]
-                names = [f.split()[0] for f in (TENSOR_SCHEMA if tensors else FEATURE_SCHEMA).split(", ")]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *rows], names)
-
-    return media.select("doc_id", "media").mapInArrow(run, TENSOR_SCHEMA if tensors else FEATURE_SCHEMA)
+            for lo, hi in _passes(pc.binary_length(column).fill_null(0).to_pylist()):
+                ids = batch.column(0).slice(lo, hi - lo).to_pylist()
+                there = [(i, f) for i, f in zip(ids, column.slice(lo, hi - lo).to_pylist(), strict=True)]
+                files, coefficients = decode([f for _, f in there if f is not None])
+                found = iter(zip(payloads(files, coefficients), images(files, coefficients), files, strict=True))
+                rows = []
+                for i, f in there:
+                    if f is None:
+                        rows.append((i, *[None] * (len(schema) - 1)))
+                        continue
+                    kept, (pixels, (height, width)), file = next(found)
+                    p, n = kept or (None, None)
+                    means = pixels.reshape(-1, 3).sum(0, dtype=np.int64) / (pixels.size // 3)
+                    digests = (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-BLOCK:])) if kept else (None, None, None)
+                    feature = f"{width}x{height} {means[0]:.3f} {means[1]:.3f} {means[2]:.3f}"
+                    row = (i, n, *digests, len(f), hashlib.sha256(f).hexdigest(), feature)
+                    rows.append((*row, height, width, (image(pixels, width // 16, height // 16) if file.plain else pixels).tobytes()) if tensors else row)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return media.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("media").cast("binary").alias("media")).mapInArrow(run, TENSOR_SCHEMA if tensors else FEATURE_SCHEMA)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, html_text, licenses, lm_score, media, mixing, quality, simhash, tokens, warc
-from .common import table
+from .common import stored, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -45,7 +45,8 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.decode_media(media.encode_texts(table(spark, sf_dir, "documents")), tensors=False)
+    files = stored(media.encode_texts(table(spark, sf_dir, "documents")), "media")
+    return media.decode_media(files)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

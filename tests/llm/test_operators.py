@@ -563,7 +563,7 @@ def test_media_bytes_of_every_value_and_batching():
     texts = [bytes(range(256)) * 3, b"", b"\xff" * 5000, rng.integers(0, 256, 9999, dtype=np.uint8).tobytes(), b"\x00"]
     payloads = [media.padded(t) for t in texts]
     files = media.encode(payloads, list(map(len, texts)))
-    assert media.decode(files)[0] == payloads
+    assert media.payloads(*media.decode(files)) == list(zip(payloads, map(len, texts), strict=True))
     assert files == [media.encode([p], [len(t)])[0] for p, t in zip(payloads, texts, strict=True)]
 
 
@@ -586,6 +586,146 @@ def test_inverse_transform_by_definition():
     assert np.abs(media.image(pixels, 1, 1).astype(int) - want).max() <= 1
 
 
+def other_writers_file(planes, height, width, sampling, interval=0, interleaved=True):
+    """A progressive JPEG of coefficient planes (rows, columns, 64) as another writer would make it, and its quantizers.
+
+    DC of all components in one scan, then its last bit; AC in two bands with two bits left out, then refinements that bring
+    new coefficients; runs of ended bands.
+    """
+    lengths = {s: 9 if k < 120 else 10 for k, s in enumerate([*range(256)])}
+    code, size, codes = 0, 0, {}
+    for s_, n in lengths.items():
+        code <<= n - size if size else 0
+        size = n
+        codes[s_] = format(code, f"0{n}b")
+        code += 1
+    dht = bytes(sum(n == k for n in lengths.values()) for k in range(1, 17)) + bytes(lengths)
+    quantizers = [np.arange(1, 65), np.arange(64, 0, -1) * 3]
+    out = [b"\xff\xd8", *(b"\xff\xdb" + (3 + 64 * (1 + k)).to_bytes(2) + bytes([k << 4 | k]) + q.astype(">u2" if k else "u1").tobytes() for k, q in enumerate(quantizers))]
+    names = [9, 4, 7][: len(planes)]
+    out.append(b"\xff\xc2" + (8 + 3 * len(planes)).to_bytes(2) + b"\x08" + height.to_bytes(2) + width.to_bytes(2) + bytes([len(planes)]) + b"".join(bytes([n, h << 4 | v, min(k, 1)]) for k, (n, (v, h)) in enumerate(zip(names, sampling, strict=True))))
+    out += [b"\xff\xc4" + (3 + len(dht)).to_bytes(2) + bytes([kind]) + dht for kind in (0x00, 0x11)]
+    if interval:
+        out.append(b"\xff\xdd\x00\x04" + interval.to_bytes(2))
+    vm, hm = max(v for v, _ in sampling), max(h for _, h in sampling)
+    used = [(-(-(-(-height * v // vm)) // 8), -(-(-(-width * h // hm)) // 8)) for v, h in sampling]
+
+    def number(x):
+        n = abs(x).bit_length()
+        return n, format(x if x > 0 else x + (1 << n) - 1, f"0{n}b") if n else ""
+
+    def scan(of, lo, hi, ah, al, intervals):
+        out.append(b"\xff\xda" + (6 + 2 * len(of)).to_bytes(2) + bytes([len(of)]) + b"".join(bytes([names[c], 0x01]) for c in of) + bytes([lo, hi, ah << 4 | al]))
+        for k, bits in enumerate(intervals):
+            bits += "1" * (-len(bits) % 8)
+            data = int(bits, 2).to_bytes(len(bits) // 8) if bits else b""
+            out.append((bytes([255, 0xD0 + (k - 1) % 8]) if k else b"") + data.replace(b"\xff", b"\xff\x00"))
+
+    def cut(units):
+        n = interval or len(units)
+        return [units[k : k + n] for k in range(0, len(units), n)]
+
+    def units(c):
+        return [planes[c][y][x].tolist() for y in range(used[c][0]) for x in range(used[c][1])]
+
+    groups = [list(range(len(planes)))] if interleaved and len(planes) > 1 else [[c] for c in range(len(planes))]
+    for ah, al in ((0, 1), (1, 0)):
+        for of in groups:
+            if len(of) == 1:
+                mcus = [[(0, u)] for u in units(of[0])]
+            else:
+                v0, h0 = sampling[0]
+                mcus = [[(c, planes[c][y * sampling[c][0] + i][x * sampling[c][1] + j].tolist()) for c in of for i in range(sampling[c][0]) for j in range(sampling[c][1])] for y in range(len(planes[0]) // v0) for x in range(len(planes[0][0]) // h0)]
+            done = []
+            for part in cut(mcus):
+                bits, last = "", {}
+                for mcu in part:
+                    for c, u in mcu:
+                        if ah:
+                            bits += str(u[0] & 1)
+                        else:
+                            n, extra = number((u[0] >> 1) - last.get(c, 0))
+                            last[c] = u[0] >> 1
+                            bits += codes[n] + extra
+                done.append(bits)
+            scan(of, 0, 0, ah, al, done)
+    for c in range(len(planes)):
+        for lo, hi, ah, al in ((1, 5, 0, 2), (6, 63, 0, 2), (1, 63, 2, 1), (1, 63, 1, 0)):
+            done = []
+            for part in cut(units(c)):
+                bits = ""
+                size = [[abs(x) >> al for x in u] for u in part]
+                fresh = [[k for k in range(lo, hi + 1) if s[k] and not (ah and s[k] >> 1)] for s in size]
+                at = 0
+                while at < len(part):
+                    k, run, fixes = lo, 0, ""
+                    for k in range(lo, (fresh[at] or [lo - 1])[-1] + 1):
+                        if size[at][k] and k not in fresh[at]:
+                            fixes += str(size[at][k] & 1)
+                        elif not size[at][k]:
+                            run += 1
+                            if run == 16:
+                                bits, fixes, run = bits + codes[0xF0] + fixes, "", 0
+                        else:
+                            n, extra = number(size[at][k] if part[at][k] > 0 else -size[at][k])
+                            bits += codes[run << 4 | n] + extra + fixes
+                            run, fixes = 0, ""
+                    tail = (fresh[at] or [lo - 1])[-1] + 1
+                    if tail > hi:
+                        at += 1
+                        continue
+                    n = 1
+                    while at + n < len(part) and not fresh[at + n]:
+                        n += 1
+                    e = n.bit_length() - 1
+                    bits += codes[e << 4] + (format(n - (1 << e), f"0{e}b") if e else "")
+                    for b in range(at, at + n):
+                        bits += "".join(str(size[b][k] & 1) for k in range(tail if b == at else lo, hi + 1) if size[b][k])
+                    at += n
+                done.append(bits)
+            scan([c], lo, hi, ah, al, done)
+    return b"".join([*out, b"\xff\xd9"]), quantizers
+
+
+@pytest.mark.parametrize(("height", "width", "sampling", "interval", "interleaved"), [(16, 16, [(1, 1)] * 3, 0, True), (37, 50, [(2, 2), (1, 1), (1, 1)], 0, True), (37, 50, [(2, 2), (1, 1), (1, 1)], 3, True), (20, 45, [(1, 2), (1, 1), (1, 1)], 4, False), (33, 17, [(1, 1)], 0, True)])
+def test_progressive_files_of_other_writers(height, width, sampling, interval, interleaved):
+    rng = np.random.default_rng(height + interval)
+    vm, hm = max(v for v, _ in sampling), max(h for _, h in sampling)
+    down, across = -(-height // (8 * vm)), -(-width // (8 * hm))
+    planes = []
+    for v, h in sampling:
+        c = np.rint(rng.laplace(0, 2.0, (down * v, across * h, 64)) * (rng.random((down * v, across * h, 64)) < 0.3)).astype(int)
+        c[rng.random(c.shape[:2]) < 0.3, 1:] = 0
+        c[..., 0] = rng.integers(-60, 60, c.shape[:2])
+        planes.append(c)
+    data, quantizers = other_writers_file(planes, height, width, sampling, interval, interleaved)
+    (file,), got = media.decode([data])
+    images = []
+    for p, c, (v, h) in zip(file.planes, planes, sampling, strict=True):
+        mine = got[p.first : p.first + p.blocks].reshape(p.rows, p.columns, 64)
+        kept = mine[: p.used_rows, : p.used_columns], c[: p.used_rows, : p.used_columns]
+        assert (kept[0] == kept[1]).all()
+        natural = np.zeros((*c.shape[:2], 64))
+        natural[..., media.ZIGZAG] = mine * quantizers[min(len(images), 1)]
+        x = np.arange(8)
+        basis = np.cos((2 * x[:, None] + 1) * x[None, :] * np.pi / 16) * np.where(x == 0, np.sqrt(0.125), 0.5)
+        plane = np.einsum("xu,rcuv,yv->rxcy", basis, natural.reshape(*c.shape[:2], 8, 8), basis).reshape(p.rows * 8, p.columns * 8)
+        images.append(np.repeat(np.repeat(plane, vm // v, 0), hm // h, 1)[:height, :width])
+    y, b, r = images if len(images) == 3 else (images[0], 0, 0)
+    want = np.clip(np.rint(np.stack([y + 128 + 1.402 * r, y + 128 - 0.344136 * b - 0.714136 * r, y + 128 + 1.772 * b], -1)), 0, 255)
+    assert np.abs(media.rgb(file, got).astype(int) - want).max() <= 1
+
+
+def test_media_of_own_and_other_writers_in_one_table(spark):
+    rng = np.random.default_rng(3)
+    other, _ = other_writers_file([rng.integers(-3, 4, (2, 2, 64))], 16, 16, [(1, 1)])
+    own = media.encode([media.padded(b"text")], [4])[0]
+    got = {r["doc_id"]: r for r in media.decode_media(spark.createDataFrame([(1, bytearray(own)), (2, bytearray(other)), (3, None)], "doc_id long, media binary")).collect()}
+    assert got[1]["n_bytes"] == 4 and got[2]["n_bytes"] is None and len(got[2]["rgb"]) == 768 and got[3]["media_bytes"] is None
+    with pytest.raises(ValueError, match="progressive"):
+        media.decode([other.replace(b"\xff\xc2", b"\xff\xc0")])
+
+
 # ---- op 9
 
 
