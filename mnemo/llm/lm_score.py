@@ -1,124 +1,229 @@
 """LM scoring by cross-entropy difference.
 
-Two bigram models, of a target and of a background corpus, share one vocabulary, one order and one smoothing. A
-document's score is its mean loss per token under the target model less that under the background model, in nats: the
-lower, the nearer to the target.
-
-Words, bigrams and contexts are counted one by one, by 64-bit hashes, over every token of both corpora. The counts grow
-with the corpus, so they are never gathered or broadcast: documents are dealt into blocks of about BLOCK documents, a
-block sends a row for each different word, bigram and context in it, the rows of each are added up, and the sums go back
-to the blocks that asked. So the most frequent word has one row a block and makes no hot task.
-
-    P(w) = (c(w) + 1) / (N + V), V the larger of the different words and 2 ** WORD_BITS
-    P(w | v) = (c(v, w) + STRENGTH * P(w)) / (c(v, .) + STRENGTH)
-
-A token is a run of ASCII digits and letters (case folded) and of characters beyond ASCII; each text begins after an
-empty context, a class of its own.
-
-Defined cases: a null text is empty; a text without words has no tokens and score, target_loss and background_loss 0.
-Background counts leave out nothing, so the target's documents are part of it. With an empty target both models still
-have a distribution (the uniform one). Repeated rows count as often as they stand.
+Two bigram models, of a target and of a background corpus, share one vocabulary (the words of both, and one class for all
+others), one order and one smoothing. A document's score is its mean loss per token under the target model less that under
+the background model, in nats: the lower, the nearer to the target. The background is all documents, and a document is
+scored by models without it: its own words are taken off the background's counts, and off the target's if it is part of that.
+
+    P(w) = (c(w) + 1) / (N + V)
+    P(w | v) = (c(v, w) + STRENGTH * P(w)) / (c(v) + STRENGTH)
+
+Words are runs of ASCII digits and letters (case folded) and of characters beyond ASCII. A text with words begins after a
+boundary and ends with one, which counts as a token, so a word is a context as often as it is a token and both
+distributions sum to 1.
+
+Words and bigrams are counted one by one over every token of both corpora. Their counts grow with the corpus, so they are
+never gathered or broadcast. Documents are dealt into blocks of about BLOCK_BYTES. A block asks for the counts of its different
+words and bigrams: a row for each bucket of keys, with the keys and the block's own counts as packed arrays. A bucket adds
+up what all blocks say of its keys and answers each in the order of its keys. So the most frequent word has one entry
+a block and makes no hot task. A key is 40 bits within its bucket, and buckets grow in number with the corpus: of a million
+bigrams about two share a count with another, at every size.
+
+Defined cases: a null text is empty; a text without words has no tokens and score, target_loss and background_loss 0. With an
+empty target both models still have a distribution (the uniform one). Repeated rows count as often as they stand, and
+each is left out of its own score alone; all rows of a doc_id in target are part of it. A null doc_id is in no target. A long
+text makes its block longer and is never cut. An empty table gives no rows. Only doc_id and text are read, so further
+columns cannot clash.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-WORD_BITS = 18
 STRENGTH = 16.0
-#: Documents of a block.
-BLOCK = 2000
-WORD, PAIR, CONTEXT = range(3)
-
-
-def _classes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each token its hash, its context's hash and its bigram's hash; of each text its first token."""
-    words, first = common.word_hashes(data, offsets)
-    before = np.empty_like(words)
-    before[1:] = words[:-1]
-    before[first[:-1][np.diff(first) > 0]] = 0
-    with np.errstate(over="ignore"):
-        pair = common.mix(before * np.uint64(0x9E3779B97F4A7C15) + words)
-    return words.view(np.int64), before.view(np.int64), pair.view(np.int64), first
-
-
-def block_counts(docs: DataFrame, target: DataFrame) -> DataFrame:
-    """block, kind, key, target and background: how often each block has each word, bigram and context.
-
-    docs: block, doc_id and text; target: block and doc_id.
-    """
-
-    def run(docs: pa.Table, target: pa.Table) -> pa.Table:
-        wanted = set(target.column("doc_id").to_pylist()) - {None}
-        flags = np.array([x in wanted for x in docs.column("doc_id").to_pylist()], bool)
-        found: list[list[np.ndarray]] = [[], [], []]
-        marks = []
-        for row, end, data, offsets in common.text_passes(docs.column("text")):
-            word, before, pair, first = _classes(data, offsets)
-            for kind, keys in ((WORD, word), (PAIR, pair), (CONTEXT, before)):
-                found[kind].append(keys)
-            marks.append(np.repeat(flags[row:end], np.diff(first)))
-        parts = []
-        for kind in (WORD, PAIR, CONTEXT) if marks else ():
-            keys, place = np.unique(np.concatenate(found[kind]), return_inverse=True)
-            both = np.bincount(place[np.concatenate(marks)], minlength=len(keys)), np.bincount(place, minlength=len(keys))
-            block = np.full(len(keys), docs.column("block")[0].as_py(), np.int64)
-            parts.append(pa.table([pa.array(x) for x in (block, np.full(len(keys), kind, np.int8), keys, *(n.astype(np.int64) for n in both))], names=schema.names))
-        return pa.concat_tables(parts) if parts else schema.empty_table()
-
-    schema = pa.schema([("block", pa.int64()), ("kind", pa.int8()), ("key", pa.int64()), ("target", pa.int64()), ("background", pa.int64())])
-    return docs.groupBy("block").cogroup(target.groupBy("block")).applyInArrow(run, "block long, kind byte, key long, target long, background long")
-
-
-def score_blocks(docs: DataFrame, sums: DataFrame, sizes: tuple[int, int], vocabulary: int) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss and score of every document.
-
-    docs: block, doc_id and text; sums: block_counts with the sums over all blocks; sizes: tokens of both corpora.
-    """
-
-    def run(docs: pa.Table, sums: pa.Table) -> pa.Table:
-        kinds = sums.column("kind").to_numpy()
-        tables = []
-        for kind in (WORD, PAIR, CONTEXT):
-            at = np.flatnonzero(kinds == kind)
-            keys = sums.column("key").to_numpy()[at]
-            order = np.argsort(keys)
-            tables.append((keys[order], [sums.column(c).to_numpy()[at[order]].astype(np.float64) for c in ("target", "background")]))
-        rows = []
-        for row, end, data, offsets in common.text_passes(docs.column("text")):
-            word, before, pair, first = _classes(data, offsets)
-            n = np.diff(first)
-            text = np.repeat(np.arange(end - row), n)
-            places = [np.searchsorted(keys, x) for (keys, _), x in zip(tables, (word, pair, before), strict=True)]
-            loss = []
-            for m in (0, 1):
-                one, two, context = (counts[m][at] for (_, counts), at in zip(tables, places, strict=True))
-                single = (one + 1.0) / (sizes[m] + vocabulary)
-                losses = -np.log((two + STRENGTH * single) / (context + STRENGTH))
-                loss.append(np.bincount(text, losses, end - row) / np.maximum(n, 1))
-            rows.append(pa.table([docs.column("doc_id").slice(row, end - row), pa.array(n.astype(np.int64)), pa.array(loss[0]), pa.array(loss[1]), pa.array(loss[0] - loss[1])], names=schema.names))
-        return pa.concat_tables(rows) if rows else schema.empty_table()
-
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("score", pa.float64())])
-    return docs.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+#: Bytes of text of a block and of a bucket on average.
+BLOCK_BYTES = 4 << 20
+BUCKET_BYTES = 16 << 20
+KEY_BITS = 40
+MAX_BUCKETS = 1 << 24
+WORD, PAIR, TARGET = range(3)
+BOUNDARY = np.uint64(0x5851F42D4C957F2D)
+
+
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """Whole numbers as little-endian bytes, all lowest bytes first: high bytes are alike and shrink on the way."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _unplaned(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
+    return out.view("<u8").reshape(-1).astype(np.int64)
+
+
+class Block:
+    """The tokens of a block's documents: keys of its different words and bigrams, and for each token which these are."""
+
+    def __init__(self, texts: pa.Array, n_buckets: int) -> None:
+        words, contexts, sizes = [], [], []
+        for _, _, data, offsets in common.text_passes(texts):
+            w, first = common.word_hashes(data, offsets)
+            there = np.diff(first) > 0
+            words.append(np.insert(w, first[1:][there], BOUNDARY))
+            contexts.append(np.insert(w, first[:-1][there], BOUNDARY))
+            sizes.append(np.diff(first) + there)
+        event, context, self.sizes = (np.concatenate([*x, np.zeros(0, k)]).astype(k) for x, k in ((words, np.uint64), (contexts, np.uint64), (sizes, np.int64)))
+        self.text = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        with np.errstate(over="ignore"):
+            pair = common.mix(context * np.uint64(0x9E3779B97F4A7C15) + event)
+        self.keys, self.at = [], []
+        for hashes in (event, pair):
+            keys, at = np.unique(_keys(hashes, n_buckets), return_inverse=True)
+            self.keys.append(keys)
+            self.at.append(at)
+        # a context is a token of its text too, so its key is among those of words
+        self.context = np.searchsorted(self.keys[WORD], _keys(context, n_buckets))
+
+    def own(self, kind: int) -> np.ndarray:
+        """How often each token's word or bigram stands in its own text."""
+        _, place, n = np.unique(self.text * max(1, len(self.keys[kind])) + self.at[kind], return_inverse=True, return_counts=True)
+        return n[place]
+
+
+def _keys(hashes: np.ndarray, n_buckets: int) -> np.ndarray:
+    """Bucket and, in the lowest KEY_BITS, key within it."""
+    bucket = ((hashes >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)
+    # of the mixed hash, so that the key does not follow from the bucket
+    return (bucket << np.uint64(KEY_BITS)) | (common.mix(hashes) & np.uint64((1 << KEY_BITS) - 1))
+
+
+def _texts(docs: pa.Table) -> pa.Array:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return pa.array([unpack(z.as_buffer()) for z in docs.column("packed")], pa.large_binary()).cast(pa.large_string())
+
+
+def _packed(docs: DataFrame, n_blocks: int) -> DataFrame:
+    """block, doc_id and the text, compressed, since it is dealt twice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            packed = pa.array([pack((t.as_py() or "").encode()) for t in batch.column(2)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], ["block", "doc_id", "packed"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    key = F.coalesce("doc_id", F.xxhash64("text"))
+    return rows.select(_block(key, n_blocks), "doc_id", "text").mapInArrow(run, "block long, doc_id long, packed binary")
+
+
+def _block(key: F.Column, n_blocks: int) -> F.Column:
+    return F.pmod(F.xxhash64(key), F.lit(n_blocks)).cast("long").alias("block")
+
+
+def _marked(docs: pa.Table, ids: list) -> np.ndarray:
+    wanted = set(ids) - {None}
+    return np.array([x in wanted for x in docs.column("doc_id").to_pylist()], bool)
+
+
+ASKED = "block long, kind int, bucket long, keys binary, target binary, background binary"
+ANSWERED = "block long, kind int, bucket long, target binary, background binary, n_keys long, n_target long, n_background long"
+
+
+def _schema(text: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64()}
+    return pa.schema([(n, kinds[k]) for n, k in (f.split() for f in text.split(", "))])
+
+
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(_schema(schema))
+    return pa.table([pa.array(c, f.type) for c, f in zip(columns, _schema(schema), strict=True)], schema=_schema(schema))
+
+
+def ask(packed: DataFrame, wanted: DataFrame, n_buckets: int) -> DataFrame:
+    """The different words and bigrams of each block by bucket, with their counts in the block. wanted: block and doc_id of the target."""
+
+    def run(docs: pa.Table, wanted: pa.Table) -> pa.Table:
+        if not len(docs):
+            return _table([], ASKED)
+        block = Block(_texts(docs), n_buckets)
+        in_target = _marked(docs, wanted.column("doc_id").to_pylist())[block.text]
+        name, rows = docs.column("block")[0].as_py(), []
+        for kind in (WORD, PAIR):
+            keys, at = block.keys[kind], block.at[kind]
+            counts = [np.bincount(x, minlength=len(keys)) for x in (at[in_target], at)]
+            buckets, first = np.unique(keys >> np.uint64(KEY_BITS), return_index=True)
+            for bucket, a, b in zip(buckets.tolist(), first, [*first[1:], len(keys)], strict=True):
+                low = keys[a:b] & np.uint64((1 << KEY_BITS) - 1)
+                rows.append((name, kind, bucket, _planes(low, 5), *(_planes(n[a:b], 4) for n in counts)))
+        return _table(rows, ASKED)
+
+    return packed.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(run, ASKED)
+
+
+def answer(asked: DataFrame) -> DataFrame:
+    """The counts over all blocks of each row's keys, and once a bucket its number of keys and tokens of both corpora."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        parts = [_unplaned(x.as_buffer(), 5) for x in rows.column("keys")]
+        first = np.cumsum([0, *map(len, parts)])
+        keys, at = np.unique(np.concatenate(parts), return_inverse=True)
+        sums = []
+        for name in ("target", "background"):
+            n = np.concatenate([_unplaned(x.as_buffer(), 4) for x in rows.column(name)])
+            sums.append(np.bincount(at, n, len(keys)).astype(np.int64))
+        out = []
+        for k, (block, kind, bucket) in enumerate(zip(*(rows.column(c).to_pylist() for c in ("block", "kind", "bucket")), strict=True)):
+            mine = at[first[k] : first[k + 1]]
+            once = (len(keys), int(sums[0].sum()), int(sums[1].sum())) if k == 0 else (0, 0, 0)
+            out.append((block, kind, bucket, *(_planes(s[mine], 8) for s in sums), *once))
+        return _table(out, ANSWERED)
+
+    return asked.groupBy("kind", "bucket").applyInArrow(run, ANSWERED)
+
+
+SCORED = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
+
+
+def score(packed: DataFrame, answers: DataFrame, tokens: tuple[int, int], vocabulary: int, n_buckets: int) -> DataFrame:
+    """doc_id, n_tokens (words), target_loss, background_loss and score. answers: of answer, and the target's doc_ids as kind TARGET."""
+
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        if not len(docs):
+            return _table([], SCORED)
+        block = Block(_texts(docs), n_buckets)
+        kinds, buckets = answers.column("kind").to_numpy(), answers.column("bucket").to_numpy()
+        marked = _marked(docs, buckets[kinds == TARGET].tolist())
+        own = [block.own(kind) for kind in (WORD, PAIR)]
+        counts = []
+        for kind in (WORD, PAIR):
+            mine = answers.take(np.flatnonzero(kinds == kind)[np.argsort(buckets[kinds == kind])])
+            counts.append([np.concatenate([np.zeros(0, np.int64), *(_unplaned(x.as_buffer(), 8) for x in mine.column(c))]) for c in ("target", "background")])
+            if len(counts[-1][0]) != len(block.keys[kind]):
+                raise ValueError("a block's documents are not those that asked for its counts")
+        # a context stands in its text as often as the token it is
+        _, place, n = np.unique(block.text * max(1, len(block.keys[WORD])) + block.context, return_inverse=True, return_counts=True)
+        of_context = n[place]
+        losses = []
+        for m, without in enumerate((marked[block.text], np.ones(len(block.text), bool))):
+            one = counts[WORD][m][block.at[WORD]] - own[WORD] * without
+            two = counts[PAIR][m][block.at[PAIR]] - own[PAIR] * without
+            context = counts[WORD][m][block.context] - of_context * without
+            single = (one + 1.0) / (tokens[m] - block.sizes[block.text] * without + vocabulary)
+            loss = -np.log((two + STRENGTH * single) / (context + STRENGTH))
+            losses.append(np.bincount(block.text, loss, len(docs)) / np.maximum(block.sizes, 1))
+        columns = [docs.column("doc_id"), pa.array(np.maximum(block.sizes - 1, 0)), *map(pa.array, (*losses, losses[0] - losses[1]))]
+        return pa.table(columns, schema=_schema(SCORED))
+
+    return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, SCORED)
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     """Score every document of docs against the target corpus, the documents whose doc_id is in target."""
-    n_blocks = max(1, -(-docs.count() // BLOCK))
-    block = lambda key: F.pmod(F.xxhash64(key), F.lit(n_blocks))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.select(block(F.coalesce("doc_id", F.xxhash64("text"))).alias("block"), "doc_id", "text")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
+    n_blocks, n_buckets = max(1, -(-size // BLOCK_BYTES)), min(MAX_BUCKETS, max(1, -(-size // BUCKET_BYTES)))
+    packed = _packed(docs, n_blocks)
     wanted = target.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
-    counts = common.stored(block_counts(rows, wanted.select(block(F.col("doc_id")).alias("block"), "doc_id")), "counts")
-    words = counts.filter(F.col("kind") == WORD)
-    sizes = words.agg(F.coalesce(F.sum("target"), F.lit(0)), F.coalesce(F.sum("background"), F.lit(0))).first()
-    vocabulary = max(1 << WORD_BITS, words.select("key").distinct().count())
-    whole = Window.partitionBy("kind", "key")
-    sums = counts.select("block", "kind", "key", *(F.sum(c).over(whole).alias(c) for c in ("target", "background")))
-    return score_blocks(rows, sums, (sizes[0], sizes[1]), vocabulary)
+    wanted = wanted.select(_block(F.col("doc_id"), n_blocks), "doc_id")
+    answers = common.stored(answer(ask(packed, wanted, n_buckets)), "answers")
+    words = answers.filter(F.col("kind") == WORD).agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_keys", "n_target", "n_background"))).first()
+    ids = wanted.select("block", F.lit(TARGET).alias("kind"), F.col("doc_id").alias("bucket"), *(F.lit(None).cast("binary").alias(c) for c in ("target", "background")))
+    rows = answers.select("block", "kind", "bucket", "target", "background").union(ids)
+    return score(packed, rows, (words[1], words[2]), words[0] + 1, n_buckets)

@@ -473,42 +473,62 @@ def test_html_frame(spark):
 # ---- op 6
 
 
-def test_cross_entropy_difference_against_loops(docs, spark):
-    target = spark.createDataFrame([(5,), (9,), (5,), (None,)], "doc_id long")
-    got = {(r["doc_id"], r["n_tokens"]): (r["target_loss"], r["background_loss"], r["score"]) for r in lm_score.cross_entropy_difference(docs, target).collect()}
-    counts = [{}, {}]
-    parsed = []
-    for r in docs.collect():
-        words, first = common.word_hashes(np.frombuffer((r["text"] or "").encode(), np.uint8), np.array([0, len((r["text"] or "").encode())]))
-        word, before, pair, _ = lm_score._classes(np.frombuffer((r["text"] or "").encode(), np.uint8), np.array([0, len((r["text"] or "").encode())]))
-        grams = list(zip(word.tolist(), before.tolist(), pair.tolist(), strict=True))
-        parsed.append((r["doc_id"], grams))
-        for c in counts if r["doc_id"] in (5, 9) else counts[1:]:
-            for w, b, p in grams:
-                for key in (("w", w), ("b", b), ("p", p)):
-                    c[key] = c.get(key, 0) + 1
-    for doc_id, grams in parsed:
+def loop_scores(rows, target):
+    """doc_id, words, losses under both models and score of each row, by counting strings; each row is left out of its models."""
+    import math
+    from collections import Counter
+
+    def grams(t):
+        w = re.findall(r"[0-9a-z\x80-\U0010ffff]+", lower(t))
+        return list(zip(["^", *w], [*w, "^"], strict=True)) if w else []
+
+    parsed = [(d, grams(t)) for d, t in rows]
+    words, pairs = ([Counter(), Counter()] for _ in range(2))
+    for d, g in parsed:
+        for m in (0, 1) if d is not None and d in target else (1,):
+            pairs[m].update(g)
+            words[m].update(w for _, w in g)
+    v = len(words[1]) + 1
+    out = []
+    for d, g in parsed:
         losses = []
-        for c in counts:
-            n = sum(v for k, v in c.items() if k[0] == "w")
-            one = lambda w: (c.get(("w", w), 0) + 1) / (n + 2**lm_score.WORD_BITS)  # noqa: E731, B023
-            losses.append(sum(-np.log((c.get(("p", p), 0) + lm_score.STRENGTH * one(w)) / (c.get(("b", b), 0) + lm_score.STRENGTH)) for w, b, p in grams) / max(1, len(grams)))  # noqa: B023
-        assert got[doc_id, len(grams)] == pytest.approx((*losses, losses[0] - losses[1]), abs=1e-6)
-
-
-def test_words_and_bigrams_are_counted_one_by_one(spark):
-    """Of words with one hash class and bigrams with one, each has its own count."""
-    words = [f"word{i}" for i in range(4000)]
-    hashes = np.concatenate([common.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0] for w in words])
-    classes = {}
-    for w, h in zip(words, (hashes >> np.uint64(64 - lm_score.WORD_BITS)).tolist(), strict=True):
-        classes.setdefault(h, []).append(w)
-    a, b = next(x for x in classes.values() if len(x) > 1)[:2]
-    rows = [(i, a) for i in range(50)] + [(99, b)]
-    got = {r["doc_id"]: r["background_loss"] for r in lm_score.cross_entropy_difference(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(99,)], "doc_id long")).collect()}
-    single = lambda n: (n + 1) / (51 + 2**lm_score.WORD_BITS)
-    assert got[0] == pytest.approx(-np.log((50 + lm_score.STRENGTH * single(50)) / (51 + lm_score.STRENGTH)), abs=1e-9)
-    assert got[99] == pytest.approx(-np.log((1 + lm_score.STRENGTH * single(1)) / (51 + lm_score.STRENGTH)), abs=1e-9)
+        for m in (0, 1):
+            off = m == 1 or (d is not None and d in target)
+            one, two = (Counter(x[m]) for x in (words, pairs))
+            if off:
+                two.subtract(g)
+                one.subtract(w for _, w in g)
+            n = sum(one.values())
+            p = lambda a, b: (two[a, b] + 16 * (one[b] + 1) / (n + v)) / (one[a] + 16)  # noqa: E731, B023
+            losses.append(sum(-math.log(p(a, b)) for a, b in g) / max(1, len(g)))
+        out.append((d, max(0, len(g) - 1), *losses, losses[0] - losses[1]))
+    return out
+
+
+@pytest.mark.parametrize("target", [[5, 9, 5, None, 3], []])
+def test_cross_entropy_difference_against_loops(docs, spark, target, monkeypatch):
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(lm_score, "BUCKET_BYTES", 30_000)
+    got = lm_score.cross_entropy_difference(docs, spark.createDataFrame([(x,) for x in target], "doc_id long")).collect()
+    want = loop_scores([(r["doc_id"], r["text"]) for r in docs.collect()], set(target))
+    key = lambda r: (str(r[0]), r[1], round(r[4], 6))
+    for g, w in zip(sorted(map(tuple, got), key=key), sorted(want, key=key), strict=True):
+        assert g[:2] == w[:2] and g[2:] == pytest.approx(w[2:], abs=1e-9)
+    assert lm_score.cross_entropy_difference(docs.limit(0), docs.select("doc_id")).count() == 0
+
+
+def test_models_are_distributions(spark):
+    """Over the words, the unknown class and the boundary, P(w | v) of the loops' model sums to 1."""
+    rows = [(0, "a b a c"), (1, "b a"), (2, None)]
+    words = {"a": 3, "b": 2, "c": 1, "^": 2}
+    pairs = {("a", "b"): 1, ("a", "c"): 1, ("a", "^"): 1}
+    n, v = sum(words.values()), len(words) + 1
+    p = lambda w: (pairs.get(("a", w), 0) + 16 * (words.get(w, 0) + 1) / (n + v)) / (words["a"] + 16)
+    assert sum(p(w) for w in [*words, "unknown"]) == pytest.approx(1)
+    outside = spark.createDataFrame([*rows, (7, "a zz")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in lm_score.cross_entropy_difference(outside, spark.createDataFrame([(0,), (1,)], "doc_id long")).collect()}
+    want = {r[0]: r for r in loop_scores([*rows, (7, "a zz")], {0, 1})}
+    assert got[7]["score"] == pytest.approx(want[7][4]) and got[2]["score"] == 0
 
 
 def test_word_hashes():
