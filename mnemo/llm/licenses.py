@@ -7,8 +7,10 @@ longer, then earlier rule) is suppressed. There are a few hundred rules; most ar
 
 Everything is one projection: no shuffle, no state beyond a row.
 
-Defined cases: a null text is empty: no words, no labels, score 0. Empty and long texts are rows like others. Repeated
-rows and clashing column names make no difference, since only doc_id and text are read.
+Defined cases: a null text is empty: no words, no labels, score 0. Empty and long texts are rows like others, and a text of
+many detections takes time in proportion to them but for the power 1.5 of those of one rule (a list of all detections, which
+the query leaves out, is copied for each). Repeated rows and clashing column names make no difference, since only doc_id
+and text are read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -226,30 +228,78 @@ def _labelled(places: Column, label: str) -> Column:
     return F.transform(places, lambda i: F.struct(i.alias("at"), F.lit(label).alias("label")))
 
 
+def _let(value: Column, body) -> Column:
+    """body of value, which is computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _running(steps: Column, start: Column) -> Column:
+    """Running sums from start, each step included; the list is copied for each, so steps are few."""
+    state = F.struct(start.alias("at"), F.array().cast("array<int>").alias("sums"))
+    step = lambda s, x: _let(s["at"] + x, lambda to: F.struct(to.alias("at"), F.concat(s["sums"], F.array(to)).alias("sums")))
+    return F.aggregate(steps, state, step, lambda s: s["sums"])
+
+
+def _sums(steps: Column) -> Column:
+    """Running sums of many steps, by parts of about the square root of their number."""
+
+    def parts(steps: Column, n: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / n).cast("int")), lambda k: F.slice(steps, k * n + 1, n))
+
+        def joined(cut: Column) -> Column:
+            totals = F.transform(cut, lambda p: F.aggregate(p, F.lit(0), lambda s, x: s + x))
+            return F.flatten(F.zip_with(cut, F.concat(F.array(F.lit(0)), _running(totals, F.lit(0))), lambda p, at: _running(F.coalesce(p, F.array().cast("array<int>")), at)))
+
+        return _let(cut, joined)
+
+    return _let(steps, lambda x: F.when(F.size(x) > 0, parts(x, F.ceil(F.sqrt(F.size(x))).cast("int"))).otherwise(F.array().cast("array<int>")))
+
+
 def _detections(norm: Column, keywords: Column) -> Column:
-    """Every match of every rule whose keyword is among the text's: label, priority, begin and end, in characters."""
+    """Every match of every rule whose keyword is among the text's, in the order in which they are settled: begin, falling
+    end and priority, rule; places in characters."""
 
     def one(rule: Column) -> Column:
-        found = F.regexp_extract_all(norm, rule["regex"], F.lit(0))
-        between = F.split(norm, rule["regex"])
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<begin:int,end:int>>").alias("spans"))
-
-        def step(state: Column, pair: Column) -> Column:
-            begin = state["at"] + F.length(pair["gap"])
-            end = begin + F.length(pair["hit"])
+        def spans(found: Column, between: Column) -> Column:
+            gaps = F.transform(F.slice(between, F.lit(1), F.size(found)), lambda x: F.length(x))
+            hits = F.transform(found, lambda x: F.length(x))
+            ends = _sums(F.zip_with(gaps, hits, lambda x, y: F.coalesce(x, F.lit(0)) + y))
             # the blank before the words is part of the match
-            return F.struct(end.alias("at"), F.concat(state["spans"], F.array(F.struct((begin + 1).alias("begin"), end.alias("end")))).alias("spans"))
+            return F.zip_with(ends, hits, lambda end, size: F.struct((end - size + 1).alias("begin"), (-end).alias("end"), (-rule["priority"]).alias("priority"), rule["order"].alias("order"), rule["label"].alias("label"), rule["confidence"].alias("confidence")))
 
-        pairs = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda gap, hit: F.struct(F.coalesce(gap, F.lit("")).alias("gap"), hit.alias("hit")))
-        spans = F.aggregate(pairs, start, step, lambda state: state["spans"])
-        return F.transform(spans, lambda s: F.struct(rule["priority"].alias("priority"), (s["end"] - s["begin"]).alias("size"), (-rule["order"]).alias("order"), s["begin"].alias("begin"), s["end"].alias("end"), rule["label"].alias("label"), rule["confidence"].alias("confidence")))
+        return _let(F.regexp_extract_all(norm, rule["regex"], F.lit(0)), lambda found: spans(found, F.split(norm, rule["regex"])))
 
     tried = F.flatten(F.transform(keywords, lambda k: F.element_at(_rule_map(), k)))
-    return F.flatten(F.transform(F.filter(tried, lambda r: F.contains(norm, r["needle"])), one))
+    return F.array_sort(F.flatten(F.transform(F.filter(tried, lambda r: F.contains(norm, r["needle"])), one)))
+
+
+def _standing(detections: Column, spans: bool) -> Column:
+    """labels (distinct), score and, with spans, detections that no better one contains.
+
+    In the order of detections one that contains another comes first if it is better or has the higher priority. So a
+    detection stands if it ends beyond all before it of its priority or a higher one: of each priority the farthest end is kept.
+    """
+    levels = sorted({r.priority for r in rules()})
+    kept = "array<struct<label:string,begin:int,end:int>>"
+    start = F.struct(F.array(*[F.lit(0)] * len(levels)).alias("ends"), F.array().cast("array<string>").alias("labels"), F.lit(0.0).alias("score"), F.array().cast(kept).alias("kept"))
+
+    def step(s: Column, d: Column) -> Column:
+        level = F.array_position(F.array(*map(F.lit, levels)), -d["priority"]).cast("int")
+        stands = F.get(s["ends"], level - 1) < -d["end"]
+
+        def stand(_: Column) -> Column:
+            ends = F.transform(s["ends"], lambda end, k: F.when(k < level, F.greatest(end, -d["end"])).otherwise(end))
+            labels = F.when(F.array_contains(s["labels"], d["label"]), s["labels"]).otherwise(F.concat(s["labels"], F.array(d["label"])))
+            more = F.concat(s["kept"], F.array(F.struct(d["label"].alias("label"), d["begin"].alias("begin"), (-d["end"]).alias("end")))) if spans else s["kept"]
+            return F.struct(ends.alias("ends"), labels.alias("labels"), F.greatest(s["score"], d["confidence"]).alias("score"), more.alias("kept"))
+
+        return F.when(stands, stand(s)).otherwise(s)
+
+    return F.aggregate(detections, start, step)
 
 
-def scan_licenses(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and detections of every document.
+def scan_licenses(docs: DataFrame, spans: bool = True) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and (with spans) detections of every document.
 
     score is the greatest confidence of a detection that stands, 0 without one.
     """
@@ -265,13 +315,11 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     # a column of its own: within the rules' lambdas it would be joined again for each rule
     base = base.withColumn("_norm", F.when(F.size(words) > 0, F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))))
     base = base.withColumn("_keywords", F.filter(F.array(*[F.lit(k) for k in KEYWORDS]), lambda k: F.contains(F.col("_norm"), F.concat(F.lit(" "), k))))
-    found = base.select("doc_id", "n_words", F.when(F.size(words) > 0, F.concat(*labelled)).alias("_base"), F.when(F.size(words) > 0, _detections(F.col("_norm"), F.col("_keywords"))).alias("_all"))
-    better = lambda a, b: F.struct(a["priority"], a["size"], a["order"]) > F.struct(b["priority"], b["size"], b["order"])
-    inside = lambda a, b: (a["begin"] <= b["begin"]) & (a["end"] >= b["end"])
-    everything = F.coalesce(F.col("_all"), F.array().cast("array<struct<priority:int,size:int,order:int,begin:int,end:int,label:string,confidence:double>>"))
-    standing = F.filter(everything, lambda d: ~F.exists(everything, lambda e: inside(e, d) & better(e, d)))
-    found = found.select("doc_id", "n_words", F.coalesce("_base", F.array().cast("array<struct<at:int,label:string>>")).alias("_base"), standing.alias("_standing"))
+    places = F.when(F.size(words) > 0, F.concat(*labelled)).otherwise(F.array().cast("array<struct<at:int,label:string>>"))
+    standing = F.when(F.size(words) > 0, _standing(_detections(F.col("_norm"), F.col("_keywords")), spans))
+    found = base.select("doc_id", "n_words", places.alias("_base"), standing.alias("_standing"))
     base_labels = F.array_distinct(F.transform("_base", lambda b: b["label"]))
+    labels = F.concat(base_labels, F.coalesce(F.col("_standing.labels"), none))
     return found.select(
         "doc_id",
         "n_words",
@@ -279,7 +327,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         F.array_min(F.transform("_base", lambda b: b["at"])).cast("long").alias("first_word"),
         F.array_max(F.transform("_base", lambda b: b["at"])).cast("long").alias("last_word"),
         F.array_join(F.array_sort(base_labels), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_distinct(F.concat(base_labels, F.transform("_standing", lambda d: d["label"])))), ",").alias("labels"),
-        F.coalesce(F.array_max(F.transform("_standing", lambda d: d["confidence"])), F.lit(0.0)).alias("score"),
-        F.transform("_standing", lambda d: F.struct(d["label"].alias("label"), d["begin"].alias("begin"), d["end"].alias("end"))).alias("detections"),
+        F.array_join(F.array_sort(F.array_distinct(labels)), ",").alias("labels"),
+        F.coalesce(F.col("_standing.score"), F.lit(0.0)).alias("score"),
+        *([F.coalesce(F.col("_standing.kept"), F.array().cast("array<struct<label:string,begin:int,end:int>>")).alias("detections")] if spans else []),
     )

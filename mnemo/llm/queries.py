@@ -19,7 +19,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("detections")
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"), spans=False)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
