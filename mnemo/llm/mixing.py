@@ -15,11 +15,13 @@ Targets: a marginal is given as weights by value, or as an exponent by which the
 (1 leaves them, 0 makes all values equal). Values of the corpus without a given weight get none and are never kept.
 
 Cells are counted with partial sums, so a hot source sends one row a task. The cell table alone passes through the
-rounds. It is broadcast only up to MAX_BROADCAST_CELLS cells; a larger one is joined by its keys.
+rounds, whose windows hold the cells of one value; totals and the factor are sums that leave one row. It is broadcast only up to MAX_BROADCAST_CELLS cells; a larger one is joined by its keys.
 
 Defined cases: a null source or language is the value ''; a null text is empty and has no tokens, and a document
 without tokens is kept like the rest of its cell (with the cell's weight, or if the whole cell has none, always).
-Rows of equal doc_id share one draw. An empty table gives no rows.
+Rows of equal doc_id share one draw, and a null doc_id is one like another. Repeated rows count as often as they stand.
+Texts of any length are counted whole. An empty table gives no rows. The sample has the columns of docs, whatever their
+names; mixed adds columns of its own, which replace equal names.
 """
 
 from __future__ import annotations
@@ -35,6 +37,9 @@ EXPONENTS = {"source": 0.7, "lang": 0.7, "topic": 1.0}
 ROUNDS = 8
 KEEP = 0.9
 SEED = 17
+#: The marginals' largest deviation at which no more rounds follow, and rounds at most.
+TOLERANCE = 1e-6
+MAX_ROUNDS = 64
 MAX_BROADCAST_CELLS = 10_000
 TOKEN = r"[^\x20\x09-\x0D]+"
 
@@ -76,33 +81,60 @@ def _target(cells: DataFrame, dimension: str, given: dict[str, float] | float) -
     return values.join(F.broadcast(total)).select(F.col("value").alias(f"__{dimension}"), (F.col("weight") / F.col("total")).alias(f"target_{dimension}"))
 
 
+def deviation(cells: DataFrame) -> float:
+    """The largest difference of a value's fitted share from its target share, over all values of cells that have tokens."""
+    worst = [cells.groupBy(f"__{d}").agg(F.abs(F.sum("fitted") - F.first(f"target_{d}")).alias("off"), F.sum("tokens").alias("tokens")).filter("tokens > 0").agg(F.max("off")) for d in DIMENSIONS]
+    return max((row[0] or 0.0) for row in (w.first() for w in worst))
+
+
+def _factor(cells: DataFrame, wanted: float) -> float | None:
+    """The factor by which weights become probabilities, at most 1 each, that keep `wanted` tokens in expectation.
+
+    Each pass takes the cells that the factor so far keeps whole as they are and finds the factor of the rest; it only grows.
+    """
+    factor = None
+    while True:
+        whole = F.lit(False) if factor is None else F.col("weight") * factor > 1
+        row = cells.agg(F.sum(F.when(whole, F.col("tokens")).otherwise(0)), F.sum(F.when(~whole, F.col("tokens") * F.col("weight")).otherwise(0.0))).first()
+        if not row[1]:
+            return factor
+        new = (wanted - row[0]) / row[1]
+        if factor is not None and new <= factor * (1 + 1e-12):
+            return factor
+        factor = new
+
+
 def raked_cells(rows: DataFrame, targets: dict[str, dict[str, float] | float] = EXPONENTS, rounds: int = ROUNDS, keep: float = KEEP) -> DataFrame:
-    """__source, __lang, __topic, tokens, fitted (share), weight, probability and copies (expected, without a cap) of every cell of described rows."""
+    """__source, __lang, __topic, tokens, target_*, fitted (share), weight, probability and copies (expected, without a cap) of every cell of described rows.
+
+    After `rounds` rounds four more follow at a time until all marginals are met to TOLERANCE, unless they get no nearer
+    (targets can contradict each other where combinations are missing) or MAX_ROUNDS are done.
+    """
     keys = [f"__{d}" for d in DIMENSIONS]
     cells = cut(rows.groupBy(*keys).agg(F.sum("__tokens").alias("tokens")))
+    total = cells.agg(F.sum("tokens")).first()[0] or 0
     for d in DIMENSIONS:
         # one row for a value of the dimension
         cells = cells.join(_target(cells, d, targets[d]), f"__{d}", "left").fillna(0.0, [f"target_{d}"])
-    everything = Window.partitionBy(F.lit(0))
-    cells = cut(cells.select(*keys, "tokens", *(f"target_{d}" for d in DIMENSIONS), (F.col("tokens") / F.sum("tokens").over(everything)).alias("fitted")).fillna(0.0, ["fitted"]))
-    for r in range(rounds):
-        for d in DIMENSIONS:
+    cells = cut(cells.withColumn("fitted", F.col("tokens") / float(total) if total else F.lit(0.0)))
+    done, off = 0, None
+    while True:
+        for d in DIMENSIONS * (rounds if done == 0 and rounds < 4 else 4):
             mass = F.sum("fitted").over(Window.partitionBy(f"__{d}"))
             cells = cells.withColumn("fitted", F.when(mass > 0, F.col("fitted") * F.col(f"target_{d}") / mass).otherwise(0.0))
-        if r % 4 == 3:
-            cells = cut(cells)
-    total = F.sum("tokens").over(everything)
-    cells = cells.withColumn("weight", F.when(F.col("tokens") > 0, F.col("fitted") * total / F.col("tokens")))
-    # with the cells in falling order of weight, the first few are kept whole; the factor is the first that caps no later one
-    order = Window.orderBy(F.col("weight").desc_nulls_last(), *keys)
-    whole = F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rest = F.sum(F.col("tokens") * F.col("weight")).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    factor = cells.select("weight", F.row_number().over(order).alias("k"), ((F.lit(keep) * total - whole) / F.when(rest > 0, rest)).alias("factor"))
-    factor = factor.filter(F.col("factor") * F.col("weight") <= 1).agg(F.min_by("factor", "k").alias("factor"))
-    probability = F.when(F.col("weight").isNull() | F.col("factor").isNull(), 1.0).otherwise(F.least(F.lit(1.0), F.col("factor") * F.col("weight")))
-    wanted = F.sum(F.col("tokens") * F.col("weight")).over(everything)
-    copies = F.when(F.col("weight").isNull() | F.coalesce(wanted <= 0, F.lit(True)), 1.0).otherwise(F.lit(keep) * total / F.when(wanted > 0, wanted) * F.col("weight"))
-    return cut(cells.join(F.broadcast(factor)).select(*keys, "tokens", "fitted", "weight", probability.alias("probability"), copies.alias("copies")))
+        cells = cut(cells)
+        done += 4
+        if done >= rounds:
+            before, off = off, deviation(cells)
+            if off <= TOLERANCE or done >= MAX_ROUNDS or (before is not None and off > 0.99 * before):
+                break
+    cells = cut(cells.withColumn("weight", F.when(F.col("tokens") > 0, F.col("fitted") * float(total) / F.col("tokens"))))
+    factor = _factor(cells, keep * total)
+    wanted = cells.agg(F.sum(F.col("tokens") * F.col("weight"))).first()[0] or 0.0
+    weight = F.col("weight")
+    probability = F.lit(1.0) if factor is None else F.when(weight.isNull(), 1.0).otherwise(F.least(F.lit(1.0), F.lit(factor) * weight))
+    copies = F.when(weight.isNull(), 1.0).otherwise(F.lit(keep * total / wanted) * weight) if wanted > 0 else F.lit(1.0)
+    return cells.withColumns({"probability": probability, "copies": copies})
 
 
 def draw(doc_id: Column, seed: int = SEED) -> Column:
@@ -125,8 +157,10 @@ def mixed(docs: DataFrame, targets: dict[str, dict[str, float] | float] = EXPONE
 
 def sample_mix(docs: DataFrame, targets: dict[str, dict[str, float] | float] = EXPONENTS, keep: float = KEEP, seed: int = SEED) -> DataFrame:
     """The rows of docs in the mix, with all their columns; a row stands there as often as its cell's share needs."""
-    repeated = mixed(docs, targets, keep, seed).filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return repeated.select(*docs.columns)
+    # the row in one struct, so that no column of docs clashes with the mix's own
+    rows = docs.select("doc_id", "text", "source", "lang", F.struct(*docs.columns).alias("__row"))
+    repeated = mixed(rows, targets, keep, seed).filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return repeated.select("__row.*")
 
 
 def mix_report(docs: DataFrame) -> DataFrame:

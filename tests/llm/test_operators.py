@@ -796,6 +796,15 @@ def test_sampled_tokens_meet_the_marginals(spark):
     assert sum(r["n"] for r in sampled if r["lang"] == "fr") / got == pytest.approx(0.25, abs=0.02)
 
 
+def test_the_query_rakes_to_its_targets(spark):
+    """With the production parameters all marginals are met, and contradicting ones end the rounds."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert mixing.deviation(mixing.raked_cells(mixing.described(docs))) <= mixing.TOLERANCE
+    apart = spark.createDataFrame([(1, "a b", "en", "x"), (2, "a b c", "fr", "y")], "doc_id long, text string, lang string, source string")
+    cells = mixing.raked_cells(mixing.described(apart), {"source": {"x": 1.0, "y": 3.0}, "lang": {"en": 1.0, "fr": 1.0}, "topic": 1.0})
+    assert mixing.deviation(cells) > 0.1 and cells.count() == 2
+
+
 def test_mixing_handles_nulls(docs):
     report = mixing.mix_report(docs).collect()
     assert len(report) == docs.count() and all(r["kept"] is not None for r in report)
