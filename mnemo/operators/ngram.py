@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def tokens(docs: DataFrame, doc_id: str, text: str, pattern: str = r"\p{L}+", by: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, place and token of every word, with the two tokens before it in the same document."""
-    words = docs.select(*by, doc_id, F.posexplode(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(pattern), F.lit(0))).alias("place", "token"))
-    order = Window.partitionBy(*by, doc_id).orderBy("place")
-    return words.withColumns({"before1": F.lag("token", 1).over(order), "before2": F.lag("token", 2).over(order)})
+    words = docs.select(*by, doc_id, F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(pattern), F.lit(0)).alias("_words"))
+    # the words before are taken within the row, so nothing is shuffled to put them beside each other
+    gram = lambda token, i: F.struct(i.alias("place"), token.alias("token"), F.get("_words", i - 1).alias("before1"), F.get("_words", i - 2).alias("before2"))
+    return words.select(*by, doc_id, F.explode(F.transform("_words", gram)).alias("_g")).select(*by, doc_id, "_g.*")
 
 
 def counts(words: DataFrame, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:

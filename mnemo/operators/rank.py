@@ -31,12 +31,19 @@ def rank_filter(rows: DataFrame, value: str, position: str, share: float = 0.8,
     Rows without a finite value are left out before. `threshold` is the linear quantile and only reported.
     """
     usable = rows.filter(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(F.col(value)) < 1e300))
-    group = usable.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile(value, F.lit(share)).alias("threshold"))
     kept = F.col("_n") - F.floor(F.round((1 - share) * F.col("_n"), 9))
     if by:
+        group = usable.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile(value, F.lit(share)).alias("threshold"))
         ranked = usable.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(value, position)))
         return ranked.join(group, list(by)).filter(F.col("_rank") <= kept).drop("_rank", "_n")
-    return global_rank(usable, [value, position], "_rank").join(F.broadcast(group)).filter(F.col("_rank") <= kept).drop("_rank", "_n")
+    ranked = global_rank(usable, [value, position], "_rank")
+    n = usable.count()
+    # the quantile lies between two places of the order
+    place = share * (n - 1)
+    low, high = int(place) + 1, int(place) + 1 + (place > int(place))
+    ends = ranked.filter(F.col("_rank").isin(low, high)).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    threshold = ends.select((F.col("_low") + (F.col("_high") - F.col("_low")) * (place - int(place))).alias("threshold"), F.lit(n).alias("_n"))
+    return ranked.join(F.broadcast(threshold)).filter(F.col("_rank") <= kept).drop("_rank", "_n")
 
 
 def gates(rows: DataFrame, rules: Sequence[tuple[str, Column]]) -> DataFrame:

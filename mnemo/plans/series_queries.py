@@ -120,8 +120,8 @@ WEIGHTS_SQL = f"WITH {WEIGHTS} SELECT day::VARCHAR AS day, ticker, round(weight,
 def backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Performance of the weights against hashed returns, for all signals and for those that a rank filter keeps."""
     signals = _signals(spark, sf_dir)
-    kept = rank.rank_filter(signals.filter("ticker < 10"), "confidence", "position", 0.8, ["ticker"]).drop("threshold")
-    both = signals.filter("ticker < 10").withColumn("variant", F.lit("all")).unionByName(kept.withColumn("variant", F.lit("filtered")))
+    kept = rank.rank_filter(signals, "confidence", "position", 0.8, ["ticker"]).drop("threshold")
+    both = signals.withColumn("variant", F.lit("all")).unionByName(kept.withColumn("variant", F.lit("filtered")))
     day = F.col("day").cast("string")
     out = None
     for variant in ("all", "filtered"):
@@ -137,7 +137,7 @@ _PERF = """d_{v} AS (SELECT day, sum(round(weight, 9) * ((('0x' || substr(md5(da
   FROM (SELECT day, ticker, raw / greatest(sum(abs(raw)) OVER (PARTITION BY day), 1.0) AS weight FROM (SELECT day, ticker, arg_max(direction * confidence, position) AS raw FROM {v}_s GROUP BY ALL)) GROUP BY 1),
 e_{v} AS (SELECT day, ret, exp(sum(ln(1 + ret)) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING)) AS equity FROM d_{v}), p_{v} AS (SELECT *, equity / greatest(1.0, max(equity) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING)) - 1 AS dd FROM e_{v}),
 r_{v} AS (SELECT '{v}' AS variant, count(*) AS n_days, round(sqrt(252) * avg(ret) / stddev_samp(ret), 5) AS sharpe, round(avg(ret) * 10000, 5) AS mean_bps, round(min(dd), 5) + 0.0 AS max_drawdown, round(arg_max(equity, day) - 1, 5) AS total_return FROM p_{v})"""
-BACKTEST = f"""WITH {SIGNALS}, all_s AS (SELECT * FROM signals WHERE ticker < 10),
+BACKTEST = f"""WITH {SIGNALS}, all_s AS (SELECT * FROM signals),
 filtered_s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY confidence, position) AS rn, count(*) OVER (PARTITION BY ticker) AS n FROM all_s) WHERE rn <= n - floor(round(0.2::DOUBLE * n, 9))),
 {_PERF.format(v='all')}, {_PERF.format(v='filtered')} SELECT * FROM r_all UNION ALL SELECT * FROM r_filtered"""
 

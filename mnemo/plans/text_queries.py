@@ -85,7 +85,7 @@ SELECT lang, count(*) AS n, count(*) FILTER (len(w) >= 30 AND length(regexp_repl
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompts of a title (the first line) and a body, their key and deduplication key."""
     lines = F.split("text", "\n")
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.get(lines, F.lit(0)).alias("title"), F.array_join(F.slice(lines, 2, 1_000_000), " ").alias("body"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.get(lines, F.lit(0)).alias("title"), F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines), F.lit(1))), " ").alias("body"))
     built = docs.withColumn("prompt", text.build_prompt(F.col("title"), F.col("body")))
     return built.select("doc_id", text.prompt_key(F.col("prompt")).alias("key"), text.dedup_key(F.col("title"), F.col("prompt")).alias("dedup"), F.length("prompt").cast("long").alias("n"))
 
@@ -105,14 +105,14 @@ SELECT lang, count(*) AS n, count(*) FILTER (length(line) >= 20 AND length(regex
 
 
 def fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers and capitalised words that a rewrite (every third sentence dropped) lost or gained, for short documents."""
-    docs = table(spark, sf_dir, "documents").filter("n_chars < 600").select("doc_id", "text", F.array_join(F.filter(F.split("text", "\n"), lambda s, i: i % 3 != 2), "\n").alias("rewrite"))
+    """Numbers and capitalised words that a rewrite (every third sentence dropped) lost or gained."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.array_join(F.filter(F.split("text", "\n"), lambda s, i: i % 3 != 2), "\n").alias("rewrite"))
     tokens = lambda c: F.regexp_extract_all(c, F.lit(r"[0-9]+(?:[.,][0-9]+)*|[A-Z][A-Za-z]+"), F.lit(0))
     a, b = (docs.select("doc_id", F.explode(tokens(F.col(c))).alias("token")) for c in ("text", "rewrite"))
     return corpus.multiset_difference(a, b, ["doc_id"], "token").groupBy("doc_id").agg(F.count("*").alias("n_changed"), F.sum(F.col("n_original") - F.col("n_candidate")).alias("n_lost"))
 
 
-FIDELITY = r"""WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents WHERE n_chars < 600), w AS (SELECT doc_id, text, array_to_string(list_filter(l, lambda s, i: (i - 1) % 3 <> 2), chr(10)) AS rewrite FROM d),
+FIDELITY = r"""WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents), w AS (SELECT doc_id, text, array_to_string(list_filter(l, lambda s, i: (i - 1) % 3 <> 2), chr(10)) AS rewrite FROM d),
 a AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)*|[A-Z][A-Za-z]+')) AS token FROM w), b AS (SELECT doc_id, unnest(regexp_extract_all(rewrite, '[0-9]+(?:[.,][0-9]+)*|[A-Z][A-Za-z]+')) AS token FROM w),
 c AS (SELECT doc_id, token, count(*) AS n, 0 AS m FROM a GROUP BY ALL UNION ALL SELECT doc_id, token, 0, count(*) FROM b GROUP BY ALL), s AS (SELECT doc_id, token, sum(n) AS n, sum(m) AS m FROM c GROUP BY ALL)
 SELECT doc_id, count(*) AS n_changed, sum(n - m)::BIGINT AS n_lost FROM s WHERE n <> m GROUP BY 1"""

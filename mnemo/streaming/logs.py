@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,30 +18,32 @@ def read_log(spark: SparkSession, path: str, schema: str, plan_hash: str | None
 
 
 def merge_latest(key: Sequence[str], order: Sequence[str], path: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that keeps the last version of each key in a Parquet table.
+    """A foreachBatch function that appends the last version of each key of a batch to a Parquet table.
 
-    Each batch writes a new generation of the table beside the last and then names it, so a batch that is run again after
-    a failure gives the same table.
+    A batch writes a folder of its own and reads no other, so one that is run again after a failure gives the same table,
+    and what it costs does not grow with the table. latest_of_table takes the last version over all batches.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.drop("_corrupt_record")
-        if batch_id:
-            rows = rows.unionByName(spark.read.parquet(f"{path}/generation={batch_id - 1}"))
-        latest_version(rows, key, order).drop("first_seen").write.mode("overwrite").parquet(f"{path}/generation={batch_id}")
+        latest_version(batch.drop("_corrupt_record"), key, order).drop("first_seen").write.mode("overwrite").parquet(f"{path}/log_batch={batch_id}")
 
     return merge
 
 
+def latest_of_table(spark: SparkSession, path: str, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The last version of each key of the table that merge_latest writes; an error if there is none yet."""
+    try:
+        rows = spark.read.parquet(path)
+    except AnalysisException as error:
+        raise ValueError("the log is empty") from error
+    return latest_version(rows.drop("log_batch"), key, order).drop("first_seen")
+
+
 def latest_of_log(spark: SparkSession, source: str, schema: str, key: Sequence[str], order: Sequence[str], out: str, checkpoint: str) -> DataFrame:
     """Run the log's stream over what is there and return the last version of each key."""
     query = read_log(spark, source, schema).filter("_corrupt_record IS NULL").writeStream.foreachBatch(merge_latest(key, order, out)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    last = query.lastProgress
-    if last is None:
-        raise ValueError("the log is empty")
-    return spark.read.parquet(f"{out}/generation={last['batchId']}")
+    return latest_of_table(spark, out, key, order)
 
 
 def intake(existing: DataFrame, arrivals: DataFrame, day: str, url: str, title: str) -> DataFrame:

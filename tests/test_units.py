@@ -266,3 +266,37 @@ def test_intake_and_assembly(spark):
     assert [r["url"] for r in logs.intake(old, new, "day", "url", "title").collect()] == ["u2"]
     parts = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "a"), (2, 2, "c")], "reply_id int, part int, text string")
     assert sorted((r["reply_id"], r["valid"], r["text"]) for r in logs.assemble_replies(parts).collect()) == [(1, True, "ab"), (2, False, None)]
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<p>a\nb</p>", ["a", "b"]),
+        ("<tr><td>x</td><td>y</td></tr><tr><th>z</th></tr>", ["x y", "z"]),
+        ("<section>a</section><nav>b</nav>", ["ab"]),
+        ("<blockquote>a</blockquote><dl><dt>b<dd>c</dl>d<hr>e<center>f</center>", ["a", "b", "c", "d", "e", "f"]),
+        ("<head><title>t</title></head>x<script>if (a<b) '</p>'</script>y<!-- <p> -->z", ["xyz"]),
+        ("a &amp; b&nbsp;c &lt;p&gt; 1 < 2", ["a & b c <p> 1 < 2"]),
+        ("<P CLASS='a>b'>one</P><![foo[bar]]>two", ["one", "two"]),
+        (None, []),
+        ("<td>open", ["open"]),
+    ],
+)
+def test_lines_of_pages(page, want):
+    assert html.lines_of(page)[0] == want
+
+
+def test_share_of_text_in_cells():
+    assert html.lines_of("<p>ab</p><table><tr><td>c d</td><th>e</th></tr></table></td>fg")[1] == pytest.approx(3 / 7)
+    assert html.lines_of("") == ([], 0.0)
+
+
+def test_latest_of_a_log_run_again(spark, tmp_path):
+    source = tmp_path / "log"
+    source.mkdir()
+    (source / "a.jsonl").write_text('{"k": "x", "seq": 1, "v": 1}\n{"k": "y", "seq": 2, "v": 2}\n')
+    run = lambda: sorted((r["k"], r["v"]) for r in logs.latest_of_log(spark, str(source), "k string, seq long, v long", ["k"], ["seq"], str(tmp_path / "out"), str(tmp_path / "check")).collect())
+    assert run() == [("x", 1), ("y", 2)]
+    assert run() == [("x", 1), ("y", 2)]
+    (source / "b.jsonl").write_text('{"k": "x", "seq": 3, "v": 9}\n')
+    assert run() == [("x", 9), ("y", 2)]
