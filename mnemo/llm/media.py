@@ -41,8 +41,8 @@ MAX_COLUMNS = 4095
 #: The spectral bands of the first AC scans.
 BANDS = ((1, 20), (21, 63))
 # fixed values: code lengths by symbol (first DC and AC scans, refinement scans)
-DC_LENGTHS = {2: 3, 3: 3, 4: 3, 5: 3, 6: 3, 0: 4, 1: 4, 7: 4, 8: 5, 9: 6, 10: 7, 11: 8}
-AC_LENGTHS = {4: 2, 3: 2, 5: 3, 6: 3, 2: 4, 1: 5, 7: 6, 0x00: 7, 0xF0: 8}
+DC_LENGTHS = {2: 2, 3: 2, 0: 3, 1: 3, 4: 3, 6: 4, 5: 5, 7: 6, 8: 7, 9: 8, 10: 9, 11: 10}
+AC_LENGTHS = {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 6, 7: 7, 0x00: 8, 0xF0: 9}
 REFINE_LENGTHS = {r << 4: 4 for r in range(15)}
 
 
@@ -74,14 +74,22 @@ def _codes(lengths: dict[int, int]) -> tuple[np.ndarray, np.ndarray, bytes]:
 _DC, _AC, _REFINE = _codes(DC_LENGTHS), _codes(AC_LENGTHS), _codes(REFINE_LENGTHS)
 
 
+# fixed values: bytes in the order of their frequency in prose and padding, then all others; the order in which they have small coefficients
+_FREQUENT = b" etaoinsr\x00hldcumpfgyvbwkxjqz\n.,\xc3-'\"TASIHWBCMPDLNERFGOJKUVYXQZ0123456789"
+_ORDER = np.array([*_FREQUENT, *sorted(set(range(256)) - set(_FREQUENT))])
+_COEFFICIENTS = np.empty(256, np.int64)
+_COEFFICIENTS[_ORDER] = np.where(np.arange(256) % 2, -1, 1) * (np.arange(256) // 2 + 2)
+_BYTES = np.zeros(260, np.uint8)
+_BYTES[_COEFFICIENTS + 130] = np.arange(256)
+
+
 def _to_coefficient(b: np.ndarray) -> np.ndarray:
-    """Bytes as coefficients: 128 to 255 as 2 to 129, 0 to 127 as -129 to -2."""
-    b = b.astype(np.int64)
-    return np.where(b >= 128, b - 126, b - 129)
+    """Bytes as coefficients of 2 to 129 in size, the most frequent the smallest, so that files are small."""
+    return _COEFFICIENTS[b]
 
 
 def _to_byte(c: np.ndarray) -> np.ndarray:
-    return np.where(c > 0, c + 126, c + 129).astype(np.uint8)
+    return _BYTES[c + 130]
 
 
 def layout(n_blocks: int) -> tuple[int, int]:
