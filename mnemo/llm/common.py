@@ -80,7 +80,7 @@ _inverses = np.ones(1, np.uint64)
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers, _inverses
     if len(_powers) < n:
-        size = max(n, PASS_BYTES + (1 << 16))
+        size = max(n + (1 << 16), 2 * len(_powers))
         with np.errstate(over="ignore"):
             for name, base in (("_powers", _PRIME), ("_inverses", pow(_PRIME, -1, 1 << 64))):
                 steps = np.full(size, base, np.uint64)

@@ -40,8 +40,10 @@ from . import common
 
 STRENGTH = 16.0
 #: Bytes of text of a block and of a bucket on average.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 3 << 20
 BUCKET_BYTES = 16 << 20
+#: Bytes of text whose words are hashed at once.
+HASH_BYTES = 1 << 19
 KEY_BITS = 40
 MAX_BUCKETS = 1 << 24
 WORD, PAIR, TARGET = range(3)
@@ -64,7 +66,7 @@ class Block:
 
     def __init__(self, texts: pa.Array, n_buckets: int) -> None:
         words, contexts, sizes = [], [], []
-        for _, _, data, offsets in common.text_passes(texts):
+        for _, _, data, offsets in common.text_passes(texts, HASH_BYTES):
             w, first = common.word_hashes(data, offsets)
             there = np.diff(first) > 0
             words.append(np.insert(w, first[1:][there], BOUNDARY))
@@ -78,14 +80,14 @@ class Block:
         for hashes in (event, pair):
             keys, at = np.unique(_keys(hashes, n_buckets), return_inverse=True)
             self.keys.append(keys)
-            self.at.append(at)
+            self.at.append(at.astype(np.int32))
         # a context is a token of its text too, so its key is among those of words
-        self.context = np.searchsorted(self.keys[WORD], _keys(context, n_buckets))
+        self.context = np.searchsorted(self.keys[WORD], _keys(context, n_buckets)).astype(np.int32)
 
     def own(self, kind: int) -> np.ndarray:
         """How often each token's word or bigram stands in its own text."""
         _, place, n = np.unique(self.text * max(1, len(self.keys[kind])) + self.at[kind], return_inverse=True, return_counts=True)
-        return n[place]
+        return n[place].astype(np.int32)
 
 
 def _keys(hashes: np.ndarray, n_buckets: int) -> np.ndarray:
