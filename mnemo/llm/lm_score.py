@@ -40,7 +40,7 @@ from . import common
 
 STRENGTH = 16.0
 #: Bytes of text of a block and of a bucket on average.
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 2 << 20
 BUCKET_BYTES = 16 << 20
 #: Bytes of text whose words are hashed at once.
 HASH_BYTES = 1 << 19
