@@ -112,6 +112,36 @@ def parse_components(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([strict_numbers(t) for t in text], columns=["ok", "code", "components"])
 
 
+# fixed values: the checks that a verdict on a rewrite must hold
+CHECKS = ("claims", "entities", "dates", "quantities", "units", "uncertainty", "qualifications", "attribution", "instruction_injection")
+
+
+def strict_verdict(text: str | None) -> str:
+    """passed, rejected or malformed: a verdict is one JSON object of equivalent, all checks and discrepancies, no key twice, nothing else."""
+
+    def unique(pairs: list[tuple[str, object]]) -> dict:
+        if len(dict(pairs)) < len(pairs):
+            raise ValueError("repeated key")
+        return dict(pairs)
+
+    try:
+        found = json.loads(text or "", object_pairs_hook=unique)
+    except (ValueError, RecursionError):
+        return "malformed"
+    if not isinstance(found, dict) or found.keys() != {"equivalent", "checks", "discrepancies"}:
+        return "malformed"
+    same, checks, faults = found["equivalent"], found["checks"], found["discrepancies"]
+    shaped = isinstance(same, bool) and isinstance(checks, dict) and checks.keys() == set(CHECKS) and isinstance(faults, list)
+    if not shaped or not all(isinstance(c, bool) for c in checks.values()) or not all(isinstance(f, str) and f.strip() for f in faults):
+        return "malformed"
+    return "passed" if same and all(checks.values()) and not faults else "rejected"
+
+
+@F.pandas_udf(T.StringType())
+def verdict(text: pd.Series) -> pd.Series:
+    return text.map(strict_verdict)
+
+
 def within_bounds(components: Column, bounds: dict[str, tuple[float, float]]) -> Column:
     """Whether a map has exactly the declared components, each finite and inside its bounds."""
     names = F.array(*[F.lit(n) for n in sorted(bounds)])

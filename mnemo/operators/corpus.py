@@ -39,8 +39,8 @@ def dedup_first(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     A row is dropped if an earlier one that survived the keys before has its value. Nulls are values of no key.
     """
     for k in keys:
-        first = F.row_number().over(Window.partitionBy(k).orderBy(*order)) == 1
-        named = rows.filter(F.col(k).isNotNull()).withColumn("_first", first).filter("_first").drop("_first")
+        # an aggregate, not a window: rows of a hot value meet in partial results
+        named = rows.filter(F.col(k).isNotNull()).groupBy(F.col(k).alias("_k")).agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("_row")).select("_row.*")
         rows = named.unionByName(rows.filter(F.col(k).isNull()))
     return rows
 
