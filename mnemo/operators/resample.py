@@ -31,12 +31,12 @@ def bootstrap_mean(rows: DataFrame, key: Sequence[str], order: str, value: str,
     (group, r, s) modulo the group's size. Work is n_reps times the rows; groups are joined by (group, place).
     """
     keys = list(key)
-    numbered = rows.select(*keys, F.col(value).cast("double").alias("v"), (F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1).alias("place"), F.count("*").over(Window.partitionBy(*keys)).alias("n"))
-    slots = numbered.select(*keys, F.col("place").alias("slot"), "n").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_reps - 1))))
-    drawn = slots.select(*keys, "rep", F.pmod(hash_uniform(*[F.col(k) for k in keys], F.col("rep"), F.col("slot")), F.col("n")).alias("place"))
-    means = drawn.join(numbered.select(*keys, "place", "v"), [*keys, "place"]).groupBy(*keys, "rep").agg(F.avg("v").alias("m"))
+    numbered = rows.select(*keys, F.col(value).cast("double").alias("_v"), (F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1).alias("_place"), F.count("*").over(Window.partitionBy(*keys)).alias("_n"))
+    slots = numbered.select(*keys, F.col("_place").alias("_slot"), "_n").withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(n_reps - 1))))
+    drawn = slots.select(*keys, "_rep", F.pmod(hash_uniform(*[F.col(k) for k in keys], F.col("_rep"), F.col("_slot")), F.col("_n")).alias("_place"))
+    means = drawn.join(numbered.select(*keys, "_place", "_v"), [*keys, "_place"]).groupBy(*keys, "_rep").agg(F.avg("_v").alias("_m"))
     a = (1 - confidence) / 2
-    bounds = means.groupBy(*keys).agg(F.percentile("m", F.lit(a)).alias("_lo"), F.percentile("m", F.lit(1 - a)).alias("_hi"))
+    bounds = means.groupBy(*keys).agg(F.percentile("_m", F.lit(a)).alias("_lo"), F.percentile("_m", F.lit(1 - a)).alias("_hi"))
     points = rows.groupBy(*keys).agg(F.avg(value).alias("point"), F.count(value).alias("n"))
     return points.join(bounds, keys).select(*keys, "n", "point", F.least("point", "_lo").alias("low"), F.greatest("point", "_hi").alias("high"))
 
@@ -48,15 +48,15 @@ def permutation_test(rows: DataFrame, key: Sequence[str], unit: str, value: str,
     the number of units in group 1, to group 1. A key with one group only has no difference.
     """
     keys = list(key)
-    units = rows.groupBy(*keys, unit).agg(F.sum(value).alias("s"), F.count(value).alias("c"), F.max(group).alias("g"))
-    observed = units.groupBy(*keys).agg(F.sum(F.when(F.col("g") == 1, F.col("s"))).alias("s1"), F.sum(F.when(F.col("g") == 1, F.col("c"))).alias("c1"), F.sum("s").alias("s"), F.sum("c").alias("c"), F.sum("g").alias("m"))
-    difference = lambda s1, c1: F.try_divide(s1, c1) - F.try_divide(F.col("s") - s1, F.col("c") - c1)
-    observed = observed.withColumn("difference", difference(F.col("s1"), F.col("c1")))
-    expanded = units.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_perms - 1))))
-    order = Window.partitionBy(*keys, "rep").orderBy(hash_uniform(F.col("rep"), F.col(unit)), unit)
-    placed = expanded.withColumn("_r", F.row_number().over(order)).join(observed.select(*keys, "m", F.col("s").alias("_s"), F.col("c").alias("_c"), "difference"), keys).filter("_r <= m")
-    perms = placed.groupBy(*keys, "rep").agg(F.sum("s").alias("p1"), F.sum("c").alias("q1"), F.first("_s").alias("s"), F.first("_c").alias("c"), F.first("difference").alias("difference"))
-    hits = perms.groupBy(*keys).agg(F.count_if(difference(F.col("p1"), F.col("q1")) >= F.col("difference") - 1e-12).alias("hits"), F.count("*").alias("n_perms"))
+    units = rows.groupBy(*keys, unit).agg(F.sum(value).alias("_s"), F.count(value).alias("_c"), F.max(group).alias("_g"))
+    observed = units.groupBy(*keys).agg(F.sum(F.when(F.col("_g") == 1, F.col("_s"))).alias("_s1"), F.sum(F.when(F.col("_g") == 1, F.col("_c"))).alias("_c1"), F.sum("_s").alias("_sum"), F.sum("_c").alias("_count"), F.sum("_g").alias("_m"))
+    difference = lambda s1, c1: F.try_divide(s1, c1) - F.try_divide(F.col("_sum") - s1, F.col("_count") - c1)
+    observed = observed.withColumn("difference", difference(F.col("_s1"), F.col("_c1")))
+    expanded = units.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(n_perms - 1))))
+    order = Window.partitionBy(*keys, "_rep").orderBy(hash_uniform(F.col("_rep"), F.col(unit)), unit)
+    placed = expanded.withColumn("_r", F.row_number().over(order)).join(observed.select(*keys, "_m", "_sum", "_count", "difference"), keys).filter("_r <= _m")
+    perms = placed.groupBy(*keys, "_rep").agg(F.sum("_s").alias("_p1"), F.sum("_c").alias("_q1"), F.first("_sum").alias("_sum"), F.first("_count").alias("_count"), F.first("difference").alias("difference"))
+    hits = perms.groupBy(*keys).agg(F.count_if(difference(F.col("_p1"), F.col("_q1")) >= F.col("difference") - 1e-12).alias("hits"), F.count("*").alias("n_perms"))
     return observed.join(hits, keys).select(*keys, "difference", "hits", "n_perms", ((F.col("hits") + 1) / (F.col("n_perms") + 1)).alias("p"))
 
 
