@@ -68,13 +68,30 @@ def dedup_greedy(rows: DataFrame, a: str, b: str, order: Sequence[str], max_roun
     raise RuntimeError(f"rows stayed undecided after {max_rounds} rounds")
 
 
+def hash_ranked(rows: DataFrame, stratum: Sequence[str], key: str, salt: str) -> DataFrame:
+    """rows with _rank, the place of a row in its stratum's hash order (from 1), and _size, the rows of the stratum.
+
+    A stratum is cut into 4096 ranges of the hash, which are counted first: no window holds more than one range of one
+    stratum. Nulls are a stratum of their own.
+    """
+    spread = rows.withColumn("_hash", hash_order(F.col(key), salt)).withColumn("_range", F.substring("_hash", 1, 3))
+    parts = spread.groupBy(*stratum, "_range").agg(F.count("*").alias("_c"))
+    whole = Window.partitionBy(*stratum)
+    before = F.coalesce(F.sum("_c").over(whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(*[F.col(c).alias(f"_s{i}") for i, c in enumerate(stratum)], F.col("_range").alias("_part"), before.alias("_before"), F.sum("_c").over(whole).alias("_size"))
+    same = F.col("_range") == F.col("_part")
+    for i, c in enumerate(stratum):
+        same = same & F.col(c).eqNullSafe(F.col(f"_s{i}"))
+    inner = F.row_number().over(Window.partitionBy(*stratum, "_range").orderBy("_hash", key))
+    return spread.withColumn("_inner", inner).join(parts, same).select(*rows.columns, (F.col("_before") + F.col("_inner")).alias("_rank"), "_size")
+
+
 def stratified_sample(rows: DataFrame, stratum: Sequence[str], key: str, size: int, salt: str) -> DataFrame:
     """About `size` rows, in proportion to the strata and one of each at least, in hash order."""
     sizes = rows.groupBy(*stratum).agg(F.count("*").alias("_n"))
     total = sizes.agg(F.sum("_n").alias("_t"))
     quota = sizes.join(F.broadcast(total)).select(*stratum, F.greatest(F.lit(1), F.round(F.col("_n") * size / F.col("_t"))).cast("long").alias("_quota"))
-    order = Window.partitionBy(*stratum).orderBy(hash_order(F.col(key), salt), key)
-    return rows.withColumn("_r", F.row_number().over(order)).join(quota, list(stratum)).filter("_r <= _quota").drop("_r", "_quota")
+    return hash_ranked(rows, stratum, key, salt).join(quota, list(stratum)).filter("_rank <= _quota").select(*rows.columns)
 
 
 def largest_remainder(strata: DataFrame, key: Sequence[str], weight: str, total: int) -> DataFrame:
@@ -92,15 +109,12 @@ def largest_remainder(strata: DataFrame, key: Sequence[str], weight: str, total:
 
 def round_robin(rows: DataFrame, group: str, key: str, salt: str, cap: int) -> DataFrame:
     """At most `cap` rows of each group in hash order, with `turn`, the round in which a row is taken."""
-    order = Window.partitionBy(group).orderBy(hash_order(F.col(key), salt), key)
-    return rows.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= cap)
+    return hash_ranked(rows, [group], key, salt).filter(F.col("_rank") <= cap).select(*rows.columns, F.col("_rank").cast("int").alias("turn"))
 
 
 def hash_split(rows: DataFrame, stratum: Sequence[str], key: str, salt: str, holdout: float) -> DataFrame:
     """rows with column held_out: of each stratum the first share in hash order."""
-    order = Window.partitionBy(*stratum).orderBy(hash_order(F.col(key), salt), key)
-    n = F.count("*").over(Window.partitionBy(*stratum))
-    return rows.withColumn("held_out", F.row_number().over(order) <= F.round(n * holdout))
+    return hash_ranked(rows, stratum, key, salt).select(*rows.columns, (F.col("_rank") <= F.round(F.col("_size") * holdout)).alias("held_out"))
 
 
 def nearest_match(left: DataFrame, right: DataFrame, key: Sequence[str], left_id: str, left_value: str, right_id: str, right_value: str, band: float) -> DataFrame:

@@ -158,3 +158,13 @@ def test_dedup_first_keeps_one_of_equal_rows(spark):
     rows = spark.createDataFrame([("a", "x", 1), ("a", "x", 1), ("a", "y", 2), ("b", "x", 3), (None, "z", 4), (None, None, 5)], "u string, t string, o int")
     assert sorted(r.o for r in corpus.dedup_first(rows, ["u", "t"], ["o"]).collect()) == [1, 4, 5]
     assert corpus.dedup_first(rows.limit(0), ["u"], ["o"]).columns == ["u", "t", "o"]
+
+
+def test_hash_ranked_places_every_row_of_any_stratum(spark):
+    rows = [(i, None if i % 7 == 0 else f"s{i % 3}", "x") for i in range(500)]
+    got = corpus.hash_ranked(spark.createDataFrame(rows, "k long, s string, _size_ string"), ["s"], "k", "salt").collect()
+    want = {}
+    for s in {r[1] for r in rows}:
+        order = sorted((hashlib.md5(f"salt:{k}".encode()).hexdigest(), k) for k, t, _ in rows if t == s)
+        want |= {k: (i + 1, len(order)) for i, (_, k) in enumerate(order)}
+    assert {r.k: (r._rank, r._size) for r in got} == want and len(got) == 500
