@@ -2,14 +2,12 @@
 
 Documents are counted by source, language and topic: a cell is one combination, its mass the tokens in it. Raking
 scales the cells' masses until their sums over each dimension meet the target marginals. A cell's calibrated weight is
-its fitted mass over its own; a document is kept with a probability in proportion to its cell's weight, at most 1, with
-one factor for all cells so that the expected tokens are the given share of all. The draw is a hash of the doc_id, so a
-document's fate depends neither on partitions nor on order.
-
-The report's probabilities are capped at 1, so with a large share to keep its draw misses the targets: the cells kept
-whole cannot grow. The sample has no cap: a cell of which more is wanted than there is has its documents repeated, each
-as often as its expected number of copies says (the whole part always, the rest by the draw). So the sampled tokens meet
-the targets in expectation, at the given share of all tokens.
+its fitted mass over its own; a document's expected copies are its cell's weight times one factor for all cells, such
+that the expected tokens are the given share of all. The whole part of that number always stands in the sample and the
+rest is the probability of one copy more, so a document of a cell of which there is more than wanted is drawn or not,
+and one of a cell of which more is wanted than there is stands repeatedly: nothing is capped, and the sampled tokens meet
+the targets in expectation. The draw is a hash of the doc_id, so a document's fate depends neither on partitions nor on
+order.
 
 Targets: a marginal is given as weights by value, or as an exponent by which the corpus's own shares are tempered
 (1 leaves them, 0 makes all values equal). Values of the corpus without a given weight get none and are never kept.
@@ -87,25 +85,8 @@ def deviation(cells: DataFrame) -> float:
     return max((row[0] or 0.0) for row in (w.first() for w in worst))
 
 
-def _factor(cells: DataFrame, wanted: float) -> float | None:
-    """The factor by which weights become probabilities, at most 1 each, that keep `wanted` tokens in expectation.
-
-    Each pass takes the cells that the factor so far keeps whole as they are and finds the factor of the rest; it only grows.
-    """
-    factor = None
-    while True:
-        whole = F.lit(False) if factor is None else F.col("weight") * factor > 1
-        row = cells.agg(F.sum(F.when(whole, F.col("tokens")).otherwise(0)), F.sum(F.when(~whole, F.col("tokens") * F.col("weight")).otherwise(0.0))).first()
-        if not row[1]:
-            return factor
-        new = (wanted - row[0]) / row[1]
-        if factor is not None and new <= factor * (1 + 1e-12):
-            return factor
-        factor = new
-
-
 def raked_cells(rows: DataFrame, targets: dict[str, dict[str, float] | float] = EXPONENTS, rounds: int = ROUNDS, keep: float = KEEP) -> DataFrame:
-    """__source, __lang, __topic, tokens, target_*, fitted (share), weight, probability and copies (expected, without a cap) of every cell of described rows.
+    """__source, __lang, __topic, tokens, target_*, fitted (share), weight and expected (copies of a document) of every cell of described rows.
 
     After `rounds` rounds four more follow at a time until all marginals are met to TOLERANCE, unless they get no nearer
     (targets can contradict each other where combinations are missing) or MAX_ROUNDS are done.
@@ -129,12 +110,9 @@ def raked_cells(rows: DataFrame, targets: dict[str, dict[str, float] | float] =
             if off <= TOLERANCE or done >= MAX_ROUNDS or (before is not None and off > 0.99 * before):
                 break
     cells = cut(cells.withColumn("weight", F.when(F.col("tokens") > 0, F.col("fitted") * float(total) / F.col("tokens"))))
-    factor = _factor(cells, keep * total)
     wanted = cells.agg(F.sum(F.col("tokens") * F.col("weight"))).first()[0] or 0.0
     weight = F.col("weight")
-    probability = F.lit(1.0) if factor is None else F.when(weight.isNull(), 1.0).otherwise(F.least(F.lit(1.0), F.lit(factor) * weight))
-    copies = F.when(weight.isNull(), 1.0).otherwise(F.lit(keep * total / wanted) * weight) if wanted > 0 else F.lit(1.0)
-    return cells.withColumns({"probability": probability, "copies": copies})
+    return cells.withColumn("expected", F.when(weight.isNull(), 1.0).otherwise(F.lit(keep * total / wanted) * weight) if wanted > 0 else F.lit(1.0))
 
 
 def draw(doc_id: Column, seed: int = SEED) -> Column:
@@ -144,15 +122,14 @@ def draw(doc_id: Column, seed: int = SEED) -> Column:
 
 
 def mixed(docs: DataFrame, targets: dict[str, dict[str, float] | float] = EXPONENTS, keep: float = KEEP, seed: int = SEED) -> DataFrame:
-    """docs with __source, __lang, __topic, __tokens, __weight, __probability, __kept and __copies beside its own columns."""
+    """docs with __source, __lang, __topic, __tokens, __weight, __expected and __copies beside its own columns."""
     rows = described(docs)
     keys = [f"__{d}" for d in DIMENSIONS]
-    cells = raked_cells(rows, targets, keep=keep).select(*keys, F.col("weight").alias("__weight"), F.col("probability").alias("__probability"), F.col("copies").alias("__expected"))
+    cells = raked_cells(rows, targets, keep=keep).select(*keys, F.col("weight").alias("__weight"), F.col("expected").alias("__expected"))
     if cells.limit(MAX_BROADCAST_CELLS + 1).count() <= MAX_BROADCAST_CELLS:
         cells = F.broadcast(cells)
-    drawn = draw(F.col("doc_id"), seed)
-    whole = F.floor("__expected").cast("int")
-    return rows.join(cells, keys).withColumns({"__kept": drawn < F.col("__probability"), "__copies": whole + (drawn < F.col("__expected") - whole).cast("int")}).drop("__expected")
+    whole = F.floor("__expected")
+    return rows.join(cells, keys).withColumn("__copies", whole + (draw(F.col("doc_id"), seed) < F.col("__expected") - whole).cast("long"))
 
 
 def sample_mix(docs: DataFrame, targets: dict[str, dict[str, float] | float] = EXPONENTS, keep: float = KEEP, seed: int = SEED) -> DataFrame:
@@ -164,9 +141,10 @@ def sample_mix(docs: DataFrame, targets: dict[str, dict[str, float] | float] = E
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens, weight, probability and kept of every document."""
+    """doc_id, source, lang, topic, n_tokens, weight, expected, copies (in the sample) and kept (whether there are any) of every document."""
     return mixed(docs.select("doc_id", "text", "source", "lang")).select(
-        "doc_id", F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"), F.round("__weight", 6).alias("weight"), F.round("__probability", 6).alias("probability"), F.col("__kept").alias("kept")
+        "doc_id", F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"),
+        F.round("__weight", 6).alias("weight"), F.round("__expected", 6).alias("expected"), F.col("__copies").alias("copies"), (F.col("__copies") > 0).alias("kept"),
     )
 
 
@@ -188,9 +166,8 @@ def mix_sql(targets: dict[str, float] = EXPONENTS, rounds: int = ROUNDS, keep: f
             k += 1
     steps += [
         f"weighed AS (SELECT *, CASE WHEN tokens > 0 THEN fitted * sum(tokens) OVER () / tokens END AS weight, sum(tokens) OVER () AS total FROM fit_{k})",
-        f"""factors AS (SELECT weight, row_number() OVER o AS k, ({keep} * total - coalesce(sum(tokens) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / nullif(sum(tokens * weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS factor
-  FROM weighed WINDOW o AS (ORDER BY weight DESC NULLS LAST, source, lang, topic))""",
-        "cells AS (SELECT source, lang, topic, weight, CASE WHEN weight IS NULL OR factor IS NULL THEN 1.0 ELSE least(1.0, factor * weight) END AS probability FROM weighed, (SELECT arg_min(factor, k) AS factor FROM factors WHERE factor * weight <= 1))",
-        f"""drawn AS (SELECT doc_id, source, lang, topic, n_tokens, weight, probability, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':{seed}'), 1, 13))::BIGINT / {float(1 << 52)} < probability AS kept FROM told JOIN cells USING (source, lang, topic))""",
+        f"cells AS (SELECT source, lang, topic, weight, CASE WHEN weight IS NULL OR NOT sum(tokens * weight) OVER () > 0 THEN 1.0 ELSE {keep} * total / sum(tokens * weight) OVER () * weight END AS expected FROM weighed)",
+        f"drawn AS (SELECT doc_id, source, lang, topic, n_tokens, weight, expected, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':{seed}'), 1, 13))::BIGINT / {float(1 << 52)} AS draw FROM told JOIN cells USING (source, lang, topic))",
+        "counts AS (SELECT *, floor(expected)::BIGINT + (draw < expected - floor(expected))::BIGINT AS copies FROM drawn)",
     ]
-    return "WITH " + ",\n".join(steps) + "\nSELECT doc_id, source, lang, topic, n_tokens, round(weight, 6) AS weight, round(probability, 6) AS probability, kept FROM drawn"
+    return "WITH " + ",\n".join(steps) + "\nSELECT doc_id, source, lang, topic, n_tokens, round(weight, 6) AS weight, round(expected, 6) AS expected, copies, copies > 0 AS kept FROM counts"

@@ -778,7 +778,7 @@ def test_raking_meets_the_marginals(spark):
             got[c[f"__{d}"]] = got.get(c[f"__{d}"], 0) + c["fitted"]
         assert got == pytest.approx(want, abs=1e-6)
     total = sum(c["tokens"] for c in cells)
-    assert sum(c["tokens"] * c["probability"] for c in cells) == pytest.approx(0.5 * total)
+    assert sum(c["tokens"] * c["expected"] for c in cells) == pytest.approx(0.5 * total)
     kept = mixing.sample_mix(docs, targets, 0.5)
     assert kept.columns == docs.columns and 100 < kept.count() < 400
     assert mixing.sample_mix(docs.limit(0)).count() == 0
@@ -810,6 +810,26 @@ def test_mixing_handles_nulls(docs):
     assert len(report) == docs.count() and all(r["kept"] is not None for r in report)
 
 
+def test_the_report_meets_the_targets(spark):
+    """The copies that the query reports hold the target share of every source and language, and are those of the sample."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    report = mixing.mix_report(docs)
+    rows = report.collect()
+    assert sum(r["copies"] for r in rows) == mixing.sample_mix(docs).count()
+    expected = sum(r["n_tokens"] * r["expected"] for r in rows)
+    assert expected == pytest.approx(mixing.KEEP * sum(r["n_tokens"] for r in rows), rel=1e-4)
+    for d in ("source", "lang"):
+        own, got, drawn = {}, {}, {}
+        for r in rows:
+            for into, n in ((own, 1), (got, r["expected"]), (drawn, r["copies"])):
+                into[r[d]] = into.get(r[d], 0) + r["n_tokens"] * n
+        scale = sum(v ** mixing.EXPONENTS[d] for v in own.values())
+        for value, tokens_of in own.items():
+            want = tokens_of ** mixing.EXPONENTS[d] / scale
+            assert got[value] / expected == pytest.approx(want, abs=1e-4)
+            assert drawn[value] / sum(drawn.values()) == pytest.approx(want, abs=0.05)
+
+
 # ---- op 10
 
 
