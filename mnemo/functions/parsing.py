@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -40,11 +41,11 @@ def _share(raw: Column) -> Column:
     return F.when(number.between(0.0, 1.0), number)
 
 
-def _json_value(text: Column, name: str) -> Column:
-    """The first JSON object's value under a name in lower, title or upper case."""
+def _json_value(text: Column, name: str, read: Callable[[Column], Column]) -> Column:
+    """The first JSON object's value under a name in lower, title or upper case: the first of them that can be read."""
     objects = F.filter(F.regexp_extract_all(text, F.lit(JSON_OBJECT), F.lit(0)), lambda o: F.try_parse_json(o).isNotNull())
     first = F.get(objects, F.lit(0))
-    return F.coalesce(*[F.get_json_object(first, f"$.{n}") for n in (name.lower(), name.title(), name.upper())])
+    return F.coalesce(*[read(F.get_json_object(first, f"$.{n}")) for n in (name.lower(), name.title(), name.upper())])
 
 
 def _last_place(tail: Column, words: tuple[str, ...]) -> Column:
@@ -59,13 +60,13 @@ def direction(text: Column) -> Column:
     up, down, flat = (_last_place(tail, w) for w in (UP_WORDS, DOWN_WORDS, FLAT_WORDS))
     best = F.greatest(up, down, flat)
     words = F.when(best == 0, None).when(best == up, 1).when(best == down, -1).otherwise(0)
-    return F.coalesce(_whole(_last(text, DIRECTION)), _whole(_json_value(text, "direction")), _whole(_last(text, DIRECTION_LOOSE)), words)
+    return F.coalesce(_whole(_last(text, DIRECTION)), _json_value(text, "direction", _whole), _whole(_last(text, DIRECTION_LOOSE)), words)
 
 
 def confidence(text: Column) -> Column:
     """A share from 0 to 1 or null: a percentage, a strict line, a JSON key, a loose line (the last of each)."""
     percent = F.try_divide(_last(text, PERCENT).try_cast("double"), F.lit(100.0))
-    return F.coalesce(F.when(percent <= 1.0, percent), _share(_last(text, CONFIDENCE)), _share(_json_value(text, "confidence")), _share(_last(text, CONFIDENCE_LOOSE)))
+    return F.coalesce(F.when(percent <= 1.0, percent), _share(_last(text, CONFIDENCE)), _json_value(text, "confidence", _share), _share(_last(text, CONFIDENCE_LOOSE)))
 
 
 # ---- strict JSON: duplicate keys and constants are refused, which Spark's reader does not

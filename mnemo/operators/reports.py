@@ -256,6 +256,27 @@ def cost_report(snapshots: DataFrame, key: Sequence[str], at: Sequence[str], amo
     return out.withColumn("bound", F.greatest("elapsed_cost", "billed"))
 
 
+def worst_case(draws: Column, workers: Column, retries: Column, reference: Column, seconds: Column) -> dict[str, Column]:
+    """requests and seconds of an ensemble at worst: each draw with all its retries, twice with a reference, in waves of the workers."""
+    each = (retries + 1) * F.when(reference, 2).otherwise(1)
+    return {"requests": draws * each, "seconds": F.ceil(draws / workers) * each * seconds}
+
+
+def shortlist(replies: DataFrame, model: str, place: str, order: str, status: str, parsed: Column, size: int = 10) -> DataFrame:
+    """model, place, passed, reason and selected of every candidate: the first `size`, by place, whose replies are all good.
+
+    The reason is the status of the first reply, by order, whose status is not 'ok' (null: 'error'), else 'parse_failure'
+    if one was not parsed. The first ones are found by a bounded sort, of which at most `size` rows are broadcast.
+    """
+    state = F.coalesce(F.col(status), F.lit("error"))
+    failed = state != "ok"
+    outcomes = replies.groupBy(model).agg(F.min(place).alias("place"), F.min_by(F.when(failed, state), F.when(failed, F.col(order))).alias("failure"), F.bool_and(F.coalesce(parsed, F.lit(False))).alias("all_parsed"))
+    reason = F.coalesce("failure", F.when(~F.col("all_parsed"), "parse_failure"))
+    out = outcomes.select(model, "place", reason.isNull().alias("passed"), reason.alias("reason"))
+    first = out.filter("passed").orderBy("place", model).limit(size).select(model, F.lit(True).alias("selected"))
+    return out.join(F.broadcast(first), model, "left").fillna(False, ["selected"])
+
+
 def reduced_components(draws: DataFrame, item: Sequence[str], component: str, value: str, grid: str, **split: float) -> DataFrame:
     """item, component, n, adherence, separated and location (trimmed mean) of each component; none where its draws are split."""
     keys = [*item, component]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import parsing, stats
+from ..functions import parsing, stats, text
 from ..operators import reports, study
 from ..sources import readers
 from ..streaming import logs
@@ -374,6 +374,58 @@ def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
 FILINGS = """SELECT CASE o_orderkey % 3 WHEN 0 THEN '8-K' ELSE '8-K/A' END AS form, 'Firm No ' || o_custkey AS company, o_custkey::VARCHAR AS cik, o_orderdate::DATE::VARCHAR AS filed, 'edgar/' || o_orderkey || '.txt' AS file FROM orders WHERE o_orderkey % 3 < 2"""
 
 
+def exhibits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exhibits of filings made of orders, by a folder's listing and by an index page's table."""
+    key, kind = F.col("o_orderkey"), F.col("o_orderkey") % 5
+    typed = F.when(kind == 1, "EX-99.01").when(kind == 2, "EX-99.2").otherwise("EX-99.1")
+    name = F.concat(F.lit("ex"), key, F.when(kind == 3, ".jpg").otherwise(".htm"))
+    listing = F.when(kind == 4, '{"other": 1}').otherwise(F.concat(F.lit('{"directory": {"item": [{"type": "8-K", "name": "a.htm"}, {"type": "'), typed, F.lit('", "name": "'), name, F.lit('"}]}}')))
+    page = F.concat(F.lit('<table><tr><th>Type</th></tr><tr><td><a href="/a.htm">a</a></td><td>8-K</td></tr><tr><td><a href="'), F.when(kind == 0, "/ix?doc=/").when(kind == 1, "https://x.org/").otherwise("/"), name, F.lit('">b</a></td><td> '), typed, F.lit(" </td></tr></table>"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", readers.listed_exhibit(listing, F.lit("/f")).alias("listed"), readers.linked_exhibit(page).alias("linked"))
+
+
+EXHIBITS = r"""WITH k AS (SELECT o_orderkey, o_orderkey % 5 AS kind, CASE o_orderkey % 5 WHEN 1 THEN 'EX-99.01' WHEN 2 THEN 'EX-99.2' ELSE 'EX-99.1' END AS typed, 'ex' || o_orderkey || CASE WHEN o_orderkey % 5 = 3 THEN '.jpg' ELSE '.htm' END AS name FROM orders),
+t AS (SELECT o_orderkey, CASE WHEN kind = 4 THEN '{"other": 1}' ELSE '{"directory": {"item": [{"type": "8-K", "name": "a.htm"}, {"type": "' || typed || '", "name": "' || name || '"}]}}' END AS listing,
+  '<tr><th>Type</th></tr><tr><td><a href="/a.htm">a</a></td><td>8-K</td></tr><tr><td><a href="' || CASE kind WHEN 0 THEN '/ix?doc=/' WHEN 1 THEN 'https://x.org/' ELSE '/' END || name || '">b</a></td><td> ' || typed || ' </td></tr>' AS page FROM k),
+f AS (SELECT o_orderkey, [json_extract_string(x, '$.name') FOR x IN json_extract(listing, '$.directory.item[*]') IF regexp_matches(json_extract_string(x, '$.type'), '^EX-99\.0?1$') AND regexp_matches(json_extract_string(x, '$.name'), '\.(htm|html|txt)$')][1] AS listed,
+  [replace(regexp_extract(x, 'href="([^"]+)"', 1), '/ix?doc=', '') FOR x IN regexp_extract_all(page, '<tr>(.*?)</tr>', 1) IF regexp_matches(x, '<td> *EX-99\.0?1 *</td>') AND regexp_matches(x, '\.(htm|html|txt)"')][1] AS linked FROM t)
+SELECT o_orderkey, '/f/' || listed AS listed, CASE WHEN starts_with(linked, 'http') THEN linked ELSE 'https://www.sec.gov' || linked END AS linked FROM f"""
+
+
+def article_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title and day of articles made of events, of which some lack a title or have a date of another form."""
+    kind = F.col("event_id") % 4
+    title = text.first_filled(F.when(kind == 0, "  ").when(kind == 1, F.col("event_type")), F.when(kind < 3, F.concat(F.lit(" u"), "user_id")))
+    raw = F.when(kind == 0, F.date_format("ts", "yyyy-MM-dd")).when(kind == 1, F.date_format("ts", "yyyy-MM-dd'T'HH:mm")).when(kind == 2, F.date_format("ts", "dd.MM.yyyy")).otherwise("2024-13-01")
+    return table(spark, sf_dir, "events").select("event_id", title.alias("title"), text.published_date(raw).cast("string").alias("day"))
+
+
+ARTICLE_FIELDS = """SELECT event_id, CASE event_id % 4 WHEN 1 THEN trim(event_type) WHEN 3 THEN NULL ELSE 'u' || user_id END AS title, CASE WHEN event_id % 4 < 2 THEN ts::DATE::VARCHAR END AS day FROM events"""
+
+
+def worst_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests and seconds at worst of ensembles sized by orders."""
+    key = F.col("o_orderkey")
+    cost = reports.worst_case(key % 40 + 1, key % 7 + 1, key % 3, key % 2 == 0, F.when(key % 5 > 0, 1.5))
+    return table(spark, sf_dir, "orders").select("o_orderkey", cost["requests"].cast("long").alias("requests"), cost["seconds"].cast("double").alias("seconds"))
+
+
+WORST_CASES = """WITH k AS (SELECT o_orderkey, o_orderkey % 40 + 1 AS draws, (o_orderkey % 3 + 1) * CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END AS each FROM orders)
+SELECT o_orderkey, (draws * each)::BIGINT AS requests, CASE WHEN o_orderkey % 5 > 0 THEN ceil(draws / (o_orderkey % 7 + 1)::DOUBLE) * each * 1.5::DOUBLE END AS seconds FROM k"""
+
+
+def shortlisted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as candidates, their events as replies to the prompts of a first test."""
+    rows = draws(spark, sf_dir).withColumns({"status": F.when(F.col("event_id") % 17 == 0, "timeout").when(F.col("event_id") % 19 == 0, "no_logprobs").otherwise("ok"), "place": F.col("item") % 50})
+    return reports.shortlist(rows, "item", "place", "event_id", "status", F.col("event_id") % 23 != 0)
+
+
+SHORTLISTED = f"""WITH {DRAWS}, s AS (SELECT *, CASE WHEN event_id % 17 = 0 THEN 'timeout' WHEN event_id % 19 = 0 THEN 'no_logprobs' ELSE 'ok' END AS status FROM draws),
+o AS (SELECT item, item % 50 AS place, coalesce(arg_min(status, event_id) FILTER (status <> 'ok'), CASE WHEN NOT bool_and(event_id % 23 <> 0) THEN 'parse_failure' END) AS reason FROM s GROUP BY 1),
+k AS (SELECT item, row_number() OVER (ORDER BY place, item) AS k FROM o WHERE reason IS NULL)
+SELECT item, place, reason IS NULL AS passed, reason, coalesce(k <= 10, false) AS selected FROM o LEFT JOIN k USING (item)"""
+
+
 def set_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size and balance of the labelled documents as an evaluation set, and how often a text stands in it more than once."""
     rows = table(spark, sf_dir, "labels").select(F.col("quality").alias("target_direction"))
@@ -416,7 +468,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         outlook_changes, half_intervals, cutoff_cells, analysis, planned_scores, cutoff_contrasts, answer_variety, matched_sample, catalogue_entries, related_entries, aligned_estimates, admitted, recomputed,
-        asset_tilts, statements, verdicts, number_leaks, costs, reduced_components, two_sample_power, observed_prices, chart_bars, filings, set_warnings, arrivals, replies,
+        asset_tilts, statements, verdicts, number_leaks, costs, reduced_components, two_sample_power, observed_prices, chart_bars, filings, exhibits, article_fields, worst_cases, shortlisted, set_warnings, arrivals, replies,
     )
 }
 ORACLE_SQL: dict[str, str] = {name: globals()[name.upper()] for name in QUERIES if name.upper() in globals()}

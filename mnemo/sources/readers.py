@@ -84,6 +84,36 @@ def form_index(lines: DataFrame, forms: Sequence[str]) -> DataFrame:
     return lines.filter(form != "").select(form.alias("form"), company.alias("company"), cik.alias("cik"), F.to_date(F.regexp_replace(filed, "-", ""), "yyyyMMdd").alias("filed"), file.alias("file"))
 
 
+# fixed values: the type of the wanted exhibit, the endings of text files, and the host of relative links
+EXHIBIT = r"(?i)^EX-99\.0?1$"
+TEXT_FILE = r"(?i)\.(htm|html|txt)$"
+FILING_HOST = "https://www.sec.gov"
+
+
+def listed_exhibit(body: Column, folder: Column) -> Column:
+    """The address of a filing's exhibit by the types in its folder's JSON listing; null if the listing names none."""
+    items = F.from_json(body, "directory struct<item array<struct<type string, name string>>>")["directory"]["item"]
+    wanted = F.filter(items, lambda x: x["type"].rlike(EXHIBIT) & x["name"].rlike(TEXT_FILE))
+    return F.concat(folder, F.lit("/"), F.get(wanted, F.lit(0))["name"])
+
+
+def linked_exhibit(html: Column) -> Column:
+    """The address of a filing's exhibit by the table of its index page: the first link of the first row of that type to a text."""
+    rows = F.regexp_extract_all(html, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr\s*>"), F.lit(1))
+
+    def typed(row: Column) -> Column:
+        cells = F.regexp_extract_all(row, F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]\s*>"), F.lit(1))
+        return F.exists(cells, lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", ""), r"(\s|&nbsp;)+", " ")).rlike(EXHIBIT))
+
+    def link(row: Column) -> Column:
+        found = F.regexp_extract(row, r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']+)["']""", 1)
+        return F.regexp_replace(found, r"^/ix\?doc=", "")
+
+    links = F.filter(F.transform(F.filter(rows, typed), link), lambda x: x.rlike(TEXT_FILE))
+    first = F.get(links, F.lit(0))
+    return F.when(first.startswith("http"), first).otherwise(F.concat(F.lit(FILING_HOST), first))
+
+
 def write_records(records: DataFrame, path: str) -> None:
     """One JSON line for each record."""
     records.write.mode("overwrite").json(path)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemo.functions import logits, parsing, stats, text
-from mnemo.operators import calibrate, consensus, corpus, metrics, ngram, rank, resample, series
+from mnemo.operators import calibrate, consensus, corpus, metrics, ngram, rank, reports, resample, series
 from mnemo.sources import html, readers
 from mnemo.streaming import logs
 
@@ -29,6 +29,7 @@ def one(spark, column):
         ("Confidence: 65%", None, 0.65),
         ("Confidence: 1.5", None, None),
         ("lower, then finally higher", 1, None),
+        ('{"direction": "up", "Direction": 1, "confidence": 7, "CONFIDENCE": 0.5}', 1, 0.5),
         ("no movement", 0, None),
         ("", None, None),
     ],
@@ -300,3 +301,25 @@ def test_latest_of_a_log_run_again(spark, tmp_path):
     assert run() == [("x", 1), ("y", 2)]
     (source / "b.jsonl").write_text('{"k": "x", "seq": 3, "v": 9}\n')
     assert run() == [("x", 9), ("y", 2)]
+
+
+def test_greedy_acceptance_of_a_long_chain(spark):
+    """Row i shares a value with row i + 1 alone, so that a round decides two rows; every second one stays."""
+    rows = spark.createDataFrame([(i, (i + 1) // 2, i // 2) for i in range(100)], "i int, a int, b int")
+    assert sorted(r.i for r in corpus.dedup_greedy(rows, "a", "b", ["i"]).collect()) == list(range(0, 100, 2))
+
+
+def test_exhibits(spark):
+    listing = '{"directory": {"item": [{"type": "ex-99.1", "name": "a.jpg"}, {"type": "EX-99.01", "name": "B.HTM"}]}}'
+    page = '<TR><td>x<a href="/i.htm"></td></tr><tr><td>EX-99.2</td><td><a href="/c.htm">c</a></td></tr><tr><td><b>EX-99.1</b>&nbsp;</td><td><a class=x href=\'/ix?doc=/d.txt\'>d</a></td></tr>'
+    rows = spark.createDataFrame([(listing, page), ("{}", "<tr><td>EX-99.1</td></tr>"), ("no json", ""), (None, None)], "l string, p string")
+    got = rows.select(readers.listed_exhibit(F.col("l"), F.lit("f")), readers.linked_exhibit(F.col("p"))).collect()
+    assert [tuple(r) for r in got] == [("f/B.HTM", "https://www.sec.gov/d.txt"), (None, None), (None, None), (None, None)]
+
+
+def test_shortlist_of_first_candidates(spark):
+    rows = [("a", 0, 1, "ok", True), ("a", 0, 2, "ok", True), ("b", 1, 1, "ok", False), ("b", 1, 2, "timeout", None), ("c", 2, 1, "ok", None), ("d", 3, 1, "ok", True), ("e", 4, 1, "ok", True), ("f", 5, 1, None, True)]
+    df = spark.createDataFrame(rows, "m string, place int, k int, status string, parsed boolean")
+    got = {r.m: (r.passed, r.reason, r.selected) for r in reports.shortlist(df, "m", "place", "k", "status", F.col("parsed"), 2).collect()}
+    assert got == {"a": (True, None, True), "b": (False, "timeout", False), "c": (False, "parse_failure", False), "d": (True, None, True), "e": (True, None, False), "f": (False, "error", False)}
+    assert reports.shortlist(df.limit(0), "m", "place", "k", "status", F.col("parsed")).count() == 0
