@@ -14,7 +14,7 @@ A block's data: magic, counts, CRC-32 of the body and of the ids; document ids a
 checkpoints (step, word offset, lane states); 32-bit words.
 
 Defined cases: a null text is empty, and an empty text is the end id alone. Rows of equal doc_id (or null, which comes
-first) stand in the order of their ids. Every row is kept. An empty table makes an archive without blocks. Only doc_id
+first) stand in the order of a hash of their ids, so that many of them are dealt to many tasks. Every row is kept. An empty table makes an archive without blocks. Only doc_id
 and text are read, so further columns cannot clash. A text of any length is one document of one block.
 """
 
@@ -40,6 +40,8 @@ LOW = np.uint64(1 << 31)
 #: Ids of a block before it ends (a longer document makes a longer block), lanes of a block, steps between checkpoints.
 BLOCK_IDS = 1 << 17
 LANES = 1024
+#: Ids of a shard, about, if the session's number of shuffle partitions would make larger ones.
+SHARD_IDS = 1 << 26
 CHECKPOINT_STEPS = 64
 #: Words whose ids a Python worker remembers.
 REMEMBERED = 250_000
@@ -55,8 +57,9 @@ _encoders: dict[str, Callable] = {}
 SPLIT_NORMALIZERS = ("NFC", "Replace", "Lowercase")
 SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
-#: The one letter whose lower case is more than a letter: a mark follows, which joins what comes after.
-WIDE_LOWER = "\u0130"
+#: What keeps a piece whole: a letter whose lower case is more than a letter, and all from U+0300 on, where marks begin that
+#: NFC may join to a letter before it is lower-cased, and letters that NFC takes apart. Below, NFC changes nothing.
+WHOLE_PIECE = "[\u0130\u0300-\U0010ffff]"
 
 
 def _splits(spec: dict) -> bool:
@@ -156,10 +159,11 @@ def word_encoder(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray
         offsets = split.offsets.to_numpy().astype(np.int64)
         words = split.flatten().dictionary_encode()
         n = len(words.dictionary)
-        # a special token's string counts in its own case only
-        lower = pc.if_else(pc.match_substring(words.dictionary, "<|"), words.dictionary, pc.ascii_lower(words.dictionary))
+        # a special token's string counts in its own case only; what NFC may change goes to the tokenizer as it stands
+        whole = pc.match_substring_regex(words.dictionary, WHOLE_PIECE)
+        lower = pc.if_else(pc.or_(whole, pc.match_substring(words.dictionary, "<|")), words.dictionary, pc.ascii_lower(words.dictionary))
         core = pc.ascii_rtrim(lower, PUNCTUATION)
-        letters = pc.and_(pc.utf8_is_alpha(core), pc.invert(pc.match_substring(core, WIDE_LOWER)))
+        letters = pc.and_(pc.utf8_is_alpha(core), pc.invert(whole))
         core = pc.if_else(letters, core, lower)
         cut = np.flatnonzero(pc.not_equal(core, lower).to_numpy(zero_copy_only=False))
         tails = np.full(n, "", object)
@@ -406,10 +410,11 @@ def write_archive(tokens: DataFrame, folder: str) -> None:
         if docs:
             yield flush()
 
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(counts.sum()) // SHARD_IDS))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids")]
     (
-        tokens.repartitionByRange(parts, F.col("doc_id").asc_nulls_first())
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+        tokens.repartitionByRange(parts, *order)
+        .sortWithinPartitions(*order, "ids")
         .mapInArrow(run, "shard long, block long, start long, n_docs long, n_ids long, data binary")
         .write.parquet(f"{folder}/blocks")
     )
