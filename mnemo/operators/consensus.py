@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,6 +57,23 @@ def grid_adherence(draws: DataFrame, item: Sequence[str], value: str, grid: str)
     return draws.groupBy(*item).agg(F.avg(stats.on_grid(F.col(value).cast("double"), grid).cast("double")).alias("adherence"))
 
 
+def _highest(values: Column, levels: Column) -> Column:
+    """A sparse table of an array: level k holds, for each place, the largest of the 2 ** k values from there on."""
+    double = lambda table, k: F.transform(F.element_at(table, -1), lambda x, i: F.greatest(x, F.get(F.element_at(table, -1), i + F.call_function("shiftleft", F.lit(1), k))))
+    return F.aggregate(F.sequence(F.lit(0), levels), F.array(values), lambda table, k: F.concat(table, F.array(double(table, k))))
+
+
+def _leap(start: Column, levels: Column, below: Callable[[Column, Column], Column]) -> Column:
+    """The first place from `start` on where a block of one place is not `below`; below(k, place) asks it of 2 ** k places."""
+    down = F.sequence(levels, F.lit(0), F.lit(-1))
+    return F.aggregate(down, start, lambda at, k: F.when(below(k, at), at + F.call_function("shiftleft", F.lit(1), k)).otherwise(at))
+
+
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def split_search(
     draws: DataFrame, item: Sequence[str], value: str, grid: str, min_mass: float = 0.25, min_gap: int = 3, contrast: float = 10.0, min_draws: int = 8, min_density: float = 1.5
 ) -> DataFrame:
@@ -65,39 +82,48 @@ def split_search(
     Every pair of occupied positions is a candidate gap: both sides must hold a share of the draws, the gap must be wide
     enough in lattice steps, the clusters dense enough, and the taller cluster's peak must exceed the gap's by `contrast`.
     The sparsest gap wins, then the sharpest, then the lowest. `separated` is null for fewer than `min_draws` draws.
-    Candidates are pairs of an item's distinct positions, not of its draws.
+
+    An item's positions stand in one sorted array with running sums and peaks. For one lower edge the draws inside the gap
+    grow with the upper edge, so only the first upper edge that is far enough and dense enough can win; the conditions on mass
+    and contrast, once lost, do not come back. That edge is found by leaps over a sparse table of maxima, and the gap's peak
+    by two of its entries: m positions take m log m steps, and no pairs are made.
     """
     keys = list(item)
     counts = occupancy(draws, item, value, grid)
     step = float(grid)
-    order = Window.partitionBy(*keys).orderBy("position")
-    whole = Window.partitionBy(*keys)
-    low = counts.select(
-        *keys,
-        "position",
-        "n",
-        F.row_number().over(order).alias("i"),
-        F.count("*").over(whole).alias("m"),
-        F.sum("n").over(whole).alias("total"),
-        F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"),
-        F.max("n").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("peak_low"),
-        F.max("n").over(order.rowsBetween(0, Window.unboundedFollowing)).alias("peak_high"),
-    )
-    left = low.filter(F.col("upto") >= min_mass * F.col("total")).select(*keys, F.col("i"), F.col("position").alias("a"), F.col("upto").alias("lower"), "peak_low", "m", "total")
-    right = low.filter(F.col("total") - F.col("upto") + F.col("n") >= min_mass * F.col("total")).select(*keys, F.col("i").alias("j"), F.col("position").alias("b"), (F.col("total") - F.col("upto") + F.col("n")).alias("upper"), "peak_high")
-    pairs = left.join(right, keys).filter((F.col("j") > F.col("i")) & (F.round((F.col("b") - F.col("a")) / step) - 1 >= min_gap))
-    inner = low.select(*keys, F.col("i").alias("k"), F.col("n").alias("inner_n"))
-    troughs = pairs.join(inner, keys, "left").groupBy(*keys, "i", "j", "a", "b", "lower", "upper", "peak_low", "peak_high", "m", "total").agg(
-        F.coalesce(F.max(F.when((F.col("k") > F.col("i")) & (F.col("k") < F.col("j")), F.col("inner_n"))), F.lit(0)).alias("trough")
-    )
-    peak = F.greatest("peak_low", "peak_high")
-    dense = (F.col("lower") + F.col("upper")) / (F.col("i") + F.col("m") - F.col("j") + 1) >= min_density
-    good = troughs.filter(dense & (peak >= contrast * F.col("trough"))).select(*keys, "a", "b", "lower", "upper", "total", (F.col("total") - F.col("lower") - F.col("upper")).alias("inner"), (-(peak - contrast * F.col("trough"))).alias("dull"), "i", "j")
-    best = good.groupBy(*keys).agg(F.min(F.struct("inner", "dull", "i", "j", "a", "b", "lower", "upper", "total")).alias("best"))
-    totals = counts.groupBy(*keys).agg(F.sum("n").alias("n"))
-    share = lambda name: F.col(f"best.{name}") / F.col("best.total")
+    order = Window.partitionBy(*keys).orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy(*keys).orderBy(F.col("position").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    summed = counts.select(*keys, "position", "n", F.sum("n").over(order).alias("upto"), F.max("n").over(order).alias("peak_low"), F.sum("n").over(back).alias("upper"), F.max("n").over(back).alias("peak_high"))
+    c = summed.groupBy(*keys).agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("position", "n", "upto", "peak_low", "upper", "peak_high"))).alias("_c"))
+    c = c.withColumn("_m", F.size("_c")).withColumn("_top", F.floor(F.log2(F.col("_m"))).cast("int"))
+    m, top = F.col("_m"), F.col("_top")
+    c = c.withColumn("_peaks", _highest(F.transform("_c", lambda x: x["n"]), top))
+    c = c.withColumn("_dense", _highest(F.transform("_c", lambda x, j: x["upper"] + min_density * j), top))
+    at = lambda name, i: F.get(F.col("_c"), i)[name]
+    entry = lambda table, k, i: F.get(F.get(F.col(table), k), i)
+    near = lambda a, j: F.round((at("position", j) - a) / step) - 1 < min_gap
+
+    def inside(i: Column, j: Column) -> Column:
+        """The peak strictly between two places."""
+        return _with(F.floor(F.log2(F.greatest(j - i - 1, F.lit(1)))).cast("int"), lambda k: F.when(j - i > 1, F.greatest(entry("_peaks", k, i + 1), entry("_peaks", k, j - F.call_function("shiftleft", F.lit(1), k)))).otherwise(0))
+
+    def gap(low: Column, i: Column) -> Column:
+        far = _leap(i + 1, top, lambda k, p: near(low["position"], F.least(p + F.call_function("shiftleft", F.lit(1), k), m) - 1) & (p < m))
+        need = min_density * (i + m + 1) - low["upto"]
+        dense = _with(far, lambda start: _leap(start, top, lambda k, p: entry("_dense", k, p) < need))
+        return _with(dense, lambda j: _with(inside(i, j), lambda trough: judged(low, i, j, trough)))
+
+    def judged(low: Column, i: Column, j: Column, trough: Column) -> Column:
+        upper, peak = at("upper", j), F.greatest(low["peak_low"], at("peak_high", j))
+        fits = (j < m) & (upper >= min_mass * F.col("n")) & (peak >= contrast * trough)
+        parts = F.struct((F.col("n") - low["upto"] - upper).alias("inner"), (-(peak - contrast * trough)).cast("double").alias("dull"), i.alias("i"), j.alias("j"), low["position"].alias("a"), at("position", j).alias("b"), low["upto"].alias("lower"), upper.alias("upper"))
+        return F.when(fits, parts)
+
+    gaps = F.transform("_c", lambda low, i: F.when(low["upto"] >= min_mass * F.col("n"), gap(low, i)))
+    best = c.select(*keys, "n", F.array_min(F.array_compact(gaps)).alias("best"))
+    share = lambda name: F.col(f"best.{name}") / F.col("n")
     enough = F.col("n") >= min_draws
-    return totals.join(best, keys, "left").select(
+    return best.select(
         *keys,
         "n",
         F.when(enough, F.col("best").isNotNull()).alias("separated"),

@@ -109,6 +109,17 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("item", "n_draws", F.col("n_parsed").cast("long").alias("n_parsed"), r("raw").alias("raw"), r("p_recall").alias("p_recall"), r("adjusted").alias("adjusted"), "status")
 
 
+DECISIONS = f"""WITH {DRAWS}, w AS (SELECT item, CASE WHEN answer <> 'signup' THEN floor(value / 40) END AS v, CASE WHEN answer = 'purchase' THEN value / 400.0::DOUBLE END AS p FROM draws), c AS (SELECT item, v, count(*) AS n FROM w WHERE v IS NOT NULL GROUP BY ALL),
+k AS (SELECT item, v, n, row_number() OVER o AS i, count(*) OVER (PARTITION BY item) AS m, sum(n) OVER (PARTITION BY item) AS total, sum(n) OVER (o ROWS UNBOUNDED PRECEDING) AS upto, max(n) OVER (o ROWS UNBOUNDED PRECEDING) AS pl,
+  max(n) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ph FROM c WINDOW o AS (PARTITION BY item ORDER BY v)),
+f AS (SELECT DISTINCT a.item FROM k a JOIN k b ON a.item = b.item AND b.i > a.i AND round(b.v - a.v) - 1 >= 3 WHERE a.upto >= 0.25 * a.total AND b.total - b.upto + b.n >= 0.25 * b.total
+  AND (a.upto + b.total - b.upto + b.n) / (a.i + a.m - b.i + 1)::DOUBLE >= 1.5 AND greatest(a.pl, b.ph) >= 10 * coalesce((SELECT max(t.n) FROM k t WHERE t.item = a.item AND t.i > a.i AND t.i < b.i), 0)),
+g AS (SELECT item, count(*) AS n_draws, count(v) AS n_parsed, list_sort(list(v) FILTER (v IS NOT NULL)) AS vs, avg(p) AS p_recall FROM w GROUP BY 1),
+h AS (SELECT g.*, n_parsed >= 8 AND f.item IS NOT NULL AS split, CASE WHEN n_parsed >= 8 AND f.item IS NULL THEN vs[((n_parsed - 1) // 2) + 1] END AS answer FROM g LEFT JOIN f ON g.item = f.item)
+SELECT item, n_draws, n_parsed, round(answer, 6) AS raw, round(p_recall, 6) AS p_recall, round(answer * (1 - greatest(0, least(1, p_recall))), 6) AS adjusted,
+  CASE WHEN n_parsed < 8 THEN 'failed' WHEN split THEN 'unavailable' WHEN p_recall IS NULL THEN 'weak' ELSE 'ok' END AS status FROM h"""
+
+
 def usage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A total exists only where every row reports; else only a known part."""
     rows = draws(spark, sf_dir).withColumn("reported", F.when(F.col("value") < 100, F.col("value")))
@@ -171,6 +182,7 @@ ORACLE_SQL = {
     "splits": SPLITS,
     "dependence": DEPENDENCE,
     "distributions": DISTRIBUTIONS,
+    "decisions": DECISIONS,
     "usage_totals": USAGE_TOTALS,
     "first_draw_rates": FIRST_DRAW_RATES,
     "half_variance": HALF_VARIANCE,
