@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from .resample import hash_uniform
+from . import ordered
+from .resample import deal, hash_uniform, poisson_count
 
 TIES = 1e-12
 
@@ -22,8 +23,7 @@ TIES = 1e-12
 def cluster_weights(rows: DataFrame, cluster: str, label: str, n_reps: int, by: Sequence[str] = ()) -> DataFrame:
     """by, cluster, rep and weight: how often a cluster is drawn among those of its label; clusters stand in their order."""
     units = rows.groupBy(*by, cluster).agg(F.max(label).alias("_g"))
-    same = Window.partitionBy(*by, "_g")
-    units = units.select(*by, cluster, "_g", (F.row_number().over(same.orderBy(cluster)) - 1).alias("_place"), F.count("*").over(same).alias("_n"))
+    units = ordered.places(units, [*by, "_g"], [cluster], "_place", "_n")
     slots = units.select(*by, "_g", "_n", F.col("_place").alias("_slot")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_reps - 1))))
     drawn = slots.select(*by, "_g", "rep", F.pmod(hash_uniform(*map(F.col, by), F.col("rep"), F.col("_g"), F.col("_slot")), F.col("_n")).alias("_place"))
     counts = drawn.groupBy(*by, "_g", "rep", "_place").agg(F.count("*").alias("weight"))
@@ -34,8 +34,8 @@ def weighted_auc(rows: DataFrame, score: str, label: str, weight: str, by: Seque
     """by and auc of weighted rows: the weighted share of pairs in which the positive scores higher, ties counting half."""
     w = F.col(weight).cast("double")
     values = rows.groupBy(*by, score).agg(F.sum(F.when(F.col(label) == 1, w).otherwise(0.0)).alias("_pos"), F.sum(F.when(F.col(label) == 0, w).otherwise(0.0)).alias("_neg"))
-    below = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    wins = values.withColumn("_wins", F.col("_pos") * (F.coalesce(F.sum("_neg").over(below), F.lit(0.0)) + F.col("_neg") / 2))
+    values = ordered.sums_before(values, by, [score], {"_below": "_neg"})
+    wins = values.withColumn("_wins", F.col("_pos") * (F.col("_below") + F.col("_neg") / 2))
     both = F.sum("_pos") * F.sum("_neg")
     return wins.groupBy(*by).agg(F.try_divide(F.sum("_wins"), both).alias("auc"))
 
@@ -102,35 +102,40 @@ def permutation_auc_test(rows: DataFrame, score: str, label: str, cluster: str,
     """by, auc, hits and p: whether labels dealt anew over clusters give as high an AUC; scores' ranks stay."""
     counted = _counted(rows, score, label, cluster, by)
     values = counted.groupBy(*by, "_score").agg(F.sum("_rows").alias("_n"))
-    upto = Window.partitionBy(*by).orderBy("_score")
-    ranks = values.select(*by, "_score", (F.sum("_n").over(upto) - (F.col("_n") - 1) / 2.0).alias("_rank"))
+    ranks = ordered.sums_before(values, by, ["_score"], {"_before": "_n"}).select(*by, "_score", (F.col("_before") + (F.col("_n") + 1) / 2.0).alias("_rank"))
     units = counted.join(ranks, [*by, "_score"]).groupBy(*by, "_cluster").agg(F.sum(F.col("_rows") * F.col("_rank")).alias("_ranks"), F.sum("_rows").alias("_n"), F.max("_label").alias("_g"))
     whole = units.groupBy(*by).agg(F.sum("_n").alias("_all"), F.sum("_g").alias("_m"), F.sum(F.when(F.col("_g") == 1, F.col("_ranks"))).alias("_r1"), F.sum(F.when(F.col("_g") == 1, F.col("_n"))).alias("_n1"))
     auc = lambda ranks, n, all_: F.try_divide(ranks - n * (n + 1) / 2.0, (n * (all_ - n)).cast("double"))
     whole = whole.withColumn("auc", auc(F.col("_r1"), F.col("_n1"), F.col("_all")))
-    dealt = units.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_perms - 1))))
-    order = Window.partitionBy(*by, "rep").orderBy(hash_uniform(*map(F.col, by), F.col("rep"), F.col("_cluster")), "_cluster")
-    dealt = dealt.withColumn("_k", F.row_number().over(order))
     head = whole.select(*by, "_all", "_m", "auc")
-    dealt = (dealt.join(head, list(by)) if by else dealt.crossJoin(head)).filter("_k <= _m")
-    perms = dealt.groupBy(*by, "rep").agg(auc(F.sum("_ranks"), F.sum("_n"), F.first("_all")).alias("_auc"), F.first("auc").alias("auc"))
+    place = lambda rep: hash_uniform(*map(F.col, by), rep, F.col("_cluster"))
+    dealt = deal(units, head.select(*by, "_m"), by, "_cluster", place, n_perms, ["_ranks", "_n"], "rep")
+    dealt = dealt.join(head, list(by)) if by else dealt.crossJoin(head)
+    perms = dealt.select(*by, "rep", auc(F.col("_ranks"), F.col("_n"), F.col("_all")).alias("_auc"), "auc")
     hits = perms.groupBy(*by).agg(F.first("auc").alias("auc"), F.count_if(F.col("_auc") >= F.col("auc") - TIES).alias("hits"), F.count("*").alias("n_perms"))
     return hits.withColumn("p", (F.col("hits") + 1) / (F.col("n_perms") + 1))
 
 
 def paired_loss_difference(rows: DataFrame, order: str, a: str, b: str, length: int, n_reps: int, confidence: float = 0.95, by: Sequence[str] = ()) -> DataFrame:
-    """by, n, difference (mean of a less b), low, high, standard_error and p, by moving blocks of a series' rows."""
-    kept = rows.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    whole = Window.partitionBy(*by)
-    placed = kept.select(*by, (F.col(a) - F.col(b)).cast("double").alias("_d"), (F.row_number().over(whole.orderBy(order)) - 1).alias("_place"), F.count("*").over(whole).alias("_n"))
-    sizes = placed.groupBy(*by).agg(F.first("_n").alias("n"), F.avg("_d").alias("difference")).withColumn("_length", F.least(F.lit(length), F.col("n")))
-    blocks = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_reps - 1)))).withColumn("_block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / F.col("_length")).cast("int") - 1)))
-    start = F.pmod(hash_uniform(*map(F.col, by), F.col("rep"), F.col("_block")), F.col("n") - F.col("_length") + 1)
-    slots = blocks.withColumn("_start", start).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_length").cast("int") - 1))).filter("_block * _length + _k < n")
-    drawn = slots.select(*by, "rep", (F.col("_start") + F.col("_k")).alias("_place")).join(placed.select(*by, "_place", "_d"), [*by, "_place"])
-    found = _bounds(drawn.groupBy(*by, "rep").agg(F.avg("_d").alias("_m")), "_m", by, confidence).drop("n_reps")
-    head = sizes.drop("_length")
-    return head.join(found, list(by)) if by else head.crossJoin(found)
+    """by, n, difference (mean of a less b), low, high, standard_error and p, by moving blocks of a series' rows.
+
+    Every place of the series but the last begins a block of `length` rows (of the whole series if that is shorter). A
+    replicate takes a block as often as a Poisson draw from the hash of (group, replicate, place) says, on average as many as
+    fill the series; the mean is over the rows of what it takes. Blocks are summed before replicates are made, in stretches
+    of the series, so a row is sent once, and a task gives one row for a group and replicate.
+    """
+    by = list(by)
+    kept = rows.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, order, (F.col(a) - F.col(b)).cast("double").alias("_d"))
+    placed = ordered.places(kept, by, [order], "_place", "n")
+    block = F.least(F.lit(length).cast("long"), F.col("n"))
+    starts = F.col("n") - block + 1
+    blocks = ordered.following_sums(placed, by, "_place", "_d", length, "_s").filter(F.col("_place") < starts)
+    drawn = blocks.withColumn("_rate", F.ceil(F.col("n") / block) / starts).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_reps - 1))))
+    drawn = drawn.withColumn("_w", poisson_count(hash_uniform(*map(F.col, by), F.col("rep"), F.col("_place")), F.col("_rate")))
+    means = drawn.groupBy(*by, "rep").agg(F.try_divide(F.sum(F.col("_w") * F.col("_s")), F.sum(F.col("_w") * block).cast("double")).alias("_m"))
+    found = _bounds(means, "_m", by, confidence).drop("n_reps")
+    head = kept.groupBy(*by).agg(F.count("*").alias("n"), F.avg("_d").alias("difference"))
+    return head.join(found, by) if by else head.crossJoin(found)
 
 
 def random_answerer_null(rows: DataFrame, key: str, answer: str, target: str, answers: int, n_null: int, confidence: float = 0.95, by: Sequence[str] = ()) -> DataFrame:

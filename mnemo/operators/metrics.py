@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from . import ordered
 
 
 def accuracy(records: DataFrame, predicted: str, target: str, usable: str, by: Sequence[str] = ()) -> DataFrame:
@@ -33,11 +34,11 @@ def rank_auc(rows: DataFrame, score: str, label: str, by: Sequence[str] = ()) ->
     """ROC AUC as the Mann-Whitney statistic, ties counting half; null without both classes.
 
     Scores are first counted by value, so a shuffle carries one row for a different score, and ranks come from running
-    sums over these.
+    sums over these, in which no group is brought into one task.
     """
     values = rows.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, score).agg(F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) == 0).alias("_neg"))
-    below = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    wins = F.col("_pos") * (F.coalesce(F.sum("_neg").over(below), F.lit(0)) + F.col("_neg") / 2)
+    values = ordered.sums_before(values, by, [score], {"_below": "_neg"})
+    wins = F.col("_pos") * (F.col("_below") + F.col("_neg") / 2)
     sums = values.select(*by, "_pos", "_neg", wins.alias("_wins")).groupBy(*by).agg(F.sum("_pos").alias("n_positive"), F.sum("_neg").alias("n_negative"), F.sum("_wins").alias("_wins"))
     both = F.col("n_positive") * F.col("n_negative")
     return sums.select(*by, "n_positive", "n_negative", F.when(both > 0, F.col("_wins") / both).alias("auc"))
@@ -87,22 +88,16 @@ def reliability_curve(rows: DataFrame, p: str, label: str, by: Sequence[str] = (
     return rows.filter(F.col(p).isNotNull() & F.col(label).isNotNull()).groupBy(*by, bin_.alias("bin")).agg(F.count("*").alias("n"), F.avg(p).alias("mean_p"), F.avg(F.col(label).cast("double")).alias("rate"))
 
 
-def average_ranks(rows: DataFrame, value: str, out: str, by: Sequence[str] = ()) -> DataFrame:
-    """The 1-based rank of a value within its group, ties sharing their mean rank."""
-    order, ties = Window.partitionBy(*by).orderBy(value), Window.partitionBy(*by, value)
-    return rows.withColumn(out, F.rank().over(order) + (F.count("*").over(ties) - 1) / 2.0)
-
-
 def mid_rank_share(rows: DataFrame, value: str, out: str, by: Sequence[str] = ()) -> DataFrame:
     """The share of a group below a value plus half of those equal to it."""
-    order, ties, all_ = Window.partitionBy(*by).orderBy(value), Window.partitionBy(*by, value), Window.partitionBy(*by)
-    return rows.withColumn(out, (F.rank().over(order) - 1 + F.count("*").over(ties) / 2.0) / F.count("*").over(all_))
+    ranked = ordered.average_ranks(rows, value, "_rank", by, "_size")
+    return ranked.withColumn(out, (F.col("_rank") - 0.5) / F.col("_size")).drop("_rank", "_size")
 
 
 def agreement(rows: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
     """Mean difference, limits of agreement, mean absolute difference and Spearman correlation of two measures."""
     rows = rows.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    ranked = average_ranks(average_ranks(rows, a, "_ra", by), b, "_rb", by)
+    ranked = ordered.average_ranks(ordered.average_ranks(rows, a, "_ra", by), b, "_rb", by)
     diff = F.col(a) - F.col(b)
     out = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.avg(diff).alias("bias"), F.stddev_samp(diff).alias("_sd"), F.avg(F.abs(diff)).alias("mean_abs"), F.corr("_ra", "_rb").alias("spearman"))
     return out.select(*by, "n", "bias", (F.col("bias") - 1.96 * F.col("_sd")).alias("low"), (F.col("bias") + 1.96 * F.col("_sd")).alias("high"), "mean_abs", "spearman")

@@ -8,42 +8,28 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..checkpoint import cut
+from . import ordered
 
 
 def global_rank(rows: DataFrame, order: Sequence[str | Column], out: str = "rank") -> DataFrame:
-    """rows with their 1-based place in a total order, without bringing them into one task.
-
-    Rows are range-partitioned and kept by a checkpoint; a partition's places follow those of the partitions before it,
-    whose sizes are one row a partition.
-    """
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = cut(rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
-    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    inside = parts.withColumn("_r", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    return inside.join(F.broadcast(before), "_part").withColumn(out, F.col("_before") + F.col("_r")).drop("_part", "_before", "_r")
+    """rows with their 1-based place in a total order, without bringing them into one task."""
+    return ordered.places(rows, [], order, out).withColumn(out, F.col(out) + 1)
 
 
 def rank_filter(rows: DataFrame, value: str, position: str, share: float = 0.8, by: Sequence[str] = ()) -> DataFrame:
-    """Drop the top floor((1 - share) * n) rows by value, of ties the later positions first.
+    """Drop the top floor((1 - share) * n) rows by value, of ties the later positions first; with `by`, in each group.
 
-    Rows without a finite value are left out before. `threshold` is the linear quantile and only reported.
+    Rows without a finite value are left out before. `threshold` is the linear quantile and only reported: it lies between
+    two places of the order. No group is brought into one task.
     """
     usable = rows.filter(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(F.col(value)) < 1e300))
+    ranked = ordered.places(usable, by, [value, position], "_place", "_n")
     kept = F.col("_n") - F.floor(F.round((1 - share) * F.col("_n"), 9))
-    if by:
-        group = usable.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile(value, F.lit(share)).alias("threshold"))
-        ranked = usable.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(value, position)))
-        return ranked.join(group, list(by)).filter(F.col("_rank") <= kept).drop("_rank", "_n")
-    ranked = global_rank(usable, [value, position], "_rank")
-    n = usable.count()
-    # the quantile lies between two places of the order
-    place = share * (n - 1)
-    low, high = int(place) + 1, int(place) + 1 + (place > int(place))
-    ends = ranked.filter(F.col("_rank").isin(low, high)).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
-    threshold = ends.select((F.col("_low") + (F.col("_high") - F.col("_low")) * (place - int(place))).alias("threshold"), F.lit(n).alias("_n"))
-    return ranked.join(F.broadcast(threshold)).filter(F.col("_rank") <= kept).drop("_rank", "_n")
+    ranked = ranked.withColumn("_at", share * (F.col("_n") - 1))
+    low, part = F.floor("_at"), F.col("_at") - F.floor("_at")
+    ends = ranked.filter((F.col("_place") == low) | (F.col("_place") == F.ceil("_at"))).groupBy(*by).agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.first(part).alias("_within"))
+    threshold = ends.select(*by, (F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_within")).alias("threshold"))
+    return ordered.match(ranked.filter(F.col("_place") < kept), threshold, by).drop("_place", "_n", "_at")
 
 
 def gates(rows: DataFrame, rules: Sequence[tuple[str, Column]]) -> DataFrame:

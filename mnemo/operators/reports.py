@@ -17,15 +17,6 @@ from . import consensus, inference, metrics, study
 from .corpus import largest_remainder
 from .resample import hash_uniform, permutation_test
 
-# fixed values: exposure of each asset class to each axis
-EXPOSURE = {
-    "world_equity": {"inflation": -0.3, "growth": 1.0, "credit_stress": -0.8, "policy": -0.3, "risk_appetite": 0.6},
-    "tech_sector": {"inflation": -0.6, "growth": 1.0, "credit_stress": -0.7, "policy": -0.5, "risk_appetite": 0.8},
-    "gold_commodity": {"inflation": 0.8, "growth": -0.4, "credit_stress": 0.7, "policy": 0.1, "risk_appetite": -0.5},
-    "short_treasury_cash": {"inflation": 0.3, "growth": -0.6, "credit_stress": 0.6, "policy": 0.8, "risk_appetite": -0.6},
-}
-
-
 def block_sums(units: DataFrame, order: str, sums: Sequence[str], length: int | str, n_reps: int, by: Sequence[str] = ()) -> DataFrame:
     """by, rep and sums over as many units as a group has, drawn in moving blocks of length units (a number or a column)."""
     whole = Window.partitionBy(*by)
@@ -212,7 +203,7 @@ def recomputed(stored: DataFrame, again: DataFrame, keys: Sequence[str], columns
 def tilts(loadings: Mapping[str, Column]) -> dict[str, Column]:
     """The tilt of each asset class: its exposures times the loadings."""
     total = lambda row: sum((w * loadings[axis] for axis, w in row.items()), F.lit(0.0))
-    return {asset: total(row) for asset, row in EXPOSURE.items()}
+    return {asset: total(row) for asset, row in study.EXPOSURE.items()}
 
 
 def between(lines: Column, starts: Sequence[str], end: str) -> Column:

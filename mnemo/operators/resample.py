@@ -1,63 +1,144 @@
 """Resampling and permutation, in two modes.
 
-Hash mode draws with the MD5 of (replicate, slot): it is part of the query plan, runs as joins and aggregates, and any
-engine reproduces it. Numpy mode draws with `numpy.random.default_rng` in a grouped map, so that a group's results equal
+Hash mode draws with the MD5 of (replicate, unit): it is part of the query plan, runs as aggregates, and any engine
+reproduces it. Numpy mode draws with `numpy.random.default_rng` in a grouped map, so that a group's results equal
 a numpy program's. The modes give different draws and are never mixed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import math
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordered
+
 
 def hash_uniform(*parts: Column) -> Column:
     """A whole number below 2 ** 32 from the parts: the first eight hexadecimal digits of their MD5."""
     return F.conv(F.substring(F.md5(F.concat_ws("-", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("long")
 
 
-def replicates(df: DataFrame, n: int) -> DataFrame:
-    return df.sparkSession.range(n).select(F.col("id").alias("rep"))
+def poisson_thresholds(rate: float, terms: int = 20) -> list[int]:
+    """Of a hash below 2 ** 32: from which values on a Poisson count exceeds 0, 1, and so on."""
+    term, total, out = math.exp(-rate), 0.0, []
+    for k in range(terms):
+        total += term
+        term *= rate / (k + 1)
+        out.append(math.floor(total * 2**32))
+    return [t for t in out if t < 2**32]
+
+
+def poisson_count(u: Column, rate: Column | None = None) -> Column:
+    """A Poisson count from a hash below 2 ** 32; of rate 1, or of a rate up to 1 that differs by row."""
+    if rate is None:
+        return reduce(lambda total, t: total + (u >= t).cast("int"), poisson_thresholds(1.0), F.lit(0))
+    # the sum of the terms so far, the next term, how many sums the hash has reached
+    start = F.struct(F.lit(0.0).alias("total"), F.exp(-rate).alias("term"), F.lit(0).alias("k"))
 
+    def step(state: Column, i: Column) -> Column:
+        total = state["total"] + state["term"]
+        return F.struct(total.alias("total"), (state["term"] * rate / (i + 1)).alias("term"), (state["k"] + (u >= total * float(2**32)).cast("int")).alias("k"))
 
-def bootstrap_mean(rows: DataFrame, key: Sequence[str], order: str, value: str, n_reps: int, confidence: float = 0.95) -> DataFrame:
-    """Mean of each group with a percentile bootstrap interval over n_reps hash replicates.
+    return F.aggregate(F.sequence(F.lit(0), F.lit(11)), start, step, lambda state: state["k"])
 
-    A row's place in its group is its rank by `order`; slot s of replicate r takes the row whose place is the hash of
-    (group, r, s) modulo the group's size. Work is n_reps times the rows; groups are joined by (group, place).
+
+@dataclass(frozen=True)
+class Statistic:
+    """A statistic of weighted rows: named terms of a value that are summed with the weights, and what is made of the sums.
+
+    The sum of the weights is there as `w`.
     """
-    keys = list(key)
-    numbered = rows.select(*keys, F.col(value).cast("double").alias("_v"), (F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1).alias("_place"), F.count("*").over(Window.partitionBy(*keys)).alias("_n"))
-    slots = numbered.select(*keys, F.col("_place").alias("_slot"), "_n").withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(n_reps - 1))))
-    drawn = slots.select(*keys, "_rep", F.pmod(hash_uniform(*[F.col(k) for k in keys], F.col("_rep"), F.col("_slot")), F.col("_n")).alias("_place"))
-    means = drawn.join(numbered.select(*keys, "_place", "_v"), [*keys, "_place"]).groupBy(*keys, "_rep").agg(F.avg("_v").alias("_m"))
+
+    terms: Mapping[str, Callable[[Column], Column]]
+    value: Callable[[Mapping[str, Column]], Column]
+
+
+def _spread(s: Mapping[str, Column]) -> Column:
+    return F.when(s["w"] > 1, F.sqrt(F.greatest(F.lit(0.0), (s["xx"] - s["x"] * s["x"] / s["w"]) / (s["w"] - 1))))
+
+
+_MOMENTS = {"x": lambda v: v, "xx": lambda v: v * v}
+#: What bootstrap() can take by name; more may be added by name.
+WEIGHTED: dict[str, Statistic] = {
+    "mean": Statistic({"x": lambda v: v}, lambda s: F.try_divide(s["x"], s["w"])),
+    "mean_bps": Statistic({"x": lambda v: v}, lambda s: F.try_divide(s["x"], s["w"]) * 1e4),
+    "share_positive": Statistic({"up": lambda v: (v > 0).cast("double")}, lambda s: F.try_divide(s["up"], s["w"])),
+    "sd": Statistic(_MOMENTS, _spread),
+    "sharpe": Statistic(_MOMENTS, lambda s: F.when(s["w"] > 0, F.coalesce(F.when(_spread(s) > 0, math.sqrt(252) * s["x"] / s["w"] / _spread(s)), F.lit(0.0)))),
+}
+
+
+def register(name: str, statistic: Statistic) -> None:
+    """Let bootstrap() take the statistic by name."""
+    WEIGHTED[name] = statistic
+
+
+def bootstrap(rows: DataFrame, key: Sequence[str], unit: str, value: str, n_reps: int, statistic: str = "mean", confidence: float = 0.95) -> DataFrame:
+    """key, n, point, low and high: a statistic of each group with a percentile interval over hash replicates.
+
+    A replicate takes each row as often as a Poisson draw of rate 1 from the hash of (key, replicate, unit) says: a bootstrap
+    whose size varies about the group's, in which rows are drawn apart from each other. So no row is numbered, sent or
+    joined; a task gives one row of sums for a group and replicate. `unit` should differ in all rows of a group: equal units
+    are drawn together. A replicate without rows, or whose statistic is null or not finite, is left out; the bounds contain
+    the point, and are the point for a group of one row or without replicates. Null values take no part; a group without
+    others has n 0 and nulls.
+    """
+    keys, kind = list(key), WEIGHTED[statistic]
+    v = F.col(value).cast("double")
+    told = rows.select(*keys, unit, v.alias("_v")).withColumn("_rep", F.explode(F.sequence(F.lit(-1), F.lit(n_reps - 1))))
+    weight = F.when(F.col("_rep") < 0, 1).otherwise(poisson_count(hash_uniform(*map(F.col, keys), F.col("_rep"), F.col(unit))))
+    told = told.withColumn("_w", F.when(F.col("_v").isNotNull(), weight).otherwise(0))
+    sums = told.groupBy(*keys, "_rep").agg(F.sum("_w").alias("w"), *[F.coalesce(F.sum(F.col("_w") * term(F.col("_v"))), F.lit(0.0)).alias(name) for name, term in kind.terms.items()])
+    found = sums.select(*keys, "_rep", "w", kind.value({"w": F.col("w"), **{n: F.col(n) for n in kind.terms}}).alias("_s"))
+    ok = (F.col("_rep") >= 0) & F.col("_s").isNotNull() & ~F.isnan("_s") & (F.abs("_s") < float("inf"))
     a = (1 - confidence) / 2
-    bounds = means.groupBy(*keys).agg(F.percentile("_m", F.lit(a)).alias("_lo"), F.percentile("_m", F.lit(1 - a)).alias("_hi"))
-    points = rows.groupBy(*keys).agg(F.avg(value).alias("point"), F.count(value).alias("n"))
-    return points.join(bounds, keys).select(*keys, "n", "point", F.least("point", "_lo").alias("low"), F.greatest("point", "_hi").alias("high"))
+    out = found.groupBy(*keys).agg(F.max(F.when(F.col("_rep") < 0, F.col("w"))).alias("n"), F.max(F.when(F.col("_rep") < 0, F.col("_s"))).alias("point"), F.percentile(F.when(ok, F.col("_s")), F.array(F.lit(a), F.lit(1 - a))).alias("_ends"))
+    several = (F.col("n") > 1) & F.col("_ends").isNotNull()
+    bound = lambda pick, k: F.when(several, pick("point", F.col("_ends")[k])).otherwise(F.col("point"))
+    return out.select(*keys, "n", "point", bound(F.least, 0).alias("low"), bound(F.greatest, 1).alias("high"))
+
+
+def deal(units: DataFrame, sizes: DataFrame, key: Sequence[str], unit: str, place: Callable[[Column], Column], n_reps: int, sums: Sequence[str], rep: str = "_rep", buckets: int = 1024) -> DataFrame:
+    """key, rep and the sums of the units that a replicate deals to the first side: its first units in the order of a hash.
+
+    `sizes` has each key's number of these, `_m`; place(replicate) is a hash below 2 ** 32, of equals the smaller unit comes
+    first. Units are summed by stretches of the hash, which a task does for its own; whole stretches count as they are, and
+    only the one in which the first side ends is put in order. So no key's units are brought into one task.
+    """
+    keys = list(key)
+    dealt = units.withColumn(rep, F.explode(F.sequence(F.lit(0), F.lit(n_reps - 1)))).withColumn("_h", place(F.col(rep))).withColumn("_bucket", F.floor(F.col("_h") * buckets / 2**32).cast("int"))
+    cells = dealt.groupBy(*keys, rep, "_bucket").agg(F.count("*").alias("_in"), *[F.sum(c).alias(c) for c in sums])
+    cells = cells.withColumn("_before", F.sum("_in").over(Window.partitionBy(*keys, rep).orderBy("_bucket")) - F.col("_in"))
+    cells = ordered.match(cells, sizes.select(*keys, "_m"), keys)
+    whole = cells.filter(F.col("_before") + F.col("_in") <= F.col("_m")).select(*keys, rep, *sums)
+    edge = cells.filter((F.col("_before") < F.col("_m")) & (F.col("_before") + F.col("_in") > F.col("_m"))).select(*keys, rep, "_bucket", (F.col("_m") - F.col("_before")).alias("_need"))
+    last = ordered.match(dealt, edge, [*keys, rep, "_bucket"])
+    last = last.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, rep).orderBy("_h", unit))).filter("_r <= _need").select(*keys, rep, *sums)
+    return whole.unionByName(last).groupBy(*keys, rep).agg(*[F.sum(c).alias(c) for c in sums])
 
 
 def permutation_test(rows: DataFrame, key: Sequence[str], unit: str, value: str, group: str, n_perms: int) -> DataFrame:
     """One-sided test that the mean of group 1 exceeds that of group 0, by permuting whole units.
 
     Values are summed by unit first. A permutation orders a key's units by hash and gives the first m of them, m being
-    the number of units in group 1, to group 1. A key with one group only has no difference.
+    the number of units in group 1, to group 1 (see deal). A key with one group only has no difference.
     """
     keys = list(key)
     units = rows.groupBy(*keys, unit).agg(F.sum(value).alias("_s"), F.count(value).alias("_c"), F.max(group).alias("_g"))
     observed = units.groupBy(*keys).agg(F.sum(F.when(F.col("_g") == 1, F.col("_s"))).alias("_s1"), F.sum(F.when(F.col("_g") == 1, F.col("_c"))).alias("_c1"), F.sum("_s").alias("_sum"), F.sum("_c").alias("_count"), F.sum("_g").alias("_m"))
     difference = lambda s1, c1: F.try_divide(s1, c1) - F.try_divide(F.col("_sum") - s1, F.col("_count") - c1)
     observed = observed.withColumn("difference", difference(F.col("_s1"), F.col("_c1")))
-    expanded = units.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(n_perms - 1))))
-    order = Window.partitionBy(*keys, "_rep").orderBy(hash_uniform(F.col("_rep"), F.col(unit)), unit)
-    placed = expanded.withColumn("_r", F.row_number().over(order)).join(observed.select(*keys, "_m", "_sum", "_count", "difference"), keys).filter("_r <= _m")
-    perms = placed.groupBy(*keys, "_rep").agg(F.sum("_s").alias("_p1"), F.sum("_c").alias("_q1"), F.first("_sum").alias("_sum"), F.first("_count").alias("_count"), F.first("difference").alias("difference"))
-    hits = perms.groupBy(*keys).agg(F.count_if(difference(F.col("_p1"), F.col("_q1")) >= F.col("difference") - 1e-12).alias("hits"), F.count("*").alias("n_perms"))
-    return observed.join(hits, keys).select(*keys, "difference", "hits", "n_perms", ((F.col("hits") + 1) / (F.col("n_perms") + 1)).alias("p"))
+    dealt = deal(units, observed.select(*keys, "_m"), keys, unit, lambda rep: hash_uniform(rep, F.col(unit)), n_perms, ["_s", "_c"])
+    perms = ordered.match(dealt, observed.select(*keys, "_sum", "_count", "difference"), keys)
+    hits = perms.groupBy(*keys).agg(F.count_if(difference(F.col("_s"), F.col("_c")) >= F.col("difference") - 1e-12).alias("hits"), F.count("*").alias("n_perms"))
+    return ordered.match(observed, hits, keys).select(*keys, "difference", "hits", "n_perms", ((F.col("hits") + 1) / (F.col("n_perms") + 1)).alias("p"))
 
 
 # ---- numpy mode: a group fits in one task by the reference's own contract (a study's items)

@@ -7,11 +7,19 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import calibrate, metrics
-from .resample import bootstrap_mean, hash_uniform
+from . import calibrate, metrics, ordered
+from .resample import bootstrap, hash_uniform
 
-# fixed values: exposures of the asset classes to the axes, defensive less risk
-SPREAD = {"inflation": 2.0, "growth": -3.0, "credit_stress": 2.8, "policy": 1.7, "risk_appetite": -2.5}
+# fixed values: exposure of each asset class to each axis
+EXPOSURE = {
+    "world_equity": {"inflation": -0.3, "growth": 1.0, "credit_stress": -0.8, "policy": -0.3, "risk_appetite": 0.6},
+    "tech_sector": {"inflation": -0.6, "growth": 1.0, "credit_stress": -0.7, "policy": -0.5, "risk_appetite": 0.8},
+    "gold_commodity": {"inflation": 0.8, "growth": -0.4, "credit_stress": 0.7, "policy": 0.1, "risk_appetite": -0.5},
+    "short_treasury_cash": {"inflation": 0.3, "growth": -0.6, "credit_stress": 0.6, "policy": 0.8, "risk_appetite": -0.6},
+}
+DEFENSIVE, RISK = ("gold_commodity", "short_treasury_cash"), ("world_equity", "tech_sector")
+#: Exposure of the defensive classes less that of the others, by axis.
+SPREAD = {axis: round(sum(EXPOSURE[c][axis] for c in DEFENSIVE) - sum(EXPOSURE[c][axis] for c in RISK), 9) for axis in EXPOSURE[RISK[0]]}
 
 
 def pair_arms(rows: DataFrame, keys: Sequence[str], arm: str, value: str, first: object, second: object) -> DataFrame:
@@ -34,7 +42,7 @@ def paired_effect(pairs: DataFrame, by: Sequence[str], order: str, n_reps: int,
     planned = pairs.groupBy(*keys).agg(F.count("*").alias("planned"))
     rows = pairs.filter("reason = ''").select(*keys, order, (F.col("a") - F.col("b")).cast("double").alias("d"))
     spread = rows.groupBy(*keys).agg(F.var_samp("d").alias("_v"))
-    found = planned.join(bootstrap_mean(rows, keys, order, "d", n_reps), keys, "left").join(spread, keys, "left")
+    found = planned.join(bootstrap(rows, keys, order, "d", n_reps), keys, "left").join(spread, keys, "left")
     n = F.coalesce("n", F.lit(0))
     status = F.when(n == 0, "unavailable").when(n < least, "inadequate").when(F.coalesce(F.col("_v"), F.lit(0.0)) == 0, "degenerate").otherwise("estimated")
     bound = lambda c: F.when(status == "estimated", F.col(c))
@@ -167,7 +175,7 @@ def paired_advantage(rows: DataFrame, keys: Sequence[str], arm: str, status: str
 
 def mid_rank_counts(rows: DataFrame, value: str, group: str, item: str) -> DataFrame:
     """group, rank and n: how often each mid-rank of a group's value among its item's values occurs."""
-    ranked = metrics.average_ranks(rows, value, "rank", [item])
+    ranked = ordered.average_ranks(rows, value, "rank", [item])
     return ranked.groupBy(group, "rank").agg(F.count("*").alias("n"))
 
 

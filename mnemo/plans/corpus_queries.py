@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import corpus, resample
-from .tables import SCORED, r, scored, table
+from .tables import CLOSES, SCORED, bootstrap_sql, closes, hash_sql, poisson_sql, r, scored, table
 
 _EARLY, _LATE, _TODAY = "1996-12-31", "1998-06-30", "2001-01-01"
 
@@ -89,14 +91,30 @@ LATEST_EVENTS = """SELECT user_id, event_type, arg_max(event_id, (ts, event_id))
 
 def bootstrap_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean score of each language with a bootstrap interval over 50 hash replicates."""
-    out = resample.bootstrap_mean(scored(spark, sf_dir), ["lang"], "doc_id", "p", 50)
+    out = resample.bootstrap(scored(spark, sf_dir), ["lang"], "doc_id", "p", 50)
     return out.select("lang", "n", *[r(c).alias(c) for c in ("point", "low", "high")])
 
 
-BOOTSTRAP_MEANS = f"""WITH {SCORED}, k AS (SELECT lang, p, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS place, count(*) OVER (PARTITION BY lang) AS n FROM scored),
-d AS (SELECT lang, rep, ('0x' || substr(md5(lang || '-' || rep || '-' || place), 1, 8))::BIGINT % n AS place FROM k, range(50) t(rep)), m AS (SELECT d.lang, rep, avg(p) AS m FROM d JOIN k ON d.lang = k.lang AND d.place = k.place GROUP BY ALL),
-b AS (SELECT lang, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM m GROUP BY 1), p AS (SELECT lang, count(*) AS n, avg(p) AS point FROM scored GROUP BY 1)
-SELECT lang, n, round(point, 6) AS point, round(least(point, lo), 6) AS low, round(greatest(point, hi), 6) AS high FROM p JOIN b USING (lang)"""
+BOOTSTRAP_MEANS = f"""WITH {SCORED}, {bootstrap_sql('b', 'scored', 'lang', 'doc_id', 'p', 50)}
+SELECT lang, n, round(point, 6) AS point, round(CASE WHEN n > 1 THEN least(point, lo) ELSE point END, 6) AS low, round(CASE WHEN n > 1 THEN greatest(point, hi) ELSE point END, 6) AS high FROM b"""
+
+
+def bootstrap_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several statistics of the daily changes of each ticker's close by name, each with a bootstrap interval."""
+    daily = closes(spark, sf_dir)
+    change = daily.withColumn("change", F.col("close") / F.lag("close").over(Window.partitionBy("ticker").orderBy("day")) - 1).filter("change IS NOT NULL").withColumn("unit", F.col("day").cast("string"))
+    parts = [resample.bootstrap(change, ["ticker"], "unit", "change", 20, name).withColumn("statistic", F.lit(name)) for name in ("sharpe", "mean_bps", "share_positive", "sd")]
+    return reduce(DataFrame.unionByName, parts).select("ticker", "statistic", "n", *[r(c).alias(c) for c in ("point", "low", "high")])
+
+
+BOOTSTRAP_STATISTICS = f"""WITH {CLOSES}, c AS (SELECT ticker, day::VARCHAR AS unit, close / lag(close) OVER (PARTITION BY ticker ORDER BY day) - 1 AS x FROM closes QUALIFY x IS NOT NULL),
+d AS (SELECT ticker, rep, x, CASE WHEN rep < 0 THEN 1 ELSE {poisson_sql(hash_sql('ticker', 'rep', 'unit'))} END AS w FROM c, range(-1, 20) t(rep)),
+m AS (SELECT ticker, rep, sum(w)::DOUBLE AS w, sum(w * x) AS s, sum(w * x * x) AS ss, sum(w * (x > 0)::INT) AS up FROM d GROUP BY ALL),
+v AS (SELECT *, CASE WHEN w > 1 THEN sqrt(greatest(0, (ss - s * s / w) / (w - 1))) END AS sd FROM m),
+l AS (SELECT ticker, rep, w, 'sharpe' AS statistic, CASE WHEN w > 0 THEN coalesce(CASE WHEN sd > 0 THEN sqrt(252) * s / w / sd END, 0) END AS x FROM v UNION ALL SELECT ticker, rep, w, 'mean_bps', s / nullif(w, 0) * 1e4 FROM v
+  UNION ALL SELECT ticker, rep, w, 'share_positive', up / nullif(w, 0) FROM v UNION ALL SELECT ticker, rep, w, 'sd', sd FROM v),
+g AS (SELECT ticker, statistic, max(w) FILTER (rep < 0) AS n, max(x) FILTER (rep < 0) AS point, quantile_cont(x, 0.025) FILTER (rep >= 0) AS lo, quantile_cont(x, 0.975) FILTER (rep >= 0) AS hi FROM l GROUP BY ALL)
+SELECT ticker, statistic, n::BIGINT AS n, round(point, 6) AS point, round(CASE WHEN n > 1 THEN least(point, lo) ELSE point END, 6) AS low, round(CASE WHEN n > 1 THEN greatest(point, hi) ELSE point END, 6) AS high FROM g"""
 
 
 def permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,6 +175,7 @@ QUERIES = {
     "held_out_split": held_out_split,
     "latest_events": latest_events,
     "bootstrap_means": bootstrap_means,
+    "bootstrap_statistics": bootstrap_statistics,
     "permutation": permutation,
     "numpy_intervals": numpy_intervals,
     "power": power,
@@ -172,6 +191,7 @@ ORACLE_SQL = {
     "held_out_split": HELD_OUT_SPLIT,
     "latest_events": LATEST_EVENTS,
     "bootstrap_means": BOOTSTRAP_MEANS,
+    "bootstrap_statistics": BOOTSTRAP_STATISTICS,
     "permutation": PERMUTATION,
     "binomial": BINOMIAL,
     "corpus_counts": CORPUS_COUNTS,

@@ -98,13 +98,13 @@ def analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = study.pair_arms(_arms(spark, sf_dir), ["item", "day"], "arm", "value", 0, 1).filter("reason = ''")
     units = pairs.select((F.col("item") % 3).alias("family"), F.col("item").alias("variant"), "day", _split("day").alias("inside"), (F.col("a") - F.col("b")).alias("v"))
     out = reports.analysed(units, ["family"], "variant", "day", "inside", "v", 2, REPS)
-    return out.select("family", "variant", "n_inside", "n_after", *[r(c).alias(c) for c in ("difference", "low", "high", "p", "adjusted")])
+    return out.select("family", "variant", "n_inside", "n_after", *[r(c, 9).alias(c) for c in ("difference", "low", "high", "p", "adjusted")])
 
 
 ANALYSIS = f"""WITH {ARMS}, m AS (SELECT item % 3 AS family, item AS variant, day, (day(day) <= 18)::INT AS inside, a - b AS v FROM pairs WHERE a IS NOT NULL AND b IS NOT NULL), {_gap('gap', 'm', 'family, variant', 'day', 2)},
 f AS (SELECT *, CASE WHEN mi - ma IS NOT NULL THEN p2 END AS p FROM gap),
 h AS (SELECT *, least(1.0, p * (count(p) OVER (PARTITION BY family) - row_number() OVER (PARTITION BY family ORDER BY p NULLS LAST, variant) + 1)) AS step FROM f)
-SELECT family, variant, n_inside, n_after, round(mi - ma, 6) AS difference, round(q[1], 6) AS low, round(q[2], 6) AS high, round(p, 6) AS p, CASE WHEN p IS NOT NULL THEN round(max(step) OVER (PARTITION BY family ORDER BY p NULLS LAST, variant ROWS UNBOUNDED PRECEDING), 6) END AS adjusted FROM h"""
+SELECT family, variant, n_inside, n_after, round(mi - ma, 9) AS difference, round(q[1], 9) AS low, round(q[2], 9) AS high, round(p, 9) AS p, CASE WHEN p IS NOT NULL THEN round(max(step) OVER (PARTITION BY family ORDER BY p NULLS LAST, variant ROWS UNBOUNDED PRECEDING), 9) END AS adjusted FROM h"""
 
 
 def _measured(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -258,7 +258,7 @@ def asset_tilts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ASSET_TILTS = f"""WITH {DRAWS}, s AS (SELECT ts::DATE::VARCHAR AS day, {', '.join(f"count(*) FILTER (answer = '{kind}') / count(*)::DOUBLE - 0.2::DOUBLE AS {axis}" for axis, kind in _AXES.items())} FROM draws GROUP BY 1)
-SELECT day, {', '.join(f"round({' + '.join(f'({w})::DOUBLE * {axis}' for axis, w in row.items())}, 6) AS {asset}" for asset, row in reports.EXPOSURE.items())} FROM s"""
+SELECT day, {', '.join(f"round({' + '.join(f'({w})::DOUBLE * {axis}' for axis, w in row.items())}, 6) AS {asset}" for asset, row in study.EXPOSURE.items())} FROM s"""
 
 
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,7 +282,15 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", parsing.verdict(content).alias("verdict"))
 
 
-VERDICTS = "SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'passed' WHEN 1 THEN 'rejected' WHEN 2 THEN 'rejected' ELSE 'malformed' END AS verdict FROM events"
+_CHECK_LIST = ", ".join(f"'{c}'" for c in sorted(parsing.CHECKS))
+VERDICTS = f"""WITH b AS (SELECT '{{"equivalent": true, "checks": {{' || {" || ', ' || ".join(f"""'"{c}": true'""" for c in parsing.CHECKS)} || '}}, "discrepancies": []}}' AS whole, '"{parsing.CHECKS[0]}": true, ' AS first),
+t AS (SELECT event_id, CASE event_id % 7 WHEN 0 THEN whole WHEN 1 THEN replace(whole, '"equivalent": true', '"equivalent": false') WHEN 2 THEN replace(whole, '[]', '["date"]') WHEN 3 THEN replace(whole, first, '') WHEN 4 THEN whole[:-2] || ', "equivalent": true}}'
+  WHEN 5 THEN '```' || chr(10) || whole || chr(10) || '```' ELSE 'It is equivalent.' END AS t FROM events, b),
+j AS (SELECT event_id, CASE WHEN json_valid(t) AND json_type(t) = 'OBJECT' THEN t::JSON END AS j FROM t),
+c AS (SELECT event_id, j, list_sort(json_keys(j)) = ['checks', 'discrepancies', 'equivalent'] AND json_type(j, '$.equivalent') = 'BOOLEAN' AND json_type(j, '$.checks') = 'OBJECT' AND json_type(j, '$.discrepancies') = 'ARRAY' AS shaped FROM j),
+d AS (SELECT event_id, j, shaped AND list_sort(json_keys(j, '$.checks')) = [{_CHECK_LIST}] AND list_bool_and(list_transform(json_extract(j, '$.checks.*'), lambda x: json_type(x) = 'BOOLEAN'))
+  AND coalesce(list_bool_and(list_transform(json_extract(j, '$.discrepancies[*]'), lambda x: json_type(x) = 'VARCHAR' AND trim(x ->> '$') <> '')), true) AS sound FROM c)
+SELECT event_id, CASE WHEN NOT coalesce(sound, false) THEN 'malformed' WHEN (j ->> '$.equivalent') = 'true' AND NOT list_contains(list_transform(json_extract(j, '$.checks.*'), lambda x: x::VARCHAR), 'false') AND json_array_length(j, '$.discrepancies') = 0 THEN 'passed' ELSE 'rejected' END AS verdict FROM d"""
 
 
 def number_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -400,7 +408,9 @@ def article_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", title.alias("title"), text.published_date(raw).cast("string").alias("day"))
 
 
-ARTICLE_FIELDS = """SELECT event_id, CASE event_id % 4 WHEN 1 THEN trim(event_type) WHEN 3 THEN NULL ELSE 'u' || user_id END AS title, CASE WHEN event_id % 4 < 2 THEN ts::DATE::VARCHAR END AS day FROM events"""
+ARTICLE_FIELDS = """WITH a AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN '  ' WHEN 1 THEN event_type END AS t1, CASE WHEN event_id % 4 < 3 THEN ' u' || user_id END AS t2,
+  CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y-%m-%d') WHEN 1 THEN strftime(ts, '%Y-%m-%dT%H:%M') WHEN 2 THEN strftime(ts, '%d.%m.%Y') ELSE '2024-13-01' END AS raw FROM events)
+SELECT event_id, coalesce(nullif(trim(t1), ''), nullif(trim(t2), '')) AS title, coalesce(try_strptime(raw, '%Y-%m-%d'), try_strptime(raw, '%Y-%m-%dT%H:%M'))::DATE::VARCHAR AS day FROM a"""
 
 
 def worst_cases(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..checkpoint import cut
 from ..functions import parsing, stats
 from ..operators import inference, study
-from .tables import CLOSES, DRAWS, SCORED, closes, draws, r, scored, table
+from .tables import CLOSES, DRAWS, SCORED, bootstrap_sql, closes, draws, poisson_sql, r, scored, table
+from .tables import hash_sql as _hash
 
 REPS = 20
 
@@ -20,10 +21,6 @@ def _dated(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).cast("string").alias(c) if t == "date" else F.col(c) for c, t in df.dtypes])
 
 
-def _hash(*parts: str) -> str:
-    return f"('0x' || substr(md5({" || '-' || ".join(parts)}), 1, 8))::BIGINT"
-
-
 def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents whose clusters are the good and the bad ones of a source, with two scores."""
     rows = scored(spark, sf_dir)
@@ -97,11 +94,10 @@ def loss_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("lang", "n", *[r(c).alias(c) for c in ("difference", "low", "high", "standard_error", "p")])
 
 
-LOSS_DIFFERENCE = f"""WITH {SCORED}, k AS (SELECT lang, (p - label) ** 2 - 0.25 AS d, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS place, count(*) OVER (PARTITION BY lang) AS n FROM scored),
-z AS (SELECT lang, any_value(n) AS n, avg(d) AS difference, least(5, any_value(n)) AS l FROM k GROUP BY 1),
-b AS (SELECT lang, n, l, rep, block, {_hash('lang', 'rep', 'block')} % (n - l + 1) AS start FROM z, range({REPS}) t(rep), range(1000000) x(block) WHERE block < ceil(n / l::DOUBLE)),
-s AS (SELECT lang, rep, start + i AS place FROM b, range(5) y(i) WHERE i < l AND block * l + i < n),
-m AS (SELECT s.lang, rep, avg(d) AS m FROM s JOIN k ON s.lang = k.lang AND s.place = k.place GROUP BY ALL),
+LOSS_DIFFERENCE = f"""WITH {SCORED}, k AS (SELECT lang, (p - label) ** 2 - 0.25 AS d, row_number() OVER o - 1 AS place, count(*) OVER (PARTITION BY lang) AS n, sum((p - label) ** 2 - 0.25) OVER (o ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS s FROM scored WINDOW o AS (PARTITION BY lang ORDER BY doc_id)),
+z AS (SELECT lang, count(*) AS n, avg(d) AS difference FROM k GROUP BY 1),
+b AS (SELECT lang, rep, s, least(5, n) AS l, {poisson_sql(_hash('lang', 'rep', 'place'), 'ceil(n / least(5, n)::DOUBLE) / (n - least(5, n) + 1)')} AS w FROM k, range({REPS}) t(rep) WHERE place < n - least(5, n) + 1),
+m AS (SELECT lang, rep, sum(w * s) / nullif(sum(w * l), 0) AS m FROM b GROUP BY ALL),
 e AS (SELECT lang, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high, coalesce(stddev_samp(m), 0) AS se, least(1.0, 2.0 * least(count(*) FILTER (m <= 0) + 1, count(*) FILTER (m >= 0) + 1) / (count(m) + 1)::DOUBLE) AS p FROM m GROUP BY 1)
 SELECT lang, n, round(difference, 6) AS difference, round(low, 6) AS low, round(high, 6) AS high, round(se, 6) AS standard_error, round(p, 6) AS p FROM z JOIN e USING (lang)"""
 
@@ -162,11 +158,9 @@ def arm_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("item", "planned", "n", *[r(c).alias(c) for c in ("point", "low", "high")], "status")
 
 
-ARM_EFFECTS = f"""WITH {ARMS}, k AS (SELECT item, a - b AS d, row_number() OVER (PARTITION BY item ORDER BY day) - 1 AS place, count(*) OVER (PARTITION BY item) AS n FROM pairs WHERE a IS NOT NULL AND b IS NOT NULL),
-x AS (SELECT item, rep, {_hash('item', 'rep', 'place')} % n AS place FROM k, range({REPS}) t(rep)), m AS (SELECT x.item, rep, avg(d) AS m FROM x JOIN k ON x.item = k.item AND x.place = k.place GROUP BY ALL),
-e AS (SELECT item, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM m GROUP BY 1), p AS (SELECT item, count(*) AS n, avg(d) AS point, var_samp(d) AS v FROM k GROUP BY 1),
-c AS (SELECT item, count(*) AS planned FROM pairs GROUP BY 1),
-s AS (SELECT item, planned, coalesce(n, 0) AS n, point, least(point, lo) AS lo, greatest(point, hi) AS hi, CASE WHEN coalesce(n, 0) = 0 THEN 'unavailable' WHEN n < 8 THEN 'inadequate' WHEN coalesce(v, 0) = 0 THEN 'degenerate' ELSE 'estimated' END AS status FROM c LEFT JOIN p USING (item) LEFT JOIN e USING (item))
+ARM_EFFECTS = f"""WITH {ARMS}, k AS (SELECT item, day, a - b AS d FROM pairs WHERE a IS NOT NULL AND b IS NOT NULL), {bootstrap_sql('e', 'k', 'item', 'day', 'd', REPS)},
+v AS (SELECT item, var_samp(d) AS v FROM k GROUP BY 1), c AS (SELECT item, count(*) AS planned FROM pairs GROUP BY 1),
+s AS (SELECT item, planned, coalesce(n, 0) AS n, point, least(point, lo) AS lo, greatest(point, hi) AS hi, CASE WHEN coalesce(n, 0) = 0 THEN 'unavailable' WHEN n < 8 THEN 'inadequate' WHEN coalesce(v, 0) = 0 THEN 'degenerate' ELSE 'estimated' END AS status FROM c LEFT JOIN e USING (item) LEFT JOIN v USING (item))
 SELECT item, planned, n, round(point, 6) AS point, CASE WHEN status = 'estimated' THEN round(lo, 6) END AS low, CASE WHEN status = 'estimated' THEN round(hi, 6) END AS high, status FROM s"""
 
 
@@ -358,14 +352,14 @@ def scored_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = e.select("event_id", F.when(F.col("event_type") == "error", "timeout").otherwise("").alias("status"), content.alias("content"), "value")
     recall = F.when(F.col("value") < 200, F.col("value") / 200)
     out = study.scored_replies(rows, "status", parsing.direction(F.col("content")), parsing.confidence(F.col("content")), recall)
-    return out.select("event_id", "fail_reason", F.col("predicted").cast("int").alias("predicted"), *[r(c).alias(c) for c in ("confidence", "p_recall", "penalised")])
+    return out.select("event_id", "fail_reason", F.col("predicted").cast("int").alias("predicted"), *[r(c, 9).alias(c) for c in ("confidence", "p_recall", "penalised")])
 
 
 SCORED_REPLIES = r"""WITH c AS (SELECT event_id, event_type = 'error' AS late, value, CASE WHEN event_id % 7 < 3 THEN '{"direction": ' || CASE WHEN value > 50 THEN '1' ELSE '-1' END || ', "confidence": 0.' || lpad((event_id % 100)::VARCHAR, 2, '0') || '}'
   WHEN event_id % 7 < 5 THEN 'DIRECTION: ' || CASE WHEN value > 50 THEN '1' ELSE '-1' END || chr(10) || 'CONFIDENCE: 0.' || lpad((event_id % 100)::VARCHAR, 2, '0') ELSE 'none of it' END AS t FROM events),
 p AS (SELECT *, nullif(regexp_extract(t, '(?i)"?direction"?: (-?[01])', 1), '')::INT AS d, nullif(regexp_extract(t, '(?i)"?confidence"?: ([0-9.]+)', 1), '')::DOUBLE AS k, CASE WHEN value < 200 THEN value / 200 END AS m FROM c),
 f AS (SELECT *, CASE WHEN late THEN 'timeout' WHEN d IS NULL OR k IS NULL THEN 'parse' WHEN m IS NULL THEN 'error' END AS fail_reason FROM p)
-SELECT event_id, fail_reason, CASE WHEN fail_reason IS NULL THEN d END AS predicted, CASE WHEN fail_reason IS NULL THEN round(k, 6) END AS confidence, CASE WHEN fail_reason IS NULL THEN round(m, 6) END AS p_recall, CASE WHEN fail_reason IS NULL THEN round(k * (1 - m), 6) END AS penalised FROM f"""
+SELECT event_id, fail_reason, CASE WHEN fail_reason IS NULL THEN d END AS predicted, CASE WHEN fail_reason IS NULL THEN round(k, 9) END AS confidence, CASE WHEN fail_reason IS NULL THEN round(m, 9) END AS p_recall, CASE WHEN fail_reason IS NULL THEN round(k * (1 - m), 9) END AS penalised FROM f"""
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

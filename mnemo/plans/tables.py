@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.resample import poisson_thresholds
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -40,3 +42,22 @@ def closes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CLOSES = "closes AS (SELECT o_orderpriority AS ticker, o_orderdate::DATE AS day, round(avg(o_totalprice), 4) AS close FROM orders GROUP BY ALL)"
+
+
+def hash_sql(*parts: str) -> str:
+    """resample.hash_uniform in SQL."""
+    return f"('0x' || substr(md5({" || '-' || ".join(parts)}), 1, 8))::BIGINT"
+
+
+def poisson_sql(u: str, rate: str | None = None) -> str:
+    """resample.poisson_count in SQL."""
+    if rate is None:
+        return "(" + " + ".join(f"({u} >= {t})::INT" for t in poisson_thresholds(1.0)) + ")"
+    return f"list_sum(list_transform(range(12), lambda k: ({u} >= 4294967296 * list_sum(list_transform(range(k + 1), lambda i: exp(-({rate})) * ({rate}) ** i / factorial(i::INT))))::INT))"
+
+
+def bootstrap_sql(name: str, source: str, by: str, unit: str, value: str, reps: int) -> str:
+    """A table of by, n, point, lo and hi (before they are made to contain the point) of the bootstrapped mean."""
+    return f"""{name}_d AS (SELECT {by}, rep, {value} AS x, CASE WHEN rep < 0 THEN 1 ELSE {poisson_sql(hash_sql(by, 'rep', unit))} END AS w FROM {source}, range(-1, {reps}) t(rep) WHERE {value} IS NOT NULL),
+{name}_m AS (SELECT {by}, rep, sum(w)::BIGINT AS n, sum(w * x) / nullif(sum(w), 0) AS s FROM {name}_d GROUP BY ALL),
+{name} AS (SELECT {by}, max(n) FILTER (rep < 0) AS n, max(s) FILTER (rep < 0) AS point, quantile_cont(s, 0.025) FILTER (rep >= 0) AS lo, quantile_cont(s, 0.975) FILTER (rep >= 0) AS hi FROM {name}_m GROUP BY ALL)"""

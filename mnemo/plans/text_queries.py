@@ -42,9 +42,30 @@ def parsed_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("kind").agg(F.count("*").alias("n"), F.count("direction").alias("n_direction"), F.sum("direction").cast("long").alias("sum_direction"), F.count("confidence").alias("n_confidence"), r(F.sum("confidence"), 4).alias("sum_confidence"))
 
 
-# the loose pattern's gap takes a sign; by form: strict, percent, JSON, JSON after a bad number, loose, words up, down and flat, an impossible confidence, nothing
-PARSED_REPLIES = r"""WITH e AS (SELECT event_id % 10 AS kind, CASE event_id % 3 WHEN 0 THEN 1 WHEN 1 THEN -1 ELSE 0 END AS d, printf('%.2f', value % 1)::DOUBLE AS c, floor(value % 1 * 100) AS pct FROM events),
-p AS (SELECT kind, CASE WHEN kind IN (0, 2, 3) THEN d WHEN kind IN (1, 4) THEN abs(d) WHEN kind = 5 THEN -1 WHEN kind = 6 THEN -1 WHEN kind = 7 THEN 0 END AS direction, CASE WHEN kind IN (0, 2, 4) THEN c WHEN kind = 1 THEN pct / 100.0::DOUBLE END AS confidence FROM e)
+def _sql_words(words: tuple[str, ...]) -> str:
+    return "greatest(" + ", ".join(f"CASE WHEN contains(z, '{w}') THEN length(z) - strpos(reverse(z), '{w[::-1]}') - {len(w)} + 2 ELSE 0 END" for w in words) + ")"
+
+
+def _sql_last(pattern: str, kind: str) -> str:
+    """The number in the last match of a pattern, if it is a direction or a share."""
+    number = f"try_cast(regexp_extract_all(t, '{pattern}', 1)[-1] AS DOUBLE)"
+    return f"CASE WHEN {number} IN (-1, 0, 1) THEN {number} END" if kind == "direction" else f"CASE WHEN {number} BETWEEN 0 AND 1 THEN {number} END"
+
+
+def _sql_json(name: str, kind: str) -> str:
+    numbers = [f"try_cast(json_extract_string(o, '$.{n}') AS DOUBLE)" for n in (name.lower(), name.title(), name.upper())]
+    return ", ".join(f"CASE WHEN {n} IN (-1, 0, 1) THEN {n} END" if kind == "direction" else f"CASE WHEN {n} BETWEEN 0 AND 1 THEN {n} END" for n in numbers)
+
+
+# the replies are made again, and parsed layer by layer
+PARSED_REPLIES = rf"""WITH e AS (SELECT event_id % 10 AS kind, CASE event_id % 3 WHEN 0 THEN '1' WHEN 1 THEN '-1' ELSE '0' END AS d, printf('%.2f', value % 1) AS v, floor(value % 1 * 100)::BIGINT AS pct FROM events),
+w AS (SELECT kind, CASE kind WHEN 0 THEN 'Direction: ' || d || chr(10) || 'Confidence: ' || v WHEN 1 THEN '**Direction:** 5 then Direction = ' || d || ' and Confidence: ' || pct || '%' WHEN 2 THEN 'Answer {{"direction": ' || d || ', "confidence": ' || v || '}} done'
+  WHEN 3 THEN 'direction 7. {{bad}} {{"Direction": "' || d || '"}}' WHEN 4 THEN 'My final Direction would be ' || d || ', Confidence maybe ' || v WHEN 5 THEN 'The price will be higher than before, not lower at all' WHEN 6 THEN 'It fell sharply; the trend is bearish'
+  WHEN 7 THEN 'Mostly unchanged, a flat day' WHEN 8 THEN 'No idea. Confidence: 1.7' ELSE '' END AS t FROM e),
+o AS (SELECT kind, t, lower(right(t, {parsing.TAIL_CHARS})) AS z, list_filter(regexp_extract_all(t, '{parsing.JSON_OBJECT}'), lambda x: json_valid(x))[1] AS o FROM w),
+l AS (SELECT *, {_sql_words(parsing.UP_WORDS)} AS up, {_sql_words(parsing.DOWN_WORDS)} AS down, {_sql_words(parsing.FLAT_WORDS)} AS flat, try_cast(regexp_extract_all(t, '{parsing.PERCENT}', 1)[-1] AS DOUBLE) / 100 AS percent FROM o),
+p AS (SELECT kind, coalesce({_sql_last(parsing.DIRECTION, "direction")}, {_sql_json("direction", "direction")}, {_sql_last(parsing.DIRECTION_LOOSE, "direction")}, CASE WHEN greatest(up, down, flat) = 0 THEN NULL WHEN greatest(up, down, flat) = up THEN 1 WHEN greatest(up, down, flat) = down THEN -1 ELSE 0 END) AS direction,
+  coalesce(CASE WHEN percent <= 1 THEN percent END, {_sql_last(parsing.CONFIDENCE, "share")}, {_sql_json("confidence", "share")}, {_sql_last(parsing.CONFIDENCE_LOOSE, "share")}) AS confidence FROM l)
 SELECT kind, count(*) AS n, count(direction) AS n_direction, sum(direction)::BIGINT AS sum_direction, count(confidence) AS n_confidence, round(sum(confidence), 4) AS sum_confidence FROM p GROUP BY 1"""
 
 
@@ -59,8 +80,13 @@ def strict_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("kind", F.coalesce("p.code", F.lit("ok")).alias("code")).agg(F.count("*").alias("n"), F.count_if(inside).alias("n_inside"))
 
 
-STRICT_COMPONENTS = """WITH e AS (SELECT event_id, event_id % 6 AS kind FROM events)
-SELECT kind, CASE kind WHEN 0 THEN 'ok' WHEN 1 THEN 'ok' WHEN 2 THEN 'duplicate_key' WHEN 3 THEN 'not_json' WHEN 4 THEN 'not_number' ELSE 'not_object' END AS code, count(*) AS n, count(*) FILTER (kind < 2 AND event_id <= 5000) AS n_inside FROM e GROUP BY ALL"""
+STRICT_COMPONENTS = r"""WITH e AS (SELECT event_id % 6 AS kind, '{"a": ' || event_id || ', "b": 0.5}' AS body FROM events),
+t AS (SELECT kind, CASE kind WHEN 0 THEN body WHEN 1 THEN '```json' || chr(10) || body || chr(10) || '```' WHEN 2 THEN '{"a": 1, "a": 2}' WHEN 3 THEN '{"a": NaN}' WHEN 4 THEN '{"a": true}' ELSE '[1]' END AS t FROM e),
+u AS (SELECT kind, coalesce(nullif(regexp_extract(t, '(?s)\A\s*```(?:json)?[ \t]*\n(.*?)\n?```\s*\z', 1), ''), t) AS t FROM t),
+j AS (SELECT kind, CASE WHEN json_valid(t) AND NOT regexp_matches(t, '\b(NaN|Infinity)\b') THEN t::JSON END AS j FROM u),
+k AS (SELECT kind, j, CASE WHEN json_type(j) = 'OBJECT' THEN json_keys(j) END AS keys, CASE WHEN json_type(j) = 'OBJECT' THEN list_transform(json_extract(j, '$.*'), lambda x: json_type(x)) END AS kinds FROM j),
+c AS (SELECT kind, j, keys, CASE WHEN j IS NULL THEN 'not_json' WHEN coalesce(len(keys), 0) = 0 THEN 'not_object' WHEN len(list_distinct(keys)) < len(keys) THEN 'duplicate_key' WHEN len(list_filter(kinds, lambda x: x NOT IN ('DOUBLE', 'BIGINT', 'UBIGINT'))) > 0 THEN 'not_number' ELSE 'ok' END AS code FROM k)
+SELECT kind, code, count(*) AS n, count(*) FILTER (code = 'ok' AND list_sort(keys) = ['a', 'b'] AND try_cast(j ->> '$.a' AS DOUBLE) BETWEEN 0 AND 5000 AND try_cast(j ->> '$.b' AS DOUBLE) BETWEEN 0 AND 1) AS n_inside FROM c GROUP BY ALL"""
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,8 +182,10 @@ def trigram_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TRIGRAM_TOTALS = r"""WITH d AS (SELECT lang, doc_id, regexp_extract_all(lower(text), '\p{L}+') AS w FROM documents), t AS (SELECT lang, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS a FROM d, unnest(range(1, len(w) + 1)) u(i)),
-x AS (SELECT lang, count(DISTINCT c) AS distinct1, count(*) AS total1, count(DISTINCT (b, c)) FILTER (b IS NOT NULL) AS distinct2, count(b) AS total2, count(DISTINCT (a, b, c)) FILTER (a IS NOT NULL) AS distinct3, count(a) AS total3 FROM t GROUP BY 1)
-SELECT *, 0 AS n_bad FROM x"""
+x AS (SELECT lang, count(DISTINCT c) AS distinct1, count(*) AS total1, count(DISTINCT (b, c)) FILTER (b IS NOT NULL) AS distinct2, count(b) AS total2, count(DISTINCT (a, b, c)) FILTER (a IS NOT NULL) AS distinct3, count(a) AS total3 FROM t GROUP BY 1),
+u AS (SELECT lang, c AS token, count(*) AS n FROM t GROUP BY ALL), o AS (SELECT lang, b AS token, count(*) AS out FROM t WHERE b IS NOT NULL GROUP BY ALL),
+y AS (SELECT o.lang, count(*) FILTER (out > coalesce(u.n, 0)) AS n_bad FROM o LEFT JOIN u ON o.lang = u.lang AND o.token = u.token GROUP BY 1)
+SELECT x.*, n_bad FROM x JOIN y USING (lang)"""
 
 
 @F.pandas_udf(T.LongType())
