@@ -1,7 +1,10 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact weighted shingles.
 
 A benchmark item of L words is looked for in all windows of L words. Similarity is the sum of minima over the sum of
-maxima of the weighted three-word shingle multisets; a shingle weighs more the fewer items have it.
+maxima of the weighted three-word shingle multisets; a shingle weighs more the fewer items have it. Weights are counted over
+the whole benchmark before anything else, so that the blocks it is cut into do not matter: what less than one in FREQUENT
+items has (of FREQUENT items or fewer: what none has) weighs as much as what none has, and of the rest there are at most
+FREQUENT times as many as a mean item's shingles, which every block is told.
 
 Which windows: an item's rarest shingles, of more than 1 - SIMILARITY of its weight together, are its anchors. A window
 without any of them is not similar enough, so a text without any has none. Of the other texts every window is weighed: what
@@ -14,8 +17,8 @@ about three in a thousand in more than RADIUS.
 
 Texts are compared by their words: runs of ASCII digits and letters (case folded) and of characters beyond ASCII.
 
-The items go to the executors as flat arrays, in blocks of at most BLOCK_CHARS characters however many items there are;
-each block is one pass over the texts. Documents are never shuffled.
+The items go to the executors as flat arrays (pickled with the driver), in blocks of at most BLOCK_CHARS characters however
+many items there are; each block is one pass over the texts. Documents are never shuffled.
 
 Defined cases: null texts and items are empty. An item without words matches nothing; one of fewer than SHINGLE_WORDS words
 matches only a text that is exactly its words. A text shorter than an item is one window. Texts of any length are looked
@@ -28,6 +31,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
@@ -40,6 +44,8 @@ from . import common
 SHINGLE_WORDS = 3
 SIMILARITY = 0.75
 RADIUS = 22
+#: Items of which one more or less changes a weight: rarer shingles all weigh the same.
+FREQUENT = 1000
 #: Characters of the items that are held at once: about four bytes of arrays for each.
 BLOCK_CHARS = 8 << 20
 GATE_BITS = 22
@@ -58,11 +64,48 @@ def _running(values: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros((1, *values.shape[1:]), np.int64), np.cumsum(values, axis=0, dtype=np.int64)])
 
 
+@dataclass(frozen=True)
+class Weights:
+    """The weights of the shingles that a share of all items has, in order, and of all the others."""
+
+    items: int
+    shingles: np.ndarray
+    weights: np.ndarray
+    rarest: int
+
+    def of(self, shingles: np.ndarray) -> np.ndarray:
+        if not len(self.shingles):
+            return np.full(len(shingles), self.rarest, np.int64)
+        at = np.minimum(np.searchsorted(self.shingles, shingles), len(self.shingles) - 1)
+        return np.where(self.shingles[at] == shingles, self.weights[at], self.rarest)
+
+
+def item_weights(benchmark: DataFrame) -> Weights:
+    """The weights of the whole benchmark: one count of items for a shingle, of which the frequent ones come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, end, data, offsets in common.text_passes(batch.column(0)):
+                words, first = common.word_hashes(data, offsets)
+                shingles, begin = common.shingle_hashes(words, first, SHINGLE_WORDS)
+                own = np.concatenate([*(np.unique(shingles[begin[i] : begin[i + 1]]) for i in range(end - row)), np.zeros(0, np.uint64)]).astype(np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64))], ["shingle"])
+
+    n = benchmark.count()
+    seen = benchmark.select(F.col("text").cast("string")).mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n"))
+    found = seen.filter(F.col("n") * FREQUENT >= n).toArrow()
+    shingles, counts = found["shingle"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(shingles)
+    scale = min(n, FREQUENT)
+    shared = counts[order] * (scale / max(n, 1))
+    return Weights(n, shingles[order], np.rint(UNIT * (1.0 + np.log((1 + scale) / (1 + shared)))).astype(np.int64), round(UNIT * (1.0 + math.log(1 + scale))))
+
+
 class Items:
     """A block of benchmark items as flat arrays: each item's different shingles and their counts, weights, anchors, fingerprints."""
 
-    def __init__(self, item_ids: list, texts: list[str]) -> None:
-        self.ids = item_ids
+    def __init__(self, item_ids: list, texts: list[str], weights: Weights | None = None) -> None:
+        self.ids, self.weigh = item_ids, (weights or Weights(0, np.zeros(0, np.uint64), np.zeros(0, np.int64), UNIT)).of
         lengths, hashes, counts, sizes = [], [], [], []
         for row, end, data, offsets in common.text_passes(pa.array(texts, pa.string())):
             words, first = common.word_hashes(data, offsets)
@@ -77,9 +120,6 @@ class Items:
         self.first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         self.hashes = np.concatenate([*hashes, np.zeros(0, np.uint64)]).astype(np.uint64)
         self.counts = np.concatenate([*counts, np.zeros(0, np.int64)]).astype(np.int64)
-        self.vocabulary, seen = np.unique(self.hashes, return_counts=True)
-        self.rarest = round(UNIT * (1.0 + math.log(1 + len(texts))))
-        self.weights = np.rint(UNIT * (1.0 + np.log((1 + len(texts)) / (1 + seen)))).astype(np.int64)
         self.totals = np.zeros(len(texts), np.int64)
         self.prints = np.zeros(len(texts), np.uint64)
         anchors: list[tuple[np.ndarray, np.ndarray]] = []
@@ -106,12 +146,6 @@ class Items:
         part = slice(self.first[item], self.first[item + 1])
         return self.hashes[part], self.counts[part]
 
-    def weigh(self, shingles: np.ndarray) -> np.ndarray:
-        if not len(self.vocabulary):
-            return np.full(len(shingles), self.rarest, np.int64)
-        at = np.minimum(np.searchsorted(self.vocabulary, shingles), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == shingles, self.weights[at], self.rarest)
-
     @staticmethod
     def fingerprints(shingles: np.ndarray, weights: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
         """The weighted SimHash of the windows of `size` shingles at starts (ascending), repeats included."""
@@ -179,16 +213,18 @@ def _found(items: Items, column: pa.Array) -> Iterator[tuple[int, list[tuple[int
                 yield row + i, found
 
 
-def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[Items]:
+def item_blocks(benchmark: DataFrame, block_chars: int | None = None) -> Iterator[Items]:
     """The benchmark in blocks whose size is bounded, one after another."""
+    block_chars = block_chars or BLOCK_CHARS
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.length("text") + 16)).first()[0] or 0
     n = max(1, math.ceil(2 * total / block_chars)) if total > block_chars else 1
+    weights = item_weights(rows)
     for k in range(n):
         block = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
         got = block.orderBy("item_id", "text").collect()
         if got:
-            yield Items([r[0] for r in got], [r[1] for r in got])
+            yield Items([r[0] for r in got], [r[1] for r in got], weights)
 
 
 MATCH_SCHEMA = "doc_id long, item_id long, start_word long, n_words long, distance int, similarity double"
