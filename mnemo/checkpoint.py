@@ -1,19 +1,25 @@
-"""Cutting lineage in the folder that driver and executors share."""
+"""Cutting lineage, and folders of intermediate tables, in the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of df in the session's checkpoint folder; a temporary one only in a local session without one."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, name: str | None = None) -> str:
+    """The session's checkpoint folder, or a new folder in it; a temporary one only in a local session without one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="mnemo-"))
+    return sc.getCheckpointDir() if name is None else f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint of df in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
