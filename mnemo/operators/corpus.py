@@ -7,12 +7,11 @@ depend on partitions.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..checkpoint import cut
+from . import selection
 
 
 def hash_order(key: Column, salt: str) -> Column:
@@ -47,30 +46,8 @@ def dedup_first(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
 
 
 def dedup_greedy(rows: DataFrame, a: str, b: str, order: Sequence[str]) -> DataFrame:
-    """Accept rows in order; a row goes if an accepted one before it has its value of a or of b.
-
-    Rounds: an undecided row that is the first undecided one of both its values is accepted, and the rows that share a
-    value with an accepted one go. Each round is two windows over what is undecided and ends in a checkpoint. A round
-    accepts at least the first row left, so the rounds end; a long chain of rows takes as many as it has links.
-    """
-    names = rows.columns
-    place = F.struct(*order)
-    undecided = cut(rows.withColumn("_o", place))
-    accepted: DataFrame | None = None
-    for done in count(1):
-        first = (F.col("_o") == F.min("_o").over(Window.partitionBy(a))) & (F.col("_o") == F.min("_o").over(Window.partitionBy(b)))
-        marked = undecided.withColumn("_take", first)
-        taken_a, taken_b = F.max("_take").over(Window.partitionBy(a)), F.max("_take").over(Window.partitionBy(b))
-        marked = cut(marked.withColumns({"_ta": taken_a, "_tb": taken_b}))
-        got = marked.filter("_take").select(*names)
-        accepted = got if accepted is None else accepted.unionByName(got)
-        undecided = marked.filter("NOT _take AND NOT _ta AND NOT _tb").select(*names, "_o")
-        if done % 20 == 0:
-            # the plan of a long chain stays short
-            accepted, undecided = cut(accepted), cut(undecided)
-        if undecided.isEmpty():
-            break
-    return accepted
+    """Accept rows in order; a row goes if an accepted one before it has its value of a or of b (see selection.accept)."""
+    return selection.accept(rows, [a, b], order).filter("outcome = 'accepted'").select(*rows.columns)
 
 
 def hash_ranked(rows: DataFrame, stratum: Sequence[str], key: str, salt: str) -> DataFrame:
