@@ -79,24 +79,36 @@ def accept(rows: DataFrame, keys: Sequence[str | Column], order: Sequence[str],
 
 
 def _with_targets(links: DataFrame, status: DataFrame, groups: DataFrame, targets: dict) -> DataFrame:
+    """The same with targets. Rows are decided in stretches of the order, each eight times as long, until every group is full or the rows end."""
     known = reduce(lambda c, t: c.when(F.col("group") == t[0], t[1]), targets.items(), F.when(F.lit(False), 0)).otherwise(0)
-    status = cut(status.join(groups.withColumn("_target", known), "id").select("id", F.when(F.col("_target") <= 0, False).otherwise(F.col("taken")).alias("taken")))
     full = {g for g, n in targets.items() if n <= 0}
+    plan = cut(status.join(groups, "id").withColumn("_target", known))
+    rows, begin, end = plan.count(), 0, max(1024, 16 * sum(max(n, 0) for n in targets.values()))
+    done = plan.select("id", "taken").limit(0)
+    while True:
+        shut = F.col("_target") <= 0
+        shut = shut | F.col("group").isin(*full) if full else shut
+        fresh = plan.filter((F.col("id") >= begin) & (F.col("id") < end)).select("id", F.when(~shut, F.lit(None).cast("boolean")).otherwise(False).alias("taken"))
+        done = _filled(links.filter(F.col("id") < end), cut(done.unionByName(fresh)), plan, known, full)
+        if end >= rows or full >= set(targets):
+            return done.unionByName(plan.filter(F.col("id") >= end).select("id", F.lit(False).alias("taken")))
+        begin, end = end, end * 8
+
+
+def _filled(links: DataFrame, status: DataFrame, groups: DataFrame, known: Column, full: set) -> DataFrame:
+    """status with nothing undecided; groups that reach their target are closed after it, and come to `full`."""
     while True:
         done = _taken(links, status)
-        counted = ordered.places(done.filter("taken").join(groups, "id"), ["group"], ["id"], "_k")
+        counted = ordered.places(done.filter("taken").join(groups.select("id", "group"), "id"), ["group"], ["id"], "_k")
         # the row with which each group that was open reaches its target; the first of them is right, and what comes after it is not yet
         reached = {r["group"]: r["id"] for r in counted.withColumn("_target", known).filter("_k + 1 = _target").collect() if r["group"] not in full}
         if not reached:
             return done
-        group = min(reached, key=lambda g: reached[g])
-        at = reached[group]
-        full.add(group)
-        late = F.col("id") > at
-        mine = F.col("group").eqNullSafe(F.lit(group))
-        shut = F.col("group").isin(*full) | (known <= 0)
-        joined = done.withColumnRenamed("taken", "_done").join(groups, "id")
-        status = cut(joined.select("id", F.when(~late, F.col("_done")).when(mine | shut, False).otherwise(F.lit(None).cast("boolean")).alias("taken")))
+        at = min(reached.values())
+        full.update(g for g, i in reached.items() if i == at)
+        shut = F.col("group").isin(*full) | (F.col("_target") <= 0)
+        joined = done.withColumnRenamed("taken", "_done").join(groups.select("id", "group", "_target"), "id")
+        status = cut(joined.select("id", F.when(F.col("id") <= at, F.col("_done")).when(shut, False).otherwise(F.lit(None).cast("boolean")).alias("taken")))
 
 
 def disjoint_windows(rows: DataFrame, group: Sequence[str], stratum: Sequence[str], at: str, length: int, key: str, quota: int, salt: str) -> DataFrame:

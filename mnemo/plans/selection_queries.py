@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import portfolio, selection, series
+from ..operators import assembly, portfolio, selection, series
 from .tables import CLOSES, closes, hash_sql, r, table
 
 TARGETS = {"before": 150, "after": 220}
@@ -95,5 +95,40 @@ y AS (SELECT *, equity / greatest(1.0, max(equity) OVER (PARTITION BY variant OR
 SELECT variant, count(*) AS n_days, round(sqrt(252) * avg(ret) / stddev_samp(ret), 5) AS sharpe, round(avg(ret) * 10000, 5) AS mean_bps, round(min(dd), 5) + 0.0 AS max_drawdown, round(arg_max(equity, day) - 1, 5) AS total_return, round(arg_max(value, day), 3) AS value, round(max(fees), 3) AS fees FROM y GROUP BY 1"""
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (intake_pages, balanced_windows, rebalanced_portfolio)}
+ASSEMBLED = ("1-URGENT", "3-MEDIUM", "5-LOW")
+THROUGH = "1998-06-30"
+
+
+def assembled_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of the month ends of four years from three series of order prices, as known then, and the next month's returns of all; with what each month lacks."""
+    daily = closes(spark, sf_dir)
+    after = F.when(F.dayofmonth("day") % 3 == 0, F.date_add("day", 400))
+    told = daily.filter(F.col("ticker").isin(*ASSEMBLED) & ((F.col("ticker") != ASSEMBLED[1]) | (F.month("day") != 4)))
+    observations = told.select(F.col("ticker").alias("series"), "day", F.col("close").alias("value"), F.date_add("day", 20).alias("known_from"), after.alias("known_to"))
+    decisions = spark.range(48).select(F.last_day(F.add_months(F.lit("1995-01-01").cast("date"), F.col("id").cast("int"))).alias("decision"))
+    known = assembly.as_known(observations, decisions, 24, 6, 12)
+    returns = assembly.next_month_returns(daily.filter("month(day) <> 9 OR ticker <> '2-HIGH'"), decisions, F.lit(THROUGH).cast("date"))
+    out = assembly.assembled(decisions, known, returns, ASSEMBLED)
+    return out.select(F.col("decision").cast("string").alias("decision"), "item_id", "state", "reason", *[r(F.try_element_at("z", F.lit(s))).alias(f"z{k}") for k, s in enumerate(ASSEMBLED)], "outcome_reason", r(F.aggregate(F.map_values("returns"), F.lit(0.0), lambda t, x: t + x)).alias("total_return"))
+
+
+_SERIES = ", ".join(f"'{s}'" for s in ASSEMBLED)
+ASSEMBLED_MONTHS = f"""WITH {CLOSES}, d AS (SELECT last_day(DATE '1995-01-01' + to_months(i::INT)) AS decision FROM range(48) t(i)),
+o AS (SELECT ticker AS series, day, close, day + 20 AS a, CASE WHEN day(day) % 3 = 0 THEN day + 400 END AS b, year(day) * 12 + month(day) - 1 AS m FROM closes WHERE ticker IN ({_SERIES}) AND (ticker <> '{ASSEMBLED[1]}' OR month(day) <> 4)),
+k AS (SELECT series, decision, year(decision) * 12 + month(decision) - 1 AS dm, m, arg_max(close, day) AS v FROM o JOIN d ON day <= decision AND a <= decision AND coalesce(b, decision) >= decision GROUP BY ALL),
+l AS (SELECT *, max(m) OVER (PARTITION BY series, decision) AS latest FROM k),
+s AS (SELECT series, decision, count(*) AS n, arg_max(v, m) AS cur, avg(v) AS mean, stddev_samp(v) AS sd FROM l WHERE m > latest - 24 AND latest > dm - 6 GROUP BY series, decision),
+z AS (SELECT d.decision, x.series, x.i, CASE WHEN s.series IS NULL THEN x.series || ' has no value' WHEN n < 12 THEN x.series || ' has ' || n || ' monthly values' WHEN NOT coalesce(sd > 0, false) THEN x.series || ' does not vary' END AS reason, (cur - mean) / sd AS z
+  FROM d CROSS JOIN (SELECT unnest([{_SERIES}]) AS series, unnest([1, 2, 3]) AS i) x LEFT JOIN s ON s.series = x.series AND s.decision = d.decision),
+w AS (SELECT decision, coalesce(arg_min(reason, i) FILTER (reason IS NOT NULL), '') AS reason, {", ".join(f"max(z) FILTER (i = {k + 1}) AS z{k}" for k in range(3))} FROM z GROUP BY 1),
+c AS (SELECT ticker, year(day) * 12 + month(day) - 1 AS m, arg_max(close, day) AS c FROM closes WHERE month(day) <> 9 OR ticker <> '2-HIGH' GROUP BY ALL HAVING last_day(max(day)) - max(day) <= 7),
+p AS (SELECT decision, t.ticker, x.c AS now, y.c AS later, last_day(decision + to_months(1)) > DATE '{THROUGH}' AS open FROM d CROSS JOIN (SELECT DISTINCT ticker FROM closes) t
+  LEFT JOIN c x ON x.ticker = t.ticker AND x.m = year(decision) * 12 + month(decision) - 1 LEFT JOIN c y ON y.ticker = t.ticker AND y.m = year(decision) * 12 + month(decision)),
+q AS (SELECT decision, ticker, CASE WHEN open THEN 'the next month is not complete' WHEN now IS NULL THEN ticker || ' has no close at the end of the month' WHEN later IS NULL THEN ticker || ' has no close at the end of the next month' END AS reason, later / now - 1 AS ret FROM p),
+r AS (SELECT decision, coalesce(arg_min(reason, ticker) FILTER (reason IS NOT NULL), '') AS outcome_reason, sum(ret) AS total FROM q GROUP BY 1)
+SELECT decision::VARCHAR AS decision, CASE WHEN reason = '' THEN 'macro-' || strftime(decision, '%Y-%m') END AS item_id, CASE WHEN reason <> '' THEN 'excluded' WHEN outcome_reason <> '' THEN 'no outcome' ELSE 'complete' END AS state, reason,
+  {", ".join(f"CASE WHEN reason = '' THEN round(z{k}, 6) END AS z{k}" for k in range(3))}, outcome_reason, CASE WHEN outcome_reason = '' THEN round(total, 6) END AS total_return FROM w JOIN r USING (decision)"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (intake_pages, balanced_windows, rebalanced_portfolio, assembled_months)}
 ORACLE_SQL: dict[str, str] = {name: globals()[name.upper()] for name in QUERIES}

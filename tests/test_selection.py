@@ -116,3 +116,39 @@ def test_fees_take_from_the_value(spark):
     weights = prices.select(F.lit("v").alias("variant"), "day", "ticker", ((F.col("day") % 3) / 5).alias("weight"))
     ends = [portfolio.rebalanced(weights, prices, ["variant"], fee, 100.0).agg(F.max_by("value", "day"), F.max("fees")).first() for fee in (0.0, 0.01)]
     assert ends[0][0] > ends[1][0] and ends[0][1] == 0 < ends[1][1]
+
+
+def test_targets_beyond_the_first_stretch(spark):
+    """Targets that are met late, or never, are decided over several stretches of the order."""
+    rows = [(i, "x" if i > 1500 and i % 50 == 0 else "y", i if i % 2 else i // 40, None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "i long, g string, a long, b long").repartition(2)
+    targets = {"x": 20, "y": 3000}
+    got = {r["i"]: r["outcome"] for r in selection.accept(df, ["a", "b"], ["i"], "g", targets).collect()}
+    assert got == loop(rows, targets)
+
+
+def test_assembled_months_say_what_they_lack(spark):
+    from datetime import date
+
+    from mnemo.operators import assembly
+
+    obs = [("s", date(2020 + k // 12, k % 12 + 1, 10), float(k % 5), date(2020 + k // 12, k % 12 + 1, 12), None) for k in range(24)]
+    obs += [("s", date(2021, 6, 20), 99.0, date(2022, 1, 1), None), ("flat", date(2021, 1, 5), 1.0, date(2021, 1, 5), None), ("flat", date(2021, 2, 5), 1.0, date(2021, 2, 5), None)]
+    observations = spark.createDataFrame(obs, "series string, day date, value double, known_from date, known_to date")
+    decisions = spark.createDataFrame([(date(2021, 6, 30),), (date(2021, 3, 31),), (date(2030, 1, 31),)], "decision date")
+    known = {(r["series"], r["decision"]): r for r in assembly.as_known(observations, decisions, 12, 6, 2).collect()}
+    r = known["s", date(2021, 6, 30)]
+    window = [float(k % 5) for k in range(6, 18)]
+    mean = sum(window) / 12
+    spread = (sum((x - mean) ** 2 for x in window) / 11) ** 0.5
+    assert (r["n"], r["current"], r["z"]) == (12, 2.0, pytest.approx((2.0 - mean) / spread)) and r["reason"] == ""
+    assert known["flat", date(2021, 3, 31)]["reason"] == "flat does not vary" and ("s", date(2030, 1, 31)) not in known
+    closes = spark.createDataFrame([("t", date(2021, 3, 29), 10.0), ("t", date(2021, 4, 28), 12.0), ("t", date(2021, 6, 10), 9.0)], "ticker string, day date, close double")
+    returns = assembly.next_month_returns(closes, decisions, F.lit(date(2022, 1, 1)))
+    got = {r["decision"]: r for r in returns.collect()}
+    assert got[date(2021, 3, 31)]["ret"] == pytest.approx(0.2) and got[date(2021, 6, 30)]["reason"] == "t has no close at the end of the month"
+    out = {r["decision"]: r for r in assembly.assembled(decisions, assembly.as_known(observations, decisions, 12, 6, 2), returns, ["s", "flat"]).collect()}
+    assert out[date(2021, 3, 31)]["state"] == "excluded" and out[date(2030, 1, 31)]["reason"] == "s has no value"
+    only = {r["decision"]: r for r in assembly.assembled(decisions, assembly.as_known(observations, decisions, 12, 6, 2), returns, ["s"]).collect()}
+    assert (only[date(2021, 3, 31)]["state"], only[date(2021, 3, 31)]["item_id"], only[date(2021, 3, 31)]["returns"]) == ("complete", "macro-2021-03", {"t": pytest.approx(0.2)})
+    assert only[date(2021, 6, 30)]["state"] == "no outcome"
