@@ -33,9 +33,15 @@ def interpolated(n1: Column, total: Column, vocabulary: Column, n2: Column, out1
 def score(words: DataFrame, one: DataFrame, two: DataFrame, three: DataFrame, doc_id: str) -> DataFrame:
     """Token count and summed log probability of each document under a model's counts. Unseen contexts back off.
 
-    The document side is made distinct by trigram first, so a repeated trigram is looked up once a document.
+    The document side is made distinct by trigram first, so a repeated trigram is looked up once a document. Of the counts
+    only those of the documents' words and contexts are kept: as they are keys of the counts, what else a model counts goes
+    before it is shuffled. The sums of a context are of all that follows it in the model.
     """
     whole = one.agg(F.sum("n1").alias("total"), F.count("*").alias("vocabulary"))
+    asked = lambda *names: words.select(*names).distinct()
+    one = one.join(asked("token"), "token", "left_semi")
+    two = two.join(asked("before1").filter("before1 IS NOT NULL"), "before1", "left_semi")
+    three = three.join(asked("before2", "before1").filter("before2 IS NOT NULL"), ["before2", "before1"], "left_semi")
     out1 = two.groupBy("before1").agg(F.sum("n2").alias("out1"))
     out2 = three.groupBy("before2", "before1").agg(F.sum("n3").alias("out2"))
     grams = words.groupBy(doc_id, "before2", "before1", "token").agg(F.count("*").alias("c"))

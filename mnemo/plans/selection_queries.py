@@ -68,7 +68,7 @@ def _wishes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rebalanced_portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Performance of a portfolio that follows the weights on all days on which every ticker has a price, without and with fees."""
-    prices = portfolio.aligned_prices(closes(spark, sf_dir).withColumn("at", F.col("day")), "day", "ticker", "close", "at").drop("reason")
+    prices = portfolio.aligned_prices(closes(spark, sf_dir).withColumn("at", F.col("day")), "day", "ticker", "close", "at").filter("day IS NOT NULL").drop("reason")
     wishes = series.target_weights(_wishes(spark, sf_dir), "day", "ticker", "direction", "confidence", "position")
     parts = [portfolio.daily_returns(portfolio.rebalanced(wishes.withColumn("variant", F.lit(v)), prices, ["variant"], fee, CASH), ["variant"], CASH) for v, fee in FEES.items()]
     curve = parts[0].unionByName(parts[1])
@@ -79,7 +79,7 @@ def rebalanced_portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REBALANCED_PORTFOLIO = f"""WITH RECURSIVE {CLOSES}, l AS (SELECT *, lag(close) OVER (PARTITION BY ticker ORDER BY day) AS prev FROM closes),
 g AS (SELECT day, ticker, greatest(0, sign(close - prev)) * (day(day) % 7 / 20.0::DOUBLE + 0.1::DOUBLE) AS raw FROM l WHERE prev IS NOT NULL), h AS (SELECT day, ticker, raw / greatest(sum(abs(raw)) OVER (PARTITION BY day), 1.0) AS weight FROM g),
-f AS (SELECT day FROM closes WHERE close > 0 GROUP BY day HAVING count(*) = (SELECT count(DISTINCT ticker) FROM closes)),
+f_all AS (SELECT day FROM closes WHERE close > 0 GROUP BY day HAVING count(*) = (SELECT count(DISTINCT ticker) FROM closes)), f AS (SELECT day FROM f_all WHERE (SELECT count(*) FROM f_all) >= 30),
 d AS (SELECT c.day, list(c.close ORDER BY c.ticker) AS p, list(coalesce(h.weight, 0) ORDER BY c.ticker) AS w, row_number() OVER (ORDER BY c.day) AS i FROM closes c JOIN f USING (day) LEFT JOIN h ON h.day = c.day AND h.ticker = c.ticker GROUP BY c.day),
 v(variant, fee) AS (VALUES ('free', 0.0::DOUBLE), ('charged', 0.002::DOUBLE)),
 s AS (SELECT variant, fee, 0::BIGINT AS i, NULL::DATE AS day, {CASH}::DOUBLE AS cash, list_transform((SELECT p FROM d WHERE i = 1), lambda x: 0::DOUBLE) AS held, {CASH}::DOUBLE AS value, 0::DOUBLE AS fees FROM v
