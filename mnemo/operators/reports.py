@@ -226,8 +226,14 @@ def ordered_leaks(places: DataFrame, series: DataFrame, text_id: str, series_id:
 
     From every start the next number's nearest later place is taken. States of one last place are one row, and places
     meet within ranges of span places, so a text of many numbers is spread. Series are at most longest numbers long.
+
+    A series is looked for only in the texts that hold the number of it that is rarest in all texts, so a number that many
+    texts and series share brings none of them together.
     """
-    hits = places.join(series, "number").select(text_id, series_id, "k", "place", F.floor(F.col("place") / span).alias("_range"))
+    known = places.groupBy("number").agg(F.count("*").alias("_n"))
+    rarest = series.join(known, "number", "left").groupBy(series_id).agg(F.min_by("number", F.struct(F.coalesce("_n", F.lit(0)), "number")).alias("number"))
+    pairs = places.select(text_id, "number").distinct().join(rarest, "number").select(text_id, series_id)
+    hits = pairs.join(series, series_id).join(places, [text_id, "number"]).select(text_id, series_id, "k", "place", F.floor(F.col("place") / span).alias("_range"))
     sizes = series.groupBy(series_id).agg(F.max("k").alias("_size"))
     state = hits.filter("k = 1").select(text_id, series_id, F.col("place").alias("_last"))
     ended = None
