@@ -15,9 +15,11 @@ distributions sum to 1.
 Words and bigrams are counted one by one over every token of both corpora. Their counts grow with the corpus, so they are
 never gathered or broadcast. Documents are dealt into blocks of about BLOCK_BYTES. A block asks for the counts of its different
 words and bigrams: a row for each bucket of keys, with the keys and the block's own counts as packed arrays. A bucket adds
-up what all blocks say of its keys and answers each in the order of its keys. So the most frequent word has one entry
-a block and makes no hot task. A key is 40 bits within its bucket, and buckets grow in number with the corpus: of a million
-bigrams about two share a count with another, at every size.
+up what all blocks say of its keys and answers each in the order of its keys. The most frequent word has one entry a block,
+and blocks grow in number with the corpus, so a bucket is added up in a tree: FAN neighbouring blocks first, then as many of
+their sums, and so on; the answers come down the same way. No group has more than FAN rows (a corpus of FAN blocks is one
+step). A key is 40 bits within its bucket, and buckets grow in number with the corpus: of a million bigrams about two share
+a count with another, at every size.
 
 Defined cases: a null text is empty; a text without words has no tokens and score, target_loss and background_loss 0. With an
 empty target both models still have a distribution (the uniform one). Repeated rows count as often as they stand, and
@@ -42,6 +44,8 @@ STRENGTH = 16.0
 #: Bytes of text of a block and of a bucket on average.
 BLOCK_BYTES = 2 << 20
 BUCKET_BYTES = 16 << 20
+#: Rows of a bucket that are added up at once.
+FAN = 1024
 #: Bytes of text whose words are hashed at once.
 HASH_BYTES = 1 << 19
 KEY_BITS = 40
@@ -160,27 +164,70 @@ def ask(packed: DataFrame, wanted: DataFrame, n_buckets: int) -> DataFrame:
     return packed.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(run, ASKED)
 
 
+def _added(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """Of rows of one bucket: the different keys, the place of each row's keys among them, their counts added up, and where each row's begin."""
+    parts = [_unplaned(x.as_buffer(), 5) for x in rows.column("keys")]
+    keys, at = np.unique(np.concatenate(parts), return_inverse=True)
+    # a block's own counts have 4 bytes, sums have 8
+    counts = (np.concatenate([_unplaned(x.as_buffer(), len(x.as_buffer()) // max(1, len(p))) for x, p in zip(rows.column(name), parts, strict=True)]) for name in ("target", "background"))
+    return keys, at, [np.bincount(at, n, len(keys)).astype(np.int64) for n in counts], np.cumsum([0, *map(len, parts)])
+
+
+def _dealt(rows: pa.Table, at: np.ndarray, first: np.ndarray, sums: list[np.ndarray], once: tuple[int, int, int]) -> pa.Table:
+    """Each row's keys answered in their order; what is said once a bucket is said in its first row."""
+    out = []
+    for k, (block, kind, bucket) in enumerate(zip(*(rows.column(c).to_pylist() for c in ("block", "kind", "bucket")), strict=True)):
+        mine = at[first[k] : first[k + 1]]
+        out.append((block, kind, bucket, *(_planes(s[mine], 8) for s in sums), *(once if k == 0 else (0, 0, 0))))
+    return _table(out, ANSWERED)
+
+
+def merge(asked: DataFrame, fan: int) -> DataFrame:
+    """Of each bucket the rows of fan neighbouring blocks as one row, whose block is the number of that neighbourhood."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        keys, _, sums, _ = _added(rows)
+        kind, bucket, block = (k.as_py() for k in key)
+        return _table([(block, kind, bucket, _planes(keys.astype(np.uint64), 5), *(_planes(n, 8) for n in sums))], ASKED)
+
+    return asked.groupBy("kind", "bucket", F.floor(F.col("block") / fan).cast("long").alias("parent")).applyInArrow(run, ASKED)
+
+
 def answer(asked: DataFrame) -> DataFrame:
-    """The counts over all blocks of each row's keys, and once a bucket its number of keys and tokens of both corpora."""
+    """The counts over all rows of each row's keys, and once a bucket its number of keys and tokens of both corpora."""
 
     def run(rows: pa.Table) -> pa.Table:
-        parts = [_unplaned(x.as_buffer(), 5) for x in rows.column("keys")]
-        first = np.cumsum([0, *map(len, parts)])
-        keys, at = np.unique(np.concatenate(parts), return_inverse=True)
-        sums = []
-        for name in ("target", "background"):
-            n = np.concatenate([_unplaned(x.as_buffer(), 4) for x in rows.column(name)])
-            sums.append(np.bincount(at, n, len(keys)).astype(np.int64))
-        out = []
-        for k, (block, kind, bucket) in enumerate(zip(*(rows.column(c).to_pylist() for c in ("block", "kind", "bucket")), strict=True)):
-            mine = at[first[k] : first[k + 1]]
-            once = (len(keys), int(sums[0].sum()), int(sums[1].sum())) if k == 0 else (0, 0, 0)
-            out.append((block, kind, bucket, *(_planes(s[mine], 8) for s in sums), *once))
-        return _table(out, ANSWERED)
+        keys, at, sums, first = _added(rows)
+        return _dealt(rows, at, first, sums, (len(keys), int(sums[0].sum()), int(sums[1].sum())))
 
     return asked.groupBy("kind", "bucket").applyInArrow(run, ANSWERED)
 
 
+def spread(asked: DataFrame, answers: DataFrame, fan: int) -> DataFrame:
+    """The answers to rows that merge put together, from those to what it made of them."""
+
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        _, at, _, first = _added(rows)
+        sums = [_unplaned(answers.column(name)[0].as_buffer(), 8) for name in ("target", "background")]
+        return _dealt(rows, at, first, sums, tuple(answers.column(name)[0].as_py() for name in ("n_keys", "n_target", "n_background")))
+
+    below = asked.withColumn("parent", F.floor(F.col("block") / fan).cast("long")).groupBy("kind", "bucket", "parent")
+    return below.cogroup(answers.withColumn("parent", F.col("block")).groupBy("kind", "bucket", "parent")).applyInArrow(run, ANSWERED)
+
+
+def counted(asked: DataFrame, n_blocks: int, fan: int) -> DataFrame:
+    """answer, by a tree in which no group has more than fan rows: merged upwards, answered at the top, and spread downwards."""
+    levels = [asked]
+    while n_blocks > fan:
+        levels[-1] = common.stored(levels[-1], "asked")
+        levels.append(merge(levels[-1], fan))
+        n_blocks = -(-n_blocks // fan)
+    answers = common.stored(answer(levels.pop()), "answers")
+    while levels:
+        answers = common.stored(spread(levels.pop(), answers, fan), "answers")
+    return answers
+
+
 SCORED = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
 
 
@@ -224,7 +271,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     packed = _packed(docs, n_blocks)
     wanted = target.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
     wanted = wanted.select(_block(F.col("doc_id"), n_blocks), "doc_id")
-    answers = common.stored(answer(ask(packed, wanted, n_buckets)), "answers")
+    answers = counted(ask(packed, wanted, n_buckets), n_blocks, FAN)
     words = answers.filter(F.col("kind") == WORD).agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_keys", "n_target", "n_background"))).first()
     ids = wanted.select("block", F.lit(TARGET).alias("kind"), F.col("doc_id").alias("bucket"), *(F.lit(None).cast("binary").alias(c) for c in ("target", "background")))
     rows = answers.select("block", "kind", "bucket", "target", "background").union(ids)

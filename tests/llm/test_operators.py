@@ -523,8 +523,10 @@ def loop_scores(rows, target):
     return out
 
 
-@pytest.mark.parametrize("target", [[5, 9, 5, None, 3], []])
-def test_cross_entropy_difference_against_loops(docs, spark, target, monkeypatch):
+@pytest.mark.parametrize(("target", "fan"), [([5, 9, 5, None, 3], 1024), ([], 1024), ([5, 9, 5, None, 3], 2)])
+def test_cross_entropy_difference_against_loops(docs, spark, target, fan, monkeypatch):
+    """The last case adds the blocks' counts in a tree of several levels."""
+    monkeypatch.setattr(lm_score, "FAN", fan)
     monkeypatch.setattr(lm_score, "BLOCK_BYTES", 20_000)
     monkeypatch.setattr(lm_score, "BUCKET_BYTES", 30_000)
     got = lm_score.cross_entropy_difference(docs, spark.createDataFrame([(x,) for x in target], "doc_id long")).collect()
