@@ -43,7 +43,7 @@ from . import common
 STRENGTH = 16.0
 #: Bytes of text of a block and of a bucket on average.
 BLOCK_BYTES = 2 << 20
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 6 << 20
 #: Rows of a bucket that are added up at once.
 FAN = 1024
 #: Bytes of text whose words are hashed at once.
