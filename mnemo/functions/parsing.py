@@ -117,25 +117,30 @@ def parse_components(text: pd.Series) -> pd.DataFrame:
 CHECKS = ("claims", "entities", "dates", "quantities", "units", "uncertainty", "qualifications", "attribution", "instruction_injection")
 
 
-def strict_verdict(text: str | None) -> str:
-    """passed, rejected or malformed: a verdict is one JSON object of equivalent, all checks and discrepancies, no key twice, nothing else."""
+#: The fields of a verdict, what each has to be, and what each has to be besides for the verdict to pass.
+VERDICT = {
+    "equivalent": (lambda x: isinstance(x, bool), bool),
+    "checks": (lambda x: isinstance(x, dict) and sorted(x) == sorted(CHECKS) and {*map(type, x.values())} == {bool}, lambda x: all(x.values())),
+    "discrepancies": (lambda x: isinstance(x, list) and all(isinstance(y, str) and y.strip() for y in x), lambda x: not x),
+}
 
-    def unique(pairs: list[tuple[str, object]]) -> dict:
-        if len(dict(pairs)) < len(pairs):
-            raise ValueError("repeated key")
-        return dict(pairs)
 
+def _once(pairs: list[tuple[str, object]]) -> dict:
+    found = dict(pairs)
+    if len(found) != len(pairs):
+        raise ValueError("a key stands twice")
+    return found
+
+
+def strict_verdict(text: str | None) -> str:
+    """passed, rejected or malformed: a verdict is one JSON object with the fields of VERDICT, no key twice, nothing else."""
     try:
-        found = json.loads(text or "", object_pairs_hook=unique)
+        found = json.loads(text or "", object_pairs_hook=_once)
     except (ValueError, RecursionError):
         return "malformed"
-    if not isinstance(found, dict) or found.keys() != {"equivalent", "checks", "discrepancies"}:
-        return "malformed"
-    same, checks, faults = found["equivalent"], found["checks"], found["discrepancies"]
-    shaped = isinstance(same, bool) and isinstance(checks, dict) and checks.keys() == set(CHECKS) and isinstance(faults, list)
-    if not shaped or not all(isinstance(c, bool) for c in checks.values()) or not all(isinstance(f, str) and f.strip() for f in faults):
+    if not isinstance(found, dict) or sorted(found) != sorted(VERDICT) or not all(sound(found[f]) for f, (sound, _) in VERDICT.items()):
         return "malformed"
-    return "passed" if same and all(checks.values()) and not faults else "rejected"
+    return "passed" if all(passes(found[f]) for f, (_, passes) in VERDICT.items()) else "rejected"
 
 
 @F.pandas_udf(T.StringType())
