@@ -168,3 +168,11 @@ def test_hash_ranked_places_every_row_of_any_stratum(spark):
         order = sorted((hashlib.md5(f"salt:{k}".encode()).hexdigest(), k) for k, t, _ in rows if t == s)
         want |= {k: (i + 1, len(order)) for i, (_, k) in enumerate(order)}
     assert {r.k: (r._rank, r._size) for r in got} == want and len(got) == 500
+
+
+def test_recomputed_reads_what_is_stored(spark):
+    """Both sides stand on one stored table, so no mean of doubles is computed twice."""
+    from mnemo.plans import report_queries
+
+    plan = report_queries.recomputed(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "o_totalprice" not in plan
