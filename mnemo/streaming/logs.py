@@ -112,14 +112,14 @@ def intake(existing: DataFrame, arrivals: DataFrame, day: str, url: str, title:
     """Rows of arrivals to append: dated on or after the last day of existing, new by address and by title.
 
     The high-water mark is inclusive, so rows of the same day that come late still enter. Of arrivals that repeat each
-    other the first by (day, address) stays.
+    other the first by (day, address, title) stays, so that the same arrivals give the same rows however they are dealt.
     """
     mark = existing.agg(F.max(day).alias("_mark"))
     fresh = arrivals.join(F.broadcast(mark)).filter(F.col("_mark").isNull() | (F.col(day) >= F.col("_mark"))).drop("_mark")
     fresh = fresh.join(existing.select(url).distinct(), url, "left_anti").join(existing.select(title).distinct(), title, "left_anti")
     from ..operators.corpus import dedup_first
 
-    return dedup_first(fresh, [url, title], [day, url]).select(*arrivals.columns)
+    return dedup_first(fresh, [url, title], [day, url, title]).select(*arrivals.columns)
 
 
 def assemble_replies(events: DataFrame) -> DataFrame:

@@ -176,3 +176,15 @@ def test_recomputed_reads_what_is_stored(spark):
 
     plan = report_queries.recomputed(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "o_totalprice" not in plan
+
+
+def test_intake_takes_the_same_rows_however_they_are_dealt(spark):
+    """Arrivals of one day and address: the first title stays, from every order of the rows."""
+    from mnemo.streaming import logs
+
+    old = spark.createDataFrame([("2020-01-05", "u", "t")], "day string, url string, title string")
+    rows = [("2020-01-05", f"u{k % 3}", f"t{k}") for k in range(9)]
+    for seed in range(4):
+        random.Random(seed).shuffle(rows)
+        got = logs.intake(old, spark.createDataFrame(rows, "day string, url string, title string").coalesce(1), "day", "url", "title").collect()
+        assert sorted((r.url, r.title) for r in got) == [("u0", "t0"), ("u1", "t1"), ("u2", "t2")]
