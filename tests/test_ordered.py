@@ -6,11 +6,13 @@ import math
 import random
 import statistics
 import time
+from decimal import ROUND_HALF_UP, Decimal
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
 
-from mnemo.operators import consensus, inference, metrics, ordered, rank, resample
+from mnemo.operators import consensus, inference, metrics, ordered, rank, resample, study
 
 RNG = random.Random(3)
 
@@ -197,3 +199,23 @@ def test_block_means_of_a_series(spark):
     assert means[0] <= got["a"]["low"] <= got["a"]["high"] <= means[-1] and got["a"]["standard_error"] == pytest.approx(statistics.stdev(means))
     assert bisect.bisect(means, got["a"]["low"]) <= 3
     assert (got["b"]["difference"], got["b"]["low"], got["b"]["high"]) == (1.0, 1.0, 1.0)
+
+
+def test_rounded_means_are_summed_in_order_however_rows_are_dealt(spark):
+    """Means that lie halfway but for the error of their sums: every dealing of the rows gives what a loop in order gives."""
+    rng = random.Random(5)
+    added = lambda values: reduce(lambda a, b: a + b, values, 0.0)  # noqa: E731  (sum() of floats is compensated)
+    groups = []
+    while len(groups) < 30:
+        values = [round(rng.random() * 100, 2) for _ in range(13)]
+        values[-1] = round(13 * 40.5 - sum(values[:-1]), 2)
+        # only such whose sum has another side of the half in another order
+        if len({added(rng.sample(values, 13)) / 13 < 40.5 for _ in range(40)}) > 1:
+            groups.append(values)
+    rows = [(g, k, v) for g, values in enumerate(groups) for k, v in enumerate(values)] + [(None, 0, 1.5), (None, 1, None), (77, 0, None)]
+    loop = lambda values: float(Decimal(repr(added(values) / 13)).quantize(Decimal(1), ROUND_HALF_UP))
+    want = {g: loop(values) for g, values in enumerate(groups)} | {None: 2.0, 77: None}
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        df = spark.createDataFrame(rows, "g int, k int, v double").repartition(4)
+        assert {r.g: r.v for r in study.rounded_means(df, ["g"], "v", "k").collect()} == want
