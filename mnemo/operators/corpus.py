@@ -102,16 +102,31 @@ def hash_split(rows: DataFrame, stratum: Sequence[str], key: str, salt: str, hol
 def nearest_match(left: DataFrame, right: DataFrame, key: Sequence[str], left_id: str, left_value: str, right_id: str, right_value: str, band: float) -> DataFrame:
     """For each row of left the row of right with the nearest logarithm of its value, of equals the smaller id.
 
-    Values are cut into bands of the logarithm and a row meets its own and the next bands only; a match farther than a
-    band away is none.
+    A match farther than a band away is none. Equal values of a side are one row. The nearest value below and the nearest
+    above are the last and the next in order: within a 64th of a band by a window, beyond it by the ends of the 64ths, so no
+    row meets a whole band. Distances count to 12 decimals; all values at that distance are then looked up in cells that are
+    but little wider than its rounding, and the smallest id of them stays.
     """
-    width = F.lit(band)
-    a = left.select(*key, left_id, F.log(left_value).alias("_a"))
-    b = right.select(*key, F.col(right_id).alias("match_id"), F.log(right_value).alias("_b")).withColumn("_band", F.floor(F.col("_b") / width))
-    a = a.withColumn("_band", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("_a") / width) + d)))
-    near = a.join(b, [*key, "_band"]).withColumn("distance", F.abs(F.col("_a") - F.col("_b"))).filter(F.col("distance") <= width)
-    best = near.groupBy(*key, left_id).agg(F.min(F.struct(F.round("distance", 12).alias("distance"), "match_id")).alias("_m"))
-    return left.select(*key, left_id).join(best, [*key, left_id], "left").select(*key, left_id, F.col("_m.match_id").alias("match_id"), F.col("_m.distance").alias("distance"))
+    step, cell = band / 64, 4e-12
+    known = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < 1e300)
+    a = left.select(*key, F.log(left_value).alias("_a")).filter(known("_a")).distinct()
+    b = right.select(*key, F.col(right_id).alias("match_id"), F.log(right_value).alias("_b")).filter(known("_b")).groupBy(*key, "_b").agg(F.min("match_id").alias("match_id"))
+    both = a.select(*key, F.col("_a").alias("_x"), F.lit(True).alias("_asks")).unionByName(b.select(*key, F.col("_b").alias("_x"), F.lit(False).alias("_asks")))
+    both = both.withColumn("_step", F.floor(F.col("_x") / step)).withColumn("_b", F.when(~F.col("_asks"), F.col("_x")))
+    inside = Window.partitionBy(*key, "_step").orderBy("_x")
+    upto, onward = inside.rangeBetween(Window.unboundedPreceding, 0), Window.partitionBy(*key, "_step").orderBy(F.col("_x").desc()).rangeBetween(Window.unboundedPreceding, 0)
+    placed = both.withColumns({"_below": F.max("_b").over(upto), "_above": F.min("_b").over(onward)}).filter("_asks")
+    ends = both.groupBy(*key, "_step").agg(F.min("_b").alias("_low"), F.max("_b").alias("_high"))
+    steps = Window.partitionBy(*key).orderBy("_step")
+    ends = ends.select(*key, "_step", F.max("_high").over(steps.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.min("_low").over(steps.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    placed = placed.join(ends, [*key, "_step"])
+    least = F.least(F.col("_x") - F.coalesce("_below", "_before"), F.coalesce("_above", "_after") - F.col("_x"))
+    nearest = placed.select(*key, F.col("_x").alias("_a"), least.alias("_least")).filter(F.col("_least") <= band).withColumn("distance", F.round("_least", 12))
+    cells = [F.floor(x / cell) + d for x in (F.col("_a") - F.col("distance"), F.col("_a") + F.col("distance")) for d in (-1, 0, 1)]
+    met = nearest.withColumn("_cell", F.explode(F.array_distinct(F.array(*cells)))).join(b.withColumn("_cell", F.floor(F.col("_b") / cell)), [*key, "_cell"])
+    apart = F.abs(F.col("_a") - F.col("_b"))
+    best = met.filter((apart <= band) & (F.round(apart, 12) == F.col("distance"))).groupBy(*key, "_a").agg(F.min("match_id").alias("match_id"), F.first("distance").alias("distance"))
+    return left.select(*key, left_id, F.log(left_value).alias("_a")).join(best, [*key, "_a"], "left").select(*key, left_id, "match_id", "distance")
 
 
 def leaks(texts: DataFrame, probes: DataFrame, text_id: str, text: str, probe_id: str, probe: str, size: int = 8) -> DataFrame:

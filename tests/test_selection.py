@@ -1,7 +1,9 @@
 """Greedy acceptance, windows that do not overlap, aligned prices and the portfolio against loops."""
 
 import hashlib
+import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -152,3 +154,27 @@ def test_assembled_months_say_what_they_lack(spark):
     only = {r["decision"]: r for r in assembly.assembled(decisions, assembly.as_known(observations, decisions, 12, 6, 2), returns, ["s"]).collect()}
     assert (only[date(2021, 3, 31)]["state"], only[date(2021, 3, 31)]["item_id"], only[date(2021, 3, 31)]["returns"]) == ("complete", "macro-2021-03", {"t": pytest.approx(0.2)})
     assert only[date(2021, 6, 30)]["state"] == "no outcome"
+
+
+def test_nearest_match_against_all_pairs(spark):
+    """Ties from below and above, values far apart, copies, values that have no logarithm, and keys of one side alone."""
+    rng = random.Random(11)
+    values = lambda: [rng.choice([rng.random() * 10, rng.randint(1, 9) * 1.0, 2.0 ** rng.randint(-3, 30), 100.0 * (1 + rng.randint(0, 3) * 1e-13), -1.0, 0.0, None]) for _ in range(150)]
+    left = [(rng.choice("ab"), i, v) for i, v in enumerate(values())] + [("c", 900, 2.0)]
+    right = [(rng.choice("ab"), 1000 - i, v) for i, v in enumerate(values())] + [("d", 5, 2.0)]
+    out = corpus.nearest_match(spark.createDataFrame(left, "g string, i int, v double"), spark.createDataFrame(right, "g string, j int, w double"), ["g"], "i", "v", "j", "w", 0.5)
+    log = lambda v: math.log(v) if v is not None and v > 0 else None
+    for r in out.collect():
+        x = log(next(v for g, i, v in left if i == r.i))
+        near = [] if x is None else sorted((round(abs(x - log(w)), 12), j) for g, j, w in right if g == r.g and log(w) is not None and abs(x - log(w)) <= 0.5)
+        assert (r.distance, r.match_id) == (pytest.approx(near[0][0], abs=2e-12), near[0][1]) if near else (None, None)
+    assert out.count() == len(left)
+
+
+def test_nearest_match_meets_few_values(spark):
+    """20,000 against 20,000 values of one band and key: all pairs would be 400 million."""
+    rows = spark.range(20000)
+    a, b = rows.select(F.lit(1).alias("g"), "id", (F.col("id") * 2 + 100001).alias("v")), rows.select(F.lit(1).alias("g"), F.col("id").alias("j"), (F.col("id") * 2 + 100000).alias("w"))
+    begin = time.monotonic()
+    got = corpus.nearest_match(a, b, ["g"], "id", "v", "j", "w", 0.5).filter("match_id = id + 1 OR (id = 19999 AND match_id = id)").count()
+    assert got == 20000 and time.monotonic() - begin < 30
