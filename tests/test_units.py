@@ -1,6 +1,7 @@
 """Edge cases of the operators on hand-built rows."""
 
 import json
+import math
 import random
 
 import numpy as np
@@ -323,3 +324,14 @@ def test_shortlist_of_first_candidates(spark):
     got = {r.m: (r.passed, r.reason, r.selected) for r in reports.shortlist(df, "m", "place", "k", "status", F.col("parsed"), 2).collect()}
     assert got == {"a": (True, None, True), "b": (False, "timeout", False), "c": (False, "parse_failure", False), "d": (True, None, True), "e": (True, None, False), "f": (False, "error", False)}
     assert reports.shortlist(df.limit(0), "m", "place", "k", "status", F.col("parsed")).count() == 0
+
+
+def test_binomial_tail_of_large_n(spark):
+    """Against a sum of all terms, around the mean, in both tails and at the ends."""
+    cases = [(n, k) for n in (1, 19, 21, 400, 30000) for k in sorted({0, 1, int(0.8 * n), int(0.8 * n + n**0.5), int(0.9 * n), n, n + 1})]
+    got = spark.createDataFrame(cases, "n long, k long").select("n", "k", resample.binomial_tail(F.col("k"), F.col("n"), 0.8).alias("p")).collect()
+    for r in got:
+        terms = (math.lgamma(r.n + 1) - math.lgamma(i + 1) - math.lgamma(r.n - i + 1) + i * math.log(0.8) + (r.n - i) * math.log(0.2) for i in range(r.k, r.n + 1))
+        assert r.p == pytest.approx(min(1.0, math.fsum(map(math.exp, terms))), rel=1e-8, abs=1e-300)
+    big = spark.createDataFrame([(10_000_000, 8_000_500)], "n long, k long").select(resample.binomial_tail(F.col("k"), F.col("n"), 0.8).alias("p")).first().p
+    assert big == pytest.approx(0.5 * math.erfc((500 - 0.5) / (1.6e6 * 2) ** 0.5), abs=1e-4)
