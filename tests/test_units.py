@@ -335,3 +335,20 @@ def test_binomial_tail_of_large_n(spark):
         assert r.p == pytest.approx(min(1.0, math.fsum(map(math.exp, terms))), rel=1e-8, abs=1e-300)
     big = spark.createDataFrame([(10_000_000, 8_000_500)], "n long, k long").select(resample.binomial_tail(F.col("k"), F.col("n"), 0.8).alias("p")).first().p
     assert big == pytest.approx(0.5 * math.erfc((500 - 0.5) / (1.6e6 * 2) ** 0.5), abs=1e-4)
+
+
+def test_trigram_totals_read_the_texts_once(spark):
+    from mnemo.plans import text_queries
+
+    plan = text_queries.trigram_totals(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+
+
+def test_trigram_scores_count_each_order_once(spark):
+    """The counts that are asked for are kept, so what is scored reads no text of the model again."""
+    docs = spark.createDataFrame([(0, "a b c a b"), (1, None), (2, "")], "id int, t string")
+    items = spark.createDataFrame([(0, "a b c")], "id int, u string")
+    out = ngram.score(ngram.tokens(items, "id", "u"), *ngram.counts(ngram.tokens(docs, "id", "t")), "id")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "(t#" not in plan and "lower(coalesce(t#" not in plan
+    assert out.first()["n_tokens"] == 3
