@@ -150,7 +150,7 @@ def _sequence_keys(words: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _wide_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, key, size (number of shingles), segments and sketch of each row."""
+    """doc_id, text_hash, key, size (number of shingles), segments, sketch and SimHash fingerprint (fp) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,10 +159,12 @@ def _wide_rows(docs: DataFrame) -> DataFrame:
                 shingles, begin = common.shingle_hashes(words, first, SIMILAR_WORDS)
                 lists = [pa.ListArray.from_arrays(pa.array(np.arange(end - row + 1) * x.shape[1], pa.int32()), pa.array(x.reshape(-1))) for x in _minwise(shingles, begin)]
                 keys = pa.array(_sequence_keys(words, first).view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), batch.column(1).slice(row, end - row), keys, pa.array(np.diff(begin)), *lists], ["doc_id", "text_hash", "key", "size", "segments", "sketch"])
+                fps = [text_fingerprint((t.as_py() or "").encode()) for t in batch.column(2).slice(row, end - row)]
+                lists.append(pa.array(np.array(fps, np.uint64).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), batch.column(1).slice(row, end - row), keys, pa.array(np.diff(begin)), *lists], ["doc_id", "text_hash", "key", "size", "segments", "sketch", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("text_hash"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, key long, size long, segments array<long>, sketch array<long>")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, key long, size long, segments array<long>, sketch array<long>, fp long")
 
 
 def _shingle_rows(docs: DataFrame) -> DataFrame:
@@ -211,6 +213,16 @@ def _shared_codes(firsts: DataFrame) -> DataFrame:
     return codes.join(leader, "code")
 
 
+def _simhash_pairs(firsts: DataFrame) -> DataFrame:
+    """Pairs u, v of keys whose SimHash fingerprints are equal or linked within two bits, each fingerprint by its smallest key."""
+    rows = firsts.filter("size > 0").select("key", "fp")
+    lead = rows.groupBy("fp").agg(F.min("key").alias("lead"))
+    same = rows.join(lead, "fp").filter("key <> lead").select(*_ordered("key", "lead"))
+    links = fingerprint_links(lead.select("fp"))
+    apart = links.join(lead.toDF("u", "a"), "u").join(lead.toDF("v", "b"), "v").select(*_ordered("a", "b"))
+    return same.union(apart).distinct()
+
+
 def _best(shared: DataFrame) -> DataFrame:
     """A pair u, v for each key: of the leaders of its codes the one whose sketch is nearest."""
     met = shared.select("key", "leader", _distance(F.col("sketch"), F.col("leader_sketch")).alias("bits")).filter(f"key <> leader AND bits <= {SKETCH_RADIUS}")
@@ -332,17 +344,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     or a copy is cut or extended, makes no difference: of pairs at the very bound 5 in 100,000 meet in no segment, and far
     fewer above it. Texts of the same words (case and punctuation aside) are one key and are never compared.
 
+    SimHash by multi-index hashing comes first: texts whose fingerprints lie within two bits are candidates. It cannot hold a
+    bound on the similarity, so the minwise codes bring what it misses; exact similarity decides for both.
+
     Each code has a leader. A text is first compared with the leader nearest to it, which joins most groups by a link for
     each text. Codes whose texts are then in different groups still are compared whole, without a cap: all that is not in
     the code's main group with all of the code. Shingle sets are made once, and stored for keys that share a code.
     """
     rows = common.stored(_wide_rows(docs), "near")
-    firsts = rows.groupBy("key").agg(*(F.first(c).alias(c) for c in ("size", "segments", "sketch")))
+    firsts = rows.groupBy("key").agg(*(F.first(c).alias(c) for c in ("size", "segments", "sketch")), F.min("fp").alias("fp"))
     shared = common.stored(_shared_codes(firsts), "codes")
+    close = common.cut(_simhash_pairs(firsts))
+    asked = shared.select("key").union(close.select("u")).union(close.select("v")).distinct()
     # copies are reduced to one set in each task before the shuffle; the join has the same keys and adds none
     sets = _shingle_rows(docs).groupBy("key").agg(F.first("shingles").alias("shingles"))
-    sets = common.stored(sets.join(shared.select("key").distinct(), "key", "left_semi"), "shingles")
-    links = common.cut(_similar(_best(shared), sets))
+    sets = common.stored(sets.join(asked, "key", "left_semi"), "shingles")
+    links = common.cut(_similar(_best(shared).union(close).distinct(), sets))
     mixed = common.cut(_mixed(shared, components(links)))
     links = links.union(_similar(_small_pairs(mixed), sets)).union(_block_links(common.cut(_meeting(_blocks(mixed))), sets))
     roots = components(links)

@@ -131,3 +131,15 @@ def test_weights_of_shingles_that_many_items_share(spark, monkeypatch):
     weights = decontaminate.item_weights(items)
     assert weights.items == 60 and 0 < len(weights.shingles) < 20
     assert (np.diff(weights.shingles.astype(object)) > 0).all() and (weights.weights < weights.rarest).all()
+
+
+def test_near_duplicates_take_candidates_by_simhash(spark):
+    """Keys of fingerprints within two bits are candidates: those of one fingerprint by its smallest key, and these by links."""
+    from mnemo.llm import simhash
+
+    rows = [(1, 5, 0b0), (2, 5, 0b0), (3, 5, 0b11), (4, 5, 0b11 << 40), (5, 0, 0b0), (6, 5, (1 << 62) - 1)]
+    got = simhash._simhash_pairs(spark.createDataFrame(rows, "key long, size long, fp long")).collect()
+    assert sorted((r.u, r.v) for r in got) == [(2, 1), (3, 1), (4, 1)]
+    text = " ".join(f"w{k}" for k in range(400))
+    docs = spark.createDataFrame([(1, text), (2, text + " more"), (3, "other words that stand here alone"), (4, None)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == [1, 3, 4]
