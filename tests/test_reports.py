@@ -188,3 +188,11 @@ def test_intake_takes_the_same_rows_however_they_are_dealt(spark):
         random.Random(seed).shuffle(rows)
         got = logs.intake(old, spark.createDataFrame(rows, "day string, url string, title string").coalesce(1), "day", "url", "title").collect()
         assert sorted((r.url, r.title) for r in got) == [("u0", "t0"), ("u1", "t1"), ("u2", "t2")]
+
+
+def test_catalogue_related_deals_a_group_into_blocks(spark):
+    """One group of 200 in blocks of 16 gives all its pairs; a null group has none."""
+    rows = spark.createDataFrame([(k, "g" if k < 200 else None) for k in range(210)] + [(7, "h"), (300, "h")], "entry int, grp string")
+    asked = rows.filter("entry % 20 = 7")
+    want = sorted([(a, b) for a in range(7, 200, 20) for b in range(200) if a != b] + [(7, 300)])
+    assert sorted(map(tuple, reports.catalogue_related(rows, asked, block=16).collect())) == want
