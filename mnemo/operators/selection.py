@@ -2,14 +2,16 @@
 
 Both give what a loop over the ordered rows gives, by rounds that decide many rows at once. A row of which nothing undecided
 comes before among those it conflicts with is taken; what conflicts with a taken one before it is not. Rounds end when all
-is decided; each is kept by a checkpoint, and nothing but counts comes to the driver.
+is decided; each is kept by a checkpoint, and nothing but counts comes to the driver. Where targets bound what is taken, a
+stretch of the order of bounded length is looped over in one task, and joins with what is taken decide all other rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from .resample import hash_uniform
 
 #: Times that chains of rows are halved before it is asked whether one is left.
 HALVINGS = 4
+#: Rows that one task decides in the order at most. Targets of more than a 16th of it in all are met by rounds.
+LOOP = 1 << 16
 
 
 def _taken(links: DataFrame, status: DataFrame) -> DataFrame:
@@ -61,10 +65,14 @@ def accept(rows: DataFrame, keys: Sequence[str | Column], order: Sequence[str],
     In the order, a row is accepted unless it shares a key with an accepted one before it; a row that is not accepted keeps
     nobody out, and null keys are shared by none. With `targets`, a group takes no more rows once it has so many (a group
     without a target takes none), and what it leaves out is full, unless it is a duplicate. Equal places in the order stand
-    in any order. When a group is full the rows after that are decided anew, once for each group at most.
+    in any order. Few targets are met over stretches of the order, many by rounds; there, when a group is full, the rows after
+    that are decided anew, once for each group at most.
     """
     placed = cut(ordered.places(rows, [], list(order), "place"))
-    named = [F.when(c.isNotNull(), F.concat(F.lit(f"{k}:"), c.cast("string"))) for k, c in enumerate(F.col(c) if isinstance(c, str) else c for c in keys)]
+    columns = [F.col(c) if isinstance(c, str) else c for c in keys]
+    if targets is not None and 16 * sum(max(n, 0) for n in targets.values()) <= LOOP:
+        return _by_stretches(placed, columns, group, dict(targets)).select(*rows.columns, "place", "outcome")
+    named = [F.when(c.isNotNull(), F.concat(F.lit(f"{k}:"), c.cast("string"))) for k, c in enumerate(columns)]
     links = cut(placed.select(F.col("place").alias("id"), F.explode(F.array_distinct(F.array_compact(F.array(*named)))).alias("key")))
     status = placed.select(F.col("place").alias("id"), F.lit(None).cast("boolean").alias("taken"))
     if targets is None:
@@ -78,6 +86,59 @@ def accept(rows: DataFrame, keys: Sequence[str | Column], order: Sequence[str],
     return placed.join(told.select(F.col("id").alias("place"), outcome.alias("outcome")), "place").select(*rows.columns, "place", "outcome")
 
 
+def _looped(room: Sequence[int], size: int, names: Sequence[str]):
+    """Of a stretch in its order: the rows a loop takes, and one of slot -1 with the last id if the stretch has `size` rows."""
+
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left, used, n, last = list(room), [set() for _ in names], 0, None
+        for batch in batches:
+            keep = []
+            for at, (id_, slot, *values) in enumerate(batch[["id", "slot", *names]].itertuples(index=False, name=None)):
+                n, last = n + 1, id_
+                if left[slot] > 0 and not any(v is not None and v in u for v, u in zip(values, used, strict=True)):
+                    left[slot] -= 1
+                    keep.append(at)
+                    for v, u in zip(values, used, strict=True):
+                        u.add(v)
+            yield batch.iloc[keep]
+        if n == size:
+            yield pd.DataFrame([(last, -1, *(None for _ in names))], columns=["id", "slot", *names])
+
+    return step
+
+
+def _by_stretches(placed: DataFrame, keys: Sequence[Column], group: str, targets: dict) -> DataFrame:
+    """placed with `outcome`, for targets that are few in all.
+
+    A stretch holds the next rows of the order that are still open: their group has room, and they share no key with a row
+    taken in the stretches before. One task loops over it. It is eight times as long as the one before, LOOP rows at most;
+    it ends when no group has room or no row is open. What is taken is at most the targets, so it is broadcast.
+    """
+    names = [f"_key{k}" for k in range(len(keys))]
+    slot = reduce(lambda c, t: c.when(F.col(group) == t[1], t[0]), enumerate(targets), F.when(F.lit(False), -1))
+    keyed = placed.withColumns({n: c.cast("string") for n, c in zip(names, keys, strict=True)})
+    slim = keyed.select(F.col("place").alias("id"), slot.cast("int").alias("slot"), *names)
+    room, begin, size = [max(n, 0) for n in targets.values()], 0, min(LOOP, max(1024, 16 * sum(max(n, 0) for n in targets.values())))
+    schema = ", ".join(["id long", "slot int", *(f"{n} string" for n in names)])
+    taken = placed.sparkSession.createDataFrame([], schema)
+    while begin is not None and any(room):
+        open_ = slim.filter((F.col("id") >= begin) & F.col("slot").isin(*[k for k, n in enumerate(room) if n]))
+        for n in names:
+            open_ = open_.join(F.broadcast(taken.select(n)), n, "left_anti")
+        stretch = open_.select("id", "slot", *names).orderBy("id").limit(size).coalesce(1).sortWithinPartitions("id")
+        found = cut(stretch.mapInPandas(_looped(room, size, names), schema))
+        counts = {r["slot"]: r for r in found.groupBy("slot").agg(F.count("*").alias("n"), F.max("id").alias("last")).collect()}
+        room = [n - (counts[k]["n"] if k in counts else 0) for k, n in enumerate(room)]
+        begin = counts[-1]["last"] + 1 if -1 in counts else None
+        taken, size = taken.unionByName(found.filter("slot >= 0")), min(LOOP, size * 8)
+    own = F.broadcast(taken.select(F.col("id").alias("place"), F.lit(True).alias("_taken")))
+    told, twice = keyed.join(own, "place", "left"), F.lit(False)
+    for n in names:
+        told = told.join(F.broadcast(taken.select(n, F.col("id").alias(f"_by{n}"))), n, "left")
+        twice = twice | F.coalesce(F.col(f"_by{n}") < F.col("place"), F.lit(False))
+    return told.withColumn("outcome", F.when(F.col("_taken"), "accepted").when(twice, "duplicate").otherwise("full"))
+
+
 def _with_targets(links: DataFrame, status: DataFrame, groups: DataFrame, targets: dict) -> DataFrame:
     """The same with targets. Rows are decided in stretches of the order, each eight times as long, until every group is full or the rows end."""
     known = reduce(lambda c, t: c.when(F.col("group") == t[0], t[1]), targets.items(), F.when(F.lit(False), 0)).otherwise(0)
