@@ -8,7 +8,8 @@ than `limit`; its text is no longer held). The first of these in this order is t
 
 The state of a reply is what it has said so far, at most `limit` characters, and the numbers of the parts; of a closed one, a
 mark until the watermark has passed it, so that what comes afterwards is ignored and does not begin it anew. Parts later than
-the watermark are left out, as everywhere in a stream.
+the watermark are left out, as everywhere in a stream. The state has a key for a block of 256 reply numbers in a row, as a
+call for each reply costs more than the reply; so a batch touches the blocks of its replies, and a block never holds more.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 REASONS = ("repeated", "gap", "unfinished", "continued", "too_long")
 OUT = "reply_id long, n long, valid boolean, reason string, text string"
-#: parts: number and text of each part held; n: parts seen; last: number of the final part; latest: milliseconds.
-STATE = "parts array<struct<part:long,text:string>>, n long, chars long, repeated boolean, last long, latest long, closed boolean"
+#: Replies of 2 ** BLOCK_BITS numbers in a row share a key of the state.
+BLOCK_BITS = 8
+#: Of each reply: parts: number and text of each part held; n: parts seen; last: number of the final part; latest: milliseconds.
+STATE = "replies array<struct<reply:long,parts:array<struct<part:long,text:string>>,n:long,chars:long,repeated:boolean,last:long,latest:long,closed:boolean>>"
 
 
 def outcome(parts: dict[int, str], n: int, chars: int, repeated: bool, last: int, limit: int) -> tuple[bool, str, str | None]:
@@ -40,35 +43,45 @@ def assembled_stream(parts: DataFrame, patience: str = "10 minutes", delay: str
     wait = int(pd.Timedelta(patience) / timedelta(milliseconds=1))
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, n, chars, repeated, last, latest, closed = state.get if state.exists else ([], 0, 0, False, -1, 0, False)
-        said = {int(p["part"]): p["text"] for p in held}
+        # of each reply: parts, n, chars, repeated, last, latest, closed
+        held = {r["reply"]: [{p["part"]: p["text"] for p in r["parts"]}, r["n"], r["chars"], r["repeated"], r["last"], r["latest"], r["closed"]] for r in (state.get[0] if state.exists else [])}
+        touched = set()
         if not state.hasTimedOut:
             for batch in batches:
-                for part, text, final, at in zip(batch["part"], batch["text"], batch["final"], batch["at"], strict=True):
-                    latest = max(latest, int(at))
-                    if closed:
+                for reply, part, text, final, at in zip(*(batch[c].tolist() for c in ("reply", "part", "text", "final", "at")), strict=True):
+                    touched.add(reply)
+                    h = held.setdefault(reply, [{}, 0, 0, False, -1, 0, False])
+                    h[5] = max(h[5], at)
+                    if h[6]:
                         continue
-                    part, text = int(part), text or ""
-                    n, chars, repeated = n + 1, chars + (0 if part in said else len(text)), repeated or part in said
+                    said, text = h[0], text or ""
+                    h[1], h[2], h[3] = h[1] + 1, h[2] + (0 if part in said else len(text)), h[3] or part in said
                     said.setdefault(part, text)
                     if final:
-                        last = max(last, part)
-            if chars > limit:
+                        h[4] = max(h[4], part)
+        passed, out, kept = state.getCurrentWatermarkMs(), [], []
+        for reply, (said, n, chars, repeated, last, latest, closed) in held.items():
+            if reply in touched and chars > limit:
                 said = dict.fromkeys(said, "")
-        done = state.hasTimedOut or (last >= 0 and max(said, default=-1) == last == len(said) - 1)
-        if done and not closed:
-            valid, reason, text = outcome(said, n, chars, repeated, last, limit)
-            yield pd.DataFrame([(key[0], n, valid, reason, text)], columns=[c.split()[0] for c in OUT.split(", ")])
-        if state.hasTimedOut:
+            due = latest + wait <= passed
+            done = due or (last >= 0 and max(said, default=-1) == last == len(said) - 1)
+            if done and not closed:
+                out.append((None if pd.isna(key[0]) else reply, n, *outcome(said, n, chars, repeated, last, limit)))
+            if not due:
+                closed = closed or done
+                kept.append({"reply": reply, "parts": [] if closed else [{"part": k, "text": t} for k, t in said.items()], "n": n, "chars": chars, "repeated": repeated, "last": last, "latest": latest, "closed": closed})
+        if kept:
+            state.update((kept,))
+            state.setTimeoutTimestamp(max(1, min(r["latest"] for r in kept) + wait - 1))  # a timeout comes once the watermark is beyond it
+        elif state.exists:
             state.remove()
-            return
-        closed = closed or done
-        state.update(([] if closed else [{"part": k, "text": t} for k, t in said.items()], n, chars, repeated, last, latest, closed))
-        state.setTimeoutTimestamp(max(latest + wait, state.getCurrentWatermarkMs() + 1))
+        if out:
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
 
     told = parts.select(F.col("reply_id").cast("long"), F.col("part").cast("long"), F.col("text").cast("string"), F.coalesce(F.col("final"), F.lit(False)).alias("final"), F.col("ts").cast("timestamp").alias("ts"))
     told = told.filter("part IS NOT NULL AND ts IS NOT NULL").withColumn("at", F.unix_millis("ts"))
-    return told.withWatermark("ts", delay).groupBy("reply_id").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    told = told.select(F.shiftright("reply_id", BLOCK_BITS).alias("block"), F.coalesce("reply_id", F.lit(0)).alias("reply"), "part", "text", "final", "ts", "at")
+    return told.withWatermark("ts", delay).groupBy("block").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def assembled(parts: DataFrame, limit: int = 1 << 20) -> DataFrame:

@@ -1,6 +1,7 @@
 """Replies with state over batches and restarts, and the log's account, refusal and compaction."""
 
 import json
+import os
 import random
 from datetime import datetime, timedelta
 
@@ -117,3 +118,24 @@ def test_lines_of_another_plan_stop_the_stream(spark, tmp_path):
     (source / "a.json").write_text(line("a", 1, 1) + "\n" + line("b", 1, 1))
     with pytest.raises(ValueError, match="empty"):
         logs.latest_of_table(spark, str(tmp_path / "none"), ["k"], ["seq"])
+
+
+def test_replies_of_a_block_share_a_call(spark, tmp_path):
+    """Two files of 600 replies, negative and null numbers, the later times first: what the watermark has passed is closed in its batch, at patience itself too."""
+    source = tmp_path / "in"
+    source.mkdir()
+    numbers = [None, -1, -300, *range(600), (1 << 53) + 1]
+    early = [(k, p, f"{k}.{p};", p == 2, T0 + timedelta(seconds=60 + p)) for k in numbers for p in ((0, 1, 2) if k is None or k % 3 else (0, 2))]
+    later = [(10_000, 0, "at", False, T0 + timedelta(hours=9)), (10_001, 0, "short", False, T0 + timedelta(hours=9, milliseconds=1)), (10_002, 0, "end", False, T0 + timedelta(hours=10))]
+    for name, rows, second in (("a.json", later, 1), ("b.json", early, 2)):
+        write(source, rows, name)
+        os.utime(source / name, (second, second))
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).json(str(source))
+    closed = replies.assembled_stream(stream, "1 hour", "0 seconds")
+    assert closed.isStreaming
+    got = replies.drained(closed, str(tmp_path / "out"), str(tmp_path / "check")).collect()
+    table = replies.assembled(spark.createDataFrame(early + later[:1], SCHEMA)).drop("latest")
+    order = lambda rows: sorted(map(tuple, rows), key=repr)
+    assert order(got) == order(table.collect())
+    # the state has few keys: one for a block of reply numbers
+    assert spark.read.format("statestore").load(str(tmp_path / "check"), batchId=0).count() <= 2
