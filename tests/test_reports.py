@@ -215,3 +215,17 @@ def test_catalogue_related_deals_a_group_into_blocks(spark):
     asked = rows.filter("entry % 20 = 7")
     want = sorted([(a, b) for a in range(7, 200, 20) for b in range(200) if a != b] + [(7, 300)])
     assert sorted(map(tuple, reports.catalogue_related(rows, asked, block=16).collect())) == want
+
+
+def test_catalogue_related_writes_little_for_a_pair_and_spreads_its_pairs(spark, tmp_path):
+    """One group of 20,000 of which 100 are asked: all pairs, a fraction of a byte each in a file, made in several tasks."""
+    spark.range(20000).select(F.col("id").alias("entry"), F.lit("g").alias("grp")).write.parquet(str(tmp_path / "in"))
+    rows = spark.read.parquet(str(tmp_path / "in"))
+    reports.catalogue_related(rows, rows.filter("entry % 200 = 0")).write.parquet(str(tmp_path / "out"))
+    out = spark.read.parquet(str(tmp_path / "out"))
+    found = out.groupBy("entry").agg(F.count("*").alias("n"), F.countDistinct("other").alias("d"), F.sum("other").alias("s")).collect()
+    assert sorted(r.entry for r in found) == list(range(0, 20000, 200))
+    assert all((r.n, r.d, r.s) == (19999, 19999, 19999 * 10000 - r.entry) for r in found)
+    files = list((tmp_path / "out").glob("*.parquet"))
+    assert sum(f.stat().st_size for f in files) < 0.3 * 100 * 19999
+    assert out.groupBy(F.input_file_name()).count().count() > 1
