@@ -173,21 +173,27 @@ def paired_advantage(rows: DataFrame, keys: Sequence[str], arm: str, status: str
     return pairs.select(*keys, (F.col("b") - F.col("a")).alias("advantage"))
 
 
-def rounded_means(rows: DataFrame, by: Sequence[str], value: str, order: str) -> DataFrame:
+def rounded_means(rows: DataFrame, by: Sequence[str], value: str, order: str | None = None) -> DataFrame:
     """by and value, the mean of each group rounded to a whole number, the same however the rows are dealt.
 
     A sum of doubles depends on the order of its terms, which tells only where the mean is about halfway between two whole
-    numbers. Such groups alone are summed again, one row after another in the order, by a window that may spill.
+    numbers. Such groups alone are summed again: as decimals, whose sum is exact, so that a half is a half; or, with an
+    order, one row after another by a window that may spill. Values that no decimal holds keep the mean of doubles.
     """
     by = list(by)
     means = rows.groupBy(*by).agg(F.avg(value).alias("_mean"), F.avg(F.abs(value)).alias("_size"), F.count(value).alias("_n"))
     # the error of a sum grows with the size of its terms
     close = F.abs(F.col("_mean") - F.floor("_mean") - 0.5) < 1e-9 * F.greatest(F.lit(1.0), "_size")
     halves = means.filter(close).select(*by, F.col("_n").alias("_of"))
-    running = F.sum(value).over(Window.partitionBy(*by).orderBy(order))
-    last = ordered.match(rows.filter(F.col(value).isNotNull()), halves, by).select(*by, order, "_of", running.alias("_sum"))
-    again = last.groupBy(*by).agg((F.max_by("_sum", order) / F.first("_of")).alias("_ordered"))
-    return ordered.match(means, again, by, "left").select(*by, F.round(F.coalesce("_ordered", "_mean"), 0).alias(value))
+    met = ordered.match(rows.filter(F.col(value).isNotNull()), halves, by)
+    if order is None:
+        held = F.col(value).try_cast("decimal(38,18)")
+        sums = met.groupBy(*by).agg(F.try_sum(held).alias("_sum"), F.count(held).alias("_held"), F.first("_of").alias("_of"))
+        again = sums.filter("_held = _of").select(*by, F.round(F.col("_sum") / F.col("_of"), 0).cast("double").alias("_again"))
+    else:
+        running = F.sum(value).over(Window.partitionBy(*by).orderBy(order))
+        again = met.select(*by, order, "_of", running.alias("_sum")).groupBy(*by).agg((F.max_by("_sum", order) / F.first("_of")).alias("_again"))
+    return ordered.match(means, again, by, "left").select(*by, F.round(F.coalesce("_again", "_mean"), 0).alias(value))
 
 
 def mid_rank_counts(rows: DataFrame, value: str, group: str, item: str) -> DataFrame:

@@ -293,7 +293,7 @@ IDENTITY_ADVANTAGE = f"""WITH {ARMS} SELECT item, day::VARCHAR AS day, round(max
 
 def mid_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mid-ranks of the rounded mean values of each user's types of events."""
-    rows = study.rounded_means(draws(spark, sf_dir), ["item", "answer"], "value", "event_id")
+    rows = study.rounded_means(draws(spark, sf_dir), ["item", "answer"], "value")
     return study.mid_rank_counts(rows, "value", "answer", "item")
 
 

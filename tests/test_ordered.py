@@ -219,3 +219,34 @@ def test_rounded_means_are_summed_in_order_however_rows_are_dealt(spark):
         random.Random(seed).shuffle(rows)
         df = spark.createDataFrame(rows, "g int, k int, v double").repartition(4)
         assert {r.g: r.v for r in study.rounded_means(df, ["g"], "v", "k").collect()} == want
+
+
+def test_halves_of_means_are_exact(spark, tmp_path):
+    """A mean that is a half rounds up, where its sum in the order of events falls short; SQL meets the rows in another order."""
+    import duckdb
+
+    from mnemo.plans import study_queries
+
+    rng = random.Random(6)
+    added = lambda values: reduce(lambda a, b: a + b, values, 0.0)  # noqa: E731  (sum() of floats is compensated)
+    events, found = [], 0
+    while found < 8:
+        values = [round(rng.random() * 100, 2) for _ in range(13)]
+        values[-1] = round(13 * 40.5 - sum(values[:-1]), 2)
+        orders = [rng.sample(values, 13) for _ in range(40)]
+        short, whole = ([o for o in orders if (added(o) / 13 < 40.5) == low] for low in (True, False))
+        if short and whole:
+            # the rows lie as in whole, their numbers count as in short
+            at = {v: k for k, v in enumerate(short[0])}
+            events += [(100 * found + at[v], found, "view", v) for v in whole[0]] + [(100 * found + 50, found, "click", 41.0)]
+            found += 1
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string, value double").selectExpr("*", "timestamp_ntz'2024-01-01' AS ts").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = sorted((r.answer, r["rank"], r.n) for r in study_queries.mid_ranks(spark, str(tmp_path)).collect())
+    assert got == [("click", 1.5, 8), ("view", 1.5, 8)]
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert sorted(con.execute(f'SELECT answer, "rank", n FROM ({study_queries.MID_RANKS})').fetchall()) == got
+    odd = [("a", 0.1), ("a", 0.9), ("b", -2.25), ("b", -2.75), ("c", 1e30), ("c", 1e30), ("d", None), (None, 1.5), (None, None), ("e", float("nan")), ("f", 0.49), ("f", 0.5)]
+    means = study.rounded_means(spark.createDataFrame(odd, "g string, v double"), ["g"], "v").collect()
+    assert repr(sorted(((r.g or "", r.v) for r in means), key=str)) == repr(sorted([("", 2.0), ("a", 1.0), ("b", -3.0), ("c", 1e30), ("d", None), ("e", float("nan")), ("f", 0.0)], key=str))
